@@ -15,6 +15,7 @@ from dimlens.functions.cells import empty_to_null, parse_boolean, parse_number,
 from dimlens.functions.concepts import ENTITY_TYPES
 from dimlens.functions.keys import MEMBERSHIP_PREFIX, key_text, membership_column
 from dimlens.operators.merge import merge
+from dimlens.operators.predicates import Bounds
 
 CONCEPTS, ENTITIES, DATAPOINTS = "concepts", "entities", "datapoints"
 COLLECTIONS = (CONCEPTS, ENTITIES, DATAPOINTS)
@@ -31,19 +32,28 @@ class Concept:
 class Resource:
     """Rows under one key: a DataFrame, or a function that opens it when a query needs it.
 
+    ``columns`` names the value columns of a resource that should not be opened to find them.
     ``row_order`` orders the rows of one key value inside the resource, so that the last one
-    wins a merge. Leave it out where the key is unique.
+    wins a merge. Leave it out where the key is unique. ``bounded`` opens the resource for keys
+    inside the given bounds: it lets a resource derived from larger tables skip parts of them,
+    and may return rows outside the bounds.
     """
 
     name: str
     key: tuple[str, ...]
     source: DataFrame | Callable[[], DataFrame]
     translations: Mapping[str, DataFrame | Callable[[], DataFrame]] = field(default_factory=dict)
+    columns: tuple[str, ...] | None = None
     row_order: Column | None = None
+    bounded: Callable[[Mapping[str, Bounds]], DataFrame] | None = None
 
     def __post_init__(self):
         object.__setattr__(self, "key", tuple(self.key))
 
+    def rows(self, bounds: Mapping[str, Bounds]) -> DataFrame:
+        inside = {k: b for k, b in bounds.items() if k in self.key}
+        return self.bounded(inside) if self.bounded and inside else self.frame
+
     @cached_property
     def frame(self) -> DataFrame:
         return self.source if isinstance(self.source, DataFrame) else self.source()
@@ -60,6 +70,8 @@ class Resource:
 
     @property
     def values(self) -> list[str]:
+        if self.columns is not None:
+            return list(self.columns)
         return [c for c in self.frame.columns if c not in self.key]
 
 
@@ -132,7 +144,7 @@ class Dataset:
         for resource in self.resources.values():
             names.update(resource.key)
             if self._declared is None:
-                names.update(resource.frame.columns)
+                names.update(resource.values)
         for entry in self._declared or ():
             names.update(entry.key)
             names.add(entry.value)
@@ -171,7 +183,11 @@ class Dataset:
     # --- typed rows ---------------------------------------------------------------------
 
     def frame(self, resource: Resource, source: DataFrame | None = None) -> DataFrame:
-        """Rows of a resource with text cells typed after their concepts."""
+        """Rows of a resource with text cells typed after their concepts.
+
+        Other columns stay as they are, so that conditions on them reach the scan; empty text
+        becomes null in the result.
+        """
         source = resource.frame if source is None else source
         number = parse_number_prefix if resource.kind == CONCEPTS else parse_number
         cells = []
@@ -183,8 +199,6 @@ class Dataset:
                     cell = number(cell)
                 elif kind == "boolean":
                     cell = parse_boolean(cell)
-                else:
-                    cell = empty_to_null(cell)
             cells.append(cell.alias(column.name))
         return source.select(*cells)
 

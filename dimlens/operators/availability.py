@@ -12,15 +12,20 @@ from pyspark.sql import types as T
 from dimlens.functions.concepts import ENTITY_TYPES
 from dimlens.functions.keys import membership_column
 from dimlens.model import COLLECTIONS, CONCEPTS, Dataset, IndexEntry, Resource
-from dimlens.operators.merge import merge
+from dimlens.operators.merge import filled, merge
+from dimlens.session import small_table
 
-INDEX_SCHEMA = "kind string, key array<string>, value string, resources array<string>"
+_NAMES = T.ArrayType(T.StringType())
+INDEX_SCHEMA = T.StructType([
+    T.StructField("kind", T.StringType()), T.StructField("key", _NAMES),
+    T.StructField("value", T.StringType()), T.StructField("resources", _NAMES),
+])
 
 
 def index_rows(dataset: Dataset) -> DataFrame:
     """The index of a dataset as a table, the parts of each key sorted."""
     rows = [(e.kind, sorted(e.key), e.value, list(e.resources)) for e in dataset.index]
-    return dataset.spark.createDataFrame(rows, INDEX_SCHEMA)
+    return small_table(dataset.spark, INDEX_SCHEMA, rows)
 
 
 def schema_view(dataset: Dataset, kind: str = "*") -> DataFrame:
@@ -39,9 +44,9 @@ def build_availability(dataset: Dataset) -> DataFrame:
     shrinks to one row per entity before memberships are joined.
     """
     places = {name: place for place, name in enumerate(dataset.resources)}
-    found = []
+    found, members = [], Memberships(dataset)
     for resource in dataset.resources.values():
-        pairs = _resource_pairs(dataset, resource)
+        pairs = _resource_pairs(dataset, resource, members)
         if pairs is not None:
             holder = F.struct(F.lit(places[resource.name]).alias("place"),
                               F.lit(resource.name).alias("name"))
@@ -59,18 +64,20 @@ def collect_index(availability: DataFrame) -> list[IndexEntry]:
     return [IndexEntry(r.kind, tuple(r.key), r.value, tuple(r.resources)) for r in rows]
 
 
-def _resource_pairs(dataset: Dataset, resource: Resource) -> DataFrame | None:
+def _resource_pairs(dataset: Dataset, resource: Resource, members) -> DataFrame | None:
     rows = dataset.frame(resource)
     values = resource.values
     if not values:
         return None
-    filled = {f"__v{i}": F.col(f"`{v}`").isNotNull() for i, v in enumerate(values)}
+    held = {
+        f"__v{i}": filled(F.col(f"`{v}`"), rows.schema[v].dataType) for i, v in enumerate(values)
+    }
     if resource.kind == CONCEPTS:
-        keyed = rows.agg(*[F.bool_or(c).alias(n) for n, c in filled.items()])
+        keyed = rows.agg(*[F.bool_or(c).alias(n) for n, c in held.items()])
         keyed = keyed.withColumn("key", F.array(F.lit("concept")))
     else:
-        combine = {n: F.bool_or for n in filled}
-        keyed = by_key_names(dataset, rows.withColumns(filled), resource.key, combine)
+        combine = {n: F.bool_or for n in held}
+        keyed = by_key_names(members, rows.withColumns(held), resource.key, combine)
     pairs = F.array(*[
         F.when(F.col(f"__v{i}"), F.lit(v)) for i, v in enumerate(values)
     ])
@@ -79,8 +86,21 @@ def _resource_pairs(dataset: Dataset, resource: Resource) -> DataFrame | None:
     )
 
 
+class Memberships:
+    """Set memberships of a dataset's domains, each built once."""
+
+    def __init__(self, dataset: Dataset):
+        self.dataset = dataset
+        self._built: dict[str, DataFrame] = {}
+
+    def of(self, domain: str) -> DataFrame:
+        if domain not in self._built:
+            self._built[domain] = membership(self.dataset, domain).toDF("__id", "__sets")
+        return self._built[domain]
+
+
 def by_key_names(
-    dataset: Dataset, rows: DataFrame, key: Sequence[str], combine: Mapping[str, object]
+    members: Memberships, rows: DataFrame, key: Sequence[str], combine: Mapping[str, object]
 ) -> DataFrame:
     """Aggregate rows per combination of key names: ``key array<string>`` and the aggregates.
 
@@ -88,6 +108,7 @@ def by_key_names(
     without sets need no ids and drop out first; the others are replaced one at a time, so that
     every join meets rows that are aggregated already.
     """
+    dataset = members.dataset
     fixed, open_parts = {}, []
     for part in key:
         names = _names_without_members(dataset, part)
@@ -98,7 +119,7 @@ def by_key_names(
     # The aggregate collapses to one row per id combination before anything is exploded.
     rows = _combine(rows, open_parts, combine)
     for part in open_parts:
-        sets = membership(dataset, dataset.domain_of(part)).toDF("__id", "__sets")
+        sets = members.of(dataset.domain_of(part))
         names = F.array(*map(F.lit, _names_without_members(dataset, part)))
         rows = (
             rows.join(sets, F.col(f"`{part}`").cast("string") == F.col("__id"), "left")
@@ -125,16 +146,14 @@ def membership(dataset: Dataset, domain: str) -> DataFrame:
     frames, orders = [], []
     for resource in dataset.resources.values():
         if len(resource.key) == 1 and dataset.domain_of(resource.key[0]) == domain:
-            held = [c for c in resource.frame.columns if c in flags]
+            held = [c for c in resource.values if c in flags]
             if held:
                 rows = resource.frame.select(resource.key[0], *[F.col(f"`{c}`") for c in held])
                 frames.append(dataset.frame(resource, rows).withColumnRenamed(resource.key[0], domain))
                 orders.append(resource.row_order)
     if not frames:
-        schema = T.StructType([
-            T.StructField("id", T.StringType()), T.StructField("sets", T.ArrayType(T.StringType())),
-        ])
-        return dataset.spark.createDataFrame([], schema)
+        schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("sets", _NAMES)])
+        return small_table(dataset.spark, schema, [])
     entities = merge(frames, [domain], row_orders=orders)
     found = F.array_compact(F.array(*[
         F.when(F.col(f"`{flag}`"), F.lit(name))

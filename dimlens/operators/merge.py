@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dimlens.functions.cells import empty_to_null
+
 RESOURCE, ROW = "__resource", "__row"
 
 OVERWRITE, TRANSLATION, STRICT = "overwrite", "translation", "strict"
@@ -37,12 +39,13 @@ def merge(
         cell = F.col(f"`{name}`")
         present = F.col(RESOURCE).isin(*holders) if len(holders) < len(frames) else F.lit(True)
         if mode == TRANSLATION:
-            present = _filled(cell, tagged.schema[name].dataType)
+            present = filled(cell, tagged.schema[name].dataType)
         rank = F.struct(RESOURCE, ROW) if ordered else F.col(RESOURCE)
         last = F.max_by(cell, F.when(present, rank))
         if mode == STRICT:
             message = F.lit(f"resources disagree on {name}")
-            last = F.when(_disagree(cell, present), F.raise_error(message)).otherwise(last)
+            differ = _disagree(cell, present, tagged.schema[name].dataType)
+            last = F.when(differ, F.raise_error(message)).otherwise(last)
         cells.append(last.alias(name))
     if not cells:
         return tagged.select(*key).distinct()
@@ -55,7 +58,8 @@ def conflicts(frames: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:
     flags = {}
     for name, holders in values.items():
         if len(holders) > 1:
-            flags[name] = _disagree(F.col(f"`{name}`"), F.col(RESOURCE).isin(*holders))
+            present = F.col(RESOURCE).isin(*holders)
+            flags[name] = _disagree(F.col(f"`{name}`"), present, tagged.schema[name].dataType)
     checked = tagged.groupBy(*key).agg(*[flag.alias(name) for name, flag in flags.items()])
     names = F.concat_ws(",", *[F.when(F.col(f"`{n}`"), F.lit(n)) for n in flags])
     return checked.select(*key, names.alias("columns")).filter(F.col("columns") != "")
@@ -110,12 +114,15 @@ def _align(frames: Sequence[DataFrame]) -> list[DataFrame]:
     ]
 
 
-def _filled(cell: Column, kind: T.DataType) -> Column:
+def filled(cell: Column, kind: T.DataType) -> Column:
+    """The cell holds something: not null and not empty text."""
     return cell.isNotNull() & (cell != "") if isinstance(kind, T.StringType) else cell.isNotNull()
 
 
-def _disagree(cell: Column, present: Column) -> Column:
+def _disagree(cell: Column, present: Column, kind: T.DataType) -> Column:
     """Aggregate: present cells of a key are not all equal; an empty cell is a value too."""
+    if isinstance(kind, T.StringType):
+        cell = empty_to_null(cell)
     held = F.when(present, cell)
     empty = F.max(present & cell.isNull())
     return F.coalesce(F.min(held) != F.max(held), F.lit(False)) | (

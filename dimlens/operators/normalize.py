@@ -23,14 +23,20 @@ def apply_parsers(
 
 
 def numeric_text_columns(rows: DataFrame, columns: Sequence[str]) -> list[str]:
-    """Text columns in which every filled cell is a number: one aggregation, one row back."""
-    if not columns:
-        return []
+    """Text columns, or columns of text arrays, in which every filled cell is a number.
+
+    One aggregation over the data, which returns one row.
+    """
     tests = []
     for name in columns:
-        cell = empty_to_null(F.col(f"`{name}`"))
-        tests.append((F.bool_and(_as_number(cell).isNotNull() | cell.isNull())
-                      & F.bool_or(cell.isNotNull())).alias(name))
+        cell = F.col(f"`{name}`")
+        if isinstance(rows.schema[name].dataType, T.ArrayType):
+            fits, fills = F.forall(cell, _fits), F.exists(cell, _fills)
+        else:
+            fits, fills = _fits(cell), _fills(cell)
+        tests.append((F.bool_and(fits) & F.bool_or(fills)).alias(name))
+    if not tests:
+        return []
     found = rows.agg(*tests).first()
     return [name for name in columns if found[name]]
 
@@ -47,23 +53,32 @@ def normalize_cells(
     column with a parser is left to the parser.
     """
     parsers = dict(parsers or {})
-    text = [f.name for f in rows.schema
-            if isinstance(f.dataType, T.StringType) and f.name not in parsers]
+    text = [f.name for f in rows.schema if f.name not in parsers and _holds_text(f.dataType)]
     if numeric is None:
         numeric = numeric_text_columns(rows, text)
     cells = []
     for column in rows.schema:
         cell = F.col(f"`{column.name}`")
-        if column.name not in parsers:
-            if column.name in text:
-                cell = empty_to_null(cell)
-                cell = _as_number(cell) if column.name in numeric else cell
-            elif column.dataType == T.ArrayType(T.StringType()):
-                cell = F.transform(cell, empty_to_null)
-                cell = F.transform(cell, _as_number) if column.name in numeric else cell
+        if column.name in text:
+            normal = _as_number if column.name in numeric else empty_to_null
+            array = isinstance(column.dataType, T.ArrayType)
+            cell = F.transform(cell, normal) if array else normal(cell)
         cells.append(cell.alias(column.name))
     return apply_parsers(rows.select(*cells), parsers)
 
 
+def _holds_text(kind: T.DataType) -> bool:
+    kind = kind.elementType if isinstance(kind, T.ArrayType) else kind
+    return isinstance(kind, T.StringType)
+
+
+def _fits(cell: Column) -> Column:
+    return _as_number(cell).isNotNull() | ~_fills(cell)
+
+
+def _fills(cell: Column) -> Column:
+    return cell.isNotNull() & (cell != "")
+
+
 def _as_number(cell: Column) -> Column:
     return F.when(cell.rlike(NUMBER_TEXT), parse_number_prefix(cell))

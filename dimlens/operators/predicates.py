@@ -49,6 +49,19 @@ class InlinedJoin:
     where: Mapping[str, Any]
 
 
+@dataclass(frozen=True)
+class Bounds:
+    """Lowest and highest value a column can take, both included; None where it is open."""
+
+    low: str | None = None
+    high: str | None = None
+
+    def within(self, other: Bounds) -> Bounds:
+        lows = [b for b in (self.low, other.low) if b is not None]
+        highs = [b for b in (self.high, other.high) if b is not None]
+        return Bounds(max(lows, default=None), min(highs, default=None))
+
+
 @dataclass
 class Condition:
     """A compiled condition: id joins that must hold, joins that only mark rows, a filter."""
@@ -125,6 +138,31 @@ def compile_condition(
     return _Compiler(rows, joins or {}, set(id_columns)).compile(where or {})
 
 
+def column_bounds(
+    where: Mapping[str, Any] | None, joins: Mapping[str, IdJoin | InlinedJoin] | None = None
+) -> dict[str, Bounds]:
+    """Bounds that a condition puts on columns compared with text, or text that is a number."""
+    found: dict[str, Bounds] = {}
+    for name, operand in _conjuncts(where or {}, joins or {}):
+        tests = operand if isinstance(operand, Mapping) else {"$eq": operand}
+        for test, value in tests.items():
+            bounds = _bounds(test, value)
+            if bounds and name not in COMBINERS:
+                found[name] = found.get(name, Bounds()).within(bounds)
+    return found
+
+
+def _bounds(test: str, value) -> Bounds | None:
+    values = list(value) if test == "$in" and isinstance(value, (list, tuple, set)) else [value]
+    if not values or not all(isinstance(v, str) and v and v[0] != "$" for v in values):
+        return None
+    if test in ("$eq", "$in"):
+        return Bounds(min(values), max(values))
+    if test in ("$gt", "$gte"):
+        return Bounds(low=value)
+    return Bounds(high=value) if test in ("$lt", "$lte") else None
+
+
 def predicate(where: Mapping[str, Any], rows: DataFrame) -> Column:
     """A condition without joins as one boolean column that is never null."""
     compiler = _Compiler(rows, {}, set(), inline_lists=True)
@@ -265,7 +303,7 @@ class _Compiler:
             return self.mark(self.list_join(cell.name, values))
         members = _members(cell, values)
         listed = cell.column.isin(*members) if members else F.lit(False)
-        return listed | cell.column.isNull() if "" in values else listed
+        return listed | _empty(cell) if "" in values else listed
 
     def compare_array(self, cell: _Cell, name: str, value) -> Column:
         if not isinstance(cell.type, T.ArrayType):
@@ -330,9 +368,14 @@ def _numeric(cell: _Cell) -> Column:
     return cell.column.cast("int") if isinstance(cell.type, T.BooleanType) else cell.column
 
 
+def _empty(cell: _Cell) -> Column:
+    missing = cell.column.isNull()
+    return missing | (cell.column == "") if _is_text(cell.type) else missing
+
+
 def _equal(cell: _Cell, value) -> Column:
     if value is None or value == "":
-        return cell.column.isNull()
+        return _empty(cell)
     if isinstance(cell.type, T.NullType):
         return F.lit(False)
     if isinstance(value, bool) and isinstance(cell.type, T.BooleanType):

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dimlens.functions.cells import empty_to_null
+from dimlens.functions.keys import membership_column
 from dimlens.model import CONCEPTS, ENTITIES, Dataset, Resource
 from dimlens.operators.availability import schema_view
 from dimlens.operators.merge import TRANSLATION, merge
@@ -17,13 +19,13 @@ from dimlens.operators.order import order_rows
 from dimlens.operators.predicates import (
     IdJoin,
     InlinedJoin,
+    column_bounds,
     compile_condition,
     join_references,
     referenced_fields,
     semi_join,
 )
 from dimlens.operators.rename import key_renames
-from dimlens.functions.keys import membership_column
 from dimlens.plans import checks
 from dimlens.plans.statistics import value_statistics
 
@@ -53,8 +55,10 @@ def query(
         return order_rows(rows.select(*dict.fromkeys(["key", "value", *value])), order_by)
     if strict:
         checks.check_names(dataset, collection, key, value)
-    rows = _merged(dataset, key, value, referenced_fields(where), language)
-    rows = compile_condition(where, rows, _joins(dataset, where, join), key).apply(rows)
+    joins = _joins(dataset, where, join)
+    fields = referenced_fields(where)
+    rows = _merged(dataset, key, value, fields, language, column_bounds(where, joins))
+    rows = compile_condition(where, rows, joins, key).apply(rows)
     for name in key:
         if dataset.type_of(name) == "entity_set":
             rows = semi_join(rows, IdJoin(name, members(dataset, name)))
@@ -108,7 +112,7 @@ def _joins(dataset, where, join) -> dict[str, IdJoin | InlinedJoin]:
     return targets
 
 
-def _merged(dataset, key, value, fields, language) -> DataFrame:
+def _merged(dataset, key, value, fields, language, bounds) -> DataFrame:
     """All resources of the key and values as one table, before any filter."""
     hidden = [f for f in fields if f not in key and f not in value]
     resources = dataset.resolve(key, value + hidden)
@@ -118,14 +122,16 @@ def _merged(dataset, key, value, fields, language) -> DataFrame:
     wanted = {*value, *hidden}
     frames, orders = [], []
     for resource in resources:
-        frames.append(_prepared(dataset, resource, key, wanted, language))
+        frames.append(_prepared(dataset, resource, key, wanted, language, bounds))
         orders.append(resource.row_order)
     return merge(frames, key, row_orders=orders)
 
 
-def _prepared(dataset, resource: Resource, key, wanted, language) -> DataFrame:
+def _prepared(dataset, resource: Resource, key, wanted, language, bounds) -> DataFrame:
     """One resource: translated, pruned to what the query uses, keyed by the query's names."""
-    rows = resource.frame
+    renames = key_renames(dataset, key, resource.key)
+    names = {renames.get(part, part): part for part in resource.key}
+    rows = resource.rows({names[k]: b for k, b in bounds.items() if k in names})
     translation = resource.translation(language) if language else None
     if translation is not None:
         rows = merge(
@@ -134,7 +140,6 @@ def _prepared(dataset, resource: Resource, key, wanted, language) -> DataFrame:
             TRANSLATION,
             [resource.row_order, None] if resource.row_order is not None else None,
         )
-    renames = key_renames(dataset, key, resource.key)
     taken = set(renames.values()) - set(resource.key)
     kept = [c for c in rows.columns if c in resource.key or c in wanted and c not in taken]
     rows = dataset.frame(resource, rows.select(*[F.col(f"`{c}`") for c in kept]))
@@ -143,7 +148,9 @@ def _prepared(dataset, resource: Resource, key, wanted, language) -> DataFrame:
 
 def _column(dataset, rows, name) -> Column:
     if name in rows.columns:
-        return F.col(f"`{name}`")
+        cell = F.col(f"`{name}`")
+        text = isinstance(rows.schema[name].dataType, T.StringType)
+        return empty_to_null(cell).alias(name) if text else cell
     return F.lit(None).cast(dataset.data_type(name)).alias(name)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dimlens.model import COLLECTIONS, CONCEPTS, Dataset
-from dimlens.operators.availability import by_key_names
+from dimlens.operators.availability import Memberships, by_key_names
 from dimlens.operators.merge import merge
 from dimlens.operators.rename import key_renames
 
@@ -29,7 +29,8 @@ def value_statistics(
         if resource.kind in kinds and resource.kind != CONCEPTS:
             domains = tuple(sorted(dataset.domain_of(part) for part in resource.key))
             groups.setdefault(domains, []).append(resource)
-    parts = [_group_statistics(dataset, key, found) for key, found in groups.items()]
+    members = Memberships(dataset)
+    parts = [_group_statistics(members, key, found) for key, found in groups.items()]
     parts = [p for p in parts if p is not None]
     if not parts:
         columns = ", ".join(f"`{s}` double" for s in statistics)
@@ -43,7 +44,8 @@ def value_statistics(
     return rows.select("key", "value", *[cells[s].alias(s) for s in statistics])
 
 
-def _group_statistics(dataset: Dataset, key, resources) -> DataFrame | None:
+def _group_statistics(members: Memberships, key, resources) -> DataFrame | None:
+    dataset = members.dataset
     frames, orders = [], []
     for resource in resources:
         rows = dataset.frame(resource)
@@ -68,7 +70,7 @@ def _group_statistics(dataset: Dataset, key, resources) -> DataFrame | None:
                   f"__filled{place}": cell.isNotNull().cast("bigint")}
         combine |= {f"__low{place}": F.min, f"__high{place}": F.max, f"__total{place}": F.sum,
                     f"__filled{place}": F.sum}
-    keyed = by_key_names(dataset, rows.select(*key, *[c.alias(n) for n, c in cells.items()]),
+    keyed = by_key_names(members, rows.select(*key, *[c.alias(n) for n, c in cells.items()]),
                          key, combine)
     entries = F.array(*[
         F.struct(

@@ -4,15 +4,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
-def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
+def local_session(
+    cores: int | str = "*",
+    partitions: int = 8,
+    memory: str = "8g",
+    checkpoint_dir: str | None = None,
+) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("dimlens")
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -21,8 +30,10 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
-        .getOrCreate()
     )
+    if checkpoint_dir:
+        builder = builder.config(CHECKPOINT_DIR, checkpoint_dir)
+    return builder.getOrCreate()
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
@@ -31,9 +42,18 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     The cluster names it in ``spark.checkpoint.dir``. Only a local session, whose executors see
     the same disk, falls back to a temporary folder.
     """
-    base = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
+    base = spark.conf.get(CHECKPOINT_DIR, None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder shared by the cluster")
         base = tempfile.mkdtemp(prefix="dimlens-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+def small_table(spark: SparkSession, schema: T.StructType, rows: Sequence[tuple]) -> DataFrame:
+    """Metadata as a DataFrame that lives in the plan: filtering it starts no job."""
+    arrow = to_arrow_schema(schema)
+    columns = [
+        pa.array([row[i] for row in rows], type=field.type) for i, field in enumerate(arrow)
+    ]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), schema)

@@ -90,7 +90,7 @@ def open_folder(
                 )
                 for language in languages
             },
-            None if unique_keys else row_number_in_file(),
+            row_order=None if unique_keys else row_number_in_file(),
         ))
     index = [
         IndexEntry(row.kind, tuple(row.key), row.value, tuple(row.resources))

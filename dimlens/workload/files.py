@@ -70,7 +70,7 @@ SELECT customer, time, order_cents, CAST(NULL AS VARCHAR) AS note FROM by_custom
 """)
 def result_as_json(spark, sf_dir):
     path = shared_folder(spark, "json")
-    rows = tabular(customer_orders(spark, sf_dir), ["customer", "time"], ["order_cents", "note"])
+    rows = tabular(customer_orders(spark, sf_dir, {}), ["customer", "time"], ["order_cents", "note"])
     write_json(rows, path)
     return spark.read.schema(rows.schema).json(path)
 

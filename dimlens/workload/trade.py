@@ -8,10 +8,17 @@ of all rows is spread over the map side, and the join moves sums instead of rows
 
 from __future__ import annotations
 
+import functools
+import re
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dimlens.model import Dataset, Resource
+from dimlens.operators.predicates import Bounds
+from dimlens.session import small_table
 
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 TRANSLATED = "nl-nl"
@@ -36,7 +43,9 @@ CONCEPTS = [
 ]
 
 
+@functools.lru_cache(maxsize=64)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the given tables; its footer is read once."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -48,6 +57,19 @@ def cents(column: str):
     return F.round(F.col(column) * 100).cast("bigint")
 
 
+def dated(rows: DataFrame, column: str, bounds: Mapping[str, Bounds]) -> DataFrame:
+    """Rows of the years that the bounds on ``time`` allow, as a range on the date itself.
+
+    The range reaches the scan, where a condition on the year computed from the date could not.
+    """
+    time = bounds.get("time", Bounds())
+    for text, compare, shift in ((time.low, ">=", 0), (time.high, "<", 1)):
+        if text and re.fullmatch(r"[12]\d{3}", text):
+            rows = rows.filter(f"{column} {compare} timestamp '{int(text) + shift}-01-01 00:00:00'")
+    return rows
+
+
+@functools.lru_cache(maxsize=8)
 def countries(spark, sf_dir) -> DataFrame:
     """``(n_nationkey, country, world_region)``."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
@@ -56,9 +78,10 @@ def countries(spark, sf_dir) -> DataFrame:
     )
 
 
-def customer_years(spark, sf_dir, condition=None) -> DataFrame:
+def customer_years(spark, sf_dir, bounds, condition=None) -> DataFrame:
     """``(o_custkey, time, order_count, order_cents)`` of orders up to the year 2000."""
-    orders = table(spark, sf_dir, "orders").filter("o_orderdate < timestamp '2001-01-01 00:00:00'")
+    upto = bounds.get("time", Bounds()).within(Bounds(high="2000"))
+    orders = dated(table(spark, sf_dir, "orders"), "o_orderdate", {"time": upto})
     if condition is not None:
         orders = orders.filter(condition)
     return orders.groupBy("o_custkey", year("o_orderdate")).agg(
@@ -66,65 +89,59 @@ def customer_years(spark, sf_dir, condition=None) -> DataFrame:
     )
 
 
-def nation_years(spark, sf_dir, by=(), condition=None) -> DataFrame:
+def nation_years(spark, sf_dir, bounds, by=(), condition=None) -> DataFrame:
     """Order counts and values per nation, year and the customer columns ``by``."""
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", *by)
     return (
-        customer_years(spark, sf_dir, condition)
+        customer_years(spark, sf_dir, bounds, condition)
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .groupBy("c_nationkey", *by, "time")
         .agg(F.sum("order_count").alias("order_count"), F.sum("order_cents").alias("order_cents"))
+        .join(countries(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
     )
 
 
-def by_country(spark, sf_dir, rows: DataFrame) -> DataFrame:
-    return rows.join(countries(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
+def orders_by_country(spark, sf_dir, bounds) -> DataFrame:
+    return nation_years(spark, sf_dir, bounds).select("country", "time", "order_count")
 
 
-def orders_by_country(spark, sf_dir) -> DataFrame:
-    rows = by_country(spark, sf_dir, nation_years(spark, sf_dir))
-    return rows.select("country", "time", "order_count")
-
-
-def orders_by_region(spark, sf_dir) -> DataFrame:
-    rows = by_country(spark, sf_dir, nation_years(spark, sf_dir))
+def orders_by_region(spark, sf_dir, bounds) -> DataFrame:
+    rows = nation_years(spark, sf_dir, bounds)
     return rows.groupBy("world_region", "time").agg(F.sum("order_count").alias("order_count"))
 
 
-def corrections(spark, sf_dir) -> DataFrame:
+def corrections(spark, sf_dir, bounds) -> DataFrame:
     """A later file: in one region, only fulfilled orders count."""
-    rows = by_country(spark, sf_dir, nation_years(spark, sf_dir, condition="o_orderstatus = 'F'"))
+    rows = nation_years(spark, sf_dir, bounds, condition="o_orderstatus = 'F'")
     return rows.filter(F.col("world_region") == CORRECTED_REGION).select(
         "country", "time", "order_count"
     )
 
 
-def orders_by_segment(spark, sf_dir) -> DataFrame:
-    rows = nation_years(spark, sf_dir, by=["c_mktsegment"])
-    return by_country(spark, sf_dir, rows).select(
+def orders_by_segment(spark, sf_dir, bounds) -> DataFrame:
+    return nation_years(spark, sf_dir, bounds, by=["c_mktsegment"]).select(
         "country", F.col("c_mktsegment").alias("segment"), "time", "order_count", "order_cents"
     )
 
 
-def shipments_by_country(spark, sf_dir) -> DataFrame:
+def shipments_by_country(spark, sf_dir, bounds) -> DataFrame:
     """Shipped quantity from 1997 on."""
-    lines = table(spark, sf_dir, "lineitem").filter(
-        "l_shipdate >= timestamp '1997-01-01 00:00:00'"
-    )
+    since = bounds.get("time", Bounds()).within(Bounds(low="1997"))
+    lines = dated(table(spark, sf_dir, "lineitem"), "l_shipdate", {"time": since})
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    shipped = lines.groupBy("l_suppkey", year("l_shipdate")).agg(
-        F.sum("l_quantity").cast("bigint").alias("shipped_qty")
-    )
-    rows = (
-        shipped.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-        .groupBy(F.col("s_nationkey").alias("c_nationkey"), "time")
+    return (
+        lines.groupBy("l_suppkey", year("l_shipdate"))
+        .agg(F.sum("l_quantity").cast("bigint").alias("shipped_qty"))
+        .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        .groupBy("s_nationkey", "time")
         .agg(F.sum("shipped_qty").alias("shipped_qty"))
+        .join(countries(spark, sf_dir), F.col("s_nationkey") == F.col("n_nationkey"))
+        .select("country", "time", "shipped_qty")
     )
-    return by_country(spark, sf_dir, rows).select("country", "time", "shipped_qty")
 
 
-def customer_orders(spark, sf_dir) -> DataFrame:
-    return customer_years(spark, sf_dir).withColumnRenamed("o_custkey", "customer")
+def customer_orders(spark, sf_dir, bounds) -> DataFrame:
+    return customer_years(spark, sf_dir, bounds).withColumnRenamed("o_custkey", "customer")
 
 
 def country_entities(spark, sf_dir) -> DataFrame:
@@ -160,36 +177,43 @@ def country_translations(spark, sf_dir) -> DataFrame:
 
 
 def concept_rows(spark, rows=None) -> DataFrame:
-    return spark.createDataFrame(
-        rows or CONCEPTS, "concept string, concept_type string, domain string"
-    )
+    names = ("concept", "concept_type", "domain")
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    return small_table(spark, schema, rows or CONCEPTS)
 
 
-DATAPOINTS = {
-    "orders_by_country": (("country", "time"), orders_by_country),
-    "shipments_by_country": (("country", "time"), shipments_by_country),
-    "orders_by_region": (("world_region", "time"), orders_by_region),
-    "corrections": (("country", "time"), corrections),
-    "orders_by_segment": (("country", "segment", "time"), orders_by_segment),
-    "customer_orders": (("customer", "time"), customer_orders),
-}
 ENTITIES = {
-    "country_entities": (("country",), country_entities),
-    "region_entities": (("world_region",), region_entities),
-    "customer_entities": (("customer",), customer_entities),
+    "country_entities": ("country", country_entities, ("name", "world_region", "is--country")),
+    "region_entities": ("world_region", region_entities, ("name", "is--world_region")),
+    "customer_entities": ("customer", customer_entities, (
+        "name", "home", "balance", *[f"is--{s.lower()}" for s in SEGMENTS])),
+}
+DATAPOINTS = {
+    "orders_by_country": (("country", "time"), orders_by_country, ("order_count",)),
+    "shipments_by_country": (("country", "time"), shipments_by_country, ("shipped_qty",)),
+    "orders_by_region": (("world_region", "time"), orders_by_region, ("order_count",)),
+    "corrections": (("country", "time"), corrections, ("order_count",)),
+    "orders_by_segment": (("country", "segment", "time"), orders_by_segment,
+                          ("order_count", "order_cents")),
+    "customer_orders": (("customer", "time"), customer_orders, ("order_count", "order_cents")),
 }
 
 
 def trade_dataset(spark: SparkSession, sf_dir: str, *names: str) -> Dataset:
-    """The dataset with the named resources, or with all of them."""
+    """The dataset with the named resources, or with all of them; each is built when used."""
     resources = [Resource("concepts", ("concept",), concept_rows(spark))]
-    for name, (key, build) in (ENTITIES | DATAPOINTS).items():
-        if not names or name in names:
-            translations = {}
-            if name == "country_entities":
-                translations[TRANSLATED] = country_translations(spark, sf_dir)
-            resources.append(Resource(name, key, build(spark, sf_dir), translations))
-    return Dataset(spark, resources, name="trade", disjoint=True)
+    for name, (key, build, columns) in ENTITIES.items():
+        build = functools.partial(build, spark, sf_dir)
+        translations = {}
+        if name == "country_entities":
+            translations[TRANSLATED] = functools.partial(country_translations, spark, sf_dir)
+        resources.append(Resource(name, (key,), build, translations, columns))
+    for name, (key, build, columns) in DATAPOINTS.items():
+        build = functools.partial(build, spark, sf_dir)
+        source = functools.partial(build, {})
+        resources.append(Resource(name, key, source, columns=columns, bounded=build))
+    chosen = [r for r in resources if not names or r.name in ("concepts", *names)]
+    return Dataset(spark, chosen, name="trade", disjoint=True)
 
 
 # The same resources in SQL, for the comparison queries.
