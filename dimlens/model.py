@@ -34,7 +34,8 @@ class Resource:
 
     ``columns`` names the value columns of a resource that should not be opened to find them.
     ``row_order`` orders the rows of one key value inside the resource, so that the last one
-    wins a merge. Leave it out where the key is unique. ``bounded`` opens the resource for keys
+    wins a merge. ``unique`` says that keys are complete and occur once, also in translations,
+    which makes merging cheaper. ``bounded`` opens the resource for keys
     inside the given bounds: it lets a resource derived from larger tables skip parts of them,
     and may return rows outside the bounds.
     """
@@ -45,6 +46,7 @@ class Resource:
     translations: Mapping[str, DataFrame | Callable[[], DataFrame]] = field(default_factory=dict)
     columns: tuple[str, ...] | None = None
     row_order: Column | None = None
+    unique: bool = False
     bounded: Callable[[Mapping[str, Bounds]], DataFrame] | None = None
 
     def __post_init__(self):

@@ -102,37 +102,33 @@ class Memberships:
 def by_key_names(
     members: Memberships, rows: DataFrame, key: Sequence[str], combine: Mapping[str, object]
 ) -> DataFrame:
-    """Aggregate rows per combination of key names: ``key array<string>`` and the aggregates.
+    """Rows per combination of key names: ``key array<string>`` and aggregates to combine on.
 
-    Every key part stands for its own name, its domain and the sets its ids belong to. Parts
-    without sets need no ids and drop out first; the others are replaced one at a time, so that
-    every join meets rows that are aggregated already.
+    Every key part stands for its own name, its domain and the sets its ids belong to. Rows are
+    aggregated per combination of ids first; parts without sets need no ids and drop out there.
+    The others are replaced by names one at a time, aggregating in between, so that every join
+    meets rows that are combined already. A key may come more than once: the caller aggregates.
     """
     dataset = members.dataset
-    fixed, open_parts = {}, []
-    for part in key:
-        names = _names_without_members(dataset, part)
-        if _sets(dataset, part):
-            open_parts.append(part)
-        else:
-            fixed[part] = F.array(*map(F.lit, names))
-    # The aggregate collapses to one row per id combination before anything is exploded.
+    open_parts = [part for part in key if _sets(dataset, part)]
+    no_names = F.array().cast(_NAMES)
     rows = _combine(rows, open_parts, combine)
-    for part in open_parts:
+    for place, part in enumerate(open_parts):
         sets = members.of(dataset.domain_of(part))
         names = F.array(*map(F.lit, _names_without_members(dataset, part)))
-        rows = (
-            rows.join(sets, F.col(f"`{part}`").cast("string") == F.col("__id"), "left")
-            .withColumn(
-                "__name",
-                F.explode(F.array_union(names, F.coalesce("__sets", F.array().cast("array<string>")))),
-            )
-            .drop(part, "__id", "__sets")
-            .withColumnRenamed("__name", part)
+        left, right = F.col(f"`{part}`"), F.col("__id")
+        if rows.schema[part].dataType != sets.schema["__id"].dataType:
+            left, right = left.cast("string"), right.cast("string")
+        rows = rows.join(sets, left == right, "left").select(
+            *[F.col(f"`{c}`") for c in rows.columns if c != part],
+            F.explode(F.array_union(names, F.coalesce("__sets", no_names))).alias(part),
         )
-        rows = _combine(rows, open_parts, combine)
-    for part, names in fixed.items():
-        rows = rows.withColumn(part, F.explode(names))
+        if place < len(open_parts) - 1:
+            rows = _combine(rows, open_parts, combine)
+    for part in key:
+        if part not in open_parts:
+            names = [F.lit(name) for name in _names_without_members(dataset, part)]
+            rows = rows.withColumn(part, F.explode(F.array(*names)) if names[1:] else names[0])
     named = F.array_sort(F.array(*[F.col(f"`{p}`") for p in key]))
     return rows.filter(F.size(F.array_distinct(named)) == len(key)).select(
         named.alias("key"), *combine
@@ -160,7 +156,7 @@ def membership(dataset: Dataset, domain: str) -> DataFrame:
         for flag, name in flags.items()
         if flag in entities.columns
     ]))
-    return entities.select(F.col(domain).cast("string").alias("id"), found.alias("sets"))
+    return entities.select(F.col(f"`{domain}`").alias("id"), found.alias("sets"))
 
 
 def _combine(rows: DataFrame, parts: Sequence[str], combine: Mapping[str, object]) -> DataFrame:

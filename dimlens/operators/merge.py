@@ -20,6 +20,7 @@ def merge(
     key: Sequence[str],
     mode: str = OVERWRITE,
     row_orders: Sequence[Column | None] | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Full outer merge of ``frames`` on ``key``; per column the last frame that has it wins.
 
@@ -28,10 +29,15 @@ def merge(
     returned untouched; two or more also collapse the rows of a key.
 
     The merge is a union and one aggregation: each frame shuffles once, combined before the
-    shuffle, however many frames there are, and a filter on the key reaches every scan.
+    shuffle, however many frames there are, and a filter on the key reaches every scan. With
+    ``unique`` keys, complete and once per frame, there is nothing to combine, and two frames
+    are joined instead, which takes about half the time. A third frame would shuffle the result
+    of the first join again, so three or more are always aggregated.
     """
     if len(frames) == 1:
         return frames[0]
+    if unique and len(frames) == 2 and mode != STRICT:
+        return _joined(*_align(frames), key, mode)
     tagged, values = _tag(frames, key, row_orders)
     ordered = ROW in tagged.columns
     cells = []
@@ -52,6 +58,25 @@ def merge(
     return tagged.groupBy(*key).agg(*cells)
 
 
+def _joined(older: DataFrame, newer: DataFrame, key: Sequence[str], mode: str) -> DataFrame:
+    """Full outer join of two frames with unique keys."""
+    shared = [c for c in newer.columns if c in older.columns and c not in key]
+    renamed = {c: f"__new_{c}" for c in shared}
+    joined = older.join(
+        newer.withColumnsRenamed(renamed).withColumn(RESOURCE, F.lit(1)), list(key), "full_outer"
+    )
+    cells = {}
+    for name in dict.fromkeys([c for c in older.columns + newer.columns if c not in key]):
+        cells[name] = F.col(f"`{name}`")
+        if name in shared:
+            cell = F.col(f"`{renamed[name]}`")
+            wins = F.col(RESOURCE).isNotNull()
+            if mode == TRANSLATION:
+                wins = filled(cell, newer.schema[name].dataType)
+            cells[name] = F.when(wins, cell).otherwise(cells[name])
+    return joined.select(*key, *[cell.alias(name) for name, cell in cells.items()])
+
+
 def conflicts(frames: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:
     """Keys on which frames disagree: the key and the names of the columns concerned."""
     tagged, values = _tag(frames, key, None)

@@ -35,14 +35,21 @@ def order_terms(order_by: str | Sequence[str | Mapping] | None) -> list[tuple[st
     return terms
 
 
-def order_rows(rows: DataFrame, order_by) -> DataFrame:
-    """Sort by the selected columns of ``order_by``: nulls first ascending, last descending."""
-    columns = [
+def order_rows(rows: DataFrame, order_by, ties: Sequence[str] = ()) -> DataFrame:
+    """Sort by the selected columns of ``order_by``: nulls first ascending, last descending.
+
+    Rows that compare equal follow the columns ``ties``. That makes the order definite, and it
+    lets the range partitioning of the sort split a value that most rows share.
+    """
+    terms = [(name, up) for name, up in order_terms(order_by) if name in rows.columns]
+    if not terms:
+        return rows
+    named = {name for name, _ in terms}
+    terms += [(name, True) for name in ties if name not in named]
+    return rows.orderBy(*[
         F.col(f"`{name}`").asc_nulls_first() if up else F.col(f"`{name}`").desc_nulls_last()
-        for name, up in order_terms(order_by)
-        if name in rows.columns
-    ]
-    return rows.orderBy(*columns) if columns else rows
+        for name, up in terms
+    ])
 
 
 def guard_rows(rows: DataFrame, limit: int = ROW_GUARD) -> DataFrame:

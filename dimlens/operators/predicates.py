@@ -152,6 +152,28 @@ def column_bounds(
     return found
 
 
+def plain_conjuncts(
+    where: Mapping[str, Any] | None,
+    joins: Mapping[str, IdJoin | InlinedJoin] | None,
+    columns: Iterable[str],
+) -> dict[str, Any]:
+    """The part of a condition that must hold and looks at one of ``columns`` alone."""
+    parts = [
+        {name: operand}
+        for name, operand in _conjuncts(where or {}, joins or {})
+        if name in set(columns) and not (isinstance(operand, str) and operand in (joins or {}))
+    ]
+    return {"$and": parts}
+
+
+def requires_ids(where, joins) -> bool:
+    """Whether rows outside the ids of some join are dropped for certain."""
+    return any(
+        isinstance(operand, str) and isinstance((joins or {}).get(operand), IdJoin)
+        for _, operand in _conjuncts(where or {}, joins or {})
+    )
+
+
 def _bounds(test: str, value) -> Bounds | None:
     values = list(value) if test == "$in" and isinstance(value, (list, tuple, set)) else [value]
     if not values or not all(isinstance(v, str) and v and v[0] != "$" for v in values):

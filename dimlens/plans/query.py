@@ -22,7 +22,9 @@ from dimlens.operators.predicates import (
     column_bounds,
     compile_condition,
     join_references,
+    plain_conjuncts,
     referenced_fields,
+    requires_ids,
     semi_join,
 )
 from dimlens.operators.rename import key_renames
@@ -56,15 +58,14 @@ def query(
     if strict:
         checks.check_names(dataset, collection, key, value)
     joins = _joins(dataset, where, join)
-    fields = referenced_fields(where)
-    rows = _merged(dataset, key, value, fields, language, column_bounds(where, joins))
+    rows = _merged(dataset, key, value, where, joins, language)
     rows = compile_condition(where, rows, joins, key).apply(rows)
     for name in key:
         if dataset.type_of(name) == "entity_set":
             rows = semi_join(rows, IdJoin(name, members(dataset, name)))
     selected = list(dict.fromkeys(key + value))
     rows = rows.select(*[_column(dataset, rows, name) for name in selected])
-    return order_rows(rows, order_by)
+    return order_rows(rows, order_by, ties=key)
 
 
 def read(
@@ -112,19 +113,23 @@ def _joins(dataset, where, join) -> dict[str, IdJoin | InlinedJoin]:
     return targets
 
 
-def _merged(dataset, key, value, fields, language, bounds) -> DataFrame:
-    """All resources of the key and values as one table, before any filter."""
-    hidden = [f for f in fields if f not in key and f not in value]
+def _merged(dataset, key, value, where, joins, language) -> DataFrame:
+    """All resources of the key and values as one table, before any filter on values."""
+    hidden = [f for f in referenced_fields(where) if f not in key and f not in value]
     resources = dataset.resolve(key, value + hidden)
     if not resources:
         schema = T.StructType([T.StructField(k, T.StringType()) for k in key])
         return dataset.spark.createDataFrame([], schema)
-    wanted = {*value, *hidden}
-    frames, orders = [], []
-    for resource in resources:
-        frames.append(_prepared(dataset, resource, key, wanted, language, bounds))
-        orders.append(resource.row_order)
-    return merge(frames, key, row_orders=orders)
+    wanted, bounds = {*value, *hidden}, column_bounds(where, joins)
+    frames = [_prepared(dataset, r, key, wanted, language, bounds) for r in resources]
+    # A join is not passed by filters on its key, so these are applied below it here. A join
+    # with ids stays above an aggregation, and Spark moves it below when the ids are small.
+    limited = requires_ids(where, joins) or any(dataset.type_of(k) == "entity_set" for k in key)
+    unique = len(resources) == 2 and all(r.unique for r in resources) and not limited
+    if unique:
+        part = plain_conjuncts(where, joins, key)
+        frames = [compile_condition(part, rows, {}, key).apply(rows) for rows in frames]
+    return merge(frames, key, row_orders=[r.row_order for r in resources], unique=unique)
 
 
 def _prepared(dataset, resource: Resource, key, wanted, language, bounds) -> DataFrame:
@@ -139,6 +144,7 @@ def _prepared(dataset, resource: Resource, key, wanted, language, bounds) -> Dat
             resource.key,
             TRANSLATION,
             [resource.row_order, None] if resource.row_order is not None else None,
+            resource.unique,
         )
     taken = set(renames.values()) - set(resource.key)
     kept = [c for c in rows.columns if c in resource.key or c in wanted and c not in taken]

@@ -72,6 +72,7 @@ def _group_statistics(members: Memberships, key, resources) -> DataFrame | None:
                     f"__filled{place}": F.sum}
     keyed = by_key_names(members, rows.select(*key, *[c.alias(n) for n, c in cells.items()]),
                          key, combine)
+    keyed = keyed.groupBy("key").agg(*[f(F.col(n)).alias(n) for n, f in combine.items()])
     entries = F.array(*[
         F.struct(
             F.lit(name).alias("value"),

@@ -91,6 +91,7 @@ def open_folder(
                 for language in languages
             },
             row_order=None if unique_keys else row_number_in_file(),
+            unique=unique_keys,
         ))
     index = [
         IndexEntry(row.kind, tuple(row.key), row.value, tuple(row.resources))

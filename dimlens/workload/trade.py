@@ -207,11 +207,13 @@ def trade_dataset(spark: SparkSession, sf_dir: str, *names: str) -> Dataset:
         translations = {}
         if name == "country_entities":
             translations[TRANSLATED] = functools.partial(country_translations, spark, sf_dir)
-        resources.append(Resource(name, (key,), build, translations, columns))
+        resources.append(Resource(name, (key,), build, translations, columns, unique=True))
     for name, (key, build, columns) in DATAPOINTS.items():
         build = functools.partial(build, spark, sf_dir)
         source = functools.partial(build, {})
-        resources.append(Resource(name, key, source, columns=columns, bounded=build))
+        resources.append(
+            Resource(name, key, source, columns=columns, unique=True, bounded=build)
+        )
     chosen = [r for r in resources if not names or r.name in ("concepts", *names)]
     return Dataset(spark, chosen, name="trade", disjoint=True)
 

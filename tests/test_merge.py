@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from dimlens.operators.merge import STRICT, TRANSLATION, conflicts, last_rows, merge
+from dimlens import Dataset, Resource, query
+from dimlens.operators.merge import OVERWRITE, STRICT, TRANSLATION, conflicts, last_rows, merge
 from tests.company import explained, found
 
 
@@ -100,6 +101,10 @@ def test_equals_chained_full_joins(spark, seed):
     wanted = ["k", "j", *sorted({c for held in layouts for c in held})]
     merged = merge(frames, ["k", "j"])
     assert found(merged.select(*wanted)) == found(expected.select(*wanted))
+    for mode in (OVERWRITE, TRANSLATION):
+        for pair in (frames[:2], frames[1:]):
+            joined = merge(pair, ["k", "j"], mode, unique=True)
+            assert found(joined) == found(merge(pair, ["k", "j"], mode).select(*joined.columns))
 
 
 def test_one_shuffle_and_hash_aggregation(spark, tmp_path):
@@ -110,3 +115,24 @@ def test_one_shuffle_and_hash_aggregation(spark, tmp_path):
     plan = explained(merged, "simple")
     assert plan.count("Exchange") == 1 and "SortAggregate" not in plan
     assert plan.count("EqualTo(id,5)") == 3
+
+
+def test_unique_keys_are_joined_below_key_filters(spark, tmp_path):
+    schema = "place string, anno string, {} double"
+    for name in ("v", "w"):
+        rows = [(f"p{i}", f"20{i:02}", float(i)) for i in range(20)]
+        spark.createDataFrame(rows, schema.format(name)).write.parquet(str(tmp_path / name))
+    concepts = spark.createDataFrame(
+        [("place", "entity_domain"), ("anno", "time"), ("v", "measure"), ("w", "measure")],
+        "concept string, concept_type string")
+    dataset = Dataset(spark, [
+        Resource("concepts", ("concept",), concepts),
+        *[Resource(n, ("place", "anno"), spark.read.parquet(str(tmp_path / n)), unique=True)
+          for n in ("v", "w")],
+    ])
+    rows = query(dataset, "datapoints", ["place", "anno"], ["v", "w"],
+                 where={"anno": {"$gte": "2010"}, "w": {"$lt": 15}, "place": {"$ne": "p12"}})
+    assert [r[0] for r in found(rows)] == ["p10", "p11", "p13", "p14"]
+    plan = explained(rows)
+    assert plan.count("GreaterThanOrEqual(anno,2010)") == 2
+    assert "Aggregate" not in plan
