@@ -192,17 +192,14 @@ class Dataset:
         """
         source = resource.frame if source is None else source
         number = parse_number_prefix if resource.kind == CONCEPTS else parse_number
-        cells = []
+        parsers = {"measure": number, "boolean": parse_boolean}
+        typed = {}
         for column in source.schema:
-            cell = F.col(f"`{column.name}`")
-            if isinstance(column.dataType, T.StringType):
-                kind = None if column.name in resource.key else self.type_of(column.name)
-                if kind == "measure":
-                    cell = number(cell)
-                elif kind == "boolean":
-                    cell = parse_boolean(cell)
-            cells.append(cell.alias(column.name))
-        return source.select(*cells)
+            parser = parsers.get(self.type_of(column.name))
+            if parser and isinstance(column.dataType, T.StringType):
+                if column.name not in resource.key:
+                    typed[column.name] = parser(F.col(f"`{column.name}`"))
+        return source.withColumns(typed) if typed else source
 
     # --- availability -------------------------------------------------------------------
 

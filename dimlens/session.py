@@ -30,6 +30,7 @@ def local_session(
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if checkpoint_dir:
         builder = builder.config(CHECKPOINT_DIR, checkpoint_dir)
