@@ -88,17 +88,25 @@ def semi_join(rows: DataFrame, join: IdJoin) -> DataFrame:
     otherwise shuffles both sides, where adaptive execution splits a key that holds most rows.
     """
     ids = join.ids.toDF("__id")
-    return rows.join(ids, F.col(f"`{join.key}`") == F.col("__id"), "left_semi")
+    return rows.join(ids, _same_id(rows, join.key, ids, "__id"), "left_semi")
 
 
 def mark_join(rows: DataFrame, join: IdJoin, mark: str) -> DataFrame:
     """Rows with a boolean column that says whether the id is in the target."""
     ids = join.ids.toDF(f"{mark}_id").filter(F.col(f"{mark}_id").isNotNull()).distinct()
     ids = ids.withColumn(mark, F.lit(True))
-    joined = rows.join(ids, F.col(f"`{join.key}`") == F.col(f"{mark}_id"), "left")
+    joined = rows.join(ids, _same_id(rows, join.key, ids, f"{mark}_id"), "left")
     return joined.withColumn(mark, F.coalesce(F.col(mark), F.lit(False)))
 
 
+def _same_id(rows: DataFrame, key: str, ids: DataFrame, id_column: str) -> Column:
+    """Equality of two id columns; ids of different types are compared as text."""
+    left, right = F.col(f"`{key}`"), F.col(id_column)
+    if rows.schema[key].dataType != ids.schema[id_column].dataType:
+        return left.cast("string") == right.cast("string")
+    return left == right
+
+
 def referenced_fields(where: Mapping[str, Any] | None) -> list[str]:
     """Names of the columns a condition looks at, in order of appearance."""
     names: dict[str, None] = {}

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from dimlens.operators.merge import last_rows
 from dimlens.operators.versions import apply_changes
 
-BATCH_FOLDER = "batch"
+BATCH_FOLDER = "change_batch"
 
 
 def store_changes(

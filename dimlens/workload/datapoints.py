@@ -8,7 +8,7 @@ from dimlens.model import Dataset, Resource
 from dimlens.operators.order import guard_rows
 from dimlens.plans.query import query, read
 from dimlens.workload.registry import registered
-from dimlens.workload.trade import SQL, trade_dataset
+from dimlens.workload.trade import SQL, TRANSLATED, orders_by_segment, trade_dataset
 
 COUNTS = ("orders_by_country", "corrections", "country_entities")
 BOTH = (*COUNTS, "shipments_by_country")
@@ -263,3 +263,33 @@ def dp_custom_parsers(spark, sf_dir):
         parsers={"country": F.lower, "order_count": lambda cell: cell * 2},
         transformer=lambda rows: rows.withColumn("busy", F.col("order_count") > 120),
     )
+
+
+@registered(SQL + """,
+leaders AS (
+  SELECT country, time, arg_max(segment, (order_count, order_cents, segment)) AS top_segment
+  FROM by_segment GROUP BY ALL)
+SELECT country, time, CASE WHEN time >= '1998' AND top_segment <> 'BUILDING'
+       THEN lower(top_segment) ELSE top_segment END AS top_segment
+FROM leaders WHERE time <> '1995'
+UNION ALL SELECT country, time, lower(top_segment) FROM leading
+WHERE time = '1995' AND top_segment <> 'BUILDING'
+""")
+def dp_translated(spark, sf_dir):
+    """Text datapoints with later and partly empty translations, some of rows not in the base."""
+    place = F.struct("order_count", "order_cents", "segment")
+    leading = orders_by_segment(spark, sf_dir, {}).groupBy("country", "time").agg(
+        F.max_by("segment", place).alias("top_segment")
+    )
+    segment = F.col("top_segment")
+    translated = leading.filter("time >= '1998' OR time = '1995' AND top_segment <> 'BUILDING'")
+    translated = translated.withColumn(
+        "top_segment", F.when(segment == "BUILDING", "").otherwise(F.lower(segment))
+    )
+    base = leading.filter("time <> '1995'")
+    source = trade_dataset(spark, sf_dir, "country_entities")
+    dataset = Dataset(spark, [
+        *source.resources.values(),
+        Resource("leading", ("country", "time"), base, {TRANSLATED: translated}, unique=True),
+    ], disjoint=True)
+    return query(dataset, "datapoints", ["country", "time"], ["top_segment"], language=TRANSLATED)

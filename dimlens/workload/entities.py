@@ -144,6 +144,26 @@ def concept_classes(spark, sf_dir):
     return classes.agg(F.count("*").alias("concepts"))
 
 
+@registered("""
+SELECT event_type AS concept, CAST(count(*) AS DOUBLE) AS rank, sum(value) > 100 AS common
+FROM events GROUP BY event_type
+""")
+def concepts_retyped(spark, sf_dir):
+    """Columns of the concept table take the types of their own concepts."""
+    events = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("concept")).agg(
+        F.lit("measure").alias("concept_type"),
+        F.concat(F.count("*").cast("string"), F.lit(" rows")).alias("rank"),
+        F.when(F.sum("value") > 100, "TRUE").otherwise("false").alias("common"),
+    )
+    own = concept_rows(spark, [("rank", "measure", None), ("common", "boolean", None)])
+    dataset = Dataset(spark, [
+        Resource("own_concepts", ("concept",), own),
+        Resource("event_concepts", ("concept",), events),
+    ])
+    return query(dataset, "concepts", ["concept"], ["rank", "common"],
+                 where={"concept": {"$nin": ["rank", "common"]}})
+
+
 def _derived_concepts(spark, sf_dir) -> Dataset:
     """Two concept files found in the tables: segments and part types, then event types."""
     segment, kind, event = F.lower("c_mktsegment"), F.lower("p_type"), F.col("event_type")

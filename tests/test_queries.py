@@ -1,8 +1,10 @@
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from dimlens import QueryError, query, read
+from dimlens import Dataset, QueryError, Resource, query, read
 from dimlens.functions.keys import key_text
-from tests.company import SIZE_BY_YEAR, found, listed
+from tests.company import SIZE_BY_YEAR, found, listed, text_table
 
 
 def code(firms, key=("company", "anno"), **options):
@@ -225,3 +227,43 @@ def test_unknown_value_is_empty_when_not_strict(firms):
     assert found(rows) == []
     rows = query(firms, "entities", ["region"], ["full_name", "wealth"], strict=False)
     assert {r[2] for r in found(rows)} == {None}
+
+
+def test_pandas_udf_as_parser(firms):
+    @F.pandas_udf("string")
+    def shout(cells: pd.Series) -> pd.Series:
+        return cells.str.upper()
+
+    request = {"from": "entities", "select": {"key": ["region"], "value": ["full_name"]}}
+    assert found(read(firms, request, parsers={"region": shout}))[0][0] == "AMERICA"
+
+
+def test_ids_outside_the_entities(spark, firms):
+    """Datapoints of unknown entities answer the domain, not the sets."""
+    extra = Resource("more", ("company", "anno"), text_table(
+        spark, "company anno lines_of_code", [("ghost", "2015", "1")]))
+    dataset = Dataset(spark, [*firms.resources.values(), extra])
+    assert "ghost" in {r[0] for r in found(code(dataset))}
+    assert "ghost" not in {r[0] for r in found(code(dataset, ["english_speaking", "anno"]))}
+    join = {"$c": {"key": "company", "where": {"is--english_speaking": {"$nin": [False]}}}}
+    assert {r[0] for r in found(code(dataset, where={"company": "$c"}, join=join))} == {
+        "nimbus", "orchard"}
+
+
+def test_numeric_dimension_with_text_entities(spark):
+    concepts = spark.createDataFrame(
+        [("place", "entity_domain"), ("anno", "time"), ("v", "measure"), ("zone", "string")],
+        "concept string, concept_type string")
+    facts = spark.range(10).select(
+        F.col("id").alias("place"), (F.col("id") + 2000).cast("int").alias("anno"),
+        F.col("id").cast("string").alias("v"))
+    places = spark.range(10).select(
+        F.concat(F.lit(""), F.col("id").cast("string")).alias("place"),
+        F.when(F.col("id") < 4, "a").otherwise("b").alias("zone"))
+    dataset = Dataset(spark, [
+        Resource("concepts", ("concept",), concepts), Resource("places", ("place",), places),
+        Resource("facts", ("place", "anno"), facts, unique=True)])
+    rows = query(dataset, "datapoints", ["place", "anno"], ["v"],
+                 where={"$and": [{"place": "$p"}, {"anno": {"$gte": "2002"}}]},
+                 join={"$p": {"key": "place", "where": {"zone": "a"}}})
+    assert found(rows) == [(2, 2002, 2.0), (3, 2003, 3.0)]

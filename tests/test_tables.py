@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from dimlens.operators.documents import translate_properties
 from dimlens.operators.latest import latest_per_key
 from dimlens.operators.order import guard_rows, order_rows
-from dimlens.operators.predicates import IdJoin, semi_join
+from dimlens.operators.predicates import IdJoin, mark_join, semi_join
 from dimlens.operators.versions import apply_changes, version_diff
 from dimlens.streaming.changes import current_rows, store_changes
 from tests.company import explained, found, listed
@@ -67,7 +67,7 @@ def test_change_stream_survives_a_restart(spark, tmp_path):
         store_changes(stream, ["k"], ["seq"], path, str(tmp_path / "state")).awaitTermination()
     assert found(current_rows(base, path, ["k"], ["seq"], "gone")) == EXPECTED
     stored = spark.read.parquet(path)
-    assert stored.groupBy("batch", "k").count().filter("count > 1").count() == 0
+    assert stored.groupBy("change_batch", "k").count().filter("count > 1").count() == 0
 
 
 def test_document_translation(spark):
@@ -93,8 +93,6 @@ def test_guard_after_sort_is_a_top_k(spark):
 @pytest.mark.parametrize("how", ["left_semi", "mark"])
 def test_hot_key_is_split(spark, how):
     """With ids too large to broadcast, the key that holds most rows is split over tasks."""
-    from dimlens.operators.predicates import mark_join
-
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
