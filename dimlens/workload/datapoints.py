@@ -272,7 +272,7 @@ leaders AS (
 SELECT country, time, CASE WHEN time >= '1998' AND top_segment <> 'BUILDING'
        THEN lower(top_segment) ELSE top_segment END AS top_segment
 FROM leaders WHERE time <> '1995'
-UNION ALL SELECT country, time, lower(top_segment) FROM leading
+UNION ALL SELECT country, time, lower(top_segment) FROM leaders
 WHERE time = '1995' AND top_segment <> 'BUILDING'
 """)
 def dp_translated(spark, sf_dir):
