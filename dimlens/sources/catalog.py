@@ -66,29 +66,22 @@ def catalog_aliases(registry: DataFrame, default: Version) -> DataFrame:
     The bare repository name stands for the last commit listed for the main branch, not for its
     head.
     """
-    rows = _positions(registry)
-    head = rows.filter(F.col("pos") == 0)
-    main = (
-        rows.filter(F.col("branch") == MAIN_BRANCH)
-        .groupBy("repo", "branch")
-        .agg(F.max_by("hash", "pos").alias("hash"))
-    )
-    default_row = (
-        registry.filter(F.col("repo") == default.dataset)
-        .select("repo", F.lit(default.branch).alias("branch"), F.lit(default.commit).alias("hash"))
+    at = [F.col("repo"), F.col("branch")]
+    is_head = F.col("pos") == 0
+    is_main = (F.col("branch") == MAIN_BRANCH) & (F.col("pos") == F.col("commits") - 1)
+    names = F.array_compact(F.array(
+        F.when(is_main, F.col("repo")),
+        F.when(is_head, F.concat_ws("/", *at)),
+        F.when(is_head, F.concat_ws("/", *at, F.lit("HEAD"))),
+        F.concat_ws("/", *at, F.col("hash")),
+    ))
+    aliases = _positions(registry).select(F.explode(names).alias("alias"), "repo", "branch", "hash")
+    return aliases.unionByName(
+        registry.filter(F.col("repo") == default.dataset).select(
+            F.lit(DEFAULT_ALIAS).alias("alias"), "repo",
+            F.lit(default.branch).alias("branch"), F.lit(default.commit).alias("hash"),
+        )
     )
-    views = [
-        (default_row, F.lit(DEFAULT_ALIAS)),
-        (main, F.col("repo")),
-        (head, F.concat_ws("/", "repo", "branch")),
-        (head, F.concat_ws("/", "repo", "branch", F.lit("HEAD"))),
-        (rows, F.concat_ws("/", "repo", "branch", "hash")),
-    ]
-    aliases = None
-    for frame, alias in views:
-        view = frame.select(alias.alias("alias"), "repo", "branch", "hash")
-        aliases = view if aliases is None else aliases.unionByName(view)
-    return aliases
 
 
 def catalog_issues(catalog: DataFrame) -> DataFrame:
@@ -190,8 +183,10 @@ def registry_json(registry: Mapping, default: Version) -> str:
 
 
 def _positions(registry: DataFrame) -> DataFrame:
+    """One row per commit: its place in its branch, and how many the branch has."""
     return registry.select("repo", F.explode("branches").alias("branch", "hashes")).select(
-        "repo", "branch", F.posexplode("hashes").alias("pos", "hash")
+        "repo", "branch", F.size("hashes").alias("commits"),
+        F.posexplode("hashes").alias("pos", "hash"),
     )
 
 

@@ -51,3 +51,25 @@ def test_facts_are_combined_before_they_are_shuffled(spark):
     plan = explained(rows)
     assert "ReadSchema: struct<l_suppkey:bigint,l_quantity:double,l_shipdate:timestamp" in plan
     assert "partial_sum(l_quantity" in plan and "SortAggregate" not in plan
+
+
+def test_large_ids_stay_above_the_merge(spark):
+    """Without a broadcast the semi-join follows the merge, where a hot key can be split."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for name in names:
+        spark.conf.set(name, "-1")
+    try:
+        plan = explained(contract.queries()["dp_semi_join_property"](spark, SF_DIR), "simple")
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+    assert plan.index("LeftSemi") < plan.index("max_by") < plan.index("partial_max_by")
+    plan = explained(contract.queries()["dp_semi_join_property"](spark, SF_DIR), "simple")
+    assert plan.index("partial_max_by") < plan.index("LeftSemi")
+
+
+@pytest.mark.parametrize("name", list(contract.queries()))
+def test_no_cross_joins_or_python(spark, name):
+    plan = explained(contract.queries()[name](spark, SF_DIR), "simple")
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert "Python" not in plan and "Window" not in plan
