@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 
 from dimlens.functions.cells import empty_to_null, parse_number_prefix
 
-# Fixed value: text that is taken for a number; a sign is not part of it.
-NUMBER_TEXT = r"^\s*[0-9.,]+\s*$"
+# Fixed value: text taken for a number consists of these characters; a sign is not among them.
+# It also has to begin like a number.
+NUMBER_TEXT = r"^\s*(?=\.?\d)[0-9.,]+\s*$"
 
 
 def apply_parsers(
@@ -73,7 +74,7 @@ def _holds_text(kind: T.DataType) -> bool:
 
 
 def _fits(cell: Column) -> Column:
-    return _as_number(cell).isNotNull() | ~_fills(cell)
+    return cell.rlike(NUMBER_TEXT) | ~_fills(cell)
 
 
 def _fills(cell: Column) -> Column:

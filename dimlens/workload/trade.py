@@ -69,7 +69,11 @@ def dated(rows: DataFrame, column: str, bounds: Mapping[str, Bounds]) -> DataFra
     return rows
 
 
-@functools.lru_cache(maxsize=8)
+def nations(spark, sf_dir) -> DataFrame:
+    """``(n_nationkey, country)``."""
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("country"))
+
+
 def countries(spark, sf_dir) -> DataFrame:
     """``(n_nationkey, country, world_region)``."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
@@ -89,7 +93,7 @@ def customer_years(spark, sf_dir, bounds, condition=None) -> DataFrame:
     )
 
 
-def nation_years(spark, sf_dir, bounds, by=(), condition=None) -> DataFrame:
+def nation_years(spark, sf_dir, bounds, by=(), condition=None, places=nations) -> DataFrame:
     """Order counts and values per nation, year and the customer columns ``by``."""
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", *by)
     return (
@@ -97,7 +101,7 @@ def nation_years(spark, sf_dir, bounds, by=(), condition=None) -> DataFrame:
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .groupBy("c_nationkey", *by, "time")
         .agg(F.sum("order_count").alias("order_count"), F.sum("order_cents").alias("order_cents"))
-        .join(countries(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(places(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
     )
 
 
@@ -106,13 +110,14 @@ def orders_by_country(spark, sf_dir, bounds) -> DataFrame:
 
 
 def orders_by_region(spark, sf_dir, bounds) -> DataFrame:
-    rows = nation_years(spark, sf_dir, bounds)
+    rows = nation_years(spark, sf_dir, bounds, places=countries)
     return rows.groupBy("world_region", "time").agg(F.sum("order_count").alias("order_count"))
 
 
 def corrections(spark, sf_dir, bounds) -> DataFrame:
     """A later file: in one region, only fulfilled orders count."""
-    rows = nation_years(spark, sf_dir, bounds, condition="o_orderstatus = 'F'")
+    fulfilled = "o_orderstatus = 'F'"
+    rows = nation_years(spark, sf_dir, bounds, condition=fulfilled, places=countries)
     return rows.filter(F.col("world_region") == CORRECTED_REGION).select(
         "country", "time", "order_count"
     )
@@ -135,7 +140,7 @@ def shipments_by_country(spark, sf_dir, bounds) -> DataFrame:
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .groupBy("s_nationkey", "time")
         .agg(F.sum("shipped_qty").alias("shipped_qty"))
-        .join(countries(spark, sf_dir), F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(nations(spark, sf_dir), F.col("s_nationkey") == F.col("n_nationkey"))
         .select("country", "time", "shipped_qty")
     )
 

@@ -172,6 +172,8 @@ def test_normalize(spark):
         "a string, b string, c string, d array<string>, e string, f string")
     assert found(normalize_cells(rows)) == [
         (1.0, "x", 7.0, [1.0, 2.5, None], None, "-1"), (None, "5", 1.2, [3.0], None, "2")]
+    odd = spark.createDataFrame([(".", ",5", ".5"), ("1", "2", "3")], "a string, b string, c string")
+    assert found(normalize_cells(odd)) == [(".", ",5", 0.5), ("1", "2", 3.0)]
     named = normalize_cells(rows, {"b": F.upper}, numeric=["a"])
     assert found(named.select("a", "b", "c", "d")) == [
         (1.0, "X", "7", ["1", "2.5", None]), (None, "5", "1.2.3", ["3"])]
