@@ -3,6 +3,8 @@
 from dimlens.errors import DatasetError, QueryError
 from dimlens.model import Concept, Dataset, IndexEntry, Resource
 from dimlens.plans.query import query, read
+from dimlens.plans.reader import Reader
+from dimlens.sources.catalog import Version
 from dimlens.sources.manifest import open_folder, open_version
 
 __all__ = [
@@ -11,7 +13,9 @@ __all__ = [
     "DatasetError",
     "IndexEntry",
     "QueryError",
+    "Reader",
     "Resource",
+    "Version",
     "open_folder",
     "open_version",
     "query",

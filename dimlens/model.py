@@ -102,17 +102,21 @@ class Dataset:
         index: Iterable[IndexEntry] | None = None,
         name: str = "dataset",
         disjoint: bool = False,
+        folder: str | None = None,
     ):
         self.spark = spark
         self.name = name
         self.disjoint = disjoint
+        self.folder = folder
         self.resources = {r.name: r for r in resources}
         if len(self.resources) != len(resources):
             raise DatasetError("resource names must be unique")
         self._declared = None if index is None else list(index)
 
     def with_index(self, index: Iterable[IndexEntry]) -> Dataset:
-        return Dataset(self.spark, list(self.resources.values()), index, self.name, self.disjoint)
+        return Dataset(
+            self.spark, list(self.resources.values()), index, self.name, self.disjoint, self.folder
+        )
 
     # --- concepts -----------------------------------------------------------------------
 
@@ -243,4 +247,7 @@ class Dataset:
         available = self._lookup_index.get(key_text(key), {})
         wanted = values or list(available)
         names = dict.fromkeys(n for value in wanted for n in available.get(value, ()))
+        unlisted = [n for n in names if n not in self.resources]
+        if unlisted:
+            raise DatasetError(f"{self.name} has no resource {', '.join(unlisted)}")
         return [self.resources[n] for n in names]

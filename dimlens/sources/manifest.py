@@ -97,7 +97,7 @@ def open_folder(
         IndexEntry(row.kind, tuple(row.key), row.value, tuple(row.resources))
         for row in manifest_index(manifest).collect()
     ]
-    return Dataset(spark, resources, index, name or folder.rsplit("/", 1)[-1])
+    return Dataset(spark, resources, index, name or folder.rsplit("/", 1)[-1], folder=folder)
 
 
 def open_version(

@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from dimlens.model import Dataset, Resource
 from dimlens.operators.order import guard_rows
 from dimlens.plans.query import query, read
 from dimlens.workload.registry import registered
-from dimlens.workload.trade import SQL, TRANSLATED, orders_by_segment, trade_dataset
+from dimlens.workload.trade import (
+    CONCEPTS,
+    SQL,
+    TRANSLATED,
+    concept_rows,
+    orders_by_segment,
+    spending,
+    trade_dataset,
+)
 
 COUNTS = ("orders_by_country", "corrections", "country_entities")
 BOTH = (*COUNTS, "shipments_by_country")
@@ -201,6 +211,36 @@ def dp_three_dimensions(spark, sf_dir):
     )
 
 
+@registered(SQL + """
+SELECT country, time, segment, priority, spent_cents FROM spending
+WHERE country IN (SELECT country FROM countries WHERE world_region IN ('EUROPE', 'AFRICA'))
+  AND time = '1999' AND priority <> '5-LOW' AND segment IN ('BUILDING', 'MACHINERY')
+""")
+def dp_four_dimensions(spark, sf_dir):
+    """Every dimension constrained, two of them through joins."""
+    concepts = [*CONCEPTS, ("priority", "entity_domain", None), ("spent_cents", "measure", None)]
+    source = functools.partial(spending, spark, sf_dir)
+    dataset = Dataset(spark, [
+        Resource("concepts", ("concept",), concept_rows(spark, concepts)),
+        trade_dataset(spark, sf_dir).resources["country_entities"],
+        Resource("spending", ("country", "segment", "priority", "time"),
+                 functools.partial(source, {}), columns=("spent_cents",), bounded=source),
+    ], disjoint=True)
+    return query(
+        dataset, "datapoints", ["country", "time", "segment", "priority"], ["spent_cents"],
+        where={"$and": [{"country": "$country"}, {"time": "$time"},
+                        {"priority": {"$nin": ["5-LOW"]}},
+                        {"segment": {"$in": ["BUILDING", "MACHINERY"]}}]},
+        join={
+            "$country": {"key": "country", "where": {"$and": [
+                {"$or": [{"world_region": "EUROPE"}, {"world_region": "AFRICA"}]},
+                {"is--country": True}]}},
+            "$time": {"key": "time", "where": {"time": "1999"}},
+        },
+        order_by=["country", "time", "segment", "priority"],
+    )
+
+
 @registered(SQL + """
 SELECT customer, time, order_count, order_cents FROM by_customer
 WHERE time >= '1997' AND customer IN (

@@ -129,6 +129,22 @@ def orders_by_segment(spark, sf_dir, bounds) -> DataFrame:
     )
 
 
+def spending(spark, sf_dir, bounds) -> DataFrame:
+    """Four dimensions; combined per customer, priority and year before the join."""
+    upto = bounds.get("time", Bounds()).within(Bounds(high="2000"))
+    orders = dated(table(spark, sf_dir, "orders"), "o_orderdate", {"time": upto})
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    return (
+        orders.groupBy("o_custkey", F.col("o_orderpriority").alias("priority"), year("o_orderdate"))
+        .agg(F.sum(cents("o_totalprice")).alias("spent_cents"))
+        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy("c_nationkey", F.col("c_mktsegment").alias("segment"), "priority", "time")
+        .agg(F.sum("spent_cents").alias("spent_cents"))
+        .join(nations(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
+        .select("country", "segment", "priority", "time", "spent_cents")
+    )
+
+
 def shipments_by_country(spark, sf_dir, bounds) -> DataFrame:
     """Shipped quantity from 1997 on."""
     since = bounds.get("time", Bounds()).within(Bounds(low="1997"))
@@ -231,6 +247,7 @@ WITH countries AS (
 placed AS (
   SELECT country, world_region, c_custkey AS customer, c_mktsegment AS segment,
          CAST(year(o_orderdate) AS VARCHAR) AS time, o_orderstatus AS status,
+         o_orderpriority AS priority,
          CAST(round(o_totalprice * 100) AS BIGINT) AS cents
   FROM orders JOIN customer ON o_custkey = c_custkey
        JOIN countries ON c_nationkey = n_nationkey
@@ -246,6 +263,9 @@ by_segment AS (
   SELECT country, segment, time, count(*) AS order_count,
          CAST(sum(cents) AS BIGINT) AS order_cents
   FROM placed GROUP BY ALL),
+spending AS (
+  SELECT country, segment, priority, time, CAST(sum(cents) AS BIGINT) AS spent_cents
+  FROM placed GROUP BY ALL),
 by_customer AS (
   SELECT customer, time, count(*) AS order_count, CAST(sum(cents) AS BIGINT) AS order_cents
   FROM placed GROUP BY ALL),

@@ -3,14 +3,13 @@ import pathlib
 import pytest
 from pyspark.sql import functions as F
 
-from dimlens import DatasetError, open_folder, open_version, query
+from dimlens import DatasetError, IndexEntry, Reader, Version, open_folder, open_version, query
 from dimlens.functions.concepts import concept_class
 from dimlens.functions.cells import is_identifier
 from dimlens.operators.normalize import normalize_cells
 from dimlens.session import shared_folder
 from dimlens.sources.assets import get_asset, get_binary_asset
 from dimlens.sources.catalog import (
-    Version,
     catalog_aliases,
     catalog_issues,
     flatten_catalog,
@@ -117,6 +116,28 @@ def test_versions(spark, firms, tmp_path):
         open_version(spark, base)
 
 
+def test_reader(spark, firms, tmp_path):
+    base = f"{tmp_path}/"
+    write_folder(firms, Version("shop", "develop", "d1").path(base))
+    folder = pathlib.Path(DEFAULT.path(base))
+    write_folder(firms, str(folder))
+    write(folder / "assets" / "a.json", '{"id": 7}')
+    reader = Reader(spark, base, VERSIONS, DEFAULT, lambda rows: rows.limit(1), unique_keys=True)
+    request = {"from": "entities", "select": {"key": ["project"]}, "where": {"project": "suite"}}
+    for version in ({}, {"dataset": "shop", "branch": "develop", "commit": "d1"}):
+        rows = reader.read(request | version, {"project": F.upper})
+        assert found(rows) == [("SUITE",)]
+    assert reader.asset("assets/a.json").first().id == 7
+    with pytest.raises(DatasetError, match="no dataset"):
+        reader.read(request | {"dataset": "mill"})
+
+
+def test_manifest_with_an_unlisted_resource(firms):
+    broken = firms.with_index([IndexEntry("entities", ("region",), "full_name", ("gone",))])
+    with pytest.raises(DatasetError, match="no resource gone"):
+        broken.resolve(["region"], ["full_name"])
+
+
 def test_catalog(spark, tmp_path):
     write(tmp_path / "registry.json", registry_json(VERSIONS, DEFAULT))
     registry, default = read_registry(spark, str(tmp_path / "registry.json"))

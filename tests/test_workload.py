@@ -4,7 +4,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
-from dimlens.plans.query import query
+from dimlens import Dataset, Resource, query
+from dimlens.sources.sinks import write_parquet
 from dimlens.workload.trade import trade_dataset
 from tests.company import explained
 from tools.compare import TABLES, normal
@@ -68,6 +69,24 @@ def test_large_ids_stay_above_the_merge(spark):
     assert plan.index("partial_max_by") < plan.index("LeftSemi")
 
 
+def test_constraints_prune_partitions(spark, tmp_path):
+    """A semi-join on a partition column skips the folders of other ids."""
+    source = trade_dataset(spark, SF_DIR)
+    path = str(tmp_path / "stored")
+    write_parquet(source.resources["shipments_by_country"].frame, path, ["country"])
+    kept = [source.resources[n] for n in ("concepts", "country_entities")]
+    stored = Resource("stored", ("country", "time"), spark.read.parquet(path))
+    rows = query(
+        Dataset(spark, [*kept, stored], disjoint=True), "datapoints", ["country", "time"],
+        ["shipped_qty"], where={"country": "$c"},
+        join={"$c": {"key": "country", "where": {"world_region": "ASIA"}}},
+    )
+    assert "dynamicpruning" in explained(rows)
+    asian = {f"NATION_{i}" for i in (2, 7, 12, 17, 22)}
+    assert {r.country for r in rows.collect()} == {
+        r.country for r in stored.frame.collect() if r.country in asian}
+
+
 @pytest.mark.parametrize("name", list(contract.queries()))
 def test_no_cross_joins_or_python(spark, name):
     plan = explained(contract.queries()[name](spark, SF_DIR), "simple")
