@@ -174,12 +174,16 @@ def plain_conjuncts(
     return {"$and": parts}
 
 
-def requires_ids(where, joins) -> bool:
-    """Whether rows outside the ids of some join are dropped for certain."""
-    return any(
-        isinstance(operand, str) and isinstance((joins or {}).get(operand), IdJoin)
+def required_id_keys(
+    where: Mapping[str, Any] | None, joins: Mapping[str, IdJoin | InlinedJoin] | None
+) -> set[str]:
+    """Keys that a condition limits to the ids of some join for certain."""
+    targets = [
+        (joins or {}).get(operand)
         for _, operand in _conjuncts(where or {}, joins or {})
-    )
+        if isinstance(operand, str)
+    ]
+    return {target.key for target in targets if isinstance(target, IdJoin)}
 
 
 def _bounds(test: str, value) -> Bounds | None:

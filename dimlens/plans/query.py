@@ -24,7 +24,7 @@ from dimlens.operators.predicates import (
     join_references,
     plain_conjuncts,
     referenced_fields,
-    requires_ids,
+    required_id_keys,
     semi_join,
 )
 from dimlens.operators.rename import key_renames
@@ -58,11 +58,15 @@ def query(
     if strict:
         checks.check_names(dataset, collection, key, value)
     joins = _joins(dataset, where, join)
-    rows = _merged(dataset, key, value, where, joins, language)
+    # The ids of a join on a set are members of it already.
+    limited = required_id_keys(where, joins)
+    sets = [k for k in key if dataset.type_of(k) == "entity_set" and k not in limited]
+    # A join merge is not passed by joins with ids. Spark moves those below an aggregation when
+    # the ids are small, and keeps them above it otherwise.
+    rows = _merged(dataset, key, value, where, joins, language, joinable=not (limited or sets))
     rows = compile_condition(where, rows, joins, key).apply(rows)
-    for name in key:
-        if dataset.type_of(name) == "entity_set":
-            rows = semi_join(rows, IdJoin(name, members(dataset, name)))
+    for name in sets:
+        rows = semi_join(rows, IdJoin(name, members(dataset, name)))
     selected = list(dict.fromkeys(key + value))
     rows = rows.select(*[_column(dataset, rows, name) for name in selected])
     return order_rows(rows, order_by, ties=key)
@@ -113,7 +117,7 @@ def _joins(dataset, where, join) -> dict[str, IdJoin | InlinedJoin]:
     return targets
 
 
-def _merged(dataset, key, value, where, joins, language) -> DataFrame:
+def _merged(dataset, key, value, where, joins, language, joinable) -> DataFrame:
     """All resources of the key and values as one table, before any filter on values."""
     hidden = [f for f in referenced_fields(where) if f not in key and f not in value]
     resources = dataset.resolve(key, value + hidden)
@@ -122,11 +126,9 @@ def _merged(dataset, key, value, where, joins, language) -> DataFrame:
         return dataset.spark.createDataFrame([], schema)
     wanted, bounds = {*value, *hidden}, column_bounds(where, joins)
     frames = [_prepared(dataset, r, key, wanted, language, bounds) for r in resources]
-    # A join is not passed by filters on its key, so these are applied below it here. A join
-    # with ids stays above an aggregation, and Spark moves it below when the ids are small.
-    limited = requires_ids(where, joins) or any(dataset.type_of(k) == "entity_set" for k in key)
-    unique = len(resources) == 2 and all(r.unique for r in resources) and not limited
+    unique = joinable and len(resources) == 2 and all(r.unique for r in resources)
     if unique:
+        # Filters on the key do not pass a full outer join by themselves.
         part = plain_conjuncts(where, joins, key)
         frames = [compile_condition(part, rows, {}, key).apply(rows) for rows in frames]
     return merge(frames, key, row_orders=[r.row_order for r in resources], unique=unique)
