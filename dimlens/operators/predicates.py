@@ -72,12 +72,12 @@ class Condition:
 
     def apply(self, rows: DataFrame) -> DataFrame:
         columns = rows.columns
+        for join in self.semi_joins:
+            rows = semi_join(rows, join)
         for mark, join in self.marks:
             rows = mark_join(rows, join, mark)
         for column in self.filters:
             rows = rows.filter(column)
-        for join in self.semi_joins:
-            rows = semi_join(rows, join)
         return rows.select(*[F.col(f"`{c}`") for c in columns]) if self.marks else rows
 
 
@@ -149,7 +149,7 @@ def compile_condition(
 def column_bounds(
     where: Mapping[str, Any] | None, joins: Mapping[str, IdJoin | InlinedJoin] | None = None
 ) -> dict[str, Bounds]:
-    """Bounds that a condition puts on columns compared with text, or text that is a number."""
+    """Bounds that a condition puts for certain on columns it compares with text."""
     found: dict[str, Bounds] = {}
     for name, operand in _conjuncts(where or {}, joins or {}):
         tests = operand if isinstance(operand, Mapping) else {"$eq": operand}
@@ -322,6 +322,8 @@ class _Compiler:
         if name == "$nin":
             return _negate(self.compare(cell, "$in", value))
         if name == "$in":
+            if isinstance(value, (str, Mapping)) or not isinstance(value, Iterable):
+                raise QueryError("$in and $nin take a list")
             return self.member(cell, value)
         if isinstance(value, (Mapping, list, tuple, set)):
             raise QueryError(f"{name} takes a single value")
@@ -331,7 +333,7 @@ class _Compiler:
 
     def member(self, cell: _Cell, values) -> Column:
         if isinstance(cell.type, T.NullType):
-            return F.lit(False)
+            return F.lit("" in values)
         long = cell.name is not None and len(values) > IN_LIST_LIMIT and not self.inline_lists
         if long:
             return self.mark(self.list_join(cell.name, values))

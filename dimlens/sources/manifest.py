@@ -60,7 +60,7 @@ def open_folder(
     spark: SparkSession,
     folder: str,
     name: str | None = None,
-    multiline: bool = True,
+    multiline: bool | None = None,
     unique_keys: bool = False,
 ) -> Dataset:
     """The dataset in a folder. Files are opened when a query needs them.

@@ -10,15 +10,20 @@ from pyspark.sql import functions as F
 DELIMITERS = (",", "\t", "|", ";", "\x1e", "\x1f")
 PREVIEW_LINES = 10
 
+ONE_TASK_BYTES = 128 * 1024 * 1024
+"""Largest delimited file that is read by one task without looking for line breaks in cells."""
+
 
 def read_table(
-    spark: SparkSession, path: str, delimiter: str | None = None, multiline: bool = True
+    spark: SparkSession, path: str, delimiter: str | None = None, multiline: bool | None = None
 ) -> DataFrame:
     """Rows of a delimited file with a header, all cells text, blank lines skipped.
 
-    ``multiline`` allows line breaks inside quotes but keeps a file in one task; turn it off for
-    large files without them, which Spark then reads in parallel splits.
+    ``multiline`` allows line breaks inside quotes but keeps a file in one task. When it is left
+    open, small files are read that way, and large ones only if they need it.
     """
+    if multiline is None:
+        multiline = not _is_large(spark, path) or cells_span_lines(spark, path)
     delimiter = delimiter or guess_delimiter(spark, path)
     rows = spark.read.csv(
         path, header=True, sep=delimiter, quote='"', escape='"', multiLine=multiline,
@@ -33,6 +38,18 @@ def row_number_in_file():
     return F.monotonically_increasing_id()
 
 
+def cells_span_lines(spark: SparkSession, path: str) -> bool:
+    """Whether some cell holds a line break: its first line then has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
+def _is_large(spark: SparkSession, path: str) -> bool:
+    """Whether some file of the table is too large for one task; reads file sizes only."""
+    files = spark.read.format("binaryFile").load(path)
+    return (files.agg(F.max("length")).first()[0] or 0) > ONE_TASK_BYTES
+
+
 def guess_delimiter(spark: SparkSession, path: str) -> str:
     """The delimiter that splits the first lines most evenly into two fields or more."""
     lines = [r.value for r in spark.read.text(path).filter(F.col("value") != "").head(PREVIEW_LINES)]

@@ -94,7 +94,7 @@ def test_operator(cells, where, expected):
 
 @pytest.mark.parametrize("where", [
     {"text": {"$like": "a"}}, {"$xor": []}, {"a.b": 1}, {"text": "$nothing"},
-    {"text": {"$size": 1}}, {"text": {"$gt": [1]}},
+    {"text": {"$size": 1}}, {"text": {"$gt": [1]}}, {"text": {"$in": "abc"}}, {"number": {"$nin": 5}},
 ])
 def test_rejected(cells, where):
     with pytest.raises(QueryError):

@@ -1,0 +1,137 @@
+"""Random conditions against a row-by-row evaluation of the two-valued rules."""
+
+import operator
+import random
+import re
+
+import pytest
+
+from dimlens.operators.predicates import compile_condition, predicate
+
+TEXTS = [None, "", "a", "b", "10", "9", " 9 ", "2e1", "-3", "abc"]
+NUMBERS = [None, 0.0, -3.0, 9.0, 10.0, 20.5]
+FLAGS = [None, True, False]
+LITERALS = [None, "", "a", "b", "10", "9", "x", 0, 1, 9, 10, -3, 20.5, True, False]
+RANGES = {"$gt": operator.gt, "$gte": operator.ge, "$lt": operator.lt, "$lte": operator.le}
+
+
+def number(value):
+    if isinstance(value, str):
+        plain = re.fullmatch(r"\s*[-+]?(\d+\.?\d*|\.\d+)(e[-+]?\d+)?\s*", value, re.I)
+        return float(value) if plain else None
+    return float(value)
+
+
+def equal(cell, value):
+    if value in (None, "") and not isinstance(value, (bool, int, float)):
+        return cell is None or cell == ""
+    if cell is None:
+        return False
+    if type(cell) is type(value):
+        return cell == value
+    left, right = number(cell), number(value)
+    return left is not None and left == right
+
+
+def ranged(test, cell, value):
+    if value is None or cell is None or cell == "" and isinstance(cell, str) or cell is False:
+        return False
+    if isinstance(cell, str) and isinstance(value, str):
+        return RANGES[test](cell, value)
+    left, right = number(cell), number(value)
+    return left is not None and right is not None and RANGES[test](left, right)
+
+
+def member(cell, values):
+    def kind(v):
+        return bool if isinstance(v, bool) else str if isinstance(v, str) else float
+
+    if cell is None or cell == "" and isinstance(cell, str):
+        return any(v == "" for v in values if isinstance(v, str))
+    return any(v is not None and kind(v) is kind(cell) and v == cell for v in values)
+
+
+def cell_holds(cell, condition):
+    if not isinstance(condition, dict):
+        return equal(cell, condition)
+    results = []
+    for test, value in condition.items():
+        if test == "$eq":
+            results.append(equal(cell, value))
+        elif test == "$ne":
+            results.append(not equal(cell, value))
+        elif test == "$in":
+            results.append(member(cell, value))
+        elif test == "$nin":
+            results.append(not member(cell, value))
+        elif test == "$not":
+            results.append(not cell_holds(cell, value))
+        elif test in ("$and", "$or", "$nor"):
+            parts = [cell_holds(cell, part) for part in value]
+            results.append({"$and": all, "$or": any, "$nor": lambda p: not any(p)}[test](parts))
+        else:
+            results.append(ranged(test, cell, value))
+    return all(results)
+
+
+def holds(row, condition):
+    results = []
+    for name, value in condition.items():
+        if name == "$not":
+            results.append(not holds(row, value))
+        elif name in ("$and", "$or", "$nor"):
+            parts = [holds(row, part) for part in value]
+            results.append({"$and": all, "$or": any, "$nor": lambda p: not any(p)}[name](parts))
+        else:
+            results.append(cell_holds(row.get(name), value))
+    return all(results)
+
+
+def random_cell_condition(chance, depth=1):
+    kind = chance.random()
+    if kind < 0.15:
+        return chance.choice(LITERALS)
+    if kind < 0.3 and depth:
+        part = random_cell_condition(chance, 0)
+        return {"$not": part if isinstance(part, dict) else {"$eq": part}}
+    if kind < 0.4 and depth:
+        parts = [random_cell_condition(chance, 0) for _ in range(2)]
+        parts = [p if isinstance(p, dict) else {"$ne": p} for p in parts]
+        return {chance.choice(["$and", "$or", "$nor"]): parts}
+    tests = chance.sample(["$eq", "$ne", *RANGES, "$in", "$nin"], chance.randint(1, 2))
+    return {
+        t: chance.choices(LITERALS, k=3) if t in ("$in", "$nin") else chance.choice(LITERALS)
+        for t in tests
+    }
+
+
+def random_condition(chance, depth=3):
+    if depth and chance.random() < 0.55:
+        name = chance.choice(["$and", "$or", "$nor", "$not"])
+        if name == "$not":
+            return {name: random_condition(chance, depth - 1)}
+        return {name: [random_condition(chance, depth - 1) for _ in range(chance.randint(1, 3))]}
+    names = chance.sample(["text", "number", "flag", "absent"], chance.randint(1, 2))
+    return {name: random_cell_condition(chance) for name in names}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_conditions(spark, seed):
+    chance = random.Random(seed)
+    rows = [
+        {"id": i, "text": chance.choice(TEXTS), "number": chance.choice(NUMBERS),
+         "flag": chance.choice(FLAGS)}
+        for i in range(60)
+    ]
+    frame = spark.createDataFrame(
+        [tuple(r.values()) for r in rows], "id int, text string, number double, flag boolean"
+    )
+    conditions = [random_condition(chance) for _ in range(80)]
+    columns = [predicate(c, frame).alias(f"c{i}") for i, c in enumerate(conditions)]
+    found = frame.select("id", *columns).collect()
+    for i, condition in enumerate(conditions):
+        expected = {r["id"] for r in rows if holds(r, condition)}
+        assert {r.id for r in found if r[f"c{i}"]} == expected, condition
+    for condition in conditions[:5]:
+        kept = compile_condition(condition, frame).apply(frame).collect()
+        assert {r.id for r in kept} == {r["id"] for r in rows if holds(r, condition)}, condition

@@ -8,6 +8,7 @@ from dimlens.functions.concepts import concept_class
 from dimlens.functions.cells import is_identifier
 from dimlens.operators.normalize import normalize_cells
 from dimlens.session import shared_folder
+from dimlens.sources import tables
 from dimlens.sources.assets import get_asset, get_binary_asset
 from dimlens.sources.catalog import (
     catalog_aliases,
@@ -95,6 +96,28 @@ def test_delimiters(spark, tmp_path, line, delimiter):
     assert guess_delimiter(spark, str(tmp_path / "t.csv")) == delimiter
 
 
+def test_large_files_are_split_when_no_cell_spans_lines(spark, tmp_path, monkeypatch):
+    plain = "k,v\n" + "".join(f'k{i},"say ""{i}"""\n' for i in range(2000))
+    write(tmp_path / "plain.csv", plain)
+    write(tmp_path / "broken.csv", plain + 'last,"one\ntwo"\n')
+    monkeypatch.setattr(tables, "ONE_TASK_BYTES", 1000)
+    small_splits = {"spark.sql.files.maxPartitionBytes": "4000",
+                    "spark.sql.files.openCostInBytes": "1000"}
+    for name, value in small_splits.items():
+        spark.conf.set(name, value)
+    try:
+        split = read_table(spark, str(tmp_path / "plain.csv"))
+        whole = read_table(spark, str(tmp_path / "broken.csv"))
+        assert split.rdd.getNumPartitions() > 1 and whole.rdd.getNumPartitions() == 1
+        assert found(split) == found(whole.filter("k <> 'last'"))
+        assert found(whole.filter("k = 'last'")) == [("last", "one\ntwo")]
+        order = split.select(tables.row_number_in_file().alias("n"), "k").orderBy("n").collect()
+        assert [r.k for r in order] == [f"k{i}" for i in range(2000)]
+    finally:
+        for name in small_splits:
+            spark.conf.unset(name)
+
+
 def test_versions(spark, firms, tmp_path):
     base = f"{tmp_path}/"
     write_folder(firms, DEFAULT.path(base))
