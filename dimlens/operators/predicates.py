@@ -304,6 +304,7 @@ class _Compiler:
             and name in self.types
             and isinstance(operand, Mapping)
             and list(operand) == ["$in"]
+            and isinstance(operand["$in"], (list, tuple, set, frozenset))
             and len(operand["$in"]) > IN_LIST_LIMIT
         )
 

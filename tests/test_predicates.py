@@ -94,11 +94,13 @@ def test_operator(cells, where, expected):
 
 @pytest.mark.parametrize("where", [
     {"text": {"$like": "a"}}, {"$xor": []}, {"a.b": 1}, {"text": "$nothing"},
-    {"text": {"$size": 1}}, {"text": {"$gt": [1]}}, {"text": {"$in": "abc"}}, {"number": {"$nin": 5}},
+    {"text": {"$size": 1}}, {"text": {"$gt": [1]}}, {"text": {"$in": "abc"}}, {"number": {"$nin": 5}}, {"number": {"$in": 5}},
 ])
 def test_rejected(cells, where):
     with pytest.raises(QueryError):
         predicate(where, cells)
+    with pytest.raises(QueryError):
+        compile_condition(where, cells)
 
 
 def test_filters_reach_the_scan(spark, cells, tmp_path):
