@@ -1,0 +1,45 @@
+from collections import Counter, defaultdict
+
+from dimlens.llm.line_dedup import WHITE_SPACE, dedup_lines
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def brute_force(items, least_chars=40, least_documents=5):
+    def key(line):
+        return line.strip(WHITE_SPACE).translate(LOWER)
+
+    holders = defaultdict(set)
+    for i, text in items:
+        for line in (text or "").split("\n"):
+            if len(key(line)) >= least_chars:
+                holders[key(line)].add(i)
+    last = {k: max(i for i in ids if i is not None) for k, ids in holders.items()
+            if len(ids) >= least_documents}
+    out = []
+    for i, text in items:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if key(x) not in last or last[key(x)] == i]
+        out.append((i, "\n".join(kept), len(lines), len(lines) - len(kept)))
+    return Counter(out)
+
+
+def test_equals_brute_force(hard_documents, hard_items):
+    found = Counter(map(tuple, dedup_lines(hard_documents).collect()))
+    assert found == brute_force(hard_items)
+
+
+def test_other_limits(hard_documents, hard_items):
+    found = Counter(map(tuple, dedup_lines(hard_documents, 5, 2).collect()))
+    assert found == brute_force(hard_items, 5, 2)
+
+
+def test_many_lines_cross_bitmap_words(spark):
+    text = "\n".join(f"line number {i % 70} of a document of many lines" for i in range(200))
+    items = [(i, text + f"\nown {i}") for i in range(6)]
+    found = Counter(map(tuple, dedup_lines(spark.createDataFrame(items, "doc_id long, text string")).collect()))
+    assert found == brute_force(items)
+
+
+def test_empty(no_documents):
+    assert dedup_lines(no_documents).collect() == []
