@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dimlens.llm import bpe, line_dedup, packing, simhash
+from dimlens.llm import ann, bpe, line_dedup, packing, quality, simhash, topk, toxicity
+from dimlens.llm.storage import stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +64,40 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "component_id")
 
 
+def op5_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = stored(topk.integer_vectors(_table(spark, sf_dir, "embeddings")), "integers")
+    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+OP10_SQL = """
+WITH vectors AS (
+    SELECT vec_id, min(list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT))) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    GROUP BY vec_id),
+scores AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(
+        CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+    FROM vectors q JOIN vectors c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_best_fit_packing, op4_bpe_round_trip, op6_line_dedup, op7_simhash)}
-ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL}
+    f.__name__: f for f in (op2_best_fit_packing, op4_bpe_round_trip, op5_learned_partitions, op6_line_dedup,
+                             op7_simhash, op8_quality, op9_toxicity, op10_exact_top_k)}
+ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op10_exact_top_k": OP10_SQL}
