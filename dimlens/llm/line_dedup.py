@@ -77,13 +77,19 @@ def kept_text(text: str, keep: str) -> Column:
 
 
 def dedup_lines(documents: DataFrame, least_chars: int = 40, least_documents: int = 5) -> DataFrame:
-    """(doc_id, text, n_lines, n_dropped), one row per row of documents; see ``keep_bitmaps``."""
+    """The documents without their repeated lines; see ``keep_bitmaps``.
+
+    One row per row of documents, with all its columns, and with n_lines before dropping and
+    n_dropped, which replace columns of these names.
+    """
     bitmaps = stored(keep_bitmaps(documents, least_chars, least_documents), "bitmaps").select(
-        F.col("doc_id").alias("id"), F.col("content").alias("hash"), "keep", "n_dropped")
-    whole = _with_content(documents)
-    joined = whole.join(bitmaps, whole["doc_id"].eqNullSafe(bitmaps["id"])
-                        & (whole["content"] == bitmaps["hash"]), "left")
+        F.col("doc_id").alias("_kept_id"), F.col("content").alias("_kept_content"),
+        F.col("keep").alias("_keep"), F.col("n_dropped").alias("_n_dropped"))
+    whole = documents.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
+    joined = whole.join(bitmaps, F.col("doc_id").eqNullSafe(F.col("_kept_id"))
+                        & (F.xxhash64("text") == F.col("_kept_content")), "left")
     return joined.select(
-        "doc_id", kept_text("text", "keep").alias("text"),
+        *(kept_text("text", "_keep").alias("text") if c == "text" else F.col(c)
+          for c in documents.columns if c not in ("n_lines", "n_dropped")),
         F.size(F.split("text", "\n")).cast("long").alias("n_lines"),
-        F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"))
+        F.coalesce("_n_dropped", F.lit(0)).cast("long").alias("n_dropped"))

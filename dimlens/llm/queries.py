@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dimlens.llm import ann, bpe, line_dedup, packing, quality, simhash, topk, toxicity
+from dimlens.llm import ann, bpe, line_dedup, packing, pii, quality, secrets, simhash, topk, toxicity
 from dimlens.llm.storage import stored
 
 
@@ -16,6 +16,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    listed = "transform({}, s -> concat_ws(':', s.kind, s.start, s.end))"
+    base = f"filter(spans, s -> s.kind <> '{pii.TERM}')"
+    return found.select(
+        "doc_id", *(F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}")
+                    for k in pii.KINDS),
+        F.sha2(F.array_join(F.expr(listed.format(base)), ","), 256).alias("base_sha256"),
+        F.array_join(F.expr(listed.format("spans")), ",").alias("spans"),
+        F.expr(f"cast(size(filter(spans, s -> s.kind = '{pii.TERM}')) as bigint)").alias("n_terms"))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"),
+                        "probability", "is_secret")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(_table(spark, sf_dir, "documents"),
                                   public_tokenizers.path("byte_bpe_50k.json"))
@@ -98,6 +116,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_best_fit_packing, op4_bpe_round_trip, op5_learned_partitions, op6_line_dedup,
+    f.__name__: f for f in (op1_pii, op2_best_fit_packing, op3_secrets, op4_bpe_round_trip,
+                             op5_learned_partitions, op6_line_dedup,
                              op7_simhash, op8_quality, op9_toxicity, op10_exact_top_k)}
 ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op10_exact_top_k": OP10_SQL}

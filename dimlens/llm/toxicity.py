@@ -155,27 +155,35 @@ def train(documents: DataFrame, labels: DataFrame, name: str = "toxic", held: Co
     return fit(found, _sample(documents.where(F.col("doc_id").isNotNull() & ~held), unlabelled), prior)
 
 
+def scored(documents: DataFrame, labels: DataFrame, name: str = "toxic", held: Column | None = None,
+           **bounds) -> Column:
+    """The learned probability that the column text is toxic; see ``train``.
+
+    Null and empty texts are scored as a text without words. Without a confirmed document outside
+    the fold ``held`` it is 0.
+    """
+    model = train(documents.select("doc_id", "text"), labels, name, held, **bounds)
+    if model is None:
+        return F.lit(0.0)
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
+
+    @F.arrow_udf("double")
+    def score_of(column: pa.Array) -> pa.Array:
+        own = shared.value
+        return pa.array([own.score(t or "") for t in column.to_pylist()], type=pa.float64())
+
+    return score_of("text")
+
+
 def score(documents: DataFrame, labels: DataFrame, name: str = "toxic", modulus: int = 3,
           remainder: int = 1, threshold: float = 0.7, **bounds) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row per row of documents.
 
     The score is the learned probability that a whole text is toxic; labels of held-out documents
-    take no part in it. Null and empty texts are scored as a text without words. Labels other than
-    0 and 1 are left out, the larger of several for one id holds. Without a confirmed document
-    outside the held-out fold every score is 0. An empty table gives an empty result.
+    take no part in it. Labels other than 0 and 1 are left out, the larger of several for one id
+    holds. An empty table gives an empty result.
     """
     held = held_out(modulus, remainder)
-    model = train(documents.select("doc_id", "text"), labels, name, held, **bounds)
-    if model is None:
-        value = F.lit(0.0)
-    else:
-        shared = documents.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
-
-        @F.arrow_udf("double")
-        def scored(column: pa.Array) -> pa.Array:
-            own = shared.value
-            return pa.array([own.score(t) for t in column.to_pylist()], type=pa.float64())
-
-        value = scored("text")
-    found = texts(documents).select("doc_id", held.alias("held_out"), value.alias("score"))
+    found = documents.select("doc_id", held.alias("held_out"),
+                             scored(documents, labels, name, held, **bounds).alias("score"))
     return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -2,6 +2,7 @@ from collections import Counter, defaultdict
 
 from dimlens.llm.line_dedup import WHITE_SPACE, dedup_lines
 
+COLUMNS = ("doc_id", "text", "n_lines", "n_dropped")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -25,12 +26,16 @@ def brute_force(items, least_chars=40, least_documents=5):
 
 
 def test_equals_brute_force(hard_documents, hard_items):
-    found = Counter(map(tuple, dedup_lines(hard_documents).collect()))
+    found = Counter(map(tuple, dedup_lines(hard_documents).select(*COLUMNS).collect()))
     assert found == brute_force(hard_items)
 
 
+def test_columns_are_kept(hard_documents):
+    assert dedup_lines(hard_documents).columns == [*hard_documents.columns, "n_lines", "n_dropped"]
+
+
 def test_other_limits(hard_documents, hard_items):
-    found = Counter(map(tuple, dedup_lines(hard_documents, 5, 2).collect()))
+    found = Counter(map(tuple, dedup_lines(hard_documents, 5, 2).select(*COLUMNS).collect()))
     assert found == brute_force(hard_items, 5, 2)
 
 
