@@ -6,7 +6,7 @@ import heapq
 import json
 import re
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from dimlens.llm.storage import texts
+from dimlens.llm.storage import in_slices, texts
 
 #: Words remembered by one Python worker; the memory starts anew when it is full.
 REMEMBERED = 400_000
@@ -63,11 +63,15 @@ class WordCodec:
         self.letters = byte_letters()
         pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(pattern["pattern"]["Regex"])
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.chunks: dict[str, tuple[int, ...]] = {}
         self.pairs, self.stays = np.array([np.iinfo(np.int64).max]), np.array([False])
 
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
+
     def _words(self, chunk: str) -> list[str]:
         """Words of a normalised chunk, a letter for each of their bytes."""
         if RARE.search(chunk):
@@ -215,10 +219,8 @@ def encode(text: Column, path: str) -> Column:
     @F.arrow_udf("array<int>")
     def encoded(column: pa.Array) -> pa.Array:
         words = codec(path)
-        lists = words.encode_batch([t or "" for t in column.to_pylist()])
-        ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
-        flat = np.fromiter(chain.from_iterable(lists), dtype=np.int32, count=ends[-1])
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+        return in_slices(column, lambda batch: [np.array(ids, dtype=np.int32) for ids in words.encode_batch(
+            [t or "" for t in batch])], pa.list_(pa.int32()))
 
     return encoded(text)
 

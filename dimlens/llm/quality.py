@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dimlens.llm.labelled import calibrated, held_out, known_labels, logistic
-from dimlens.llm.storage import stored, texts
+from dimlens.llm.storage import in_slices, stored, texts
 
 STATISTICS = ("chars", "words", "word_chars", "distinct", "repeated", "upper", "digits", "symbols",
               "punctuation", "lines", "short_lines", "distinct_lines")
@@ -46,7 +46,7 @@ def features(documents: DataFrame) -> DataFrame:
     """(doc_id, features) with an array of statistics of each whole text."""
     @F.arrow_udf("array<double>")
     def measured(column: pa.Array) -> pa.Array:
-        return pa.array([statistics(t) for t in column.to_pylist()], type=pa.list_(pa.float64()))
+        return in_slices(column, lambda batch: [statistics(t) for t in batch], pa.list_(pa.float64()))
 
     return texts(documents).select("doc_id", measured("text").alias("features"))
 

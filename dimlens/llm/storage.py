@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +40,9 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
 def texts(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """Id and whole text, a missing text as an empty one; other columns are left behind."""
     return documents.select(F.col(key), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def in_slices(column: pa.Array, work: Callable[[list], list], kind: pa.DataType, rows: int = 512) -> pa.Array:
+    """``work`` over a batch's values, few at a time, so that a worker holds few of them as objects."""
+    parts = [pa.array(work(column.slice(i, rows).to_pylist()), type=kind) for i in range(0, len(column), rows)]
+    return pa.concat_arrays(parts) if parts else pa.array([], type=kind)

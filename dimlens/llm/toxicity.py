@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dimlens.llm.labelled import held_out, known_labels, logistic
-from dimlens.llm.storage import stored, texts
+from dimlens.llm.storage import in_slices, stored, texts
 
 WORD = re.compile(r"\w+")
 BUCKETS = 1 << 18
@@ -126,7 +126,7 @@ def _sample(documents: DataFrame, n: int) -> list[np.ndarray]:
     """Buckets of the n documents whose ids hash lowest."""
     @F.arrow_udf("array<int>")
     def marks(column: pa.Array) -> pa.Array:
-        return pa.array([word_buckets(t).ravel() for t in column.to_pylist()], type=pa.list_(pa.int32()))
+        return in_slices(column, lambda batch: [word_buckets(t).ravel() for t in batch], pa.list_(pa.int32()))
 
     chosen = documents.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     rows = texts(chosen).select(marks("text").alias("marks")).toArrow()
@@ -170,7 +170,7 @@ def scored(documents: DataFrame, labels: DataFrame, name: str = "toxic", held: C
     @F.arrow_udf("double")
     def score_of(column: pa.Array) -> pa.Array:
         own = shared.value
-        return pa.array([own.score(t or "") for t in column.to_pylist()], type=pa.float64())
+        return in_slices(column, lambda batch: [own.score(t or "") for t in batch], pa.float64())
 
     return score_of("text")
 
