@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
-import heapq
 import json
 import re
 import unicodedata
+from array import array
 from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from dimlens.llm.storage import in_slices, texts
+from dimlens.llm.storage import texts
 
-#: Words remembered by one Python worker; the memory starts anew when it is full.
+#: Words remembered by one Python worker; the memory starts anew when it is full. And how many marks
+#: tell words that came up before.
 REMEMBERED = 400_000
+SEEN = 1 << 23
+#: Stands for the end of a word; no byte of a text in UTF-8.
+END = b"\xff"
 #: Code points of the texts whose words are verified together.
 BATCH_CHARS = 4_000_000
 #: White space that str.split() and the pattern's \s do not agree on.
@@ -49,6 +55,8 @@ class WordCodec:
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"]
         self.ids = model["vocab"]
+        self.letters = byte_letters()
+        self.byte_of = {letter: b for b, letter in enumerate(self.letters)}
         self.tokens = np.full(1 + max(chain(self.ids.values(), (t["id"] for t in spec["added_tokens"]))),
                               "", dtype=object)
         for token, i in self.ids.items():
@@ -56,16 +64,26 @@ class WordCodec:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for token, i in self.special.items():
             self.tokens[i] = token
-        self.merges = {}
-        for rank, (a, b) in enumerate(model["merges"]):
-            self.merges[self.ids[a], self.ids[b]] = (rank, self.ids[a + b])
-        self.longest = max(len(t.removesuffix(self.suffix)) for t in self.ids)
-        self.letters = byte_letters()
+        # The library that merges knows no word ends: the byte END, which no text holds, stands for
+        # one, and joining it to the last byte of a word comes before all merges.
+        bases = [i for i, t in enumerate(self.tokens) if t and len(t.removesuffix(self.suffix)) == 1
+                 and t not in self.special]
+        bases.sort(key=lambda i: self.tokens[i].endswith(self.suffix) and self.tokens[i] != self.suffix)
+        self.of_rank = [*bases, *(self.ids[a + b] for a, b in model["merges"])]
+        self.bytes_of = {i: self._bytes(self.tokens[i]) for i in self.of_rank}
+        self.merger = tiktoken.Encoding(
+            "merges", pat_str=r"[\s\S]+", special_tokens={},
+            mergeable_ranks={self.bytes_of[i]: r for r, i in enumerate(self.of_rank)})._encode_single_piece
+        self._check_merges()
+        plain = [t.removesuffix(self.suffix) for t in self.ids]
+        self.starts = {t[:n] for t in plain for n in range(1, len(t))}
         pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(pattern["pattern"]["Regex"])
         self.path = path
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self.chunks: dict[str, tuple[int, ...]] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.seen = bytearray(SEEN)
+        self.token_array = pa.array(self.tokens, type=pa.string())
         self.pairs, self.stays = np.array([np.iinfo(np.int64).max]), np.array([False])
 
     @cached_property
@@ -74,56 +92,41 @@ class WordCodec:
 
     def _words(self, chunk: str) -> list[str]:
         """Words of a normalised chunk, a letter for each of their bytes."""
+        if chunk.isascii() and chunk.isprintable():  # such bytes stand for themselves
+            return [chunk] if chunk.isalpha() else self.pattern.findall(chunk)
         if RARE.search(chunk):
             return [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(chunk)]
         return ["".join([self.letters[b] for b in w.encode()]) for w in self.pattern.findall(chunk)]
 
-    def _symbols(self, word: str) -> list[int]:
-        return [*(self.ids[s] for s in word[:-1]), self.ids[word[-1] + self.suffix]]
+    def _bytes(self, letters: str, ended: bool = False) -> bytes:
+        if letters.endswith(self.suffix) and len(letters) > len(self.suffix):
+            letters, ended = letters.removesuffix(self.suffix), True
+        return bytes([self.byte_of[x] for x in letters]) + (END if ended else b"")
 
-    def _of_token(self, token: int) -> list[int]:
-        text = self.tokens[token]
-        if text.endswith(self.suffix) and len(text) > len(self.suffix):
-            return self._symbols(text.removesuffix(self.suffix))
-        return [self.ids[s] for s in text]
+    def _check_merges(self) -> None:
+        """The library merges what is a token, whatever the pair; the file lists pairs. Both give the
+        same if every token is what its own text merges to, which the file's order has to grant."""
+        for rank, token in enumerate(self.of_rank):
+            if self.merger(self.bytes_of[token]) != [rank]:
+                raise ValueError(f"token {self.tokens[token]!r} is not what its own text merges to")
 
-    def merge(self, symbols: list[int]) -> list[int]:
+    def merge(self, word: bytes) -> list[int]:
         """Exact merging: the pair of the lowest rank first, the leftmost of equal ones."""
-        left, right = list(range(-1, len(symbols) - 1)), list(range(1, len(symbols) + 1))
-        symbols = list(symbols)
-        heap = []
-
-        def offer(i: int) -> None:
-            j = right[i]
-            if i >= 0 and j < len(symbols) and (found := self.merges.get((symbols[i], symbols[j]))):
-                heapq.heappush(heap, (found[0], i, symbols[i], symbols[j], found[1]))
-
-        for i in range(len(symbols) - 1):
-            offer(i)
-        while heap:
-            _, i, a, b, merged = heapq.heappop(heap)
-            j = right[i]
-            if symbols[i] != a or j >= len(symbols) or symbols[j] != b:
-                continue
-            symbols[i], symbols[j] = merged, -1
-            right[i] = right[j]
-            if right[j] < len(symbols):
-                left[right[j]] = i
-            if left[i] >= 0:
-                offer(left[i])
-            offer(i)
-        return [s for s in symbols if s >= 0]
+        return [self.of_rank[r] for r in self.merger(word)]
 
     def _propose(self, word: str) -> list[int]:
         """Greedy longest match from the left."""
-        found, i, n = [], 0, len(word)
+        found, i, n, ids, starts = [], 0, len(word), self.ids, self.starts
         while i < n:
-            for end in range(min(n, i + self.longest), i, -1):
+            token, after, end = ids[word[i] + self.suffix if i + 1 == n else word[i]], i + 1, i + 1
+            while end < n and word[i:end] in starts:
+                end += 1
                 part = word[i:end]
-                if (token := self.ids.get(part + self.suffix if end == n else part)) is not None:
-                    found.append(token)
-                    i = end
-                    break
+                longer = ids.get(part + self.suffix if end == n else part)
+                if longer is not None:
+                    token, after = longer, end
+            found.append(token)
+            i = after
         return found
 
     def _compatible(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -141,7 +144,7 @@ class WordCodec:
             stays = []
             for code in fresh.tolist():
                 pair = [code >> 32] + ([(code & 0xFFFFFFFF) - 1] if code & 0xFFFFFFFF else [])
-                stays.append(self.merge([s for t in pair for s in self._of_token(t)]) == pair)
+                stays.append(self.merge(b"".join(map(self.bytes_of.__getitem__, pair))) == pair)
             to = np.searchsorted(self.pairs, fresh)
             self.pairs, self.stays = np.insert(self.pairs, to, fresh), np.insert(self.stays, to, stays)
             at = np.searchsorted(self.pairs, distinct)
@@ -158,7 +161,7 @@ class WordCodec:
         good[owner[~self._compatible(flat, np.full(len(flat), -1))]] = False
         good[owner[:-1][inner][~self._compatible(flat[:-1][inner], flat[1:][inner])]] = False
         for i in np.flatnonzero(~good):
-            proposed[i] = self.merge(self._symbols(words[i]))
+            proposed[i] = self.merge(self._bytes(words[i], ended=True))
         return proposed
 
     def _chunks_of(self, text: str) -> list[str]:
@@ -170,17 +173,27 @@ class WordCodec:
             text = text.replace("Σ", "σ").lower()  # each letter by itself, no final sigma
         return [text] if ODD_SPACE.search(text) else text.split()
 
-    def _learn(self, chunks: set[str]) -> None:
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
         order = list(chunks)
         words = [self._words(c) for c in order]
         distinct = list(dict.fromkeys(chain.from_iterable(words)))
-        ids = dict(zip(distinct, self.encode_words(distinct), strict=True)) if distinct else {}
-        for chunk, parts in zip(order, words, strict=True):
-            self.chunks[chunk] = tuple(chain.from_iterable(ids[w] for w in parts))
-
-    def encode_batch(self, batch: list[str]) -> list[list[int]]:
-        """Ids of each text; strings of special tokens are these tokens."""
-        found: list[list[int]] = []
+        ids = dict(zip(distinct, (array("i", x).tobytes() for x in self.encode_words(distinct)), strict=True))
+        return {c: b"".join([ids[w] for w in parts]) for c, parts in zip(order, words, strict=True)}
+
+    def _remember(self, fresh: dict[str, bytes]) -> None:
+        """Keep what comes up a second time: most rare words never do."""
+        for chunk, ids in fresh.items():
+            bit = hash(chunk) & (len(self.seen) - 1)
+            if self.seen[bit]:
+                if len(self.chunks) >= REMEMBERED:
+                    self.chunks.clear()
+                self.chunks[chunk] = ids
+            else:
+                self.seen[bit] = 1
+
+    def encode_batch(self, batch: list[str]) -> list[bytes]:
+        """Ids of each text, 32 bits each; strings of special tokens are these tokens."""
+        found: list[bytes] = []
         start = 0
         while start < len(batch):  # as many texts at once as BATCH_CHARS allows, one at least
             end, chars = start + 1, len(batch[start])
@@ -191,22 +204,36 @@ class WordCodec:
             start = end
         return found
 
-    def _encode_some(self, batch: list[str]) -> list[list[int]]:
-        split = [[p if i % 2 else self._chunks_of(p) for i, p in enumerate(self.split_special.split(text))]
-                 for text in batch]
-        chunks = set(chain.from_iterable(chain.from_iterable(parts[::2] for parts in split)))
-        if missing := chunks.difference(self.chunks):
-            if len(self.chunks) + len(missing) > REMEMBERED:
-                self.chunks.clear()
-                missing = chunks
-            self._learn(missing)
-        return [[i for n, part in enumerate(parts) for i in (
-            [self.special[part]] if n % 2 else chain.from_iterable(map(self.chunks.__getitem__, part)))]
-            for parts in split]
-
-    def decode(self, ids: np.ndarray) -> str:
+    def _encode_some(self, batch: list[str]) -> list[bytes]:
+        split, missing = [], set()
+        for text in batch:
+            parts = self.split_special.split(text) if any(s in text for s in self.special) else [text]
+            for i, part in enumerate(parts):
+                if i % 2 == 0:
+                    chunks = self._chunks_of(part)
+                    ids = list(map(self.chunks.get, chunks))
+                    if None in ids:
+                        missing.update([c for c, x in zip(chunks, ids, strict=True) if x is None])
+                    parts[i] = (chunks, ids)
+            split.append(parts)
+        fresh = self._learn(missing) if missing else {}
+        found = []
+        for parts in split:
+            for i, part in enumerate(parts):
+                if i % 2:
+                    parts[i] = array("i", [self.special[part]]).tobytes()
+                else:
+                    chunks, ids = part
+                    parts[i] = b"".join([fresh[c] if x is None else x for c, x in zip(chunks, ids, strict=True)]
+                                        if None in ids else ids)
+            found.append(b"".join(parts))
+        self._remember(fresh)
+        return found
+
+    def decode(self, ids: pa.ListArray) -> pa.Array:
         """Tokens joined by a space, as a file without a decoder has it."""
-        return " ".join(self.tokens[ids].tolist())
+        words = pa.ListArray.from_arrays(ids.offsets, self.token_array.take(ids.values), mask=pc.is_null(ids))
+        return pc.binary_join(words, " ")
 
 
 @lru_cache(maxsize=2)
@@ -218,9 +245,13 @@ def encode(text: Column, path: str) -> Column:
     """Array of ids for a column of texts; a null text is an empty one. The file must be on every executor."""
     @F.arrow_udf("array<int>")
     def encoded(column: pa.Array) -> pa.Array:
-        words = codec(path)
-        return in_slices(column, lambda batch: [np.array(ids, dtype=np.int32) for ids in words.encode_batch(
-            [t or "" for t in batch])], pa.list_(pa.int32()))
+        words, parts, sizes = codec(path), [], [0]
+        for i in range(0, len(column), 512):
+            ids = words.encode_batch([t or "" for t in column.slice(i, 512).to_pylist()])
+            sizes.extend(len(x) // 4 for x in ids)
+            parts.append(b"".join(ids))
+        flat = np.frombuffer(b"".join(parts), dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(flat))
 
     return encoded(text)
 
@@ -229,9 +260,8 @@ def decode(ids: Column, path: str) -> Column:
     """Text of a column of id arrays; null for null. Ids outside the vocabulary raise."""
     @F.arrow_udf("string")
     def decoded(column: pa.Array) -> pa.Array:
-        words = codec(path)
-        return pa.array([None if not x.is_valid else words.decode(x.values.to_numpy()) for x in column],
-                        type=pa.string())
+        parts = [codec(path).decode(column.slice(i, 512)) for i in range(0, len(column), 512)]
+        return pa.concat_arrays(parts) if parts else pa.array([], type=pa.string())
 
     return decoded(ids)
 
