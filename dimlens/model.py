@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +15,12 @@ from dimlens.errors import DatasetError
 from dimlens.functions.cells import empty_to_null, parse_boolean, parse_number, parse_number_prefix
 from dimlens.functions.concepts import ENTITY_TYPES
 from dimlens.functions.keys import MEMBERSHIP_PREFIX, key_text, membership_column
-from dimlens.operators.merge import merge
+from dimlens.operators.merge import ROW, merge
 from dimlens.operators.predicates import Bounds
 
+if TYPE_CHECKING:
+    from dimlens.sources.manifest import TableScan
+
 CONCEPTS, ENTITIES, DATAPOINTS = "concepts", "entities", "datapoints"
 COLLECTIONS = (CONCEPTS, ENTITIES, DATAPOINTS)
 
@@ -37,7 +41,10 @@ class Resource:
     wins a merge. ``unique`` says that keys are complete and occur once, also in translations,
     which makes merging cheaper. ``bounded`` opens the resource for keys
     inside the given bounds: it lets a resource derived from larger tables skip parts of them,
-    and may return rows outside the bounds.
+    and may return rows outside the bounds. With key parts in ``limited_by`` it takes, as a second
+    argument, the ids that a query allows for these parts, each as a one-column DataFrame, and
+    limits its rows to them before it derives anything. Resources with an equal ``scan`` can be
+    read together, by their ``path``.
     """
 
     name: str
@@ -47,14 +54,22 @@ class Resource:
     columns: tuple[str, ...] | None = None
     row_order: Column | None = None
     unique: bool = False
-    bounded: Callable[[Mapping[str, Bounds]], DataFrame] | None = None
+    bounded: Callable[..., DataFrame] | None = None
+    limited_by: tuple[str, ...] = ()
+    scan: TableScan | None = None
+    path: str | None = None
 
     def __post_init__(self):
         object.__setattr__(self, "key", tuple(self.key))
 
-    def rows(self, bounds: Mapping[str, Bounds]) -> DataFrame:
+    def rows(
+        self, bounds: Mapping[str, Bounds], ids: Mapping[str, DataFrame] | None = None
+    ) -> DataFrame:
         inside = {k: b for k, b in bounds.items() if k in self.key}
-        return self.bounded(inside) if self.bounded and inside else self.frame
+        wanted = {k: i for k, i in (ids or {}).items() if k in self.limited_by}
+        if not self.bounded or not (inside or wanted):
+            return self.frame
+        return self.bounded(inside, wanted) if wanted else self.bounded(inside)
 
     @cached_property
     def frame(self) -> DataFrame:
@@ -64,6 +79,10 @@ class Resource:
         source = self.translations.get(language)
         return source() if callable(source) else source
 
+    def ordered(self, rows: DataFrame) -> DataFrame:
+        """Rows with their order, if it matters, in a column that later pruning has to keep."""
+        return rows if self.row_order is None else rows.withColumn(ROW, self.row_order)
+
     @property
     def kind(self) -> str:
         if self.key == ("concept",):

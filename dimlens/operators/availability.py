@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from dimlens.functions.concepts import ENTITY_TYPES
 from dimlens.functions.keys import membership_column
 from dimlens.model import COLLECTIONS, CONCEPTS, Dataset, IndexEntry, Resource
-from dimlens.operators.merge import filled, merge
+from dimlens.operators.merge import ROW, filled, merge
 from dimlens.session import small_table
 
 _NAMES = T.ArrayType(T.StringType())
@@ -144,9 +144,11 @@ def membership(dataset: Dataset, domain: str) -> DataFrame:
         if len(resource.key) == 1 and dataset.domain_of(resource.key[0]) == domain:
             held = [c for c in resource.values if c in flags]
             if held:
-                rows = resource.frame.select(resource.key[0], *[F.col(f"`{c}`") for c in held])
+                rows = resource.ordered(resource.frame)
+                held += [ROW] if resource.row_order is not None else []
+                rows = rows.select(resource.key[0], *[F.col(f"`{c}`") for c in held])
                 frames.append(dataset.frame(resource, rows).withColumnRenamed(resource.key[0], domain))
-                orders.append(resource.row_order)
+                orders.append(F.col(ROW) if resource.row_order is not None else None)
     if not frames:
         schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("sets", _NAMES)])
         return small_table(dataset.spark, schema, [])

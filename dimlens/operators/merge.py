@@ -21,6 +21,7 @@ def merge(
     mode: str = OVERWRITE,
     row_orders: Sequence[Column | None] | None = None,
     unique: bool = False,
+    places: Sequence[Sequence[int]] | None = None,
 ) -> DataFrame:
     """Full outer merge of ``frames`` on ``key``; per column the last frame that has it wins.
 
@@ -33,20 +34,24 @@ def merge(
     ``unique`` keys, complete and once per frame, there is nothing to combine, and two frames
     are joined instead, which takes about half the time. A third frame would shuffle the result
     of the first join again, so three or more are always aggregated.
+
+    A frame may hold several files, told apart by the places in its column ``RESOURCE``; ``places``
+    then lists those of each frame, a later place winning.
     """
-    if len(frames) == 1:
-        return frames[0]
+    places = places or [[place] for place in range(len(frames))]
+    if len(frames) == 1 and len(places[0]) == 1:
+        return frames[0].drop(ROW, RESOURCE)
     if unique and len(frames) == 2 and mode != STRICT:
-        return _joined(*_align(frames), key, mode)
-    tagged, values = _tag(frames, key, row_orders)
-    ordered = ROW in tagged.columns
+        return _joined(*_align([f.drop(ROW) for f in frames]), key, mode)
+    tagged, values, orders = _tag(frames, key, row_orders, places)
     cells = []
     for name, holders in values.items():
         cell = F.col(f"`{name}`")
-        present = F.col(RESOURCE).isin(*holders) if len(holders) < len(frames) else F.lit(True)
+        everywhere = len(holders) == sum(map(len, places))
+        present = F.lit(True) if everywhere else F.col(RESOURCE).isin(*holders)
         if mode == TRANSLATION:
             present = filled(cell, tagged.schema[name].dataType)
-        rank = F.struct(RESOURCE, ROW) if ordered else F.col(RESOURCE)
+        rank = F.struct(RESOURCE, *orders) if orders else F.col(RESOURCE)
         last = F.max_by(cell, F.when(present, rank))
         if mode == STRICT:
             message = F.lit(f"resources disagree on {name}")
@@ -79,12 +84,14 @@ def _joined(older: DataFrame, newer: DataFrame, key: Sequence[str], mode: str) -
 
 def conflicts(frames: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:
     """Keys on which frames disagree: the key and the names of the columns concerned."""
-    tagged, values = _tag(frames, key, None)
+    tagged, values, _ = _tag(frames, key, None)
     flags = {}
     for name, holders in values.items():
         if len(holders) > 1:
             present = F.col(RESOURCE).isin(*holders)
             flags[name] = _disagree(F.col(f"`{name}`"), present, tagged.schema[name].dataType)
+    if not flags:
+        return tagged.select(*key, F.lit("").alias("columns")).filter(F.lit(False))
     checked = tagged.groupBy(*key).agg(*[flag.alias(name) for name, flag in flags.items()])
     names = F.concat_ws(",", *[F.when(F.col(f"`{n}`"), F.lit(n)) for n in flags])
     return checked.select(*key, names.alias("columns")).filter(F.col("columns") != "")
@@ -99,24 +106,28 @@ def last_rows(
     return rows.groupBy(*key).agg(last.alias("__last")).select(*key, "__last.*")
 
 
-def _tag(frames, key, row_orders):
+def _tag(frames, key, row_orders, places=None):
     """One table of all frames, each row marked with the place of its frame."""
-    frames = _align(frames)
+    row_orders = row_orders or [None] * len(frames)
+    places = places or [[place] for place in range(len(frames))]
+    # Rows are compared within a frame only, so each frame orders by a column of its own type.
+    orders = [None if o is None else f"{ROW}{place}" for place, o in enumerate(row_orders)]
+    frames = [
+        frame if order is None else frame.withColumn(name, order)
+        for frame, order, name in zip(frames, row_orders, orders, strict=True)
+    ]
+    frames = _align([frame.drop(ROW) for frame in frames])
     values: dict[str, list[int]] = {}
-    for place, frame in enumerate(frames):
+    for own, frame in zip(places, frames, strict=True):
         for name in frame.columns:
-            if name not in key:
-                values.setdefault(name, []).append(place)
-    row_orders = row_orders or [None] * len(frames)
-    ordered = any(order is not None for order in row_orders)
+            if name not in key and name not in orders and name != RESOURCE:
+                values.setdefault(name, []).extend(own)
     tagged = None
-    for place, (frame, order) in enumerate(zip(frames, row_orders, strict=True)):
-        marks = {RESOURCE: F.lit(place)}
-        if ordered:
-            marks[ROW] = (F.lit(0) if order is None else order).cast("bigint")
-        frame = frame.withColumns(marks)
+    for own, frame in zip(places, frames, strict=True):
+        if len(own) == 1:
+            frame = frame.withColumn(RESOURCE, F.lit(own[0]))
         tagged = frame if tagged is None else tagged.unionByName(frame, allowMissingColumns=True)
-    return tagged, values
+    return tagged, values, [name for name in orders if name]
 
 
 def _align(frames: Sequence[DataFrame]) -> list[DataFrame]:
@@ -124,7 +135,7 @@ def _align(frames: Sequence[DataFrame]) -> list[DataFrame]:
     types: dict[str, set[T.DataType]] = {}
     for frame in frames:
         for column in frame.schema:
-            if not isinstance(column.dataType, T.NullType):
+            if column.name != RESOURCE and not isinstance(column.dataType, T.NullType):
                 types.setdefault(column.name, set()).add(column.dataType)
     text = {
         name

@@ -13,9 +13,6 @@ from dimlens.errors import QueryError
 ASCENDING = ("asc", 1)
 DESCENDING = ("desc", -1)
 
-ROW_GUARD = 1_000_000
-"""Customary bound for :func:`guard_rows`."""
-
 
 def order_terms(order_by: str | Sequence[str | Mapping] | None) -> list[tuple[str, bool]]:
     """``(column, ascending)`` pairs of an ``order_by`` clause."""
@@ -52,6 +49,6 @@ def order_rows(rows: DataFrame, order_by, ties: Sequence[str] = ()) -> DataFrame
     ])
 
 
-def guard_rows(rows: DataFrame, limit: int = ROW_GUARD) -> DataFrame:
-    """At most ``limit`` rows; a sorted result becomes a distributed top-k."""
+def guard_rows(rows: DataFrame, limit: int) -> DataFrame:
+    """At most ``limit`` rows, which the caller asks for; a sorted result becomes a top-k."""
     return rows.limit(limit)

@@ -28,13 +28,10 @@ COMPARISONS = ("$eq", "$ne", "$gt", "$gte", "$lt", "$lte", "$in", "$nin")
 ARRAY_OPERATORS = ("$size", "$all", "$elemMatch")
 OPERATORS = COMBINERS + COMPARISONS + ARRAY_OPERATORS
 
-IN_LIST_LIMIT = 1000
-"""Longest ``$in`` list kept in the expression; a longer one becomes a join."""
-
 _RANGE = {"$gt": operator.gt, "$gte": operator.ge, "$lt": operator.lt, "$lte": operator.le}
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class IdJoin:
     """A join target: ``key`` must be among the ids of a one-column DataFrame."""
 
@@ -186,6 +183,21 @@ def required_id_keys(
     return {target.key for target in targets if isinstance(target, IdJoin)}
 
 
+def required_id_joins(
+    where: Mapping[str, Any] | None,
+    joins: Mapping[str, IdJoin | InlinedJoin] | None,
+    columns: Iterable[str],
+) -> list[IdJoin]:
+    """Joins with ids that must hold for certain and look at one of ``columns``."""
+    targets = [
+        (joins or {}).get(operand)
+        for _, operand in _conjuncts(where or {}, joins or {})
+        if isinstance(operand, str)
+    ]
+    wanted = set(columns)
+    return [t for t in dict.fromkeys(targets) if isinstance(t, IdJoin) and t.key in wanted]
+
+
 def _bounds(test: str, value) -> Bounds | None:
     values = list(value) if test == "$in" and isinstance(value, (list, tuple, set)) else [value]
     if not values or not all(isinstance(v, str) and v and v[0] != "$" for v in values):
@@ -199,7 +211,7 @@ def _bounds(test: str, value) -> Bounds | None:
 
 def predicate(where: Mapping[str, Any], rows: DataFrame) -> Column:
     """A condition without joins as one boolean column that is never null."""
-    compiler = _Compiler(rows, {}, set(), inline_lists=True)
+    compiler = _Compiler(rows, {}, set())
     return F.coalesce(compiler.all_of(where), F.lit(False))
 
 
@@ -212,12 +224,10 @@ class _Cell:
 
 
 class _Compiler:
-    def __init__(self, rows, joins, id_columns, inline_lists=False):
-        self.rows = rows
+    def __init__(self, rows, joins, id_columns):
         self.types = {f.name: f.dataType for f in rows.schema}
         self.joins = joins
         self.id_columns = id_columns
-        self.inline_lists = inline_lists
         self.condition = Condition()
 
     def compile(self, where) -> Condition:
@@ -225,8 +235,8 @@ class _Compiler:
             join = self.join_of(operand)
             if join is not None and join.key in self.types:
                 self.condition.semi_joins.append(join)
-            elif self.long_list(name, operand):
-                self.condition.semi_joins.append(self.list_join(name, operand["$in"]))
+            elif self.id_table(name, operand) is not None:
+                self.condition.semi_joins.append(IdJoin(name, self.id_table(name, operand)))
             else:
                 self.condition.filters.append(self.entry(name, operand))
         return self.condition
@@ -294,26 +304,18 @@ class _Compiler:
     def mark(self, join: IdJoin) -> Column:
         if join.key not in self.types:
             return F.lit(False)
+        for mark, known in self.condition.marks:
+            if known.key == join.key and known.ids is join.ids:
+                return F.col(mark)
         mark = f"__mark{len(self.condition.marks)}"
         self.condition.marks.append((mark, join))
         return F.col(mark)
 
-    def long_list(self, name, operand) -> bool:
-        return (
-            not self.inline_lists
-            and name in self.types
-            and isinstance(operand, Mapping)
-            and list(operand) == ["$in"]
-            and isinstance(operand["$in"], (list, tuple, set, frozenset))
-            and len(operand["$in"]) > IN_LIST_LIMIT
-        )
-
-    def list_join(self, name, values) -> IdJoin:
-        kind = self.types[name]
-        cell = _Cell(F.col(f"`{name}`"), kind, name in self.id_columns, name)
-        rows = [(v,) for v in _members(cell, values)]
-        schema = T.StructType([T.StructField(name, kind)])
-        return IdJoin(name, self.rows.sparkSession.createDataFrame(rows, schema))
+    def id_table(self, name, operand) -> DataFrame | None:
+        """The ids of ``{name: {"$in": DataFrame}}``, which limit the rows by a semi-join."""
+        if isinstance(operand, Mapping) and list(operand) == ["$in"] and name in self.types:
+            return operand["$in"] if isinstance(operand["$in"], DataFrame) else None
+        return None
 
     # --- leaves -------------------------------------------------------------------------
 
@@ -323,10 +325,12 @@ class _Compiler:
         if name == "$nin":
             return _negate(self.compare(cell, "$in", value))
         if name == "$in":
+            if isinstance(value, DataFrame):
+                return self.id_member(cell, value)
             if isinstance(value, (str, Mapping)) or not isinstance(value, Iterable):
-                raise QueryError("$in and $nin take a list")
+                raise QueryError("$in and $nin take a list or a DataFrame of one column")
             return self.member(cell, value)
-        if isinstance(value, (Mapping, list, tuple, set)):
+        if isinstance(value, (Mapping, list, tuple, set, DataFrame)):
             raise QueryError(f"{name} takes a single value")
         if name == "$eq":
             return _equal(cell, value)
@@ -335,13 +339,18 @@ class _Compiler:
     def member(self, cell: _Cell, values) -> Column:
         if isinstance(cell.type, T.NullType):
             return F.lit("" in values)
-        long = cell.name is not None and len(values) > IN_LIST_LIMIT and not self.inline_lists
-        if long:
-            return self.mark(self.list_join(cell.name, values))
         members = _members(cell, values)
         listed = cell.column.isin(*members) if members else F.lit(False)
         return listed | _empty(cell) if "" in values else listed
 
+    def id_member(self, cell: _Cell, ids: DataFrame) -> Column:
+        """Whether the cell is among the ids of a table, of any size; empty cells never are."""
+        if isinstance(cell.type, T.NullType):
+            return F.lit(False)
+        if cell.name is None:
+            raise QueryError("elements of an array are not compared with a DataFrame")
+        return self.mark(IdJoin(cell.name, ids))
+
     def compare_array(self, cell: _Cell, name: str, value) -> Column:
         if not isinstance(cell.type, T.ArrayType):
             raise QueryError(f"{name} needs an array column")
@@ -440,7 +449,11 @@ def _ranged(cell: _Cell, compare, value) -> Column:
 
 
 def _members(cell: _Cell, values) -> list:
-    """Operands of a membership test: only those of the cell's own type can match."""
+    """Operands of a membership test: only those of the cell's own type can match.
+
+    Spark keeps a list of constants as a hash set, whatever its length; ids by the million are
+    better given as a DataFrame.
+    """
     if _is_text(cell.type):
         return [v for v in values if isinstance(v, str) and v != ""]
     if isinstance(cell.type, T.BooleanType):

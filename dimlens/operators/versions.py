@@ -7,16 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dimlens.operators.merge import last_rows
-
 CREATED, CHANGED, REMOVED = "created", "changed", "removed"
 
 
 def version_diff(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
     """``(key, change, columns)`` of the rows that differ; ``columns`` names the changed ones.
 
-    A column that one version lacks counts as empty there. Keys are unique in each version.
+    A column that one version lacks counts as empty there. One whose type changed is named for
+    every row that has it filled in either version. Keys are unique in each version.
     """
+    retyped = {
+        c for c in old.columns
+        if c in new.columns and c not in key and old.schema[c].dataType != new.schema[c].dataType
+    }
     values = list(dict.fromkeys(c for c in old.columns + new.columns if c not in key))
 
     def side(rows, name):
@@ -25,7 +28,12 @@ def version_diff(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFram
 
     joined = side(old, "o").join(side(new, "n"), list(key), "full_outer")
     changed = [
-        F.when(~F.col(f"o.`{c}`").eqNullSafe(F.col(f"n.`{c}`")), F.lit(c)) for c in values
+        F.when(
+            F.col(f"o.`{c}`").isNotNull() | F.col(f"n.`{c}`").isNotNull() if c in retyped
+            else ~F.col(f"o.`{c}`").eqNullSafe(F.col(f"n.`{c}`")),
+            F.lit(c),
+        )
+        for c in values
     ]
     both = F.col("o").isNotNull() & F.col("n").isNotNull()
     return (
@@ -46,20 +54,33 @@ def apply_changes(
     order: Sequence[str],
     removed: str | None = None,
 ) -> DataFrame:
-    """``base`` with the last change of each key; ``removed`` marks changes that close a row.
+    """``base`` with the changes of each key; ``removed`` marks changes that close a row.
 
-    ``order`` columns belong to the changes alone; any change comes after the base row.
+    ``order`` columns belong to the changes alone; any change comes after the base row. A change
+    sets the columns that ``changes`` has; columns that only the base has keep what they hold. A
+    key whose last change closes it is gone, and a row that a later change opens again starts
+    anew, with the other columns empty.
     """
-    columns = [F.col(f"`{c}`") for c in base.columns]
+    partial = [c for c in base.columns if c not in changes.columns]
+    set_by = [c for c in base.columns if c not in partial and c not in key]
     ranks = [f"__rank{i}" for i in range(len(order))]
     gone = F.coalesce(F.col(f"`{removed}`"), F.lit(False)) if removed else F.lit(False)
     newer = changes.select(
-        *columns,
-        gone.alias("__gone"),
-        F.lit(1).alias("__age"),
+        *key, F.struct(*[F.col(f"`{c}`") for c in set_by], gone.alias("__gone")).alias("__new"),
         *[F.col(f"`{c}`").alias(r) for c, r in zip(order, ranks, strict=True)],
     )
-    older = base.select(*columns, F.lit(False).alias("__gone"), F.lit(0).alias("__age"))
-    rows = newer.unionByName(older, allowMissingColumns=True)
-    last = last_rows(rows, key, ["__age", *ranks])
-    return last.filter(~F.col("__gone")).select(*columns)
+    last = newer.groupBy(*key).agg(
+        F.max_by("__new", F.struct(*ranks)).alias("__new"),
+        F.bool_or("__new.__gone").alias("__closed"),
+    )
+    older = base.select(*key, F.struct(F.lit(True).alias("__here"), *[
+        F.col(f"`{c}`") for c in base.columns if c not in key]).alias("__old"))
+    joined = older.join(last, list(key), "full_outer")
+    changed = F.col("__new").isNotNull()
+    cells = {
+        c: F.when(changed, F.col(f"__new.`{c}`")).otherwise(F.col(f"__old.`{c}`")) for c in set_by
+    }
+    cells |= {c: F.when(~F.coalesce("__closed", F.lit(False)), F.col(f"__old.`{c}`"))
+              for c in partial if c not in key}
+    left = joined.filter(~F.coalesce("__new.__gone", F.lit(False)))
+    return left.select(*[cells[c].alias(c) if c in cells else F.col(f"`{c}`") for c in base.columns])

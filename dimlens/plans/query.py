@@ -13,7 +13,7 @@ from dimlens.functions.cells import empty_to_null
 from dimlens.functions.keys import membership_column
 from dimlens.model import CONCEPTS, ENTITIES, Dataset, Resource
 from dimlens.operators.availability import schema_view
-from dimlens.operators.merge import TRANSLATION, merge
+from dimlens.operators.merge import RESOURCE, ROW, TRANSLATION, merge
 from dimlens.operators.normalize import apply_parsers
 from dimlens.operators.order import order_rows
 from dimlens.operators.predicates import (
@@ -24,6 +24,7 @@ from dimlens.operators.predicates import (
     join_references,
     plain_conjuncts,
     referenced_fields,
+    required_id_joins,
     required_id_keys,
     semi_join,
 )
@@ -61,12 +62,14 @@ def query(
     # The ids of a join on a set are members of it already.
     limited = required_id_keys(where, joins)
     sets = [k for k in key if dataset.type_of(k) == "entity_set" and k not in limited]
-    # A join merge is not passed by joins with ids. Spark moves those below an aggregation when
-    # the ids are small, and keeps them above it otherwise.
-    rows = _merged(dataset, key, value, where, joins, language, joinable=not (limited or sets))
-    rows = compile_condition(where, rows, joins, key).apply(rows)
-    for name in sets:
-        rows = semi_join(rows, IdJoin(name, members(dataset, name)))
+    # Ids limit the key, which a merge keeps, so every resource meets them before its rows are
+    # shuffled; and the rest of the condition no longer needs those joins.
+    ids = [IdJoin(name, members(dataset, name)) for name in sets]
+    ids += required_id_joins(where, joins, key)
+    rows = _merged(dataset, key, value, where, joins, language, ids)
+    condition = compile_condition(where, rows, joins, key)
+    condition.semi_joins = [j for j in condition.semi_joins if not any(j.ids is i.ids for i in ids)]
+    rows = condition.apply(rows)
     selected = list(dict.fromkeys(key + value))
     rows = rows.select(*[_column(dataset, rows, name) for name in selected])
     return order_rows(rows, order_by, ties=key)
@@ -117,7 +120,7 @@ def _joins(dataset, where, join) -> dict[str, IdJoin | InlinedJoin]:
     return targets
 
 
-def _merged(dataset, key, value, where, joins, language, joinable) -> DataFrame:
+def _merged(dataset, key, value, where, joins, language, ids) -> DataFrame:
     """All resources of the key and values as one table, before any filter on values."""
     hidden = [f for f in referenced_fields(where) if f not in key and f not in value]
     resources = dataset.resolve(key, value + hidden)
@@ -125,33 +128,65 @@ def _merged(dataset, key, value, where, joins, language, joinable) -> DataFrame:
         schema = T.StructType([T.StructField(k, T.StringType()) for k in key])
         return dataset.spark.createDataFrame([], schema)
     wanted, bounds = {*value, *hidden}, column_bounds(where, joins)
-    frames = [_prepared(dataset, r, key, wanted, language, bounds) for r in resources]
-    unique = joinable and len(resources) == 2 and all(r.unique for r in resources)
-    if unique:
-        # Filters on the key do not pass a full outer join by themselves.
-        part = plain_conjuncts(where, joins, key)
-        frames = [compile_condition(part, rows, {}, key).apply(rows) for rows in frames]
-    return merge(frames, key, row_orders=[r.row_order for r in resources], unique=unique)
-
-
-def _prepared(dataset, resource: Resource, key, wanted, language, bounds) -> DataFrame:
-    """One resource: translated, pruned to what the query uses, keyed by the query's names."""
+    part = plain_conjuncts(where, joins, key)["$and"]
+    frames, places = [], []
+    for group, own in _scans(resources, language):
+        first = group[0]
+        rows = _prepared(dataset, first, key, wanted, language, bounds, ids, part,
+                         first.scan.open({r.path: p for r, p in zip(group, own, strict=True)})
+                         if len(own) > 1 else None)
+        frames.append(rows)
+        places.append(own)
+    unique = len(resources) == 2 and len(frames) == 2 and all(r.unique for r in resources)
+    return merge(frames, key, row_orders=[_order(rows) for rows in frames], unique=unique, places=places)
+
+
+def _scans(resources: Sequence[Resource], language: str | None):
+    """Resources that one scan reads, with their places; translated ones are read one by one."""
+    groups: dict[Any, tuple[list[Resource], list[int]]] = {}
+    for place, resource in enumerate(resources):
+        together = resource.scan is not None and not (language and language in resource.translations)
+        group, own = groups.setdefault(resource.scan if together else place, ([], []))
+        group.append(resource)
+        own.append(place)
+    return groups.values()
+
+
+def _order(rows: DataFrame) -> Column | None:
+    return F.col(ROW) if ROW in rows.columns else None
+
+
+def _prepared(
+    dataset, resource: Resource, key, wanted, language, bounds, ids, part, rows=None
+) -> DataFrame:
+    """One resource: limited by its key, translated, pruned, keyed by the query's names."""
     renames = key_renames(dataset, key, resource.key)
-    names = {renames.get(part, part): part for part in resource.key}
-    rows = resource.rows({names[k]: b for k, b in bounds.items() if k in names})
+    names = {renames.get(name, name): name for name in resource.key}
+    taken_over = {names[j.key]: j.ids for j in ids if names.get(j.key) in resource.limited_by}
+    if rows is None:
+        rows = resource.rows({names[k]: b for k, b in bounds.items() if k in names}, taken_over)
+    # Before rows are numbered, which a filter does not pass, so that it reaches the scan.
+    own = {"$and": [{names[k]: test} for p in part for k, test in p.items() if k in names]}
+    rows = compile_condition(own, rows, {}, resource.key).apply(rows)
+    rows = resource.ordered(rows)
     translation = resource.translation(language) if language else None
     if translation is not None:
         rows = merge(
             [rows, translation.select(*[c for c in translation.columns if c in rows.columns])],
             resource.key,
             TRANSLATION,
-            [resource.row_order, None] if resource.row_order is not None else None,
+            [_order(rows), None],
             resource.unique,
         )
     taken = set(renames.values()) - set(resource.key)
-    kept = [c for c in rows.columns if c in resource.key or c in wanted and c not in taken]
+    kept = [c for c in rows.columns
+            if c in (ROW, RESOURCE) or c in resource.key or c in wanted and c not in taken]
     rows = dataset.frame(resource, rows.select(*[F.col(f"`{c}`") for c in kept]))
-    return rows.withColumnsRenamed(renames) if renames else rows
+    rows = rows.withColumnsRenamed(renames) if renames else rows
+    for join in ids:
+        if names.get(join.key) not in taken_over:
+            rows = semi_join(rows, join)
+    return rows
 
 
 def _column(dataset, rows, name) -> Column:

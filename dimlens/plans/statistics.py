@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from dimlens.model import COLLECTIONS, CONCEPTS, Dataset
 from dimlens.operators.availability import Memberships, by_key_names
-from dimlens.operators.merge import merge
+from dimlens.operators.merge import ROW, merge
 from dimlens.operators.rename import key_renames
 
 
@@ -48,17 +48,19 @@ def _group_statistics(members: Memberships, key, resources) -> DataFrame | None:
     dataset = members.dataset
     frames, orders = [], []
     for resource in resources:
-        rows = dataset.frame(resource)
+        rows = resource.ordered(dataset.frame(resource))
+        order = [ROW] if resource.row_order is not None else []
         numbers = [
             f.name
             for f in rows.schema
             if f.name not in resource.key and isinstance(f.dataType, T.NumericType)
         ]
         if numbers:
-            rows = rows.select(*resource.key, *[F.col(f"`{n}`").cast("double") for n in numbers])
+            numbers = [F.col(f"`{n}`").cast("double").alias(n) for n in numbers]
+            rows = rows.select(*resource.key, *numbers, *order)
             renames = key_renames(dataset, key, resource.key)
             frames.append(rows.withColumnsRenamed(renames) if renames else rows)
-            orders.append(resource.row_order)
+            orders.append(F.col(ROW) if order else None)
     if not frames:
         return None
     rows = merge(frames, key, row_orders=orders)

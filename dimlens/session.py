@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -47,10 +50,18 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     if not base:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder shared by the cluster")
-        base = tempfile.mkdtemp(prefix="dimlens-")
+        base = _local_folder(spark.sparkContext.applicationId)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
+@functools.lru_cache(maxsize=None)
+def _local_folder(application: str) -> str:
+    """One temporary folder for a local application, removed when it ends."""
+    folder = tempfile.mkdtemp(prefix="dimlens-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def small_table(spark: SparkSession, schema: T.StructType, rows: Sequence[tuple]) -> DataFrame:
     """Metadata as a DataFrame that lives in the plan: filtering it starts no job."""
     arrow = to_arrow_schema(schema)

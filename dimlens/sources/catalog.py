@@ -28,7 +28,8 @@ class Version:
     commit: str
 
     def path(self, base: str) -> str:
-        return f"{base}{self.dataset}/{self.branch}-{self.commit}"
+        folder = f"{self.dataset}/{self.branch}-{self.commit}"
+        return f"{base.rstrip('/')}/{folder}" if base else folder
 
 
 def read_registry(spark: SparkSession, path: str) -> tuple[DataFrame, Version]:
@@ -110,6 +111,7 @@ def resolve_versions(
 
     The default fills the gaps; the error says which part of the version does not exist.
     """
+    base = f"{base.rstrip('/')}/" if base else ""
     filled = requests.withColumns({
         "dataset": F.coalesce("dataset", F.lit(default.dataset)),
         "branch": F.coalesce("branch", F.lit(default.branch)),

@@ -5,12 +5,15 @@ from __future__ import annotations
 import functools
 import json
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from urllib.parse import quote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dimlens.errors import DatasetError
 from dimlens.model import COLLECTIONS, Dataset, IndexEntry, Resource
+from dimlens.operators.merge import RESOURCE
 from dimlens.sources.catalog import Version, flatten_catalog, registry_from, resolve_version
 from dimlens.sources.tables import path_exists, read_table, row_number_in_file
 
@@ -18,11 +21,13 @@ from dimlens.sources.tables import path_exists, read_table, row_number_in_file
 MANIFEST = "datapackage.json"
 INDEX_MEMBER = "ddfSchema"
 TRANSLATION_FOLDER = "lang"
+DELIMITED, PARQUET = "csv", "parquet"
 
 _ENTRY = "array<struct<primaryKey:string,value:string,resources:array<string>>>"
 _SCHEMA = (
-    "resources array<struct<name:string,path:string,dialect:struct<delimiter:string>,"
-    "schema:struct<primaryKey:string>>>, "
+    "resources array<struct<name:string,path:string,format:string,"
+    "dialect:struct<delimiter:string,multiline:boolean>,"
+    "schema:struct<primaryKey:string,fields:array<struct<name:string>>>>>, "
     "translations array<struct<id:string>>, "
     f"{INDEX_MEMBER} struct<" + ",".join(f"{c}:{_ENTRY}" for c in COLLECTIONS) + ">"
 )
@@ -33,13 +38,27 @@ def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(_SCHEMA).json(f"{folder}/{MANIFEST}", multiLine=True)
 
 
+def manifest_from(spark: SparkSession, text: str) -> DataFrame:
+    """The manifest given as text, as one row."""
+    return parse_manifests(spark.createDataFrame([(text,)], "value string"))
+
+
+def parse_manifests(texts: DataFrame) -> DataFrame:
+    """One row per text of the only column, each the text of a manifest."""
+    parsed = F.from_json(F.col(f"`{texts.columns[0]}`"), _SCHEMA)
+    return texts.select(parsed.alias("m")).select("m.*")
+
+
 def manifest_resources(manifest: DataFrame) -> DataFrame:
-    """``(place, name, path, delimiter, key array<string>)`` in manifest order."""
+    """``(place, name, path, format, delimiter, multiline, key, columns)`` in manifest order."""
     return manifest.select(F.posexplode("resources").alias("place", "r")).select(
         "place",
         "r.name",
         "r.path",
+        F.coalesce("r.format", F.lit(DELIMITED)).alias("format"),
         F.col("r.dialect.delimiter").alias("delimiter"),
+        F.col("r.dialect.multiline").alias("multiline"),
+        F.col("r.schema.fields.name").alias("columns"),
         _key_list(F.col("r.schema.primaryKey")).alias("key"),
     )
 
@@ -60,46 +79,86 @@ def open_folder(
     spark: SparkSession,
     folder: str,
     name: str | None = None,
-    multiline: bool | None = None,
+    multiline: bool = True,
     unique_keys: bool = False,
+    manifest: str | None = None,
 ) -> Dataset:
     """The dataset in a folder. Files are opened when a query needs them.
 
-    With ``unique_keys`` the keys of each file are taken to be unique, as the manifest says, and
-    no row order is tracked.
+    The manifest, in the folder or given as text, says for each resource its format (delimited
+    text or Parquet, which may be partitioned), its columns and delimiter, and whether cells hold
+    line breaks; ``multiline`` stands in where it does not. Delimited files alike in key, columns
+    and dialect are read by one scan, however many there are. With ``unique_keys`` the keys of each
+    file are taken to be unique, as the manifest says, and no row order is tracked.
     """
     folder = folder.rstrip("/")
-    manifest = read_manifest(spark, folder)
+    given = read_manifest(spark, folder) if manifest is None else manifest_from(spark, manifest)
     languages = [
         row.id
-        for row in manifest.select(F.explode("translations").alias("t")).select("t.id").collect()
+        for row in given.select(F.explode("translations").alias("t")).select("t.id").collect()
     ]
     resources = []
-    for row in manifest_resources(manifest).orderBy("place").collect():
+    for row in manifest_resources(given).orderBy("place").collect():
+        if row.format not in (DELIMITED, PARQUET):
+            raise DatasetError(f"resource {row.name} has the unknown format {row.format}")
+        key, path = tuple(row.key), f"{folder}/{row.path}"
+        dialect = (row.delimiter, multiline if row.multiline is None else row.multiline)
         open_table = functools.partial(
-            read_table, spark, delimiter=row.delimiter, multiline=multiline
+            read_table, spark, delimiter=dialect[0], multiline=dialect[1]
         )
+        columns = tuple(row.columns) if row.columns else None
+        if row.format == PARQUET:
+            source = functools.partial(spark.read.parquet, path)
+        else:
+            source = functools.partial(open_table, path, columns=columns)
+        alike = row.format == DELIMITED and columns and dialect[0]
         resources.append(Resource(
             row.name,
-            tuple(row.key),
-            functools.partial(open_table, f"{folder}/{row.path}"),
+            key,
+            source,
             {
                 language: functools.partial(
                     _translation, spark, open_table,
-                    f"{folder}/{TRANSLATION_FOLDER}/{language}/{row.path}", tuple(row.key),
+                    f"{folder}/{TRANSLATION_FOLDER}/{language}/{row.path}", key,
                 )
                 for language in languages
             },
+            columns and tuple(c for c in columns if c not in key),
             row_order=None if unique_keys else row_number_in_file(),
             unique=unique_keys,
+            scan=TableScan(spark, folder, key, columns, *dialect) if alike else None,
+            path=row.path,
         ))
     index = [
         IndexEntry(row.kind, tuple(row.key), row.value, tuple(row.resources))
-        for row in manifest_index(manifest).collect()
+        for row in manifest_index(given).collect()
     ]
     return Dataset(spark, resources, index, name or folder.rsplit("/", 1)[-1], folder=folder)
 
 
+@dataclass(frozen=True)
+class TableScan:
+    """What delimited files have in common that one scan can read."""
+
+    spark: SparkSession
+    folder: str
+    key: tuple[str, ...]
+    columns: tuple[str, ...]
+    delimiter: str
+    multiline: bool
+
+    def open(self, places: Mapping[str, int]) -> DataFrame:
+        """Rows of the tables at the given paths, each marked with the place of its table."""
+        rows = read_table(self.spark, [f"{self.folder}/{p}" for p in places], self.delimiter,
+                          self.multiline, self.columns)
+        base = quote(urlparse(self.folder).path) + "/"
+        file = F.substring_index(F.col("_metadata.file_path"), base, -1)
+        known = F.create_map(*[F.lit(x) for p, i in places.items() for x in (quote(p), i)])
+        # A table is a file, or a folder of part files.
+        place = F.coalesce(known[file], known[F.regexp_replace(file, "/[^/]*$", "")])
+        return rows.withColumn(RESOURCE, place)
+
+
 def open_version(
     spark: SparkSession,
     base: str,
@@ -129,7 +188,12 @@ def manifest_text(
     """The manifest file for resources stored at ``paths``."""
     return json.dumps({
         "resources": [
-            {"name": r.name, "path": paths[r.name], "schema": {"primaryKey": list(r.key)}}
+            {
+                "name": r.name, "path": paths[r.name],
+                "dialect": {"delimiter": ","},
+                "schema": {"primaryKey": list(r.key),
+                           "fields": [{"name": c} for c in r.frame.columns]},
+            }
             for r in resources
         ],
         "translations": [{"id": language} for language in languages],

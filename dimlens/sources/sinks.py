@@ -19,6 +19,16 @@ def tabular(rows: DataFrame, key: Sequence[str], value: Sequence[str]) -> DataFr
     ])
 
 
+def json_lines(rows: DataFrame) -> DataFrame:
+    """``value``: each row as the line that :func:`write_json` writes for it."""
+    return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def csv_lines(rows: DataFrame) -> DataFrame:
+    """``value``: each row as the line that :func:`write_csv` writes for it."""
+    return rows.select(F.to_csv(F.struct("*"), {"escape": '"'}).alias("value"))
+
+
 def write_json(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One JSON object per line; nulls are written, so that every row has every column."""
     rows.write.json(path, mode=mode, ignoreNullFields=False)

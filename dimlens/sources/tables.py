@@ -2,66 +2,69 @@
 
 from __future__ import annotations
 
+import csv
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# The delimiters that are guessed, in order of preference.
-DELIMITERS = (",", "\t", "|", ";", "\x1e", "\x1f")
-PREVIEW_LINES = 10
+from dimlens.errors import DatasetError
 
-ONE_TASK_BYTES = 128 * 1024 * 1024
-"""Largest delimited file that is read by one task without looking for line breaks in cells."""
+# The delimiters that a header line can show.
+DELIMITERS = ",\t|;\x1e\x1f"
 
 
 def read_table(
-    spark: SparkSession, path: str, delimiter: str | None = None, multiline: bool | None = None
+    spark: SparkSession,
+    path: str | Sequence[str],
+    delimiter: str | None = None,
+    multiline: bool = True,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Rows of a delimited file with a header, all cells text, blank lines skipped.
+    """Rows of delimited files with a header, all cells text, blank lines skipped.
 
-    ``multiline`` allows line breaks inside quotes but keeps a file in one task. When it is left
-    open, small files are read that way, and large ones only if they need it.
+    ``columns`` are the names in the header, which each file is checked for; with them and the
+    ``delimiter`` nothing is read before the rows are. Without them the header line of the first
+    path tells. ``multiline`` allows line breaks inside quotes, for which a file has to stay in one
+    task; files without any are read in splits when it is off.
     """
-    if multiline is None:
-        multiline = not _is_large(spark, path) or cells_span_lines(spark, path)
-    delimiter = delimiter or guess_delimiter(spark, path)
-    rows = spark.read.csv(
-        path, header=True, sep=delimiter, quote='"', escape='"', multiLine=multiline,
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    paths = [path] if isinstance(path, str) else list(path)
+    if delimiter is None or columns is None:
+        line = header_line(spark, paths[0])
+        delimiter = delimiter or header_delimiter(line, paths[0])
+        columns = columns or next(csv.reader([line], delimiter=delimiter))
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in columns])
+    return spark.read.schema(schema).csv(
+        paths, header=True, enforceSchema=False, sep=delimiter, quote='"', escape='"',
+        multiLine=multiline, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     )
-    names = [c.removeprefix("\ufeff") for c in rows.columns]
-    return rows.toDF(*names) if names != rows.columns else rows
-
 
-def row_number_in_file():
-    """Row order inside one file: increases along the file, without a shuffle."""
-    return F.monotonically_increasing_id()
 
-
-def cells_span_lines(spark: SparkSession, path: str) -> bool:
-    """Whether some cell holds a line break: its first line then has an odd number of quotes."""
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+def row_number_in_file() -> Column:
+    """Row order inside one table: by file, then along it, without a shuffle."""
+    return F.struct(
+        F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
+        F.monotonically_increasing_id().alias("row"),
+    )
 
 
-def _is_large(spark: SparkSession, path: str) -> bool:
-    """Whether some file of the table is too large for one task; reads file sizes only."""
-    files = spark.read.format("binaryFile").load(path)
-    return (files.agg(F.max("length")).first()[0] or 0) > ONE_TASK_BYTES
+def header_line(spark: SparkSession, path: str) -> str:
+    """The first line of a file; one task reads it."""
+    lines = spark.read.text(path).filter(F.col("value") != "").head(1)
+    if not lines:
+        raise DatasetError(f"{path} has no header")
+    return lines[0].value.removeprefix("\ufeff")
 
 
-def guess_delimiter(spark: SparkSession, path: str) -> str:
-    """The delimiter that splits the first lines most evenly into two fields or more."""
-    lines = [r.value for r in spark.read.text(path).filter(F.col("value") != "").head(PREVIEW_LINES)]
-    best, best_spread = DELIMITERS[0], None
-    for delimiter in DELIMITERS:
-        widths = [line.count(delimiter) + 1 for line in lines]
-        if not widths or sum(widths) / len(widths) <= 1.99:
-            continue
-        spread = sum(abs(a - b) for a, b in zip(widths, widths[1:]))
-        if best_spread is None or spread < best_spread:
-            best, best_spread = delimiter, spread
-    return best
+def header_delimiter(line: str, path: str = "the table") -> str:
+    """The delimiter that a header shows outside quotes; a comma if it has one column only."""
+    outside = "".join(line.split('"')[::2])
+    shown = [d for d in DELIMITERS if d in outside]
+    if len(shown) > 1:
+        raise DatasetError(f"the header of {path} shows several delimiters; name one in its dialect")
+    return shown[0] if shown else ","
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -1,8 +1,7 @@
 """Change streams: every batch is reduced to the last change per key and stored once.
 
 The changes stay beside the base table and are merged when read, so a batch costs what it
-brings, not what the base holds. Running :func:`current_rows` and storing the result as the next
-base folds them in.
+brings, not what the base holds. :func:`fold_changes` folds stored batches into the next base.
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from dimlens.operators.merge import last_rows
@@ -45,23 +45,55 @@ def store_changes(
     )
 
 
-def read_changes(spark: SparkSession, path: str) -> DataFrame | None:
-    """All stored changes, None before the first batch."""
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        return spark.read.parquet(path).drop(BATCH_FOLDER)
+        return spark.read.parquet(path)
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
 
 
+def read_changes(spark: SparkSession, path: str, after: int = -1) -> DataFrame | None:
+    """Changes of the batches after number ``after``, None before the first batch.
+
+    The number is a partition column: folders of earlier batches are not read.
+    """
+    changes = _stored(spark, path)
+    return None if changes is None else changes.filter(F.col(BATCH_FOLDER) > after).drop(BATCH_FOLDER)
+
+
 def current_rows(
     base: DataFrame,
     path: str,
     key: Sequence[str],
     order: Sequence[str],
     removed: str | None = None,
+    after: int = -1,
 ) -> DataFrame:
-    """The base table with every stored change applied, the last per key winning."""
-    changes = read_changes(base.sparkSession, path)
+    """The base table with the stored changes after batch ``after`` applied, the last per key winning."""
+    changes = read_changes(base.sparkSession, path, after)
     return base if changes is None else apply_changes(base, changes, key, order, removed)
+
+
+def fold_changes(
+    base: DataFrame,
+    path: str,
+    key: Sequence[str],
+    order: Sequence[str],
+    target: str,
+    removed: str | None = None,
+) -> int:
+    """Write the base with all batches stored so far to ``target``; the number of the last one.
+
+    Later reads take ``target`` as base and only batches after that number: see ``read_changes``.
+    The batch folders stay for readers of the old base.
+    """
+    changes = _stored(base.sparkSession, path)
+    last = -1 if changes is None else changes.agg(F.max(BATCH_FOLDER)).first()[0]
+    rows = base
+    if last is not None and last >= 0:
+        folded = changes.filter(F.col(BATCH_FOLDER) <= last).drop(BATCH_FOLDER)
+        rows = apply_changes(base, folded, key, order, removed)
+    rows.write.parquet(target)
+    return -1 if last is None else last

@@ -26,7 +26,7 @@ WITH versions AS (
   SELECT DISTINCT o_orderpriority AS repo,
          CASE o_orderstatus WHEN 'F' THEN 'master' WHEN 'O' THEN 'stage' ELSE 'develop' END
            AS branch,
-         strftime(o_orderdate, '%Y-%m') AS hash FROM orders WHERE year(o_orderdate) < 2000),
+         strftime(o_orderdate, '%Y-%m') AS hash FROM orders),
 catalog AS (
   SELECT repo, branch, hash,
          row_number() OVER (PARTITION BY repo, branch ORDER BY hash DESC) = 1 AS is_head,
@@ -47,9 +47,8 @@ def versions(spark, sf_dir):
 
 def registry(spark, sf_dir):
     """Bounded by the calendar: distinct months per state and priority."""
-    known = versions(spark, sf_dir).filter("o_orderdate < timestamp '2000-01-01 00:00:00'")
     return (
-        known.select("repo", "branch", "hash").distinct()
+        versions(spark, sf_dir).select("repo", "branch", "hash").distinct()
         .groupBy("repo", "branch")
         .agg(F.sort_array(F.collect_list("hash"), asc=False).alias("hashes"))
         .groupBy("repo")

@@ -17,11 +17,13 @@ from dimlens.workload.trade import (
     concept_rows,
     orders_by_segment,
     spending,
+    table,
     trade_dataset,
 )
 
 COUNTS = ("orders_by_country", "corrections", "country_entities")
 BOTH = (*COUNTS, "shipments_by_country")
+EVENTFUL = (*COUNTS, "events_by_country")
 
 
 @registered(SQL + "SELECT * FROM counted WHERE CAST(time AS INT) > 1996 AND time < '2000'")
@@ -33,11 +35,12 @@ def dp_plain_range(spark, sf_dir):
     )
 
 
-@registered(SQL + "SELECT * FROM merged")
+@registered(SQL + "SELECT * FROM eventful")
 def dp_two_indicators_merge(spark, sf_dir):
+    """Indicators of different years: either leaves gaps."""
     return query(
-        trade_dataset(spark, sf_dir, *BOTH), "datapoints", ["country", "time"],
-        ["order_count", "shipped_qty"],
+        trade_dataset(spark, sf_dir, *EVENTFUL), "datapoints", ["country", "time"],
+        ["order_count", "event_count"],
     )
 
 
@@ -119,30 +122,30 @@ def dp_domain_key_from_sets(spark, sf_dir):
 
 
 @registered(SQL + """
-SELECT * FROM merged
-WHERE shipped_qty IS DISTINCT FROM 0 AND coalesce(order_count NOT IN (60, 70, 80), true)
+SELECT * FROM eventful
+WHERE event_count IS DISTINCT FROM 70 AND coalesce(order_count NOT IN (60, 70, 80), true)
   AND country <> 'NATION_7'
 """)
 def dp_ne_nin_nulls(spark, sf_dir):
     return query(
-        trade_dataset(spark, sf_dir, *BOTH), "datapoints", ["country", "time"],
-        ["order_count", "shipped_qty"],
-        where={"shipped_qty": {"$ne": 0}, "order_count": {"$nin": [60, 70, 80]},
+        trade_dataset(spark, sf_dir, *EVENTFUL), "datapoints", ["country", "time"],
+        ["order_count", "event_count"],
+        where={"event_count": {"$ne": 70}, "order_count": {"$nin": [60, 70, 80]},
                "country": {"$ne": "NATION_7"}},
     )
 
 
 @registered(SQL + """
-SELECT * FROM merged
+SELECT * FROM eventful
 WHERE NOT coalesce(order_count > 80, false)
-  AND NOT (coalesce(shipped_qty < 12000, false) OR time = '1999')
+  AND NOT (coalesce(event_count < 50, false) OR time = '1999')
 """)
 def dp_not_nor(spark, sf_dir):
     return query(
-        trade_dataset(spark, sf_dir, *BOTH), "datapoints", ["country", "time"],
-        ["order_count", "shipped_qty"],
+        trade_dataset(spark, sf_dir, *EVENTFUL), "datapoints", ["country", "time"],
+        ["order_count", "event_count"],
         where={"order_count": {"$not": {"$gt": 80}},
-               "$nor": [{"shipped_qty": {"$lt": 12000}}, {"time": "1999"}]},
+               "$nor": [{"event_count": {"$lt": 50}}, {"time": "1999"}]},
     )
 
 
@@ -288,6 +291,34 @@ def dp_sorted_top(spark, sf_dir):
     return guard_rows(rows, 40)
 
 
+@registered("""
+WITH cells AS (
+  SELECT user_id AS customer, strftime(ts, '%Y-%m-%d') AS time, event_type, value, ts, event_id
+  FROM events),
+clicks AS (
+  SELECT customer, time, arg_max(value, (ts, event_id)) AS balance FROM cells
+  WHERE event_type = 'click' GROUP BY ALL),
+others AS (
+  SELECT customer, time, arg_max(value, (ts, event_id)) AS balance FROM cells
+  WHERE event_type <> 'click' GROUP BY ALL)
+SELECT customer, time, coalesce(o.balance, c.balance) AS balance
+FROM clicks c FULL JOIN others o USING (customer, time)
+""")
+def dp_repeated_keys_last_row(spark, sf_dir):
+    """Files that repeat their keys: the last row by its time stamp counts, then the last file."""
+    events = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("customer"), F.date_format("ts", "yyyy-MM-dd").alias("time"),
+        F.col("value").alias("balance"), "event_type", "ts", "event_id",
+    )
+    source = trade_dataset(spark, sf_dir, "customer_entities")
+    order, key = F.struct("ts", "event_id"), ("customer", "time")
+    dataset = Dataset(spark, [*source.resources.values(), *(
+        Resource(name, key, events.filter(kind), columns=("balance",), row_order=order)
+        for name, kind in (("clicks", "event_type = 'click'"), ("others", "event_type <> 'click'"))
+    )], disjoint=True)
+    return query(dataset, "datapoints", ["customer", "time"], ["balance"])
+
+
 @registered(SQL + """
 SELECT lower(country) AS country, time, order_count * 2 AS order_count,
        order_count > 60 AS busy FROM counted

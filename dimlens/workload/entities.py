@@ -232,8 +232,53 @@ def document_translation(spark, sf_dir):
 
 @registered("""
 SELECT n_name AS country, 'name' AS columns FROM nation
+WHERE n_nationkey % 3 <> 0
 """)
 def translation_conflicts(spark, sf_dir):
-    """Where a translated name, or its absence, differs from the original."""
-    names = countries(spark, sf_dir).select("country", F.initcap("country").alias("name"))
-    return conflicts([names, country_translations(spark, sf_dir)], ["country"])
+    """Where a translated name, or its absence, differs from the original; a third is untranslated."""
+    names = countries(spark, sf_dir).select(
+        "n_nationkey", "country", F.initcap("country").alias("name"))
+    translated = country_translations(spark, sf_dir).withColumnRenamed("name", "translated")
+    translated = names.join(translated, "country").select(
+        "country", F.when(F.col("n_nationkey") % 3 == 0, F.col("name"))
+        .otherwise(F.col("translated")).alias("name"))
+    return conflicts([names.drop("n_nationkey"), translated], ["country"])
+
+
+@registered("""
+SELECT c_custkey AS customer, c_name AS name FROM customer
+WHERE (c_custkey % 2 = 0 AND c_custkey < 6000) OR c_name IN ('Customer#1', 'Customer#000000001')
+""")
+def ent_long_in_list(spark, sf_dir):
+    """A list of three thousand ids, inside a disjunction."""
+    return query(
+        trade_dataset(spark, sf_dir, "customer_entities"), "entities", ["customer"], ["name"],
+        where={"$or": [{"customer": {"$in": list(range(0, 6000, 2))}},
+                       {"name": {"$in": ["Customer#1", "Customer#000000001"]}}]},
+    )
+
+
+@registered("""
+SELECT c_custkey AS customer, c_acctbal AS balance FROM customer
+WHERE NOT (c_custkey % 3 = 0 AND c_custkey < 9000) AND c_acctbal > 0
+""")
+def ent_nin_long_list(spark, sf_dir):
+    return query(
+        trade_dataset(spark, sf_dir, "customer_entities"), "entities", ["customer"], ["balance"],
+        where={"customer": {"$nin": [str(i) for i in range(0, 9000, 3)]}, "balance": {"$gt": 0}},
+    )
+
+
+@registered("""
+SELECT c_custkey AS customer, c_name AS name FROM customer
+WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')
+  AND c_custkey NOT IN (SELECT user_id FROM events WHERE event_type = 'error')
+""")
+def ent_ids_from_tables(spark, sf_dir):
+    """Ids by the table: one that must hold them, and one that must not."""
+    urgent = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select("o_custkey")
+    failed = table(spark, sf_dir, "events").filter("event_type = 'error'").select("user_id")
+    return query(
+        trade_dataset(spark, sf_dir, "customer_entities"), "entities", ["customer"], ["name"],
+        where={"$and": [{"customer": {"$in": urgent}}, {"customer": {"$nin": failed}}]},
+    )

@@ -8,9 +8,8 @@ from dimlens.functions.keys import canonical_key
 from dimlens.plans.query import query
 from dimlens.session import shared_folder
 from dimlens.sources.assets import ASSET_FOLDER, get_asset
-from dimlens.sources.manifest import manifest_index, open_folder, read_manifest
-from dimlens.sources.sinks import tabular, write_csv, write_folder, write_json
-from dimlens.sources.tables import read_table
+from dimlens.sources.manifest import INDEX_MEMBER, manifest_index, open_folder, parse_manifests
+from dimlens.sources.sinks import csv_lines, json_lines, tabular, write_folder
 from dimlens.workload.datapoints import BOTH
 from dimlens.workload.registry import registered
 from dimlens.workload.trade import SQL, TRANSLATED, customer_orders, table, trade_dataset
@@ -49,18 +48,26 @@ def ent_folder_translated(spark, sf_dir):
 
 
 @registered("""
-SELECT kind, key, value, resources FROM (VALUES
-  ('concepts', 'concept', 'concept_type', 'concepts'), ('concepts', 'concept', 'domain', 'concepts'),
-  ('entities', 'customer', 'name', 'customer_entities')) v(kind, key, value, resources)
-WHERE kind = 'concepts'
-UNION ALL SELECT 'entities', key, value, 'customer_entities'
-FROM (SELECT DISTINCT lower(c_mktsegment) AS key FROM customer UNION SELECT 'customer') k,
-     unnest(['name', 'home', 'balance', 'is--automobile', 'is--building', 'is--furniture',
-             'is--household', 'is--machinery']) AS v(value)
+SELECT DISTINCT 'datapoints' AS kind, n_name || ',time' AS key, lower(c_mktsegment) AS value,
+       'orders' AS resources
+FROM customer JOIN nation ON c_nationkey = n_nationkey
+UNION ALL SELECT DISTINCT 'entities', n_name, 'segment', 'nations,' || n_name
+FROM customer JOIN nation ON c_nationkey = n_nationkey
 """)
 def manifest_pairs(spark, sf_dir):
-    """The availability index of a stored dataset, read from its manifest."""
-    index = manifest_index(read_manifest(spark, _folder(spark, sf_dir, "customer_entities")))
+    """The availability index of one manifest per nation, with a value for each segment it has."""
+    customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    found = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(
+        "n_name", F.lower("c_mktsegment").alias("segment")).agg(F.count("*").alias("rows"))
+    entry = F.struct(F.array("n_name", F.lit("time")).alias("primaryKey"),
+                     F.col("segment").alias("value"), F.array(F.lit("orders")).alias("resources"))
+    entities = F.array(F.struct(F.col("n_name").alias("primaryKey"), F.lit("segment").alias("value"),
+                                F.array(F.lit("nations"), F.col("n_name")).alias("resources")))
+    texts = found.groupBy("n_name").agg(F.collect_list(entry).alias("datapoints")).select(
+        F.to_json(F.struct(F.struct(
+            F.array().cast("array<string>").alias("concepts"), entities.alias("entities"),
+            "datapoints").alias(INDEX_MEMBER))))
+    index = manifest_index(parse_manifests(texts))
     return index.select("kind", canonical_key(F.col("key")).alias("key"), "value",
                         F.array_join("resources", ",").alias("resources"))
 
@@ -69,10 +76,10 @@ def manifest_pairs(spark, sf_dir):
 SELECT customer, time, order_cents, CAST(NULL AS VARCHAR) AS note FROM by_customer
 """)
 def result_as_json(spark, sf_dir):
-    path = shared_folder(spark, "json")
+    """Every row as the line of text that a JSON result holds, and back."""
     rows = tabular(customer_orders(spark, sf_dir, {}), ["customer", "time"], ["order_cents", "note"])
-    write_json(rows, path)
-    return spark.read.schema(rows.schema).json(path)
+    line = json_lines(rows)
+    return line.select(F.from_json("value", rows.schema).alias("row")).select("row.*")
 
 
 @registered("""
@@ -80,19 +87,20 @@ SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority,
        o_orderstatus || ', "' || o_orderpriority || '"' AS label FROM orders
 """)
 def result_as_csv(spark, sf_dir):
-    """Delimiters and quotes inside cells survive."""
-    path = shared_folder(spark, "csv")
+    """Every row as a line of a delimited result, and back: delimiters and quotes survive."""
     label = F.concat("o_orderstatus", F.lit(', "'), "o_orderpriority", F.lit('"'))
     rows = table(spark, sf_dir, "orders").withColumn("label", label)
-    write_csv(tabular(rows, ["o_orderkey"], ["o_orderpriority", "label"]), path)
-    return read_table(spark, path)
+    line = csv_lines(tabular(rows, ["o_orderkey"], ["o_orderpriority", "label"]))
+    schema = "o_orderkey string, o_orderpriority string, label string"
+    return line.select(F.from_csv("value", schema, {"escape": '"'}).alias("row")).select("row.*")
 
 
 @registered("""
 SELECT n_name AS country, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey
 """)
 def asset_rows(spark, sf_dir):
-    """A JSON asset per region, read back as rows."""
+    """A JSON asset per region, read back as rows. A region's asset lists its nations, so its size
+    is that of one document."""
     folder = shared_folder(spark, "dataset")
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     rows = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(

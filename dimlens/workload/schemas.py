@@ -21,6 +21,8 @@ pairs AS (
          'orders_by_country' AS resource FROM by_country
   UNION SELECT 'datapoints', unnest(['country,time', 'geo,time']), 'shipped_qty',
          'shipments_by_country' FROM shipments
+  UNION SELECT 'datapoints', unnest(['country,time', 'geo,time']), 'event_count',
+         'events_by_country' FROM event_counts
   UNION SELECT 'datapoints', unnest(['time,world_region', 'geo,time']), 'order_count',
          'orders_by_region' FROM by_region
   UNION SELECT 'datapoints', unnest(['country,time', 'geo,time']), 'order_count',
@@ -48,8 +50,8 @@ pairs AS (
 places AS (
   SELECT * FROM (VALUES ('concepts', 0), ('country_entities', 1), ('region_entities', 2),
     ('customer_entities', 3), ('orders_by_country', 4), ('shipments_by_country', 5),
-    ('orders_by_region', 6), ('corrections', 7), ('orders_by_segment', 8),
-    ('customer_orders', 9)) p(resource, place))
+    ('events_by_country', 6), ('orders_by_region', 7), ('corrections', 8),
+    ('orders_by_segment', 9), ('customer_orders', 10)) p(resource, place))
 """
 
 # Statistics per key and value over the merged data.
@@ -134,11 +136,11 @@ def merge_conflicts(spark, sf_dir):
 
 
 @registered(SQL + """
-SELECT 'trade' AS dataset, CAST(19 AS BIGINT) AS concepts,
+SELECT 'trade' AS dataset, (SELECT count(DISTINCT c_mktsegment) FROM customer) + 15 AS concepts,
   (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) + (SELECT count(*) FROM customer)
     AS entities,
   (SELECT count(*) FROM by_country) + (SELECT count(*) FROM shipments)
-    + (SELECT count(*) FROM by_region) + (SELECT count(*) FROM corrections)
+    + (SELECT count(*) FROM by_region) + (SELECT count(*) FROM event_counts) + (SELECT count(*) FROM corrections)
     + (SELECT count(*) FROM by_segment) + (SELECT count(*) FROM by_customer) AS datapoints,
   (SELECT count(*) FROM nation) AS translations
 """)

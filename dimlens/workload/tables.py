@@ -105,7 +105,7 @@ def normalize_text_cells(spark, sf_dir):
         F.year("o_orderdate").cast("string").alias("year"),
         F.col("o_orderpriority").alias("shout"),
     )
-    return normalize_cells(orders, parsers={"shout": F.upper})
+    return normalize_cells(orders, parsers={"shout": F.upper}, numeric=["price", "year"])
 
 
 NEW_VERSION_SQL = """
@@ -190,19 +190,54 @@ def stream_updates(spark, sf_dir):
 
 
 @registered("""
-SELECT o_orderkey, any_value(o_totalprice) AS o_totalprice, count(l_orderkey) AS lines,
-       CAST(sum(l_quantity) AS BIGINT) AS quantity
+SELECT o_orderkey, any_value(o_totalprice) AS o_totalprice, o_orderkey % 7 AS shelf,
+       count(l_orderkey) AS lines, CAST(sum(l_quantity) AS BIGINT) AS quantity
 FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey
 HAVING count(l_orderkey) > 0
-UNION ALL SELECT o_orderkey, o_totalprice, NULL, NULL FROM orders
+UNION ALL SELECT o_orderkey, o_totalprice, o_orderkey % 7, NULL, NULL FROM orders
 WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
-UNION ALL SELECT l_orderkey, NULL, count(*), CAST(sum(l_quantity) AS BIGINT) FROM lineitem
-WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) GROUP BY l_orderkey
+UNION ALL SELECT l_orderkey, NULL, l_orderkey % 7, count(*), CAST(sum(l_quantity) AS BIGINT)
+FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) GROUP BY l_orderkey
 """)
 def merge_order_totals(spark, sf_dir):
-    """Order headers and line totals as one wide table; a disagreement would stop the query."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    """Order headers and line totals as one wide table; a shelf they disagree on would stop it."""
+    shelf = (F.col("o_orderkey") % 7).alias("shelf")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", shelf)
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.count("*").alias("lines"), F.sum("l_quantity").cast("bigint").alias("quantity")
     )
-    return merge([orders, lines], ["o_orderkey"], STRICT)
+    return merge([orders, lines.select("*", shelf)], ["o_orderkey"], STRICT)
+
+
+@registered("""
+SELECT o_orderkey, 'changed' AS change, concat_ws(',', 'o_custkey',
+       CASE WHEN o_orderpriority = '1-URGENT' THEN 'o_totalprice' END) AS columns FROM orders
+""")
+def version_diff_retyped(spark, sf_dir):
+    """A later version that writes customer keys as text, and reprices some orders."""
+    old = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    price = F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_totalprice") + 1)
+    new = old.withColumns({
+        "o_custkey": F.col("o_custkey").cast("string"),
+        "o_totalprice": price.otherwise(F.col("o_totalprice")),
+    })
+    return diff(old, new, ["o_orderkey"])
+
+
+@registered(f"""
+WITH ranked AS (
+  SELECT *, ts >= {SPLIT} AS change,
+         row_number() OVER (PARTITION BY user_id, ts >= {SPLIT} ORDER BY ts DESC, event_id DESC)
+           AS place,
+         bool_or(event_type = 'error') OVER (PARTITION BY user_id, ts >= {SPLIT}) AS closed FROM events)
+SELECT coalesce(n.user_id, o.user_id) AS user_id, coalesce(n.event_type, o.event_type) AS event_type,
+       CASE WHEN NOT coalesce(n.closed, false) THEN o.value END AS value
+FROM (SELECT * FROM ranked WHERE place = 1 AND NOT change) o
+FULL JOIN (SELECT * FROM ranked WHERE place = 1 AND change) n ON o.user_id = n.user_id
+WHERE coalesce(n.event_type, '') <> 'error'
+""")
+def apply_partial_updates(spark, sf_dir):
+    """Updates that set one column and leave the other as it was."""
+    base, changes = _base_and_changes(spark, sf_dir)
+    return apply_changes(base, changes.drop("value"), ["user_id"], ["ts", "event_id"], "removed")

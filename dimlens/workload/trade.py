@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dimlens.model import Dataset, Resource
-from dimlens.operators.predicates import Bounds
+from dimlens.operators.predicates import Bounds, IdJoin, semi_join
 from dimlens.session import small_table
 
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
@@ -38,15 +38,21 @@ CONCEPTS = [
     ("order_count", "measure", None),
     ("order_cents", "measure", None),
     ("shipped_qty", "measure", None),
+    ("event_count", "measure", None),
     ("top_segment", "string", None),
     ("domain", "string", None),
 ]
 
 
-@functools.lru_cache(maxsize=64)
+_schemas: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables; its footer is read once."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the given tables; only its schema is remembered, so that its footer is read once."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def year(column: str):
@@ -82,12 +88,13 @@ def countries(spark, sf_dir) -> DataFrame:
     )
 
 
-def customer_years(spark, sf_dir, bounds, condition=None) -> DataFrame:
-    """``(o_custkey, time, order_count, order_cents)`` of orders up to the year 2000."""
-    upto = bounds.get("time", Bounds()).within(Bounds(high="2000"))
-    orders = dated(table(spark, sf_dir, "orders"), "o_orderdate", {"time": upto})
+def customer_years(spark, sf_dir, bounds, condition=None, customers=None) -> DataFrame:
+    """``(o_custkey, time, order_count, order_cents)``, of some customers if their ids are given."""
+    orders = dated(table(spark, sf_dir, "orders"), "o_orderdate", bounds)
     if condition is not None:
         orders = orders.filter(condition)
+    if customers is not None:
+        orders = semi_join(orders, IdJoin("o_custkey", customers))
     return orders.groupBy("o_custkey", year("o_orderdate")).agg(
         F.count("*").alias("order_count"), F.sum(cents("o_totalprice")).alias("order_cents")
     )
@@ -131,8 +138,7 @@ def orders_by_segment(spark, sf_dir, bounds) -> DataFrame:
 
 def spending(spark, sf_dir, bounds) -> DataFrame:
     """Four dimensions; combined per customer, priority and year before the join."""
-    upto = bounds.get("time", Bounds()).within(Bounds(high="2000"))
-    orders = dated(table(spark, sf_dir, "orders"), "o_orderdate", {"time": upto})
+    orders = dated(table(spark, sf_dir, "orders"), "o_orderdate", bounds)
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     return (
         orders.groupBy("o_custkey", F.col("o_orderpriority").alias("priority"), year("o_orderdate"))
@@ -146,9 +152,7 @@ def spending(spark, sf_dir, bounds) -> DataFrame:
 
 
 def shipments_by_country(spark, sf_dir, bounds) -> DataFrame:
-    """Shipped quantity from 1997 on."""
-    since = bounds.get("time", Bounds()).within(Bounds(low="1997"))
-    lines = dated(table(spark, sf_dir, "lineitem"), "l_shipdate", {"time": since})
+    lines = dated(table(spark, sf_dir, "lineitem"), "l_shipdate", bounds)
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     return (
         lines.groupBy("l_suppkey", year("l_shipdate"))
@@ -161,8 +165,22 @@ def shipments_by_country(spark, sf_dir, bounds) -> DataFrame:
     )
 
 
-def customer_orders(spark, sf_dir, bounds) -> DataFrame:
-    return customer_years(spark, sf_dir, bounds).withColumnRenamed("o_custkey", "customer")
+def events_by_country(spark, sf_dir, bounds) -> DataFrame:
+    """Events by the country of their customer; they lie in other years than the orders."""
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    return (
+        dated(table(spark, sf_dir, "events"), "ts", bounds)
+        .groupBy("user_id", year("ts")).agg(F.count("*").alias("event_count"))
+        .join(customer, F.col("user_id") == F.col("c_custkey"))
+        .groupBy("c_nationkey", "time").agg(F.sum("event_count").alias("event_count"))
+        .join(nations(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
+        .select("country", "time", "event_count")
+    )
+
+
+def customer_orders(spark, sf_dir, bounds, ids=None) -> DataFrame:
+    rows = customer_years(spark, sf_dir, bounds, customers=(ids or {}).get("customer"))
+    return rows.withColumnRenamed("o_custkey", "customer")
 
 
 def country_entities(spark, sf_dir) -> DataFrame:
@@ -212,6 +230,7 @@ ENTITIES = {
 DATAPOINTS = {
     "orders_by_country": (("country", "time"), orders_by_country, ("order_count",)),
     "shipments_by_country": (("country", "time"), shipments_by_country, ("shipped_qty",)),
+    "events_by_country": (("country", "time"), events_by_country, ("event_count",)),
     "orders_by_region": (("world_region", "time"), orders_by_region, ("order_count",)),
     "corrections": (("country", "time"), corrections, ("order_count",)),
     "orders_by_segment": (("country", "segment", "time"), orders_by_segment,
@@ -233,7 +252,8 @@ def trade_dataset(spark: SparkSession, sf_dir: str, *names: str) -> Dataset:
         build = functools.partial(build, spark, sf_dir)
         source = functools.partial(build, {})
         resources.append(
-            Resource(name, key, source, columns=columns, unique=True, bounded=build)
+            Resource(name, key, source, columns=columns, unique=True, bounded=build,
+                     limited_by=("customer",) if build.func is customer_orders else ())
         )
     chosen = [r for r in resources if not names or r.name in ("concepts", *names)]
     return Dataset(spark, chosen, name="trade", disjoint=True)
@@ -250,8 +270,7 @@ placed AS (
          o_orderpriority AS priority,
          CAST(round(o_totalprice * 100) AS BIGINT) AS cents
   FROM orders JOIN customer ON o_custkey = c_custkey
-       JOIN countries ON c_nationkey = n_nationkey
-  WHERE year(o_orderdate) <= 2000),
+       JOIN countries ON c_nationkey = n_nationkey),
 by_country AS (
   SELECT country, time, count(*) AS order_count FROM placed GROUP BY ALL),
 by_region AS (
@@ -273,12 +292,18 @@ shipments AS (
   SELECT country, CAST(year(l_shipdate) AS VARCHAR) AS time,
          CAST(sum(l_quantity) AS BIGINT) AS shipped_qty
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
-       JOIN countries ON s_nationkey = n_nationkey
-  WHERE year(l_shipdate) >= 1997 GROUP BY ALL),
+       JOIN countries ON s_nationkey = n_nationkey GROUP BY ALL),
+event_counts AS (
+  SELECT country, CAST(year(ts) AS VARCHAR) AS time, count(*) AS event_count
+  FROM events JOIN customer ON user_id = c_custkey JOIN countries ON c_nationkey = n_nationkey
+  GROUP BY ALL),
 counted AS (
   SELECT country, time, coalesce(c.order_count, o.order_count) AS order_count
   FROM by_country o FULL JOIN corrections c USING (country, time)),
 merged AS (
   SELECT country, time, order_count, shipped_qty
-  FROM counted FULL JOIN shipments USING (country, time))
+  FROM counted FULL JOIN shipments USING (country, time)),
+eventful AS (
+  SELECT country, time, order_count, event_count
+  FROM counted FULL JOIN event_counts USING (country, time))
 """

@@ -1,5 +1,6 @@
 """Merging: order, empty cells, absent columns, duplicates, and a chained full join as check."""
 
+import datetime
 import random
 
 import pytest
@@ -136,3 +137,26 @@ def test_unique_keys_are_joined_below_key_filters(spark, tmp_path):
     plan = explained(rows)
     assert plan.count("GreaterThanOrEqual(anno,2010)") == 2
     assert "Aggregate" not in plan
+
+
+def test_row_order_keeps_its_type_and_need_not_be_selected(spark):
+    rows = spark.createDataFrame([
+        ("x", "new", datetime.datetime(2020, 1, 1, 0, 0, 0, 900000)),
+        ("x", "old", datetime.datetime(2020, 1, 1, 0, 0, 0, 100000))], "k string, name string, at timestamp")
+    concepts = spark.createDataFrame([("k", "entity_domain"), ("name", "string"), ("at", "string")],
+                                     "concept string, concept_type string")
+    other = spark.createDataFrame([("y", "other", 1)], "k string, name string, n int")
+    dataset = Dataset(spark, [Resource("concepts", ("concept",), concepts),
+                              Resource("a", ("k",), rows.repartition(2), row_order=F.col("at")),
+                              Resource("b", ("k",), other, row_order=F.col("n"))])
+    found = query(dataset, "entities", ["k"], ["name"]).collect()
+    assert sorted(map(tuple, found)) == [("x", "new"), ("y", "other")]
+
+
+def test_conflicts_without_shared_columns(spark):
+    a = spark.createDataFrame([("x", 1)], "k string, a int")
+    b = spark.createDataFrame([("x", 2)], "k string, b int")
+    assert conflicts([a, b], ["k"]).collect() == []
+    with pytest.raises(Exception, match="resources disagree on a"):
+        merge([a, a.withColumn("a", F.lit(5))], ["k"], STRICT).collect()
+    assert merge([a, a.withColumn("b", F.lit(5))], ["k"], STRICT).collect() == [("x", 1, 5)]

@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from dimlens.errors import QueryError
-from dimlens.operators import predicates
 from dimlens.operators.predicates import (
     Bounds,
+    IdJoin,
     column_bounds,
     compile_condition,
     predicate,
@@ -114,19 +114,48 @@ def test_filters_reach_the_scan(spark, cells, tmp_path):
         assert pushed in plan
 
 
-def test_long_list_becomes_a_join(spark, monkeypatch):
-    monkeypatch.setattr(predicates, "IN_LIST_LIMIT", 3)
+@pytest.mark.parametrize("padding", [0, 3000])
+def test_lists_of_any_length_give_the_same_rows(spark, padding):
+    rows = spark.createDataFrame(
+        [(0, "a", 1.0, datetime.date(2020, 1, 1)), (1, "", 2.0, None), (2, None, None, datetime.date(2021, 1, 1)),
+         (3, "b", 4.0, datetime.date(2020, 1, 1))], "id long, text string, number double, day date")
+
+    def ids(where):
+        return sorted(r.id for r in compile_condition(where, rows, {}, ["id"]).apply(rows).collect())
+
+    texts = ["", "a", *(f"x{i}" for i in range(padding))]
+    numbers = [1, 4, *range(100, 100 + padding)]
+    days = ["2020-01-01", *[str(datetime.date(1800, 1, 1) + datetime.timedelta(i)) for i in range(padding)]]
+    whole = ["0", 3, *range(100, 100 + padding)]
+    for name, members, kept in (("text", texts, [0, 1, 2]), ("number", numbers, [0, 3]),
+                                ("day", days, [0, 3]), ("id", whole, [0, 3])):
+        rest = sorted({0, 1, 2, 3} - set(kept))
+        assert ids({name: {"$in": members}}) == kept
+        assert ids({name: {"$nin": members}}) == rest
+        assert ids({"$or": [{name: {"$in": members}}, {"id": 1}]}) == sorted({*kept, 1})
+        assert ids({name: {"$not": {"$in": members}}}) == rest
+
+
+def test_ids_in_a_table(spark):
     rows = spark.range(100).select(F.col("id").cast("string").alias("who"), "id")
-    where = {"who": {"$in": [str(i) for i in range(5, 15)]}}
+    ids = spark.range(5, 15).select(F.col("id").cast("string"))
+    where = {"who": {"$in": ids}}
     condition = compile_condition(where, rows)
     assert len(condition.semi_joins) == 1 and not condition.filters
     assert condition.apply(rows).count() == 10
-    either = {"$or": [where, {"id": {"$gte": 98}}]}
-    condition = compile_condition(either, rows)
+    condition = compile_condition({"$or": [where, {"id": {"$gte": 98}}]}, rows)
+    assert len(condition.marks) == 1 and condition.apply(rows).count() == 12
+    assert compile_condition({"who": {"$nin": ids}}, rows).apply(rows).count() == 90
+    assert compile_condition({"gone": {"$nin": ids}}, rows).apply(rows).count() == 100
+
+
+def test_one_mark_per_join(spark):
+    rows = spark.range(10).select(F.col("id").cast("string").alias("who"), "id")
+    joins = {"$a": IdJoin("who", rows.filter("id < 3").select("who"))}
+    where = {"$or": [{"$and": [{"who": "$a"}, {"id": 1}]}, {"$not": {"who": "$a"}}]}
+    condition = compile_condition(where, rows, joins)
     assert len(condition.marks) == 1
-    assert condition.apply(rows).count() == 12
-    excluded = compile_condition({"who": {"$nin": where["who"]["$in"]}}, rows)
-    assert excluded.apply(rows).count() == 90
+    assert sorted(r.id for r in condition.apply(rows).collect()) == [1, 3, 4, 5, 6, 7, 8, 9]
 
 
 def test_numeric_ids_as_text(spark):

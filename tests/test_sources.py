@@ -1,3 +1,4 @@
+import json
 import pathlib
 
 import pytest
@@ -6,9 +7,9 @@ from pyspark.sql import functions as F
 from dimlens import DatasetError, IndexEntry, Reader, Version, open_folder, open_version, query
 from dimlens.functions.concepts import concept_class
 from dimlens.functions.cells import is_identifier
+from dimlens.operators.merge import last_rows
 from dimlens.operators.normalize import normalize_cells
 from dimlens.session import shared_folder
-from dimlens.sources import tables
 from dimlens.sources.assets import get_asset, get_binary_asset
 from dimlens.sources.catalog import (
     catalog_aliases,
@@ -20,8 +21,8 @@ from dimlens.sources.catalog import (
     resolve_version,
 )
 from dimlens.sources.sinks import tabular, write_csv, write_folder, write_json, write_parquet
-from dimlens.sources.tables import guess_delimiter, read_table
-from tests.company import found
+from dimlens.sources.tables import header_delimiter, read_table, row_number_in_file
+from tests.company import explained, found
 
 VERSIONS = {
     "shop": {"master": ["c3", "c2", "c1"], "develop": ["d1"]},
@@ -90,28 +91,111 @@ def test_hand_written_folder(spark, tmp_path):
 
 
 @pytest.mark.parametrize("line, delimiter", [
-    ("a,b,c", ","), ("a\tb", "\t"), ("a|b", "|"), ("a;b;c", ";"), ("a\x1eb", "\x1e"), ("a", ",")])
-def test_delimiters(spark, tmp_path, line, delimiter):
-    write(tmp_path / "t.csv", f"{line}\n{line}\n")
-    assert guess_delimiter(spark, str(tmp_path / "t.csv")) == delimiter
+    ("a,b,c", ","), ("a\tb", "\t"), ("a|b", "|"), ("a;b;c", ";"), ("a\x1eb", "\x1e"), ("a", ","),
+    ('"a;b",c', ",")])
+def test_delimiters(line, delimiter):
+    assert header_delimiter(line) == delimiter
 
 
-def test_large_files_are_split_when_no_cell_spans_lines(spark, tmp_path, monkeypatch):
+def test_ambiguous_header():
+    with pytest.raises(DatasetError, match="several delimiters"):
+        header_delimiter("a,b;c")
+
+
+def test_quoted_descriptions(spark, tmp_path):
+    rows = "".join(f'c{i},"one, two, first; second; third"\n' for i in range(12))
+    write(tmp_path / "t.csv", "concept,description\n" + rows)
+    table = read_table(spark, str(tmp_path / "t.csv"))
+    assert table.columns == ["concept", "description"] and table.count() == 12
+    assert table.first().description == "one, two, first; second; third"
+
+
+def jobs(spark, group, work):
+    """How many jobs some work starts."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        work()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_many_files_are_one_scan(spark, tmp_path):
+    """Three hundred files of one key plan with a fixed number of jobs; the last one wins."""
+    fields = [{"name": n} for n in ("place", "anno", "v")]
+    resources = []
+    for i in range(300):
+        write(tmp_path / "data" / f"f {i}.csv", f"place,anno,v\nx,2000,{i}\np{i},2000,{i}\n")
+        resources.append({"name": f"f{i}", "path": f"data/f {i}.csv", "dialect": {"delimiter": ","},
+                          "schema": {"primaryKey": ["place", "anno"], "fields": fields}})
+    write(tmp_path / "c.csv", "concept,concept_type\nplace,entity_domain\nanno,time\nv,measure\n")
+    resources.append({"name": "c", "path": "c.csv", "schema": {"primaryKey": "concept"}})
+    manifest = json.dumps({"resources": resources, "translations": [], "ddfSchema": {
+        "concepts": [{"primaryKey": ["concept"], "value": "concept_type", "resources": ["c"]}],
+        "entities": [],
+        "datapoints": [{"primaryKey": ["place", "anno"], "value": "v",
+                        "resources": [f"f{i}" for i in range(300)]}]}})
+    few = json.loads(manifest)
+    few["resources"] = few["resources"][:3] + few["resources"][-1:]
+    few["ddfSchema"]["datapoints"][0]["resources"] = ["f0", "f1", "f2"]
+    held = []
+
+    def plan(manifest):
+        dataset = open_folder(spark, str(tmp_path), manifest=manifest)
+        held.append(query(dataset, "datapoints", ["place", "anno"], ["v"], where={"anno": "2000"}))
+
+    started = jobs(spark, "many files", lambda: plan(manifest))
+    few_started = jobs(spark, "few files", lambda: plan(json.dumps(few)))
+    assert started <= few_started + 2 < 12  # Spark lists many paths by a job of its own
+    assert explained(held[0]).count("Scan csv") == 1
+    assert "PushedFilters: [IsNotNull(anno), EqualTo(anno,2000)]" in explained(held[0])
+    rows = {r.place: r.v for r in held[0].collect()}
+    assert rows["x"] == 299 and rows["p7"] == 7 and len(rows) == 301
+
+
+def test_partitioned_resource_is_pruned(spark, tmp_path):
+    frame = spark.createDataFrame([("x", "2000", 1.0), ("y", "2000", 2.0), ("x", "2001", 3.0)],
+                                  "place string, anno string, v double")
+    write_parquet(frame, str(tmp_path / "data.parquet"), ["place"])
+    write(tmp_path / "c.csv", "concept,concept_type\nplace,entity_domain\nanno,time\nv,measure\n")
+    manifest = json.dumps({"resources": [
+        {"name": "d", "path": "data.parquet", "format": "parquet",
+         "schema": {"primaryKey": ["place", "anno"]}},
+        {"name": "c", "path": "c.csv", "schema": {"primaryKey": "concept"}}], "translations": [],
+        "ddfSchema": {"concepts": [{"primaryKey": ["concept"], "value": "concept_type", "resources": ["c"]}],
+                      "entities": [], "datapoints": [
+                          {"primaryKey": ["place", "anno"], "value": "v", "resources": ["d"]}]}})
+    dataset = open_folder(spark, str(tmp_path), manifest=manifest, unique_keys=True)
+    rows = query(dataset, "datapoints", ["place", "anno"], ["v"], where={"place": "x"})
+    assert "PartitionFilters: [isnotnull(place" in explained(rows)
+    assert found(rows) == [("x", "2000", 1.0), ("x", "2001", 3.0)]
+
+
+def test_part_files_keep_their_order(spark, tmp_path):
+    """The later part file wins, however small it is."""
+    folder = tmp_path / "t.csv"
+    write(folder / "part-0.csv", "k,v\na,old\n")
+    write(folder / "part-1.csv", "k,v\na,new\n" + "".join(f"{i},x\n" for i in range(3000)))
+    rows = read_table(spark, str(folder), ",", columns=["k", "v"])
+    last = last_rows(rows.withColumn("n", row_number_in_file()), ["k"], ["n"])
+    assert last.filter("k = 'a'").first().v == "new"
+
+
+def test_files_without_line_breaks_are_split(spark, tmp_path):
     plain = "k,v\n" + "".join(f'k{i},"say ""{i}"""\n' for i in range(2000))
     write(tmp_path / "plain.csv", plain)
     write(tmp_path / "broken.csv", plain + 'last,"one\ntwo"\n')
-    monkeypatch.setattr(tables, "ONE_TASK_BYTES", 1000)
     small_splits = {"spark.sql.files.maxPartitionBytes": "4000",
                     "spark.sql.files.openCostInBytes": "1000"}
     for name, value in small_splits.items():
         spark.conf.set(name, value)
     try:
-        split = read_table(spark, str(tmp_path / "plain.csv"))
+        split = read_table(spark, str(tmp_path / "plain.csv"), multiline=False)
         whole = read_table(spark, str(tmp_path / "broken.csv"))
         assert split.rdd.getNumPartitions() > 1 and whole.rdd.getNumPartitions() == 1
         assert found(split) == found(whole.filter("k <> 'last'"))
         assert found(whole.filter("k = 'last'")) == [("last", "one\ntwo")]
-        order = split.select(tables.row_number_in_file().alias("n"), "k").orderBy("n").collect()
+        order = split.select(row_number_in_file().alias("n"), "k").orderBy("n").collect()
         assert [r.k for r in order] == [f"k{i}" for i in range(2000)]
     finally:
         for name in small_splits:
@@ -119,7 +203,8 @@ def test_large_files_are_split_when_no_cell_spans_lines(spark, tmp_path, monkeyp
 
 
 def test_versions(spark, firms, tmp_path):
-    base = f"{tmp_path}/"
+    base = f"{tmp_path}"
+    assert DEFAULT.path(base) == DEFAULT.path(base + "/") == f"{base}/shop/master-c2"
     write_folder(firms, DEFAULT.path(base))
     opened = open_version(spark, base, VERSIONS, DEFAULT)
     assert query(opened, "entities", ["region"]).count() == 2

@@ -8,7 +8,7 @@ from dimlens.operators.latest import latest_per_key
 from dimlens.operators.order import guard_rows, order_rows
 from dimlens.operators.predicates import IdJoin, mark_join, semi_join
 from dimlens.operators.versions import apply_changes, version_diff
-from dimlens.streaming.changes import current_rows, store_changes
+from dimlens.streaming.changes import current_rows, fold_changes, read_changes, store_changes
 from tests.company import explained, found, listed
 
 
@@ -118,3 +118,32 @@ def test_hot_key_is_split(spark, how):
     finally:
         for name, value in before.items():
             spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
+
+
+def test_version_diff_of_a_retyped_column(spark):
+    old = spark.createDataFrame([(1, 5, "a"), (2, None, "b")], "k int, v int, w string")
+    new = spark.createDataFrame([(1, "five", "a"), (2, None, "c")], "k int, v string, w string")
+    assert found(version_diff(old, new, ["k"])) == [(1, "changed", "v"), (2, "changed", "w")]
+
+
+def test_partial_changes(spark):
+    base = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (3, "c", "z")], "k int, v string, w string")
+    changes = spark.createDataFrame(
+        [(1, "new", 1, False), (2, "gone", 1, True), (4, "added", 1, False), (3, "gone", 1, True), (3, "back", 2, False)],
+        "k int, v string, seq int, gone boolean")
+    assert found(apply_changes(base, changes, ["k"], ["seq"], "gone")) == [
+        (1, "new", "x"), (3, "back", None), (4, "added", None)]
+
+
+def test_stored_batches_fold_into_the_base(spark, tmp_path):
+    base = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    path, key = str(tmp_path / "changes"), ["k"]
+    for number, row in enumerate([(1, "one", 1), (2, "two", 2)]):
+        spark.createDataFrame([row], "k int, v string, seq int").write.parquet(f"{path}/change_batch={number}")
+    last = fold_changes(base, path, key, ["seq"], str(tmp_path / "folded"))
+    assert last == 1
+    folded = spark.read.parquet(str(tmp_path / "folded"))
+    assert found(folded) == [(1, "one"), (2, "two")]
+    spark.createDataFrame([(2, "three", 3)], "k int, v string, seq int").write.parquet(f"{path}/change_batch=2")
+    assert read_changes(spark, path, last).count() == 1
+    assert found(current_rows(folded, path, key, ["seq"], after=last)) == [(1, "one"), (2, "three")]

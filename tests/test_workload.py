@@ -6,11 +6,14 @@ import pytest
 import __spark_entry__ as contract
 from dimlens import Dataset, Resource, query
 from dimlens.sources.sinks import write_parquet
+from dimlens.workload import registry
 from dimlens.workload.trade import trade_dataset
 from tests.company import explained
 from tools.compare import TABLES, normal
 
 SF_DIR = "/root/testdata/sf0.001"
+registry.load()
+QUERIES = dict(registry.QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +24,7 @@ def base():
     return connection
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, base, name):
     frame = contract.queries()[name](spark, SF_DIR)
     result = base.execute(contract.oracle_sql()[name])
@@ -47,6 +50,13 @@ def test_time_bounds_reach_the_scans(spark):
     assert "LessThan(l_shipdate,2000-01-01T00:00)" in plan
 
 
+def test_null_cases_see_nulls(spark):
+    for name in ("dp_two_indicators_merge", "dp_ne_nin_nulls", "dp_not_nor"):
+        rows = contract.queries()[name](spark, SF_DIR).collect()
+        assert {r.order_count is None for r in rows} == {True, False}
+        assert any(r.event_count is None for r in rows)
+
+
 def test_facts_are_combined_before_they_are_shuffled(spark):
     rows = query(trade_dataset(spark, SF_DIR), "datapoints", ["country", "time"], ["shipped_qty"])
     plan = explained(rows)
@@ -54,19 +64,21 @@ def test_facts_are_combined_before_they_are_shuffled(spark):
     assert "partial_sum(l_quantity" in plan and "SortAggregate" not in plan
 
 
-def test_large_ids_stay_above_the_merge(spark):
-    """Without a broadcast the semi-join follows the merge, where a hot key can be split."""
+@pytest.mark.parametrize("name", ["dp_semi_join_property", "dp_large_domain_semi_join", "dp_large_set_key"])
+def test_ids_limit_the_facts_before_they_are_shuffled(spark, name):
+    """Without a broadcast too, the semi-join comes before anything is aggregated or merged."""
     names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
-    for name in names:
-        spark.conf.set(name, "-1")
+    for setting in names:
+        spark.conf.set(setting, "-1")
     try:
-        plan = explained(contract.queries()["dp_semi_join_property"](spark, SF_DIR), "simple")
+        plan = explained(contract.queries()[name](spark, SF_DIR), "simple")
     finally:
-        for name in names:
-            spark.conf.unset(name)
-    assert plan.index("LeftSemi") < plan.index("max_by") < plan.index("partial_max_by")
-    plan = explained(contract.queries()["dp_semi_join_property"](spark, SF_DIR), "simple")
-    assert plan.index("partial_max_by") < plan.index("LeftSemi")
+        for setting in names:
+            spark.conf.unset(setting)
+    if name == "dp_semi_join_property":
+        assert plan.index("max_by") < plan.index("LeftSemi")
+    else:
+        assert plan.index("sum(") < plan.index("LeftSemi") < plan.index("orders")
 
 
 def test_constraints_prune_partitions(spark, tmp_path):
@@ -87,7 +99,7 @@ def test_constraints_prune_partitions(spark, tmp_path):
         r.country for r in stored.frame.collect() if r.country in asian}
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_no_cross_joins_or_python(spark, name):
     plan = explained(contract.queries()[name](spark, SF_DIR), "simple")
     assert "NestedLoop" not in plan and "Cartesian" not in plan
