@@ -147,7 +147,7 @@ def test_many_files_are_one_scan(spark, tmp_path):
     started = jobs(spark, "many files", lambda: plan(manifest))
     few_started = jobs(spark, "few files", lambda: plan(json.dumps(few)))
     assert started <= few_started + 2 < 12  # Spark lists many paths by a job of its own
-    assert explained(held[0]).count("Scan csv") == 1
+    assert explained(held[0]).count("Location: ") == 1
     assert "PushedFilters: [IsNotNull(anno), EqualTo(anno,2000)]" in explained(held[0])
     rows = {r.place: r.v for r in held[0].collect()}
     assert rows["x"] == 299 and rows["p7"] == 7 and len(rows) == 301
