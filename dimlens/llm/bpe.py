@@ -32,7 +32,8 @@ BATCH_CHARS = 4_000_000
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Letters outside ranges that all versions of Unicode class, compose and lower-case alike. Texts
 #: that hold any are normalised, and their words found, by the tokenizer's own first steps.
-RARE = re.compile("[^\x00-\u024f\u0391-\u03a1\u03a3-\u03c9\u0410-\u044f\u2010-\u2027\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]")
+COMMON_LETTERS = "\u0391-\u03a1\u03a3-\u03c9\u0410-\u044f\u2010-\u2027\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+RARE = re.compile(f"[^\x00-\u024f{COMMON_LETTERS}]")
 
 
 def byte_letters() -> list[str]:

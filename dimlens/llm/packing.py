@@ -18,15 +18,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from dimlens.llm.bpe import RARE, byte_letters
+from dimlens.llm.bpe import COMMON_LETTERS, RARE, byte_letters
 from dimlens.llm.storage import in_slices, stored, texts
 
 #: Fixed value: how byte-level BPE splits text into words.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The same words where white space does not pile up.
 PLAIN_WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"""
-#: White space that is more than a space or two, or a line break or two, between words.
-PILED_SPACE = re.compile(r"\s{3}|\s\s\Z|[^\S \n]")
+#: Uncommon letters, or white space of other kinds than spaces and line breaks.
+UNUSUAL = re.compile(f"[^\x00-\x08\n\x0e-\x1b\x20-\x84\x86-\x9f\xa1-\u024f{COMMON_LETTERS}]")
+#: Spaces and line breaks that pile up: three in a row, or two at the end. The pairs are a quick sign
+#: that they might.
+PILED_SPACE = re.compile(r"[ \n]{3}|[ \n]{2}\Z")
+PAIRS = ("  ", "\n\n", " \n", "\n ")
 #: The id at the end of every document.
 END = bytes(4)
 
@@ -54,9 +58,10 @@ class ByteCodec:
         return Tokenizer.from_file(self.path)
 
     def encode(self, text: str) -> bytes:
-        if RARE.search(text) or any(s in text for s in self.special):
+        unusual = UNUSUAL.search(text)
+        if unusual and RARE.search(text) or any(s in text for s in self.special):
             ids = self.exact.encode(text, add_special_tokens=False).ids
-        elif PILED_SPACE.search(text):
+        elif unusual or any(p in text for p in PAIRS) and PILED_SPACE.search(text):
             ids = self.whole(text)
         else:
             ids = self.plain(text)
