@@ -233,8 +233,10 @@ class WordCodec:
 
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """Tokens joined by a space, as a file without a decoder has it."""
-        words = pa.ListArray.from_arrays(ids.offsets, self.token_array.take(ids.values), mask=pc.is_null(ids))
-        return pc.binary_join(words, " ")
+        sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+        ends = pa.array(np.cumsum([0, *sizes], dtype=np.int32))
+        words = pa.ListArray.from_arrays(ends, self.token_array.take(ids.flatten()))
+        return pc.if_else(pc.is_null(ids), None, pc.binary_join(words, " "))
 
 
 @lru_cache(maxsize=2)

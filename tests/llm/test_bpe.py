@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from dimlens.llm import bpe
@@ -59,5 +60,18 @@ def test_frame(hard_documents, hard_items, library):
     assert found == {(i, tuple(x), library.decode(x, skip_special_tokens=False)) for i, x in coded}
 
 
+def test_batches_of_many_rows(spark, library):
+    texts = [None if i % 7 == 0 else f"row {i}, number {i * i} <|endoftext|>" for i in range(1500)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    ids = F.when(F.col("doc_id") % 7 > 0, bpe.encode(F.col("text"), PATH))
+    rows = frame.select("doc_id", ids.alias("ids")).select("doc_id", "ids", bpe.decode(F.col("ids"), PATH).alias("t"))
+    for r in rows.collect():
+        if texts[r.doc_id] is None:
+            assert r.ids is None and r.t is None
+        else:
+            assert r.ids == library.encode(texts[r.doc_id], add_special_tokens=False).ids
+            assert r.t == library.decode(r.ids, skip_special_tokens=False)
+
+
 def test_empty(no_documents):
     assert bpe.round_trip(no_documents, PATH).collect() == []
