@@ -122,25 +122,35 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Model(excess(positive, unlabelled).astype(np.float32), centre, spread, w[:-1], float(w[-1]))
 
 
-def _sample(documents: DataFrame, n: int) -> list[np.ndarray]:
-    """Buckets of the n documents whose ids hash lowest."""
+def _sample(documents: DataFrame, ids: DataFrame, n: int, words: int) -> list[np.ndarray]:
+    """Buckets of the documents whose ids, among the given ones, hash lowest."""
     @F.arrow_udf("array<int>")
     def marks(column: pa.Array) -> pa.Array:
-        return in_slices(column, lambda batch: [word_buckets(t).ravel() for t in batch], pa.list_(pa.int32()))
-
-    chosen = documents.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    rows = texts(chosen).select(marks("text").alias("marks")).toArrow()
+        def buckets(text: str) -> np.ndarray:
+            found = word_buckets(text)
+            return np.sort(found.view("i4,i4").ravel())[:words].view(np.int32).ravel()
+
+        return in_slices(column, lambda batch: [buckets(t) for t in batch], pa.list_(pa.int32()))
+
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = ids.orderBy(*order).limit(n)
+    # At most n ids; their texts are looked up without moving any other.
+    some = documents.join(F.broadcast(chosen), "doc_id", "left_semi").limit(n)
+    found = texts(some).select("doc_id", marks("text").alias("marks"))
+    rows = found.orderBy(*order, F.xxhash64("marks")).select("marks").toArrow()
     return [np.asarray(x.values).reshape(-1, 2) for x in rows["marks"].combine_chunks()]
 
 
 def train(documents: DataFrame, labels: DataFrame, name: str = "toxic", held: Column | None = None,
-          positives: int = 4000, unlabelled: int = 8000, prior: float | None = None) -> Model | None:
+          positives: int = 4000, unlabelled: int = 8000, words: int = 3000,
+          prior: float | None = None) -> Model | None:
     """Learn from at most ``positives`` confirmed and ``unlabelled`` other or unknown documents.
 
     Labels outside the fold ``held`` are used, and only for which documents are confirmed; the
-    unlabelled sample comes from all documents outside it. ``prior`` is the share of positives
-    among all documents; without it, the share among the labelled ones stands in. The bounds are
-    the only ones; scoring covers every document. None without a confirmed document.
+    unlabelled sample comes from all documents outside it. Of a document with more than ``words``
+    distinct words, that many, those that hash lowest, are learned from. ``prior`` is the share of
+    positives among all documents; without it, the share among the labelled ones stands in. These
+    are the only bounds; scoring covers every document and word. None without a confirmed document.
     """
     held = F.lit(False) if held is None else held
     known = stored(known_labels(labels, name, held), "known")
@@ -148,11 +158,12 @@ def train(documents: DataFrame, labels: DataFrame, name: str = "toxic", held: Co
     if not counts[0]:
         return None
     prior = min(max(prior or counts[0] / counts[1], 1e-4), 0.5)
-    confirmed = documents.join(known.where("label = 1").select("doc_id"), "doc_id", "left_semi")
-    found = _sample(confirmed, positives)
+    ids = documents.select("doc_id").where(F.col("doc_id").isNotNull() & ~held)
+    confirmed = known.where("label = 1").select("doc_id").join(ids, "doc_id", "left_semi")
+    found = _sample(documents, confirmed, positives, words)
     if not found:
         return None
-    return fit(found, _sample(documents.where(F.col("doc_id").isNotNull() & ~held), unlabelled), prior)
+    return fit(found, _sample(documents, ids, unlabelled, words), prior)
 
 
 def scored(documents: DataFrame, labels: DataFrame, name: str = "toxic", held: Column | None = None,
