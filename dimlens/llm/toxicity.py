@@ -22,24 +22,31 @@ STRONGEST = 6
 #: Words beyond these strengths are counted.
 STRONG = (1.5, 3.0, 4.5)
 #: Words remembered by one Python worker.
-REMEMBERED = 500_000
-_buckets: dict[str, tuple[int, int]] = {}
+REMEMBERED = 200_000
 
 
-def _word_buckets(word: str) -> tuple[int, int]:
-    """Buckets of a word and of its beginning."""
-    if (found := _buckets.get(word)) is None:
-        if len(_buckets) >= REMEMBERED:
-            _buckets.clear()
-        found = _buckets[word] = (crc32(word.encode()) % BUCKETS,
-                                  crc32(b"^" + word[:PREFIX].encode()) % BUCKETS)
-    return found
+class _Codes(dict):
+    """Two buckets of a word in one number: that of the word and that of its beginning."""
 
+    def __missing__(self, word: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        beginning = b"^" + word[:PREFIX].encode()
+        found = self[word] = (crc32(word.encode()) % BUCKETS) << 32 | crc32(beginning) % BUCKETS
+        return found
 
-def word_buckets(text: str) -> np.ndarray:
-    """Two buckets for each distinct lower-cased word of a whole text."""
+
+_codes = _Codes()
+
+
+def word_codes(text: str) -> np.ndarray:
+    """The code of each distinct lower-cased word of a whole text, sorted."""
     words = set(WORD.findall(text.lower()))
-    return np.array([_word_buckets(w) for w in words], dtype=np.int32).reshape(-1, 2)
+    return np.sort(np.fromiter(map(_codes.__getitem__, words), dtype=np.int64, count=len(words)))
+
+
+def buckets(codes: np.ndarray) -> np.ndarray:
+    return np.stack([codes >> 32, codes & 0xFFFFFFFF], axis=1).astype(np.int32)
 
 
 def excess(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
@@ -95,7 +102,7 @@ class Model(NamedTuple):
     bias: float
 
     def score(self, text: str) -> float:
-        x = (summary(self.strength, word_buckets(text)) - self.centre) / self.spread
+        x = (summary(self.strength, buckets(word_codes(text))) - self.centre) / self.spread
         return float(logistic(np.array(x @ self.weights + self.bias)))
 
 
@@ -124,21 +131,17 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
 
 def _sample(documents: DataFrame, ids: DataFrame, n: int, words: int) -> list[np.ndarray]:
     """Buckets of the documents whose ids, among the given ones, hash lowest."""
-    @F.arrow_udf("array<int>")
-    def marks(column: pa.Array) -> pa.Array:
-        def buckets(text: str) -> np.ndarray:
-            found = word_buckets(text)
-            return np.sort(found.view("i4,i4").ravel())[:words].view(np.int32).ravel()
-
-        return in_slices(column, lambda batch: [buckets(t) for t in batch], pa.list_(pa.int32()))
+    @F.arrow_udf("array<long>")
+    def codes(column: pa.Array) -> pa.Array:
+        return in_slices(column, lambda batch: [word_codes(t)[:words] for t in batch], pa.list_(pa.int64()))
 
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = ids.orderBy(*order).limit(n)
     # At most n ids; their texts are looked up without moving any other.
     some = documents.join(F.broadcast(chosen), "doc_id", "left_semi").limit(n)
-    found = texts(some).select("doc_id", marks("text").alias("marks"))
-    rows = found.orderBy(*order, F.xxhash64("marks")).select("marks").toArrow()
-    return [np.asarray(x.values).reshape(-1, 2) for x in rows["marks"].combine_chunks()]
+    found = texts(some).select("doc_id", codes("text").alias("codes"))
+    rows = found.orderBy(*order, F.xxhash64("codes")).select("codes").toArrow()
+    return [buckets(np.asarray(x.values)) for x in rows["codes"].combine_chunks()]
 
 
 def train(documents: DataFrame, labels: DataFrame, name: str = "toxic", held: Column | None = None,
