@@ -1,9 +1,8 @@
 """The sales tables as a dimensional dataset.
 
 Domain ``geo`` has the sets ``country`` (nations) and ``world_region`` (regions); domain
-``customer`` has one set per market segment. Facts shrink to one row per customer or supplier
-and year before they meet a dimension table, so that a customer or supplier with a large share
-of all rows is spread over the map side, and the join moves sums instead of rows.
+``customer`` has one set per market segment. Line items shrink to one row per supplier and year
+before they meet a dimension table, so that the join moves sums instead of rows.
 """
 
 from __future__ import annotations
@@ -88,11 +87,9 @@ def countries(spark, sf_dir) -> DataFrame:
     )
 
 
-def customer_years(spark, sf_dir, bounds, condition=None, customers=None) -> DataFrame:
+def customer_years(spark, sf_dir, bounds, customers=None) -> DataFrame:
     """``(o_custkey, time, order_count, order_cents)``, of some customers if their ids are given."""
     orders = dated(table(spark, sf_dir, "orders"), "o_orderdate", bounds)
-    if condition is not None:
-        orders = orders.filter(condition)
     if customers is not None:
         orders = semi_join(orders, IdJoin("o_custkey", customers))
     return orders.groupBy("o_custkey", year("o_orderdate")).agg(
@@ -101,13 +98,19 @@ def customer_years(spark, sf_dir, bounds, condition=None, customers=None) -> Dat
 
 
 def nation_years(spark, sf_dir, bounds, by=(), condition=None, places=nations) -> DataFrame:
-    """Order counts and values per nation, year and the customer columns ``by``."""
+    """Order counts and values per nation, year and the customer columns ``by``.
+
+    Customers have few orders a year, so orders meet their customer as they are: one shuffle at
+    most, in which Spark splits a customer that holds most of them.
+    """
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", *by)
+    orders = dated(table(spark, sf_dir, "orders"), "o_orderdate", bounds)
+    if condition is not None:
+        orders = orders.filter(condition)
     return (
-        customer_years(spark, sf_dir, bounds, condition)
-        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .groupBy("c_nationkey", *by, "time")
-        .agg(F.sum("order_count").alias("order_count"), F.sum("order_cents").alias("order_cents"))
+        orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy("c_nationkey", *by, year("o_orderdate"))
+        .agg(F.count("*").alias("order_count"), F.sum(cents("o_totalprice")).alias("order_cents"))
         .join(places(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
     )
 
@@ -137,15 +140,14 @@ def orders_by_segment(spark, sf_dir, bounds) -> DataFrame:
 
 
 def spending(spark, sf_dir, bounds) -> DataFrame:
-    """Four dimensions; combined per customer, priority and year before the join."""
+    """Four dimensions."""
     orders = dated(table(spark, sf_dir, "orders"), "o_orderdate", bounds)
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     return (
-        orders.groupBy("o_custkey", F.col("o_orderpriority").alias("priority"), year("o_orderdate"))
+        orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy("c_nationkey", F.col("c_mktsegment").alias("segment"),
+                 F.col("o_orderpriority").alias("priority"), year("o_orderdate"))
         .agg(F.sum(cents("o_totalprice")).alias("spent_cents"))
-        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .groupBy("c_nationkey", F.col("c_mktsegment").alias("segment"), "priority", "time")
-        .agg(F.sum("spent_cents").alias("spent_cents"))
         .join(nations(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
         .select("country", "segment", "priority", "time", "spent_cents")
     )
