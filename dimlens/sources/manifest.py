@@ -10,10 +10,12 @@ from urllib.parse import quote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dimlens.errors import DatasetError
 from dimlens.model import COLLECTIONS, Dataset, IndexEntry, Resource
 from dimlens.operators.merge import RESOURCE
+from dimlens.session import small_table
 from dimlens.sources.catalog import Version, flatten_catalog, registry_from, resolve_version
 from dimlens.sources.tables import path_exists, read_table, row_number_in_file
 
@@ -25,7 +27,7 @@ DELIMITED, PARQUET = "csv", "parquet"
 
 _ENTRY = "array<struct<primaryKey:string,value:string,resources:array<string>>>"
 _SCHEMA = (
-    "resources array<struct<name:string,path:string,format:string,"
+    "resources array<struct<name:string,path:string,format:string,data:array<map<string,string>>,"
     "dialect:struct<delimiter:string,multiline:boolean>,"
     "schema:struct<primaryKey:string,fields:array<struct<name:string>>>>>, "
     "translations array<struct<id:string>>, "
@@ -50,12 +52,13 @@ def parse_manifests(texts: DataFrame) -> DataFrame:
 
 
 def manifest_resources(manifest: DataFrame) -> DataFrame:
-    """``(place, name, path, format, delimiter, multiline, key, columns)`` in manifest order."""
+    """``(place, name, path, format, data, delimiter, multiline, key, columns)`` in manifest order."""
     return manifest.select(F.posexplode("resources").alias("place", "r")).select(
         "place",
         "r.name",
         "r.path",
         F.coalesce("r.format", F.lit(DELIMITED)).alias("format"),
+        "r.data",
         F.col("r.dialect.delimiter").alias("delimiter"),
         F.col("r.dialect.multiline").alias("multiline"),
         F.col("r.schema.fields.name").alias("columns"),
@@ -87,7 +90,8 @@ def open_folder(
 
     The manifest, in the folder or given as text, says for each resource its format (delimited
     text or Parquet, which may be partitioned), its columns and delimiter, and whether cells hold
-    line breaks; ``multiline`` stands in where it does not. Delimited files alike in key, columns
+    line breaks; ``multiline`` stands in where it does not. A small resource may stand in it as
+    ``data``, a list of objects. Delimited files alike in key, columns
     and dialect are read by one scan, however many there are. With ``unique_keys`` the keys of each
     file are taken to be unique, as the manifest says, and no row order is tracked.
     """
@@ -107,11 +111,13 @@ def open_folder(
             read_table, spark, delimiter=dialect[0], multiline=dialect[1]
         )
         columns = tuple(row.columns) if row.columns else None
-        if row.format == PARQUET:
+        if row.data is not None:
+            source = _inline(spark, row.data)
+        elif row.format == PARQUET:
             source = functools.partial(spark.read.parquet, path)
         else:
             source = functools.partial(open_table, path, columns=columns)
-        alike = row.format == DELIMITED and columns and dialect[0]
+        alike = row.data is None and row.format == DELIMITED and columns and dialect[0]
         resources.append(Resource(
             row.name,
             key,
@@ -124,7 +130,7 @@ def open_folder(
                 for language in languages
             },
             columns and tuple(c for c in columns if c not in key),
-            row_order=None if unique_keys else row_number_in_file(),
+            row_order=None if unique_keys or row.data is not None else row_number_in_file(),
             unique=unique_keys,
             scan=TableScan(spark, folder, key, columns, *dialect) if alike else None,
             path=row.path,
@@ -170,7 +176,7 @@ def open_version(
     **options,
 ) -> Dataset:
     """The dataset at ``base`` itself, or else the registered version below it."""
-    if path_exists(spark, f"{base.rstrip('/')}/{MANIFEST}"):
+    if options.get("manifest") or path_exists(spark, f"{base.rstrip('/')}/{MANIFEST}"):
         return open_folder(spark, base, dataset, **options)
     if not versions or default is None:
         raise DatasetError(f"no manifest at {base} and no registry of versions given")
@@ -208,6 +214,12 @@ def manifest_text(
     })
 
 
+def _inline(spark: SparkSession, rows: Sequence[Mapping[str, str]]) -> DataFrame:
+    names = list(dict.fromkeys(name for row in rows for name in row))
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    return small_table(spark, schema, [tuple(row.get(name) for name in names) for row in rows])
+
+
 def _key_list(key):
     """Key parts of a manifest key: JSON text of a list, or one name."""
     return F.when(key.startswith("["), F.from_json(key, "array<string>")).otherwise(F.array(key))

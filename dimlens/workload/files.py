@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from dimlens.functions.keys import canonical_key
 from dimlens.plans.query import query
+from dimlens.plans.reader import Reader
 from dimlens.session import shared_folder
 from dimlens.sources.assets import ASSET_FOLDER, get_asset
 from dimlens.sources.manifest import INDEX_MEMBER, manifest_index, open_folder, parse_manifests
@@ -47,6 +50,62 @@ def ent_folder_translated(spark, sf_dir):
                  where={"is--country": True}, language=TRANSLATED)
 
 
+def _tables_manifest() -> str:
+    """A manifest whose resources are the given tables."""
+    def concepts(kind, *names):
+        return [{"concept": name, "concept_type": kind} for name in names]
+
+    def table_of(name, key, *values):
+        fields = [{"name": n} for n in (*key, *values)]
+        return {"name": name, "path": f"{name}.parquet", "format": "parquet",
+                "schema": {"primaryKey": list(key), "fields": fields}}
+
+    def pairs(name, key, *values):
+        return [{"primaryKey": list(key), "value": v, "resources": [name]} for v in values]
+
+    customer = ("customer", ("c_custkey",), "c_name", "c_acctbal")
+    lineitem = ("lineitem", ("l_orderkey", "l_linenumber"), "l_quantity", "l_returnflag")
+    return json.dumps({
+        "resources": [
+            {"name": "concepts", "schema": {"primaryKey": "concept"}, "data": [
+                *concepts("entity_domain", "c_custkey", "l_orderkey", "l_linenumber"),
+                *concepts("string", "c_name", "l_returnflag"),
+                *concepts("measure", "c_acctbal", "l_quantity")]},
+            table_of(*customer), table_of(*lineitem),
+        ],
+        "translations": [],
+        INDEX_MEMBER: {
+            "concepts": pairs("concepts", ("concept",), "concept_type"),
+            "entities": pairs(*customer), "datapoints": pairs(*lineitem),
+        },
+    })
+
+
+@registered("""
+SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal > 5000
+""")
+def reader_entities(spark, sf_dir):
+    """A request to a reader whose dataset is the given tables."""
+    reader = Reader(spark, sf_dir, manifest=_tables_manifest(), unique_keys=True)
+    return reader.read({
+        "from": "entities", "select": {"key": ["c_custkey"], "value": ["c_name", "c_acctbal"]},
+        "where": {"c_acctbal": {"$gt": 5000}},
+    })
+
+
+@registered("""
+SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem
+WHERE l_orderkey < 5000 AND l_returnflag = 'R'
+""")
+def reader_datapoints(spark, sf_dir):
+    reader = Reader(spark, sf_dir, manifest=_tables_manifest(), unique_keys=True)
+    return reader.read({
+        "from": "datapoints",
+        "select": {"key": ["l_orderkey", "l_linenumber"], "value": ["l_quantity"]},
+        "where": {"l_orderkey": {"$lt": 5000}, "l_returnflag": "R"},
+    })
+
+
 @registered("""
 SELECT DISTINCT 'datapoints' AS kind, n_name || ',time' AS key, lower(c_mktsegment) AS value,
        'orders' AS resources
