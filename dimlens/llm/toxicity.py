@@ -138,9 +138,9 @@ def _sample(documents: DataFrame, ids: DataFrame, n: int, words: int) -> list[np
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = ids.orderBy(*order).limit(n)
     # At most n ids; their texts are looked up without moving any other.
-    some = documents.join(F.broadcast(chosen), "doc_id", "left_semi").limit(n)
+    some = documents.join(F.broadcast(chosen), "doc_id", "left_semi")
     found = texts(some).select("doc_id", codes("text").alias("codes"))
-    rows = found.orderBy(*order, F.xxhash64("codes")).select("codes").toArrow()
+    rows = found.orderBy(*order, F.xxhash64("codes")).limit(n).select("codes").toArrow()
     return [buckets(np.asarray(x.values)) for x in rows["codes"].combine_chunks()]
 
 
