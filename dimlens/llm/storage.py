@@ -45,4 +45,5 @@ def texts(documents: DataFrame, key: str = "doc_id") -> DataFrame:
 def in_slices(column: pa.Array, work: Callable[[list], list], kind: pa.DataType, rows: int = 512) -> pa.Array:
     """``work`` over a batch's values, few at a time, so that a worker holds few of them as objects."""
     parts = [pa.array(work(column.slice(i, rows).to_pylist()), type=kind) for i in range(0, len(column), rows)]
+    pa.default_memory_pool().release_unused()
     return pa.concat_arrays(parts) if parts else pa.array([], type=kind)
