@@ -9,6 +9,7 @@ from array import array
 from functools import cached_property, lru_cache
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,10 +23,11 @@ from dimlens.llm.storage import texts
 
 #: Words remembered by one Python worker; the memory starts anew when it is full. And how many marks
 #: tell words that came up before.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 SEEN = 1 << 23
-#: Stands for the end of a word; no byte of a text in UTF-8.
+#: Stand for the end of a word: no byte of a text in UTF-8, and no letter that stands for a byte.
 END = b"\xff"
+STOP = "\x01"
 #: Code points of the texts whose words are verified together.
 BATCH_CHARS = 4_000_000
 #: White space that str.split() and the pattern's \s do not agree on.
@@ -76,8 +78,15 @@ class WordCodec:
             "merges", pat_str=r"[\s\S]+", special_tokens={},
             mergeable_ranks={self.bytes_of[i]: r for r, i in enumerate(self.of_rank)})._encode_single_piece
         self._check_merges()
-        plain = [t.removesuffix(self.suffix) for t in self.ids]
-        self.starts = {t[:n] for t in plain for n in range(1, len(t))}
+        self.rank_ids = np.array(self.of_rank, dtype=np.int32)
+        self.longest, self.lengths = ahocorasick.Automaton(), np.zeros(len(self.tokens), dtype=np.int64)
+        for i in self.of_rank:
+            token = self.tokens[i]
+            if token.endswith(self.suffix) and len(token) > len(self.suffix):
+                token = token.removesuffix(self.suffix) + STOP
+            self.longest.add_word(token, i)
+            self.lengths[i] = len(token)
+        self.longest.make_automaton()
         pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(pattern["pattern"]["Regex"])
         self.path = path
@@ -115,20 +124,14 @@ class WordCodec:
         """Exact merging: the pair of the lowest rank first, the leftmost of equal ones."""
         return [self.of_rank[r] for r in self.merger(word)]
 
-    def _propose(self, word: str) -> list[int]:
-        """Greedy longest match from the left."""
-        found, i, n, ids, starts = [], 0, len(word), self.ids, self.starts
-        while i < n:
-            token, after, end = ids[word[i] + self.suffix if i + 1 == n else word[i]], i + 1, i + 1
-            while end < n and word[i:end] in starts:
-                end += 1
-                part = word[i:end]
-                longer = ids.get(part + self.suffix if end == n else part)
-                if longer is not None:
-                    token, after = longer, end
-            found.append(token)
-            i = after
-        return found
+    def _propose(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Greedy longest match from the left: tokens, the word of each, and which words they cover."""
+        line = STOP.join(words) + STOP
+        stops = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+        matched = np.fromiter(chain.from_iterable(self.longest.iter_long(line)), dtype=np.int64).reshape(-1, 2)
+        owner = np.searchsorted(stops, matched[:, 0])
+        length = np.bincount(owner, weights=self.lengths[matched[:, 1]], minlength=len(words))
+        return matched[:, 1], owner, length == np.diff(stops, prepend=-1)
 
     def _compatible(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """Whether two adjacent tokens stay as they are when merged by themselves.
@@ -151,19 +154,24 @@ class WordCodec:
             at = np.searchsorted(self.pairs, distinct)
         return self.stays[at][where]
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
+    def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of each word: proposed, verified all at once, and merged exactly where that fails."""
-        proposed = [self._propose(w) for w in words]
-        sizes = np.array([len(p) for p in proposed], dtype=np.int64)
-        flat = np.fromiter(chain.from_iterable(proposed), dtype=np.int64, count=int(sizes.sum()))
-        owner = np.repeat(np.arange(len(words)), sizes)
+        flat, owner, good = self._propose(words)
         inner = owner[1:] == owner[:-1]
-        good = np.ones(len(words), dtype=bool)
         good[owner[~self._compatible(flat, np.full(len(flat), -1))]] = False
         good[owner[:-1][inner][~self._compatible(flat[:-1][inner], flat[1:][inner])]] = False
-        for i in np.flatnonzero(~good):
-            proposed[i] = self.merge(self._bytes(words[i], ended=True))
-        return proposed
+        ends = 4 * np.searchsorted(owner, np.arange(len(words)), "right")
+        ids = flat.astype(np.int32).tobytes()
+        found = [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        failed = np.flatnonzero(~good).tolist()
+        merged = [self.merger(words[i].encode() + END if words[i].isascii() else self._bytes(words[i], ended=True))
+                  for i in failed]
+        ids = self.rank_ids[np.fromiter(chain.from_iterable(merged), dtype=np.int64)].tobytes()
+        start = 0
+        for i, ranks in zip(failed, merged, strict=True):
+            found[i] = ids[start:start + 4 * len(ranks)]
+            start += 4 * len(ranks)
+        return found
 
     def _chunks_of(self, text: str) -> list[str]:
         """Parts that no word crosses: between white space, or the whole text where that is unsure."""
@@ -175,11 +183,13 @@ class WordCodec:
         return [text] if ODD_SPACE.search(text) else text.split()
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        order = list(chunks)
-        words = [self._words(c) for c in order]
-        distinct = list(dict.fromkeys(chain.from_iterable(words)))
-        ids = dict(zip(distinct, (array("i", x).tobytes() for x in self.encode_words(distinct)), strict=True))
-        return {c: b"".join([ids[w] for w in parts]) for c, parts in zip(order, words, strict=True)}
+        plain = [c for c in chunks if c.isalpha() and c.isascii()]  # words as they are
+        rest = [(c, self._words(c)) for c in chunks.difference(plain)]
+        distinct = list(dict.fromkeys(chain(plain, chain.from_iterable(w for _, w in rest))))
+        ids = dict(zip(distinct, self.encode_words(distinct), strict=True)) if distinct else {}
+        found = {c: ids[c] for c in plain}
+        found.update((c, b"".join([ids[w] for w in words])) for c, words in rest)
+        return found
 
     def _remember(self, fresh: dict[str, bytes]) -> None:
         """Keep what comes up a second time: most rare words never do."""
@@ -244,17 +254,26 @@ def codec(path: str) -> WordCodec:
     return WordCodec(path)
 
 
+def _encoded(column: pa.Array, path: str) -> pa.ListArray:
+    words, parts, sizes = codec(path), [], [0]
+    for i in range(0, len(column), 512):
+        ids = words.encode_batch([t or "" for t in column.slice(i, 512).to_pylist()])
+        sizes.extend(len(x) // 4 for x in ids)
+        parts.append(b"".join(ids))
+    flat = np.frombuffer(b"".join(parts), dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(flat))
+
+
+def _decoded(column: pa.ListArray, path: str) -> pa.Array:
+    parts = [codec(path).decode(column.slice(i, 512)) for i in range(0, len(column), 512)]
+    return pa.concat_arrays(parts) if parts else pa.array([], type=pa.string())
+
+
 def encode(text: Column, path: str) -> Column:
     """Array of ids for a column of texts; a null text is an empty one. The file must be on every executor."""
     @F.arrow_udf("array<int>")
     def encoded(column: pa.Array) -> pa.Array:
-        words, parts, sizes = codec(path), [], [0]
-        for i in range(0, len(column), 512):
-            ids = words.encode_batch([t or "" for t in column.slice(i, 512).to_pylist()])
-            sizes.extend(len(x) // 4 for x in ids)
-            parts.append(b"".join(ids))
-        flat = np.frombuffer(b"".join(parts), dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(flat))
+        return _encoded(column, path)
 
     return encoded(text)
 
@@ -263,8 +282,7 @@ def decode(ids: Column, path: str) -> Column:
     """Text of a column of id arrays; null for null. Ids outside the vocabulary raise."""
     @F.arrow_udf("string")
     def decoded(column: pa.Array) -> pa.Array:
-        parts = [codec(path).decode(column.slice(i, 512)) for i in range(0, len(column), 512)]
-        return pa.concat_arrays(parts) if parts else pa.array([], type=pa.string())
+        return _decoded(column, path)
 
     return decoded(ids)
 
@@ -273,7 +291,11 @@ def round_trip(documents: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, decoded): every whole text encoded, and its ids decoded again.
 
     One row per row of documents. Null and empty texts, and texts of white space, have no ids and
-    decode to an empty text. Texts are encoded where they are; nothing is shuffled.
+    decode to an empty text. Texts are encoded where they are, once, and nothing is shuffled.
     """
-    coded = texts(documents).select("doc_id", encode(F.col("text"), path).alias("ids"))
-    return coded.select("doc_id", "ids", decode(F.col("ids"), path).alias("decoded"))
+    @F.arrow_udf("struct<ids: array<int>, decoded: string>")
+    def both(column: pa.Array) -> pa.Array:
+        ids = _encoded(column, path)
+        return pa.StructArray.from_arrays([ids, _decoded(ids, path)], names=["ids", "decoded"])
+
+    return texts(documents).select("doc_id", both("text").alias("coded")).select("doc_id", "coded.*")
