@@ -43,31 +43,51 @@ def _valid(kind: str) -> str:
     return "true"
 
 
-def _terms(text: str, last: bool, window: int) -> str:
+def _words(text: str, last: bool, window: int) -> str:
     """SQL: the last or first words of letters of a text."""
     found = f"regexp_extract_all({text}, '{LETTERS}', 0)".replace("\\", "\\\\")
     return f"slice({found}, if({str(last).lower()}, greatest(1, size({found}) - {window - 1}), 1), {window})"
 
 
+def _without_letters(matched: str) -> str:
+    """SQL: the text that was matched, other characters in place of the letters in its matches."""
+    letters = "".join(map(chr, (*range(65, 91), *range(97, 123))))
+    return (f"array_join(zip_with({matched}.gaps, {matched}.found,"
+            f" (g, v) -> concat(g, translate(v, '{letters}', '{'_' * len(letters)}'))), '')")
+
+
 def base_spans(documents: DataFrame, window: int = 8) -> DataFrame:
     """(doc_id, content, kind, start, end, value, terms): matches of the patterns in whole texts.
 
-    Places count code points, the end excluded. ``terms`` are the words on either side, at most
-    ``window`` each.
+    Places count code points, the end excluded. ``terms`` are the ``window`` words before and the
+    ``window`` words after, as far as the text has them: matches that are no personal data end
+    nothing, and the personal data in between is passed over.
     """
-    searched = F.array(*(
-        F.struct(F.lit(k).alias("kind"), gaps_and_matches(
-            "text", F.lit(PATTERNS[k]),
-            F.contains("text", F.lit("@")) if k == "email" else F.rlike("text", F.lit(HINTS[k]))).alias("m"))
-        for k in KINDS))
-    kinds = with_content(documents).select(*DOCUMENT, F.explode(searched).alias("s")).select(
+    def matched(kind: str, when: Column) -> Column:
+        return gaps_and_matches("text", F.lit(PATTERNS[kind]), when)
+
+    # Only e-mail addresses hold letters, and no other pattern asks for any: without them in the text
+    # the others match the same, and their gaps hold no words of addresses.
+    texts = with_content(documents).select("*", matched("email", F.contains("text", F.lit("@"))).alias("email"))
+    texts = texts.withColumn("text", F.expr(f"if(size(email.found) = 0, text, {_without_letters('email')})"))
+    searched = F.array(*(F.struct(F.lit(k).alias("kind"), (
+        F.col("email") if k == "email" else matched(k, F.rlike("text", F.lit(HINTS[k])))).alias("m")) for k in KINDS))
+    kinds = texts.select(*DOCUMENT, F.explode(searched).alias("s")).select(
         *DOCUMENT, "s.kind", "s.m.gaps", "s.m.found").where("exists(found, v -> v <> '')")
-    around = f"concat({_terms('gaps[i]', True, window)}, {_terms('gaps[i + 1]', False, window)})"
-    each = F.expr(f"""filter(transform(found, (v, i) -> struct(i as n, char_length(gaps[i]) as gap, v as value,
-        if(v = '', array(), {around}) as terms)), m -> m.value <> '')""")
+    each = F.expr(f"""transform(found, (v, i) -> struct(i as n, char_length(gaps[i]) as gap, v as value,
+        {_words('gaps[i]', True, window)} as last, {_words('gaps[i]', False, window)} as first))""")
     rows = kinds.select(*DOCUMENT, "kind", F.explode(each).alias("m")).select(*DOCUMENT, "kind", "m.*")
     valid = F.expr(" or ".join(f"(kind = '{k}' and {_valid(k)})" for k in KINDS))
-    return placed(rows, [*DOCUMENT, "kind"]).where(valid)
+    # Gaps with words are numbered, so the words beside a match are in that many gaps at most.
+    some = F.size("last") > 0
+    own = Window.partitionBy(*DOCUMENT, "kind")
+    gaps = placed(rows, [*DOCUMENT, "kind"]).withColumn("gap", F.sum(some.cast("long")).over(own.orderBy("start")))
+    near = own.orderBy("gap")
+    before = F.flatten(F.collect_list(F.when(some, F.col("last"))).over(near.rangeBetween(1 - window, 0)))
+    after = F.flatten(F.collect_list(F.when(some, F.col("first"))).over(near.rangeBetween(1, window)))
+    around = gaps.withColumns({"last": F.reverse(F.slice(F.reverse(before), 1, window)), "first": F.slice(after, 1, window)})
+    return around.where((F.col("value") != "") & valid).select(
+        *DOCUMENT, "kind", "value", "end", "start", F.concat("last", "first").alias("terms"))
 
 
 def _entity() -> Column:
@@ -136,17 +156,18 @@ def term_spans(documents: DataFrame, terms: DataFrame, base: DataFrame) -> DataF
     return every.withColumn("apart", apart).where((F.col("kind") == TERM) & F.col("apart")).drop("apart")
 
 
-def all_spans(documents: DataFrame, **thresholds) -> DataFrame:
+def all_spans(documents: DataFrame, window: int = 8, **thresholds) -> DataFrame:
     """(doc_id, content, kind, start, end, action, capital): base spans, and terms that give them away.
 
     ``action`` is null for base spans, and says for terms whether they are generalised or removed.
+    ``window`` is that of ``base_spans``, the thresholds those of ``disclosing_terms``.
     """
-    base = stored(base_spans(documents), "base_spans")
+    base = stored(base_spans(documents, window), "base_spans")
     terms = stored(disclosing_terms(documents, base, **thresholds), "disclosing")
     return _as_spans(base).unionByName(term_spans(documents, terms, base))
 
 
-def find(documents: DataFrame, **thresholds) -> DataFrame:
+def find(documents: DataFrame, window: int = 8, **thresholds) -> DataFrame:
     """(doc_id, spans), one row per row of documents: spans is an array of (kind, start, end, action).
 
     Sorted by kind as listed, terms last, then by start. Null and empty texts have no spans; rows
@@ -154,7 +175,7 @@ def find(documents: DataFrame, **thresholds) -> DataFrame:
     table gives an empty result. Spans of different kinds may overlap.
     """
     rank = F.array_position(F.array(*map(F.lit, (*KINDS, TERM))), F.col("kind"))
-    spans = all_spans(documents, **thresholds).withColumn("rank", rank)
+    spans = all_spans(documents, window, **thresholds).withColumn("rank", rank)
     listed = F.sort_array(F.collect_list(F.struct("rank", "start", "end", "kind", "action"))).alias("spans")
     own = stored(spans.groupBy(*DOCUMENT).agg(listed), "own_spans")
     keys = with_content(documents).select(*DOCUMENT)
@@ -165,7 +186,7 @@ def find(documents: DataFrame, **thresholds) -> DataFrame:
         s["action"].alias("action"))), none).alias("spans"))
 
 
-def sanitise(documents: DataFrame, **thresholds) -> DataFrame:
+def sanitise(documents: DataFrame, window: int = 8, **thresholds) -> DataFrame:
     """The documents with personal data in their texts replaced; all their columns are kept.
 
     A base span becomes its kind in brackets. A generalised term becomes ``[name]`` if it starts
@@ -174,7 +195,7 @@ def sanitise(documents: DataFrame, **thresholds) -> DataFrame:
     """
     order = Window.partitionBy(*DOCUMENT).orderBy("start", F.desc("end"), "kind")
     before = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    apart = all_spans(documents, **thresholds).withColumn("apart", (F.col("start") >= before).cast("int"))
+    apart = all_spans(documents, window, **thresholds).withColumn("apart", (F.col("start") >= before).cast("int"))
     joint = apart.withColumn("group", F.sum("apart").over(order)).groupBy(*DOCUMENT, "group").agg(
         F.min("start").alias("start"), F.max("end").alias("end"),
         F.min_by(F.struct("kind", "action", "capital"), F.struct("start", -F.col("end"), "kind")).alias("first"))

@@ -85,6 +85,28 @@ def test_terms_that_tell_are_found(spark):
         assert base(r.spans) == brute_force(texts[r.doc_id])
 
 
+def test_words_beside_reach_past_other_matches(spark):
+    text = "Jane Roe, aged 42, card 4111 1111 1111 1111 phone +1 (555) 010-9999 or jo@corp.org then é last"
+    emails = " ".join(f"w{c} {c}@b.org" for c in "abcdefghijklmno")
+    frame = spark.createDataFrame([(1, text), (1, text), (2, emails), (3, "a@b.org " * 30 + "end")], "doc_id long, text string")
+    found = {(r.doc_id, r.kind, r.value): r.terms for r in pii.base_spans(frame).collect()}
+    assert found[1, "card", "4111 1111 1111 1111"] == ["Jane", "Roe", "aged", "card", "phone", "or", "then", "é", "last"]
+    assert found[1, "email", "jo@corp.org"] == ["Jane", "Roe", "aged", "card", "phone", "or", "then", "é", "last"]
+    assert found[2, "email", "j@b.org"] == [f"w{c}" for c in "cdefghijklmno"]
+    assert found[3, "email", "a@b.org"] == ["end"]
+    near = {(r.kind): r.terms for r in pii.base_spans(frame.where("doc_id = 1"), 1).collect()}
+    assert near["card"] == ["card", "phone"] and near["email"] == ["or", "then"]
+
+
+def test_window_is_passed_on(spark):
+    items = [(i, f"Quentin so ask jane@corp.org {'x' * i}") for i in range(1, 5)] + [(9, "none"), (10, "so ask")]
+    frame = spark.createDataFrame(items, "doc_id long, text string")
+    for window, removed in ((8, True), (2, False)):
+        assert all(("Quentin" in r.text) != removed for r in pii.sanitise(frame, window=window).collect() if r.doc_id < 9)
+        spans = {r.doc_id: r.spans for r in pii.find(frame, window=window).collect()}
+        assert any(s["kind"] == pii.TERM for s in spans[1]) == removed
+
+
 def test_sanitised_texts(spark):
     rows = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(corpus(), "doc_id long, text string")).collect()}
     texts = dict(corpus())
