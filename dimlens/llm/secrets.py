@@ -11,15 +11,38 @@ from pyspark.sql import functions as F
 from dimlens.llm.matches import DOCUMENT, gaps_and_matches, placed, rewritten
 from dimlens.llm.storage import stored
 
-#: A run of the characters of keys: long ones with a digit or in capitals only, and shorter ones
-#: right after a sign of assignment. It starts where the run of characters does.
-CANDIDATE = (r"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*+[0-9]|[A-Z]{16})[A-Za-z0-9+/_-]{16,}+={0,2}"
-             r"|(?<=[=:][\x20]{0,1}[\"']{0,1})[A-Za-z0-9+/_-]{8,}+={0,2})")
 #: Words that neighbour secrets, and words that neighbour harmless keys.
 CREDENTIAL = ("password passwd passphrase pwd secret token apikey api key auth authorization bearer "
               "credential credentials private access login signature").split()
 HARMLESS = ("commit sha sha1 sha256 md5 digest checksum hash etag uuid guid id revision build version "
             "example sample dummy placeholder test fixture card phone order invoice").split()
+
+_RUN = "A-Za-z0-9+_.-"
+#: A name whose last part holds a word for credentials, and a sign of assignment; then what may stand
+#: before the value. A name is tried once, from where its run of characters starts.
+_NAME = (rf"(?:[{_RUN}]*+/)*+(?>[{_RUN}]*?(?<![A-Za-z0-9])(?i:{'|'.join(CREDENTIAL)})(?![A-Za-z0-9]))"
+         rf"[{_RUN}]*+[\"']?+")
+NAMED = (rf"(?<![/{_RUN}])(?=[/{_RUN}]++[\"']?+[\x20\t]*+[=:]){_NAME}[\x20\t]*+[=:]{{1,3}}+>?+[\x20\t]*+[\"']?+"
+         r"(?:(?i:bearer|basic)[\x20\t]++)?+(?=\S)")
+
+
+def _quoted(quote: str) -> str:
+    """What is quoted, to the end of the quotation, or without one to the next blank."""
+    inside = rf"(?:\\[^\r\n]|[^{quote}\\\r\n])"
+    opened = rf"(?<={quote}(?:(?i:bearer|basic)\x20)?)"
+    return rf"{opened}{inside}{{4,}}+(?={quote})|(?<={quote})(?!{inside}*+{quote})\S{{4,}}+"
+
+
+#: The value of such a name: all that is quoted or up to the next blank, unless it is the next name.
+VALUE = (rf"(?!{_NAME}(?:[\x20\t]++[=:]|[=:]{{1,3}}+>?+[\x20\t]))"
+         rf"(?:{_quoted(chr(34))}|{_quoted(chr(39))}|(?<![\"'])(?![\"'])\S{{4,}}+)")
+#: A run of the characters of keys: long ones with a digit, in capitals only or in mixed case, and
+#: shorter ones right after a sign of assignment. It starts where the run of characters does.
+RUN_OF_KEY = (r"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*+[0-9]|[A-Z]{16}|[A-Z+/_-]*+[a-z+/_-]++[A-Z])"
+              r"[A-Za-z0-9+/_-]{16,}={0,2}|(?<=[=:][\x20]{0,1}[\"']{0,1})[A-Za-z0-9+/_-]{8,}+={0,2})")
+#: What may be a secret, in some forms with what it follows; that is PREFIX.
+CANDIDATE = rf"(?:{NAMED}{VALUE}|{RUN_OF_KEY})"
+PREFIX = rf"^{NAMED}"
 #: Forms that issuers of keys publish.
 ISSUED = (r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}"
           r"|sk-[A-Za-z0-9_-]{20,}|AIza[0-9A-Za-z_-]{35}|glpat-[A-Za-z0-9_-]{20,})$")
@@ -31,10 +54,12 @@ FEATURES = ("length", "transitions", "digits", "upper", "hexadecimal", "distinct
 
 
 def candidates(documents: DataFrame) -> DataFrame:
-    """(doc_id, content, path, start, end, value, before, after): what may be a secret in whole texts.
+    """(doc_id, content, path, start, end, value, form, before, after): what may be a secret in whole texts.
 
     Places count code points, the end excluded; ``before`` and ``after`` are the 48 characters on
-    either side, and ``path`` is the column source, if there is one.
+    either side, and ``path`` is the column source, if there is one. ``form`` is "named" for the whole
+    value assigned to a word for credentials: what is quoted, or all up to the next blank, from four
+    characters on. It is empty for other runs of the characters of keys.
     """
     path = F.col("source").cast("string") if "source" in documents.columns else F.lit(None).cast("string")
     named = documents.select("doc_id", "text", F.coalesce(path, F.lit("")).alias("path"))
@@ -42,9 +67,15 @@ def candidates(documents: DataFrame) -> DataFrame:
     named = named.select("doc_id", F.xxhash64(text).alias("content"), "path", text.alias("text"))
     some = named.where(F.rlike("text", F.lit(CANDIDATE)))
     found = some.select(*DOCUMENT, "path", gaps_and_matches("text", F.lit(CANDIDATE)).alias("m"))
-    each = F.expr("""filter(transform(m.found, (v, i) -> struct(i as n, char_length(m.gaps[i]) as gap, v as value,
-        right(m.gaps[i], 48) as before, left(coalesce(get(m.gaps, i + 1), ''), 48) as after)), x -> x.value <> '')""")
+    each = F.expr("""filter(transform(m.found, (v, i) -> struct(i as n, m.gaps[i] as gap, v as value,
+        left(coalesce(get(m.gaps, i + 1), ''), 48) as after)), x -> x.value <> '')""")
     rows = found.select(*DOCUMENT, "path", F.explode(each).alias("m")).select(*DOCUMENT, "path", "m.*")
+    prefix = F.regexp_extract("value", PREFIX, 0)
+    before = F.concat("gap", "prefix")
+    rows = rows.withColumn("prefix", prefix).select(
+        *DOCUMENT, "path", "n", F.char_length(before).alias("gap"),
+        F.expr("substring(value, char_length(prefix) + 1)").alias("value"),
+        F.when(F.col("prefix") != "", "named").otherwise("").alias("form"), F.right(before, F.lit(48)).alias("before"), "after")
     return placed(rows, [*DOCUMENT])
 
 
@@ -87,9 +118,9 @@ def with_features(documents: DataFrame, found: DataFrame, documents_with: int =
         "slashes": "cast(regexp_count(value, '/') as double)",
         "in_path": "cast(rlike(before, '[/.@\\\\\\\\]$') or rlike(after, '^[/.@\\\\\\\\][A-Za-z0-9]') as double)",
         "example_path": f"cast(rlike(path, '{EXAMPLE_PATH}') as double)",
-        "credential": _words_in("right(before, 24)", CREDENTIAL),
+        "credential": f"if(form = 'named', 1D, {_words_in('right(before, 24)', CREDENTIAL)})",
         "harmless": _words_in("right(before, 24)", HARMLESS),
-        "assigned": "cast(rlike(before, '[=:]\\\\s?[\"\\']?$') as double)",
+        "assigned": "if(form = 'named', 1D, cast(rlike(before, '[=:]\\\\s?[\"\\']?$') as double))",
         "quoted": "cast(rlike(before, '[\"\\']$') as double)",
         "issued": f"cast(rlike(value, '{ISSUED}') as double)",
     }

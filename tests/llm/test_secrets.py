@@ -39,6 +39,25 @@ def test_candidates_equal_the_pattern(spark, hard_documents, hard_items):
         (i, m.start()) for i, t in hard_items for m in FORM.finditer(t or "")}
 
 
+def test_whole_values_of_credentials_are_candidates(spark):
+    cases = {"password=p@ss!w0rd#1Zk now": "p@ss!w0rd#1Zk", "secret =  hunter2hunter": "hunter2hunter",
+             "x password = hunter2 y": "hunter2", "the password: Tr0ub4dor&3xyz\n": "Tr0ub4dor&3xyz",
+             "config/v1/my_db_password_long1=a,b;c": "a,b;c", "{'client-secret': 'two words é'}": "two words é",
+             'api_key := "a\\"b c" d': 'a\\"b c', 'token\t=\t "no-end': "no-end",
+             "login: password: hunter2": "hunter2", 'x "Authorization": "Bearer abcd.ef" y': "abcd.ef",
+             "key AbCdEfGhIjKlMnOpQrSt ok": "AbCdEfGhIjKlMnOpQrSt", "password: abc": None, "pass word": None,
+             "PASSWORD" + " " * 60 + "=" + " " * 60 + "hunter2": "hunter2", 'password = "" other': None}
+    items = [*enumerate(cases), (900, "key-" * 20000), (901, "password=" * 9000), (902, "token='" * 9000), (903, "a/" * 20000)]
+    frame = spark.createDataFrame(items, "doc_id long, text string")
+    found = {}
+    for r in secrets.candidates(frame).collect():
+        assert dict(items)[r.doc_id][r.start:r.end] == r.value
+        found.setdefault(r.doc_id, []).append(r.value)
+    assert [found.get(i, [None]) for i in range(len(cases))] == [[v] for v in cases.values()]
+    measured = secrets.with_features(frame, secrets.candidates(frame)).where("doc_id < 900 and value = 'hunter2'")
+    assert {(r.credential, r.assigned) for r in measured.collect()} == {(1.0, 1.0)}
+
+
 def test_planted_secrets_and_harmless_keys(spark):
     items, planted = corpus()
     documents = spark.createDataFrame([(i, t, "src") for i, t in items], "doc_id long, text string, source string")
