@@ -40,17 +40,29 @@ VALUE = (rf"(?!{_NAME}(?:[\x20\t]++[=:]|[=:]{{1,3}}+>?+[\x20\t]))"
 #: shorter ones right after a sign of assignment. It starts where the run of characters does.
 RUN_OF_KEY = (r"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*+[0-9]|[A-Z]{16}|[A-Z+/_-]*+[a-z+/_-]++[A-Z])"
               r"[A-Za-z0-9+/_-]{16,}={0,2}|(?<=[=:][\x20]{0,1}[\"']{0,1})[A-Za-z0-9+/_-]{8,}+={0,2})")
+#: A password in an address, after the name of its user.
+LOGIN = r"(?<![A-Za-z0-9+/_.-])[A-Za-z][A-Za-z0-9+.-]*+://[^\s/:@?#\"'<>]*+:"
+PASSWORD = r"[^\s/?#\"'<>]+(?=@[A-Za-z0-9\[])"
+#: A signed token: its parts belong together. It may end a path.
+FOLDERS = r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+_-]*+/)*+"
+SIGNED = r"eyJ[A-Za-z0-9_-]{4,}+(?:[.][A-Za-z0-9_-]{4,}+){2,4}+"
 #: What may be a secret, in some forms with what it follows; that is PREFIX.
-CANDIDATE = rf"(?:{NAMED}{VALUE}|{RUN_OF_KEY})"
-PREFIX = rf"^{NAMED}"
+CANDIDATE = rf"(?:{NAMED}{VALUE}|{LOGIN}{PASSWORD}|{FOLDERS}{SIGNED}|{RUN_OF_KEY})"
+PREFIX = rf"^(?:{NAMED}|{LOGIN}|{FOLDERS}(?={SIGNED}))"
 #: Forms that issuers of keys publish.
 ISSUED = (r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}"
-          r"|sk-[A-Za-z0-9_-]{20,}|AIza[0-9A-Za-z_-]{35}|glpat-[A-Za-z0-9_-]{20,})$")
+          rf"|sk-[A-Za-z0-9_-]{{20,}}|AIza[0-9A-Za-z_-]{{35}}|glpat-[A-Za-z0-9_-]{{20,}}|{SIGNED})$")
+#: Neighbours that only a path or the name of a host has: a backslash, the ending of a file after
+#: slashes, or a scheme before.
+FILE = (r"(rlike(before, '[\\\\]$') or rlike(after, '^[\\\\][A-Za-z0-9]')"
+        r" or contains(value, '/') and rlike(after, '^[.][a-z]{1,4}(?![A-Za-z0-9])')"
+        r" or rlike(value, '^//[^/]*$') and endswith(before, ':') and not startswith(after, '@'))")
 #: Parts of a document's path that speak against a real secret.
 EXAMPLE_PATH = r"(?i)test|example|sample|fixture|vendor|docs?/|lock"
 WORD = r"(?<!\S)\p{L}{3,}(?=[.,;:!?]?(?!\S))"
 FEATURES = ("length", "transitions", "digits", "upper", "hexadecimal", "distinct", "entropy", "coverage",
-            "slashes", "in_path", "example_path", "credential", "harmless", "assigned", "quoted", "issued")
+            "slashes", "in_path", "in_file", "example_path", "credential", "harmless", "assigned", "quoted", "issued",
+            "login")
 
 
 def candidates(documents: DataFrame) -> DataFrame:
@@ -59,7 +71,8 @@ def candidates(documents: DataFrame) -> DataFrame:
     Places count code points, the end excluded; ``before`` and ``after`` are the 48 characters on
     either side, and ``path`` is the column source, if there is one. ``form`` is "named" for the whole
     value assigned to a word for credentials: what is quoted, or all up to the next blank, from four
-    characters on. It is empty for other runs of the characters of keys.
+    characters on, and "login" for a password in an address. It is empty for signed tokens of three or
+    more parts and for other runs of the characters of keys.
     """
     path = F.col("source").cast("string") if "source" in documents.columns else F.lit(None).cast("string")
     named = documents.select("doc_id", "text", F.coalesce(path, F.lit("")).alias("path"))
@@ -75,7 +88,8 @@ def candidates(documents: DataFrame) -> DataFrame:
     rows = rows.withColumn("prefix", prefix).select(
         *DOCUMENT, "path", "n", F.char_length(before).alias("gap"),
         F.expr("substring(value, char_length(prefix) + 1)").alias("value"),
-        F.when(F.col("prefix") != "", "named").otherwise("").alias("form"), F.right(before, F.lit(48)).alias("before"), "after")
+        F.expr("case when prefix = '' or endswith(prefix, '/') then '' when rlike(prefix, '://[^=]*:$') then 'login'"
+               " else 'named' end").alias("form"), F.right(before, F.lit(48)).alias("before"), "after")
     return placed(rows, [*DOCUMENT])
 
 
@@ -116,13 +130,16 @@ def with_features(documents: DataFrame, found: DataFrame, documents_with: int =
         "entropy": f"-aggregate(letters, 0D, (s, c) -> s + {count} / {n} * log2({count} / {n}))",
         "coverage": f"coalesce(covered, 0) / {n}",
         "slashes": "cast(regexp_count(value, '/') as double)",
-        "in_path": "cast(rlike(before, '[/.@\\\\\\\\]$') or rlike(after, '^[/.@\\\\\\\\][A-Za-z0-9]') as double)",
+        "in_path": "cast(form <> 'login' and (rlike(before, '[/.@\\\\\\\\]$')"
+                   " or rlike(after, '^[/.@\\\\\\\\][A-Za-z0-9]')) as double)",
+        "in_file": f"cast({FILE} as double)",
         "example_path": f"cast(rlike(path, '{EXAMPLE_PATH}') as double)",
         "credential": f"if(form = 'named', 1D, {_words_in('right(before, 24)', CREDENTIAL)})",
         "harmless": _words_in("right(before, 24)", HARMLESS),
         "assigned": "if(form = 'named', 1D, cast(rlike(before, '[=:]\\\\s?[\"\\']?$') as double))",
         "quoted": "cast(rlike(before, '[\"\\']$') as double)",
         "issued": f"cast(rlike(value, '{ISSUED}') as double)",
+        "login": "cast(form = 'login' as double)",
     }
     covered = _coverage(documents, found, documents_with)
     joined = found.join(stored(covered, "covered"), "value", "left").withColumn(
@@ -134,15 +151,17 @@ def with_features(documents: DataFrame, found: DataFrame, documents_with: int =
 def plain_findings(measured: DataFrame) -> DataFrame:
     """Labelled findings for a corpus without any: cases that their form or neighbours decide.
 
-    1: the published form of an issuer's key, or a value with digits assigned to a word for
-    credentials. 0: digits only, letters only away from such words, hardly any different characters,
-    mostly words of the corpus, a part of a path or address, or a value beside a word for harmless
-    keys.
+    1: the published form of an issuer's key or of a signed token, a password in an address that is
+    not mostly words, or a value with digits assigned to a word for credentials. 0: digits only, letters
+    only away from such words, hardly any different characters, mostly words of the corpus, a part of a
+    file's path or host's name away from such words, or a value beside a word for harmless keys. A dot or
+    an @ beside a value alone decides nothing.
     """
-    no = ("digits = 1 or distinct < 0.2 or coverage > 0.6 or in_path = 1"
-          " or (credential = 0 and (harmless = 1 or digits + upper = 0))")
-    yes = "issued = 1 or (credential = 1 and assigned = 1 and digits > 0.1)"
-    label = F.expr(f"case when issued = 0 and ({no}) then 0D when {yes} then 1D end")
+    no = ("digits = 1 or distinct < 0.2 or coverage > 0.6"
+          " or (credential = 0 and (in_file = 1 or harmless = 1 or digits + upper = 0))")
+    yes = "(credential = 1 and assigned = 1 and digits > 0.1)"
+    label = F.expr(f"""case when issued = 1 or (login = 1 and coverage <= 0.6) then 1D when login = 1 then null
+        when {no} then 0D when {yes} then 1D end""")
     return measured.withColumn("label", label).where("label is not null")
 
 

@@ -58,6 +58,26 @@ def test_whole_values_of_credentials_are_candidates(spark):
     assert {(r.credential, r.assigned) for r in measured.collect()} == {(1.0, 1.0)}
 
 
+def test_passwords_in_addresses_and_signed_tokens(spark):
+    signed = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    cases = {"at postgres://admin:S3cretPass99@db.example.com/x now": [("S3cretPass99", 1)],
+             "redis://:123456@cache and": [("123456", 1)], f"see {signed}.": [(signed, 1)],
+             "https://a:p@ss9@b.example.com": [("p@ss9", 1)], f"at https://h.example/reset/1/{signed} x": [(signed, 1)],
+             "x a1b2c3d4e5f6g7h8.i9 y": [("a1b2c3d4e5f6g7h8", None)], "to a1b2c3d4e5f6g7h8@example.com": [("a1b2c3d4e5f6g7h8", None)],
+             "C:\\a1b2c3d4e5f6g7h8\\x": [("a1b2c3d4e5f6g7h8", 0)], "in /usr/lib/a1b2c3d4e5f6.txt": [("/usr/lib/a1b2c3d4e5f6", 0)],
+             "https://a1b2c3d4e5f6g7h8.example.com": [("//a1b2c3d4e5f6g7h8", 0)],
+             "token=a1b2c3d4e5f6g7h8.i9j0 z": [("a1b2c3d4e5f6g7h8.i9j0", 1)],
+             "http://host:8080/path@v1": [("8080/path", None)], "https://a1b2c3d4e5f6g7h8@example.com": [("//a1b2c3d4e5f6g7h8", None)]}
+    frame = spark.createDataFrame([*enumerate(cases), (900, "a://" * 20000), (901, "a://b:" + "c" * 90000),
+                                   (902, "eyJabcd." * 20000)], "doc_id long, text string").where("text is not null")
+    measured = secrets.with_features(frame, secrets.candidates(frame)).cache()
+    known = {(r.doc_id, r.start): r.label for r in secrets.plain_findings(measured).collect()}
+    found = {}
+    for r in measured.where("doc_id < 900").collect():
+        found.setdefault(r.doc_id, []).append((r.value, known.get((r.doc_id, r.start))))
+    assert [found.get(i, []) for i in range(len(cases))] == list(cases.values())
+
+
 def test_planted_secrets_and_harmless_keys(spark):
     items, planted = corpus()
     documents = spark.createDataFrame([(i, t, "src") for i, t in items], "doc_id long, text string, source string")
