@@ -165,6 +165,17 @@ def plain_findings(measured: DataFrame) -> DataFrame:
     return measured.withColumn("label", label).where("label is not null")
 
 
+def training_rows(known: DataFrame, findings: int) -> DataFrame:
+    """(FEATURES, label, weight): equal rows as one with their number, at most ``findings`` of either label.
+
+    Those are taken whose features hash lowest, so copies fill no sample and neither label is left out.
+    """
+    merged = stored(known.groupBy(*FEATURES, "label").agg(F.count("*").cast("double").alias("weight")), "merged")
+    either = [merged.where(F.col("label") == label).orderBy(F.xxhash64(*FEATURES), *FEATURES).limit(findings)
+              for label in (0, 1)]
+    return either[0].unionByName(either[1])
+
+
 def scan(documents: DataFrame, labelled: DataFrame | None = None, findings: int = 20000,
          threshold: float = 0.5, trees: int = 20, depth: int = 6, seed: int = 7) -> DataFrame:
     """(doc_id, content, start, end, value, probability, is_secret): one row per candidate.
@@ -172,8 +183,7 @@ def scan(documents: DataFrame, labelled: DataFrame | None = None, findings: int
     A random forest decides on a candidate's length, changes between kinds of characters,
     characters, coverage by words of the corpus, path, and neighbouring words. It is trained on
     ``labelled``, rows of doc_id, start and label (0 or 1) from an earlier review, or without them
-    on the cases that ``plain_findings`` decides; on at most ``findings`` of them, those whose value
-    hashes lowest. If all labels are alike, so are all decisions; without any, no candidate is
+    on the cases that ``plain_findings`` decides; see ``training_rows`` for ``findings``. If all labels are alike, so are all decisions; without any, no candidate is
     removed.
 
     Null and empty texts have no candidates; rows that share a doc_id are searched each by itself,
@@ -187,14 +197,13 @@ def scan(documents: DataFrame, labelled: DataFrame | None = None, findings: int
         reviewed = labelled.select(F.col("doc_id").alias("_id"), F.col("start").alias("_start"),
                                    F.col("label").cast("double").alias("label")).where("label in (0, 1)")
         known = measured.join(reviewed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("start") == F.col("_start")))
-    known = stored(known.select(*FEATURES, "label", F.xxhash64("value").alias("_order")).orderBy(
-        "_order", "label", *FEATURES).limit(findings), "known")
+    known = stored(training_rows(known, findings), "known")
     classes = sorted(r["label"] for r in known.select("label").distinct().collect())
     assembler = VectorAssembler(inputCols=[*FEATURES], outputCol="_features")
     if len(classes) == 2:
         forest = RandomForestClassifier(featuresCol="_features", labelCol="label", probabilityCol="_probability",
                                         rawPredictionCol="_raw", predictionCol="_predicted",
-                                        numTrees=trees, maxDepth=depth, seed=seed)
+                                        weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed)
         model = forest.fit(assembler.transform(known))
         scored = model.transform(assembler.transform(measured)).withColumn(
             "probability", vector_to_array("_probability")[1])

@@ -90,6 +90,26 @@ def test_planted_secrets_and_harmless_keys(spark):
         assert texts[i] == (text.replace(planted[i], "[secret]") if i in planted else text)
 
 
+def test_copies_do_not_fill_the_training_rows(spark):
+    columns = ", ".join(f"0.0D as {f}" for f in secrets.FEATURES if f != "length")
+    known = spark.range(640).selectExpr("cast(if(id < 600, 1, id) as double) as length",
+                                        "if(id < 620, 0D, 1D) as label", *columns.split(", "))
+    rows = secrets.training_rows(known, 30).collect()
+    assert {(r.length, r.label): r.weight for r in rows} == {
+        (1.0, 0.0): 600.0, **{(float(i), float(i >= 620)): 1.0 for i in range(600, 640)}}
+    few = secrets.training_rows(known, 3).collect()
+    assert sorted(r.label for r in few) == [0, 0, 0, 1, 1, 1]
+
+
+def test_copies_of_a_finding_leave_both_labels(spark):
+    items, planted = corpus()
+    items += [(1000 + i, f"commit {'0123456789abcdef' * 2}") for i in range(300)]
+    items += [(2000 + i, f"token = {'fedcba9876543210' * 2}") for i in range(300)]
+    rows = secrets.scan(spark.createDataFrame(items, "doc_id long, text string"), findings=60).collect()
+    assert {r.is_secret for r in rows if 1000 <= r.doc_id < 2000} == {0}
+    assert {r.is_secret for r in rows if r.doc_id >= 2000} == {1}
+
+
 def test_reviewed_findings_decide(spark):
     items, planted = corpus()
     documents = spark.createDataFrame(items, "doc_id long, text string")
