@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from typing import NamedTuple
 from zlib import crc32
 
@@ -49,11 +50,12 @@ def buckets(codes: np.ndarray) -> np.ndarray:
     return np.stack([codes >> 32, codes & 0xFFFFFFFF], axis=1).astype(np.int32)
 
 
-def excess(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """For each bucket, how far confirmed documents hold it beyond unlabelled ones, in log-deviations."""
-    held = [np.bincount(np.concatenate([np.empty(0, np.int32), *(np.unique(d) for d in x)]), minlength=BUCKETS)
-            for x in (positive, unlabelled)]
-    expected = len(positive) * (held[1] + 1) / (len(unlabelled) + 2)
+def excess(held: np.ndarray, documents: np.ndarray) -> np.ndarray:
+    """For each bucket, how far confirmed documents hold it beyond unlabelled ones, in log-deviations.
+
+    ``held`` has the number of documents that hold a bucket, of the confirmed and of the others.
+    """
+    expected = documents[0] * (held[1] + 1) / (documents[1] + 2)
     deviations = (held[0] - expected) / np.sqrt(expected + 1)
     return np.sign(deviations) * np.log1p(np.abs(deviations))
 
@@ -106,54 +108,112 @@ class Model(NamedTuple):
         return float(logistic(np.array(x @ self.weights + self.bias)))
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, folds: int = 4) -> Model:
+class _Sample(NamedTuple):
+    """Words of documents in ``rows``; ``places`` has the places of a row among the confirmed and the others."""
+    rows: DataFrame
+    places: dict[int, list[tuple[int, int]]]
+    documents: tuple[int, int]
+
+    @property
+    def folds(self) -> int:
+        return min(4, *self.documents)
+
+    def held(self) -> np.ndarray:
+        """The number of documents that hold a bucket, by kind and fold."""
+        folds, shared = self.folds, self.rows.sparkSession.sparkContext.broadcast(self.places)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts = np.zeros((2, folds, BUCKETS), dtype=np.int32)
+            for batch in batches:
+                for row, codes in zip(batch["row"].to_pylist(), batch["codes"], strict=True):
+                    if places := shared.value.get(row):
+                        own = np.unique(buckets(np.asarray(codes.values)))
+                        for kind, place in places:
+                            counts[kind, place % folds, own] += 1
+            flat = counts.reshape(-1)
+            found = np.flatnonzero(flat)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(flat[found].astype(np.int64))], ["at", "n"])
+
+        sums = self.rows.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+        held = np.zeros(2 * folds * BUCKETS, dtype=np.int64)
+        held[sums["at"].to_numpy()] = sums["n"].to_numpy()
+        return held.reshape(2, folds, BUCKETS)
+
+    def summaries(self, strengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``summary`` of each document by the strengths of its fold, of the confirmed and of the others."""
+        folds, shared = self.folds, self.rows.sparkSession.sparkContext.broadcast((self.places, strengths))
+
+        def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            all_places, own = shared.value
+            for batch in batches:
+                found = []
+                for row, codes in zip(batch["row"].to_pylist(), batch["codes"], strict=True):
+                    if places := all_places.get(row):
+                        words = buckets(np.asarray(codes.values))
+                        found += [(kind, place, summary(own[place % folds], words).tolist()) for kind, place in places]
+                columns = zip(*found, strict=True) if found else ([], [], [])
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(
+                    columns, (pa.int32(), pa.int32(), pa.list_(pa.float64())), strict=True)], ["kind", "place", "x"])
+
+        rows = self.rows.mapInArrow(summarise, "kind int, place int, x array<double>").toArrow().to_pylist()
+        rows.sort(key=lambda r: (r["kind"], r["place"] % folds, r["place"]))
+        p, u = (np.array([r["x"] for r in rows if r["kind"] == kind]) for kind in (0, 1))
+        return p, u
+
+
+def fit(sample: _Sample, prior: float) -> Model:
     """A linear classifier by the corrected risk over the strongest words of a document.
 
     How strong a document's words are is measured by the other folds of the sample, so that words
-    of its own do not look strong; the model then measures by the whole sample.
+    of its own do not look strong; the model then measures by the whole sample. Documents are
+    counted and summed up in tasks; arrays of fixed sizes reach the driver.
     """
-    seen: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
-    folds = min(folds, len(positive), len(unlabelled))
-    for f in range(folds):
-        rest = [[d for i, d in enumerate(x) if folds == 1 or i % folds != f] for x in (positive, unlabelled)]
-        strength = excess(*rest)
-        for rows, x in zip(seen, (positive, unlabelled), strict=True):
-            rows.extend(summary(strength, d) for d in x[f::folds])
-    p, u = map(np.array, seen)
+    folds, held, documents = sample.folds, sample.held(), np.array(sample.documents)
+    own = np.array([[len(range(f, n, folds)) for f in range(folds)] for n in documents])
+    rest = [(held.sum(axis=1) - held[:, f], documents - own[:, f]) for f in range(folds)]
+    whole = excess(held.sum(axis=1), documents)
+    p, u = sample.summaries(np.array([whole] if folds == 1 else [excess(*r) for r in rest]))
     centre, spread = u.mean(axis=0), np.maximum(u.std(axis=0), 1e-3)
     p, u = (p - centre) / spread, (u - centre) / spread
     w, move = np.append(np.zeros(p.shape[1]), np.log(prior / (1 - prior))), _Adam(p.shape[1] + 1, 0.05)
     for _ in range(1500):
         gp, gu = non_negative_risk(p @ w[:-1] + w[-1], u @ w[:-1] + w[-1], prior)
         w -= move(np.append(gp @ p + gu @ u + 1e-4 * w[:-1], gp.sum() + gu.sum()))
-    return Model(excess(positive, unlabelled).astype(np.float32), centre, spread, w[:-1], float(w[-1]))
+    return Model(whole.astype(np.float32), centre, spread, w[:-1], float(w[-1]))
 
 
-def _sample(documents: DataFrame, ids: DataFrame, n: int, words: int) -> list[np.ndarray]:
-    """Buckets of the documents whose ids, among the given ones, hash lowest."""
+def _sample(documents: DataFrame, ids: list[DataFrame], bounds: list[int]) -> _Sample:
+    """All words of the documents whose ids, among the given ones, hash lowest."""
     @F.arrow_udf("array<long>")
     def codes(column: pa.Array) -> pa.Array:
-        return in_slices(column, lambda batch: [word_codes(t)[:words] for t in batch], pa.list_(pa.int64()))
+        return in_slices(column, lambda batch: [word_codes(t) for t in batch], pa.list_(pa.int64()))
 
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = ids.orderBy(*order).limit(n)
-    # At most n ids; their texts are looked up without moving any other.
-    some = documents.join(F.broadcast(chosen), "doc_id", "left_semi")
-    found = texts(some).select("doc_id", codes("text").alias("codes"))
-    rows = found.orderBy(*order, F.xxhash64("codes")).limit(n).select("codes").toArrow()
-    return [buckets(np.asarray(x.values)) for x in rows["codes"].combine_chunks()]
+    chosen = [stored(some.orderBy(*order).limit(n), "chosen") for some, n in zip(ids, bounds, strict=True)]
+    # At most as many ids as the bounds; their texts are looked up without moving any other.
+    some = documents.join(F.broadcast(chosen[0].union(chosen[1]).distinct()), "doc_id", "left_semi")
+    rows = stored(texts(some).select("doc_id", codes("text").alias("codes"),
+                                     F.monotonically_increasing_id().alias("row")), "sampled")
+    places: dict[int, list[tuple[int, int]]] = {}
+    found = []
+    for kind, (own, n) in enumerate(zip(chosen, bounds, strict=True)):
+        keys = rows.select("doc_id", "row", F.xxhash64("codes").alias("content")).join(
+            F.broadcast(own), "doc_id", "left_semi")
+        first = keys.orderBy(*order, "content", "row").select("row").limit(n).toArrow()["row"].to_pylist()
+        found.append(len(first))
+        for place, row in enumerate(first):
+            places.setdefault(row, []).append((kind, place))
+    return _Sample(rows, places, (found[0], found[1]))
 
 
 def train(documents: DataFrame, labels: DataFrame, name: str = "toxic", held: Column | None = None,
-          positives: int = 4000, unlabelled: int = 8000, words: int = 3000,
-          prior: float | None = None) -> Model | None:
+          positives: int = 4000, unlabelled: int = 8000, prior: float | None = None) -> Model | None:
     """Learn from at most ``positives`` confirmed and ``unlabelled`` other or unknown documents.
 
     Labels outside the fold ``held`` are used, and only for which documents are confirmed; the
-    unlabelled sample comes from all documents outside it. Of a document with more than ``words``
-    distinct words, that many, those that hash lowest, are learned from. ``prior`` is the share of
-    positives among all documents; without it, the share among the labelled ones stands in. These
-    are the only bounds; scoring covers every document and word. None without a confirmed document.
+    unlabelled sample comes from all documents outside it. ``prior`` is the share of positives among
+    all documents; without it, the share among the labelled ones stands in. These are the only
+    bounds; learning and scoring cover every word of a document. None without a confirmed document.
     """
     held = F.lit(False) if held is None else held
     known = stored(known_labels(labels, name, held), "known")
@@ -163,10 +223,8 @@ def train(documents: DataFrame, labels: DataFrame, name: str = "toxic", held: Co
     prior = min(max(prior or counts[0] / counts[1], 1e-4), 0.5)
     ids = documents.select("doc_id").where(F.col("doc_id").isNotNull() & ~held)
     confirmed = known.where("label = 1").select("doc_id").join(ids, "doc_id", "left_semi")
-    found = _sample(documents, confirmed, positives, words)
-    if not found:
-        return None
-    return fit(found, _sample(documents, ids, unlabelled, words), prior)
+    sample = _sample(documents, [confirmed, ids], [positives, unlabelled])
+    return fit(sample, prior) if all(sample.documents) else None
 
 
 def scored(documents: DataFrame, labels: DataFrame, name: str = "toxic", held: Column | None = None,

@@ -74,6 +74,18 @@ def test_hard_documents(spark, hard_documents, hard_items, no_documents, corpus,
     assert {r.score for r in module.score(hard_documents, one).collect()} == {1.0 if module is quality else 0.0}
 
 
+def test_all_words_of_long_documents_are_learned_from(spark):
+    words = [f"w{i}" for i in range(5000)]
+    lowest = min(words, key=lambda w: toxicity.word_codes(w)[0])
+    highest = max(words, key=lambda w: toxicity.word_codes(w)[0])
+    items = [(i, " ".join(w for w in words if i < 4 or w not in (lowest, highest))) for i in range(12)]
+    model = toxicity.train(spark.createDataFrame(items, "doc_id long, text string"), spark.createDataFrame(
+        [(i, int(i < 4)) for i in range(12)], "doc_id long, toxic int"))
+    for word in (lowest, highest):
+        assert model.strength[toxicity.buckets(toxicity.word_codes(word))[0, 0]] > 0
+    assert model.centre[-1] >= np.log1p(4990)
+
+
 def test_corrected_risk_gradient():
     r = np.random.default_rng(1)
     p, u, prior, step = r.standard_normal(5), r.standard_normal(9), 0.3, 1e-6
