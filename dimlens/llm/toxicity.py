@@ -212,15 +212,15 @@ def train(documents: DataFrame, labels: DataFrame, name: str = "toxic", held: Co
 
     Labels outside the fold ``held`` are used, and only for which documents are confirmed; the
     unlabelled sample comes from all documents outside it. ``prior`` is the share of positives among
-    all documents; without it, the share among the labelled ones stands in. These are the only
-    bounds; learning and scoring cover every word of a document. None without a confirmed document.
+    all documents; without it, the share among the labelled ones stands in. It is kept
+    0.0001 away from 0 and 1. These are the only bounds; learning and scoring cover every word of a document. None without a confirmed document.
     """
     held = F.lit(False) if held is None else held
     known = stored(known_labels(labels, name, held), "known")
     counts = known.agg(F.sum("label"), F.count("*")).first()
     if not counts[0]:
         return None
-    prior = min(max(prior or counts[0] / counts[1], 1e-4), 0.5)
+    prior = min(max(counts[0] / counts[1] if prior is None else prior, 1e-4), 1 - 1e-4)
     ids = documents.select("doc_id").where(F.col("doc_id").isNotNull() & ~held)
     confirmed = known.where("label = 1").select("doc_id").join(ids, "doc_id", "left_semi")
     sample = _sample(documents, [confirmed, ids], [positives, unlabelled])

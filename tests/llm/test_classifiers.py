@@ -86,6 +86,14 @@ def test_all_words_of_long_documents_are_learned_from(spark):
     assert model.centre[-1] >= np.log1p(4990)
 
 
+def test_priors_above_one_half_hold(spark, monkeypatch):
+    documents = spark.createDataFrame([(i, f"word w{i}") for i in range(10)], "doc_id long, text string")
+    toxic = spark.createDataFrame([(i, int(i < 8)) for i in range(10)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "fit", lambda sample, prior: prior)
+    found = [toxicity.train(documents, toxic, prior=p) for p in (None, 0.9, 1.0, 0.0)]
+    assert found == [0.8, 0.9, 1 - 1e-4, 1e-4]
+
+
 def test_corrected_risk_gradient():
     r = np.random.default_rng(1)
     p, u, prior, step = r.standard_normal(5), r.standard_normal(9), 0.3, 1e-6
