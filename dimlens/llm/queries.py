@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dimlens.llm import ann, bpe, line_dedup, packing, pii, quality, secrets, simhash, topk, toxicity
+from dimlens.llm import ann, bpe, line_dedup, merkle, packing, pii, quality, secrets, simhash, topk, toxicity
 from dimlens.llm.storage import stored
 
 
@@ -115,8 +115,75 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.manifest(_table(spark, sf_dir, "documents"))
+    beside = F.array_join(F.transform("path", lambda s: F.concat(s["left"], s["right"])), "")
+    proved = found.select("doc_id", "leaf", "subroot", "root", F.sha2(beside, 256).alias("proof_sha256"),
+                          merkle.folded(F.col("tampered_leaf"), F.col("path")).alias("folded_root"))
+    return proved.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _merkle_sql(levels: int = 7, above: int = 3) -> str:
+    """SQL for trees of up to 8**levels leaves and 8**above languages: one table per level."""
+    def coded(value: str) -> str:
+        text = f"CAST({value} AS VARCHAR)"
+        return f"coalesce(strlen({text}) || ':' || {text}, '-')"
+
+    def tree(name: str, first: str, count: int) -> list[str]:
+        """Tables name0, …: nodes (tree, r, n, h) of each level with the digests left and right of them."""
+        out = [f"{name}_h0 AS ({first})"]
+        for k in range(count):
+            run = "OVER (PARTITION BY tree, r // 8 ORDER BY r ROWS BETWEEN"
+            out.append(f"""{name}{k} AS (SELECT tree, r, n, h,
+    coalesce(string_agg(h, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+    coalesce(string_agg(h, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM {name}_h{k})""")
+            out.append(f"""{name}_h{k + 1} AS (SELECT tree, r // 8 AS r, n,
+    CASE WHEN n > {8**k} THEN sha256(string_agg(h, '' ORDER BY r)) ELSE min(h) END AS h
+    FROM {name}_h{k} GROUP BY tree, r // 8, n)""")
+        return out
+
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    leaf = "sha256(" + " || ".join(map(coded, fields)) + ")"
+    other = "sha256(" + " || ".join(coded(lower if f == "text" else f) for f in fields) + ")"
+    steps = [("d", k, "l.r") for k in range(levels)] + [("u", k, "s.r") for k in range(above)]
+    joins = "".join(f"\nJOIN {t}{k} ON {t}{k}.tree IS NOT DISTINCT FROM {'l.tree' if t == 'd' else '0'} "
+                    f"AND {t}{k}.r = {r} // {8**k}" for t, k, r in steps)
+    used = [(f"{t}{k}.n > {8**k}", f"{t}{k}") for t, k, _ in steps]
+    proof = " || ".join(f"CASE WHEN {c} THEN {t}.before || {t}.after ELSE '' END" for c, t in used)
+    tables = [f"""crcs AS (SELECT doc_id, list_reduce(list_prepend(CAST(4294967295 AS UBIGINT),
+        [CAST(ord(x) AS UBIGINT) FOR x IN string_split(CAST(doc_id AS VARCHAR), '')]), lambda acc, b: list_reduce(
+            list_prepend(xor(acc, b), [CAST(i AS UBIGINT) FOR i IN range(8)]),
+            lambda a, i: xor(a >> 1, CAST(3988292384 AS UBIGINT) * (a & 1)))) AS c
+    FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL))""",
+              f"""leaves AS (SELECT doc_id, lang AS tree, {leaf} AS leaf, CASE WHEN (
+        SELECT xor(c, 4294967295) % 3 FROM crcs WHERE crcs.doc_id = documents.doc_id) = 0
+    THEN {other} ELSE {leaf} END AS tampered FROM documents)""",
+              """l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r
+    FROM leaves)""",
+              *tree("d", "SELECT tree, r, count(*) OVER (PARTITION BY tree) AS n, leaf AS h FROM l", levels),
+              f"""s AS (SELECT tree, h, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS r FROM d_h{levels})""",
+              *tree("u", "SELECT 0 AS tree, r, count(*) OVER () AS n, h FROM s", above)]
+    folds, at = [], "f0"
+    tables.append(f"f0 AS (SELECT l.doc_id, l.leaf, s.h AS subroot, u_h{above}.h AS root, sha256({proof}) AS proof_sha256, "
+                  "l.tampered AS f, " + ", ".join(f"CASE WHEN {c} THEN {t}.before END AS b{i}, {t}.after AS a{i}"
+                                                  for i, (c, t) in enumerate(used))
+                  + f"\nFROM l JOIN s ON s.tree IS NOT DISTINCT FROM l.tree CROSS JOIN u_h{above}{joins})")
+    for i in range(len(used)):
+        folds.append(f"f{i + 1} AS (SELECT * REPLACE (CASE WHEN b{i} IS NULL THEN f ELSE sha256(b{i} || f || a{i}) END AS f) "
+                     f"FROM {at})")
+        at = f"f{i + 1}"
+    return "WITH " + ",\n".join(tables + folds) + f"""
+SELECT doc_id, leaf, subroot, root, proof_sha256, f AS folded_root, f = root AS verified FROM {at}"""
+
+
+OP12_SQL = _merkle_sql()
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pii, op2_best_fit_packing, op3_secrets, op4_bpe_round_trip,
                              op5_learned_partitions, op6_line_dedup,
-                             op7_simhash, op8_quality, op9_toxicity, op10_exact_top_k)}
-ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op10_exact_top_k": OP10_SQL}
+                             op7_simhash, op8_quality, op9_toxicity, op10_exact_top_k,
+                             op12_merkle_manifest)}
+ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op10_exact_top_k": OP10_SQL,
+                              "op12_merkle_manifest": OP12_SQL}
