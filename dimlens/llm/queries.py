@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dimlens.llm import ann, bpe, line_dedup, merkle, packing, pii, quality, secrets, simhash, topk, toxicity
+from dimlens.llm import ann, bpe, conversations, line_dedup, merkle, packing, pii, quality, secrets, simhash, topk, toxicity
 from dimlens.llm.storage import stored
 
 
@@ -180,10 +180,17 @@ SELECT doc_id, leaf, subroot, root, proof_sha256, f AS folded_root, f = root AS
 
 OP12_SQL = _merkle_sql()
 
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = conversations.repair(conversations.damaged(_table(spark, sf_dir, "conversations")))
+    return found.select("conv_id", *conversations.COUNTS, "audit",
+                        F.sha2(conversations.turns_text(F.col("turns")), 256).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pii, op2_best_fit_packing, op3_secrets, op4_bpe_round_trip,
                              op5_learned_partitions, op6_line_dedup,
                              op7_simhash, op8_quality, op9_toxicity, op10_exact_top_k,
-                             op12_merkle_manifest)}
+                             op12_merkle_manifest, op13_conversation_repair)}
 ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op10_exact_top_k": OP10_SQL,
                               "op12_merkle_manifest": OP12_SQL}
