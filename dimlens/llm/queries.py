@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dimlens.llm import ann, bpe, conversations, line_dedup, merkle, packing, pii, quality, secrets, simhash, topk, toxicity
+from dimlens.llm import ann, bpe, conversations, line_dedup, merkle, packing, pii, quality, secrets, simhash, substrings, topk, toxicity
 from dimlens.llm.storage import stored
 
 
@@ -116,6 +116,38 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP11_SQL = r"""
+WITH split AS (
+    SELECT doc_id, [w FOR w IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF w <> ''] AS words
+    FROM documents),
+numbered AS (SELECT doc_id, words, unnest(range(len(words))) AS place FROM split),
+windows AS (
+    SELECT doc_id, place, CASE WHEN place + 20 <= len(words)
+        THEN array_to_string(words[place + 1:place + 20], ' ') END AS passage
+    FROM numbered),
+judged AS (
+    SELECT doc_id, place, passage IS NOT NULL AND
+        row_number() OVER (PARTITION BY passage ORDER BY doc_id, place) > 1 AS repeated
+    FROM windows),
+covered AS (
+    SELECT doc_id, place, max(repeated) OVER (
+        PARTITION BY doc_id ORDER BY place ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone
+    FROM judged),
+kept AS (
+    SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed,
+        string_agg(words[place + 1], ' ' ORDER BY place) FILTER (WHERE NOT gone) AS text
+    FROM covered JOIN split USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(text, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merkle.manifest(_table(spark, sf_dir, "documents"))
     beside = F.array_join(F.transform("path", lambda s: F.concat(s["left"], s["right"])), "")
@@ -191,6 +223,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pii, op2_best_fit_packing, op3_secrets, op4_bpe_round_trip,
                              op5_learned_partitions, op6_line_dedup,
                              op7_simhash, op8_quality, op9_toxicity, op10_exact_top_k,
-                             op12_merkle_manifest, op13_conversation_repair)}
+                             op11_substring_dedup, op12_merkle_manifest,
+                             op13_conversation_repair)}
 ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op10_exact_top_k": OP10_SQL,
-                              "op12_merkle_manifest": OP12_SQL}
+                              "op11_substring_dedup": OP11_SQL, "op12_merkle_manifest": OP12_SQL}

@@ -30,6 +30,11 @@ COLUMNS = {
     "op8_quality": "doc_id bigint, held_out boolean, score double, predicted int",
     "op9_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
     "op10_exact_top_k": "query_id bigint, rank int, vec_id bigint, score bigint",
+    "op11_substring_dedup": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
+    "op12_merkle_manifest": "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, "
+                            "folded_root string, verified boolean",
+    "op13_conversation_repair": "conv_id bigint, gaps bigint, blank bigint, duplicate bigint, truncated bigint, "
+                                "illegal bigint, cost bigint, audit string, repaired_sha256 string",
 }
 
 
@@ -47,6 +52,8 @@ def folder(spark, tmp_path_factory, hard_items):
     vectors = np.random.default_rng(5).standard_normal((130, 6)).astype(np.float32)
     spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vectors)],
                           "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
+    spark.createDataFrame([(1, 0, "user", "Hello."), (1, 1, "assistant", None)],
+                          "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
     return path, [*hard_items, *pii]
 
 
