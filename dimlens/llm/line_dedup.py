@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dimlens.llm.membership import separated
 from dimlens.llm.storage import stored, texts
 
 #: White space at the ends of a line, and the letters that are lower-cased.
@@ -46,17 +47,18 @@ def keep_bitmaps(documents: DataFrame, least_chars: int = 40, least_documents: i
 
     Only hashes of 128 bits travel. They are range-partitioned by hash and document, so that a
     frequent line spreads over as many partitions as it fills, and are sorted there by document
-    and position: a document's first occurrence stands for it, and what a partition found about a
-    key is combined before the shuffle.
+    and position. First occurrences are streamed off that order, one for each document, and what a
+    partition found about a key is combined before the shuffle.
 
     Rows that share a doc_id count as one document, but each keeps lines by its own text, which
     ``content`` (a hash of it) tells apart. Rows without a doc_id count together as one document
     below all others. A null text is one empty line; an empty table gives an empty result.
     """
     lines = stored(_lines(documents, least_chars), "lines")
-    order = ["a", "b", F.desc("doc_id")]
-    first = lines.repartitionByRange(*order).sortWithinPartitions(*order, "position").groupBy(
-        "a", "b", "doc_id").agg(F.min("position").alias("position"))
+    # The window's partitions are those of the range partitioning, and its order is theirs.
+    document = Window.partitionBy("a", "b", "doc_id").orderBy("position")
+    first = lines.repartitionByRange("a", "b", "doc_id").sortWithinPartitions("a", "b", "doc_id", "position").withColumn(
+        "occurrence", F.row_number().over(document)).where("occurrence = 1")
     repeated = first.groupBy("a", "b").agg(
         F.count("*").alias("documents"), F.max("doc_id").alias("last")).where(
         F.col("documents") >= least_documents).select("a", "b", "last")
@@ -80,16 +82,26 @@ def dedup_lines(documents: DataFrame, least_chars: int = 40, least_documents: in
     """The documents without their repeated lines; see ``keep_bitmaps``.
 
     One row per row of documents, with all its columns, and with n_lines before dropping and
-    n_dropped, which replace columns of these names.
+    n_dropped, which replace columns of these names. Only documents that lose a line move to meet
+    their bitmaps, and the few that ``separated`` takes for such.
     """
-    bitmaps = stored(keep_bitmaps(documents, least_chars, least_documents), "bitmaps").select(
-        F.col("doc_id").alias("_kept_id"), F.col("content").alias("_kept_content"),
-        F.col("keep").alias("_keep"), F.col("n_dropped").alias("_n_dropped"))
-    whole = documents.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
-    joined = whole.join(bitmaps, F.col("doc_id").eqNullSafe(F.col("_kept_id"))
-                        & (F.xxhash64("text") == F.col("_kept_content")), "left")
-    return joined.select(
-        *(kept_text("text", "_keep").alias("text") if c == "text" else F.col(c)
-          for c in documents.columns if c not in ("n_lines", "n_dropped")),
-        F.size(F.split("text", "\n")).cast("long").alias("n_lines"),
-        F.coalesce("_n_dropped", F.lit(0)).cast("long").alias("n_dropped"))
+    bitmaps = stored(keep_bitmaps(documents, least_chars, least_documents), "bitmaps")
+
+    def content(prefix: str) -> Column:
+        return F.xxhash64(F.coalesce(F.col(f"{prefix}text"), F.lit("")))
+
+    losing, whole = separated(documents, lambda p: F.xxhash64(F.col(f"{p}doc_id"), content(p)),
+                              bitmaps.select(F.xxhash64("doc_id", "content").alias("hash")))
+    joined = losing.alias("d").join(bitmaps.alias("b"), F.col("d.doc_id").eqNullSafe(F.col("b.doc_id"))
+                                    & (content("d.") == F.col("b.content")), "left")
+
+    def result(rows: DataFrame, text: Column, dropped: Column) -> DataFrame:
+        return rows.select(
+            *(text.alias("text") if c == "text" else F.col(f"d.`{c}`")
+              for c in documents.columns if c not in ("n_lines", "n_dropped")),
+            F.size(F.split(F.coalesce(F.col("d.text"), F.lit("")), "\n")).cast("long").alias("n_lines"),
+            dropped.cast("long").alias("n_dropped"))
+
+    kept = kept_text("coalesce(d.text, '')", "b.keep")
+    return result(joined, kept, F.coalesce("b.n_dropped", F.lit(0))).unionByName(
+        result(whole.alias("d"), F.coalesce(F.col("d.text"), F.lit("")), F.lit(0)))

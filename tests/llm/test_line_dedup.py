@@ -1,5 +1,6 @@
 from collections import Counter, defaultdict
 
+from dimlens.llm import line_dedup
 from dimlens.llm.line_dedup import WHITE_SPACE, dedup_lines
 
 COLUMNS = ("doc_id", "text", "n_lines", "n_dropped")
@@ -48,3 +49,16 @@ def test_many_lines_cross_bitmap_words(spark):
 
 def test_empty(no_documents):
     assert dedup_lines(no_documents).collect() == []
+
+
+def test_first_occurrences_are_streamed_off_the_sort(hard_documents, monkeypatch):
+    plans = []
+    monkeypatch.setattr(line_dedup, "stored", lambda frame, name: (
+        plans.append(frame._jdf.queryExecution().executedPlan().toString()), frame)[1])
+    line_dedup.keep_bitmaps(hard_documents)
+    plan = next(p for p in plans if "rangepartitioning" in p)
+    window, sort, ranged = (plan.index(x) for x in ("Window [row_number()", "Sort [a#", "Exchange rangepartitioning(a#"))
+    assert window < sort < ranged
+    above = plan[:window]
+    assert "HashAggregate(keys=[a#" in above and "doc_id" not in above.split("HashAggregate(keys=[")[1].split("]")[0]
+    assert "hashpartitioning" not in plan[window:ranged]
