@@ -11,9 +11,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dimlens.llm.membership import separated
 from dimlens.llm.storage import stored, texts
 
 #: Words whose hash ranks them as a window's minimiser.
@@ -364,12 +365,23 @@ def remove_repeats(documents: DataFrame, window: int = 20) -> DataFrame:
             [pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())],
             names=["n_words", "n_removed", "text"])
 
-    text = F.coalesce(F.col("d.text"), F.lit(""))
-    here = F.col("d.doc_id").cast("long").eqNullSafe(F.col("r.doc_id")) & (F.xxhash64(text) == F.col("r.content"))
+    def content(prefix: str) -> Column:
+        return F.xxhash64(F.coalesce(F.col(f"{prefix}text"), F.lit("")))
+
+    # Only documents that lose a word move to meet their runs, and the few that are taken for such.
+    losing, whole = separated(documents, lambda p: F.xxhash64(F.col(f"{p}doc_id").cast("long"), content(p)),
+                              runs.select(F.xxhash64("doc_id", "content").alias("hash")))
+    here = F.col("d.doc_id").cast("long").eqNullSafe(F.col("r.doc_id")) & (content("d.") == F.col("r.content"))
     # Given columns are numbered in between, so that none of them meets a name of ours.
     given = [c for c in documents.columns if c not in ("text", "n_words", "n_removed")]
-    joined = documents.alias("d").join(runs.alias("r"), here, "left").select(
-        *(F.col(f"d.`{c}`").alias(f"_{i}") for i, c in enumerate(given)), kept(text, F.col("r.runs")).alias("kept"))
-    names = {c: F.col(f"_{i}") for i, c in enumerate(given)} | {"text": F.col("kept.text")}
-    return joined.select(*(names[c].alias(c) for c in documents.columns if c in names),
-                         "kept.n_words", "kept.n_removed")
+
+    def result(rows: DataFrame, found: Column) -> DataFrame:
+        numbered = rows.select(*(F.col(f"d.`{c}`").alias(f"_{i}") for i, c in enumerate(given)),
+                               kept(F.coalesce(F.col("d.text"), F.lit("")), found).alias("kept"))
+        names = {c: F.col(f"_{i}") for i, c in enumerate(given)} | {"text": F.col("kept.text")}
+        return numbered.select(*(names[c].alias(c) for c in documents.columns if c in names),
+                               "kept.n_words", "kept.n_removed")
+
+    met = losing.alias("d").join(runs.alias("r"), here, "left")
+    return result(met, F.col("r.runs")).unionByName(
+        result(whole.alias("d"), F.lit(None).cast(runs.schema["runs"].dataType)))
