@@ -9,6 +9,7 @@ pushed to the scan, and ``coalesce`` appears under negations alone.
 from __future__ import annotations
 
 import functools
+import math
 import operator
 import re
 from collections.abc import Iterable, Mapping, Sequence
@@ -54,9 +55,11 @@ class Bounds:
     high: str | None = None
 
     def within(self, other: Bounds) -> Bounds:
+        """Both bounds; where text and numbers would order two of them differently, the first alone."""
         lows = [b for b in (self.low, other.low) if b is not None]
         highs = [b for b in (self.high, other.high) if b is not None]
-        return Bounds(max(lows, default=None), min(highs, default=None))
+        low, high = _span(lows) if lows else Bounds(), _span(highs) if highs else Bounds()
+        return Bounds(low.high if low else lows[0], high.low if high else highs[0])
 
 
 @dataclass
@@ -203,12 +206,21 @@ def _bounds(test: str, value) -> Bounds | None:
     if not values or not all(isinstance(v, str) and v and v[0] != "$" for v in values):
         return None
     if test in ("$eq", "$in"):
-        return Bounds(min(values), max(values))
+        return _span(values)
     if test in ("$gt", "$gte"):
         return Bounds(low=value)
     return Bounds(high=value) if test in ("$lt", "$lte") else None
 
 
+def _span(values: Sequence[str]) -> Bounds | None:
+    """Bounds of a list, if they are the same whether the column holds text or numbers."""
+    low, high = min(values), max(values)
+    numbers = [_number(v) for v in values if _number(v) is not None]
+    if numbers and (len(values) > len(numbers) or (_number(low), _number(high)) != (min(numbers), max(numbers))):
+        return None
+    return Bounds(low, high)
+
+
 def predicate(where: Mapping[str, Any], rows: DataFrame) -> Column:
     """A condition without joins as one boolean column that is never null."""
     compiler = _Compiler(rows, {}, set())
@@ -329,7 +341,7 @@ class _Compiler:
                 return self.id_member(cell, value)
             if isinstance(value, (str, Mapping)) or not isinstance(value, Iterable):
                 raise QueryError("$in and $nin take a list or a DataFrame of one column")
-            return self.member(cell, value)
+            return self.member(cell, list(value))
         if isinstance(value, (Mapping, list, tuple, set, DataFrame)):
             raise QueryError(f"{name} takes a single value")
         if name == "$eq":
@@ -340,7 +352,7 @@ class _Compiler:
         if isinstance(cell.type, T.NullType):
             return F.lit("" in values)
         members = _members(cell, values)
-        listed = cell.column.isin(*members) if members else F.lit(False)
+        listed = _listed(cell, members) if members else F.lit(False)
         return listed | _empty(cell) if "" in values else listed
 
     def id_member(self, cell: _Cell, ids: DataFrame) -> Column:
@@ -448,6 +460,25 @@ def _ranged(cell: _Cell, compare, value) -> Column:
     return cell.column & ranged if isinstance(cell.type, T.BooleanType) else ranged
 
 
+def _listed(cell: _Cell, members: list) -> Column:
+    """Membership in a list of constants; a long one goes to Spark as one text, not value by value."""
+    known = (str, int, float)
+    long = len(members) > 32 and cell.name is not None
+    if not long or not all(type(m) in known and _sql_literal(m) for m in members):
+        return cell.column.isin(*members)
+    return F.expr(f"`{cell.name.replace('`', '``')}` IN ({','.join(map(_sql_literal, members))})")
+
+
+def _sql_literal(value: str | int | float) -> str | None:
+    """A constant as SQL text, None for numbers that have no such form."""
+    if isinstance(value, str):
+        # A dollar sign could start a variable, which Spark replaces in SQL texts.
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("$", "\\u0024") + "'"
+    if isinstance(value, int):
+        return str(value) if abs(value) < 2**63 else None
+    return f"{value!r}D" if math.isfinite(value) else None
+
+
 def _members(cell: _Cell, values) -> list:
     """Operands of a membership test: only those of the cell's own type can match.
 

@@ -170,3 +170,39 @@ def test_fields_and_bounds():
     where = {"$and": [{"t": {"$gte": "1996", "$lt": "2000"}}, {"t": {"$in": ["1990", "1998"]}},
                       {"$or": [{"t": "1900"}, {"u": "1"}]}]}
     assert column_bounds(where) == {"t": Bounds("1996", "1998")}
+
+
+def test_bounds_hold_for_text_and_numbers():
+    assert column_bounds({"c": {"$in": ["9", "10"]}}) == {}
+    assert column_bounds({"c": {"$in": ["10", "90"]}}) == {"c": Bounds("10", "90")}
+    assert column_bounds({"c": {"$in": ["9", "x"]}}) == {}
+    assert column_bounds({"c": {"$in": ["a", "b"], "$gte": "aa"}}) == {"c": Bounds("aa", "b")}
+    assert column_bounds({"$and": [{"c": {"$gte": "9"}}, {"c": {"$gte": "10"}}]}) == {"c": Bounds("9")}
+
+
+def test_operands_may_be_generators(spark):
+    rows = spark.createDataFrame([("a",), ("",), (None,), ("b",)], "t string")
+    for values in (["a", ""], iter(["a", ""]), {"a", ""}):
+        assert compile_condition({"t": {"$in": values}}, rows).apply(rows).count() == 3
+
+
+def test_long_lists_are_constants_of_one_expression(spark):
+    odd = ["it's", 'say "x"', "back\\slash", "new\nline", "\\'", "${x}", "é漢", "plain"]
+    rows = spark.createDataFrame([(t, i, i / 2) for i, t in enumerate([*odd, "other", None])], "`t x` string, n int, d double")
+    filler = [f"f{i}" for i in range(100)]
+    kept = compile_condition({"t x": {"$in": odd + filler}}, rows).apply(rows)
+    assert [r[0] for r in kept.collect()] == odd
+    assert compile_condition({"t x": {"$nin": odd + filler}}, rows).apply(rows).count() == 2
+    numbers = [*range(1000, 1100), 3, 4, 2**70, True]
+    assert [r.n for r in compile_condition({"n": {"$in": numbers}}, rows).apply(rows).collect()] == [3, 4]
+    assert [r.n for r in compile_condition({"n": {"$in": numbers[:-2]}}, rows).apply(rows).collect()] == [3, 4]
+    halves = [float(i) for i in range(900, 1000)] + [0.5, 1.5, float("inf"), 1e300]
+    assert [r.n for r in compile_condition({"d": {"$in": halves}}, rows).apply(rows).collect()] == [1, 3]
+    assert [r.n for r in compile_condition({"d": {"$in": halves[:-2]}}, rows).apply(rows).collect()] == [1, 3]
+
+
+def test_long_lists_reach_the_scan(spark, tmp_path):
+    spark.range(1000).selectExpr("id", "concat('k', id) AS k").write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    plan = explained(compile_condition({"k": {"$in": [f"k{i}" for i in range(500)]}}, rows).apply(rows))
+    assert "PushedFilters: [In(k" in plan
