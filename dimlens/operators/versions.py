@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 CREATED, CHANGED, REMOVED = "created", "changed", "removed"
 
+#: Columns of stored changes: the names of the columns a change sets, and whether it closed the row.
+COLUMNS, CLOSED = "__columns", "__closed"
+
 
 def version_diff(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
     """``(key, change, columns)`` of the rows that differ; ``columns`` names the changed ones.
@@ -60,7 +63,13 @@ def apply_changes(
     sets the columns that ``changes`` has; columns that only the base has keep what they hold. A
     key whose last change closes it is gone, and a row that a later change opens again starts
     anew, with the other columns empty.
+
+    Changes of differing columns say in ``COLUMNS`` which ones they set; each column then takes
+    its cell from the last change that sets it. ``CLOSED`` marks changes before which the row was
+    closed within the same batch.
     """
+    if COLUMNS in changes.columns:
+        return _apply_mixed(base, changes, key, order, removed)
     partial = [c for c in base.columns if c not in changes.columns]
     set_by = [c for c in base.columns if c not in partial and c not in key]
     ranks = [f"__rank{i}" for i in range(len(order))]
@@ -84,3 +93,28 @@ def apply_changes(
               for c in partial if c not in key}
     left = joined.filter(~F.coalesce("__new.__gone", F.lit(False)))
     return left.select(*[cells[c].alias(c) if c in cells else F.col(f"`{c}`") for c in base.columns])
+
+
+def _apply_mixed(base, changes, key, order, removed) -> DataFrame:
+    """``apply_changes`` for changes that set different columns: one aggregation, one join."""
+    rank = F.struct(*[F.col(f"`{c}`") for c in order])
+    gone = F.coalesce(F.col(f"`{removed}`"), F.lit(False)) if removed else F.lit(False)
+    closed = F.coalesce(CLOSED, F.lit(False)) if CLOSED in changes.columns else F.lit(False)
+    cells = [c for c in base.columns if c not in key]
+    held = {c: f"__cell{i}" for i, c in enumerate(cells) if c in changes.columns}
+    aggregates = [F.max(F.when(gone | closed, rank)).alias("__shut"), F.max_by(gone, rank).alias("__gone")]
+    for c, name in held.items():
+        sets = F.when(F.coalesce(F.array_contains(COLUMNS, c), F.lit(True)) & ~gone, rank)
+        aggregates += [F.max(sets).alias(f"{name}_at"), F.max_by(F.col(f"`{c}`"), sets).alias(name)]
+    last = changes.groupBy(*key).agg(*aggregates).withColumn("__changed", F.lit(True))
+    older = base.select(*key, F.struct(F.lit(True).alias("__here"), *[F.col(f"`{c}`") for c in cells]).alias("__old"))
+    joined = older.join(last, list(key), "full_outer").filter(~F.coalesce("__gone", F.lit(False)))
+    out = {}
+    for c in cells:
+        before = F.when(F.col("__shut").isNull(), F.col(f"__old.`{c}`"))
+        out[c] = before
+        if c in held:
+            at = F.col(f"{held[c]}_at")
+            newest = at.isNotNull() & F.coalesce(at >= F.col("__shut"), F.lit(True))
+            out[c] = F.when(newest, F.col(held[c])).otherwise(before)
+    return joined.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in base.columns])

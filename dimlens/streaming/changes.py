@@ -13,8 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from dimlens.operators.merge import last_rows
-from dimlens.operators.versions import apply_changes
+from dimlens.operators.versions import CLOSED, COLUMNS, apply_changes
 
 BATCH_FOLDER = "change_batch"
 
@@ -26,19 +25,30 @@ def store_changes(
     path: str,
     checkpoint: str,
     trigger: dict | None = None,
+    removed: str | None = None,
 ) -> StreamingQuery:
     """Write the last change per key of every micro-batch below ``path``.
 
     A batch that is run again after a lost executor or a restart replaces its own folder, so
     each change counts once. ``checkpoint`` and ``path`` lie in storage shared by the cluster.
+    Stored changes say which columns they set and, in ``CLOSED``, whether any change of the batch
+    removed the key (``removed`` names the column that tells), so that batches may differ in columns.
     """
 
     def store(batch: DataFrame, number: int) -> None:
-        last = last_rows(batch, key, list(order)).select(*batch.columns)
+        columns = [c for c in batch.columns if c != CLOSED]
+        gone = F.coalesce(F.col(f"`{removed}`"), F.lit(False)) if removed else F.lit(False)
+        if CLOSED in batch.columns:
+            gone = gone | F.coalesce(CLOSED, F.lit(False))
+        set_by = F.array(*[F.lit(c) for c in columns if c not in key and c not in order])
+        values = F.struct(*[F.col(f"`{c}`") for c in columns if c not in key])
+        last = batch.groupBy(*key).agg(
+            F.max_by(values, F.struct(*order)).alias("__last"), F.bool_or(gone).alias(CLOSED))
+        last = last.select(*key, "__last.*", CLOSED, set_by.alias(COLUMNS))
         last.write.mode("overwrite").parquet(f"{path}/{BATCH_FOLDER}={number}")
 
     return (
-        stream.writeStream.foreachBatch(store)
+        stream.writeStream.foreachBatch(store).outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
@@ -46,8 +56,9 @@ def store_changes(
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """All stored batches; a column that some of them lack is null there."""
     try:
-        return spark.read.parquet(path)
+        return spark.read.option("mergeSchema", True).parquet(path)
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
@@ -57,7 +68,8 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
 def read_changes(spark: SparkSession, path: str, after: int = -1) -> DataFrame | None:
     """Changes of the batches after number ``after``, None before the first batch.
 
-    The number is a partition column: folders of earlier batches are not read.
+    The number is a partition column: folders of earlier batches are not read. The columns
+    ``COLUMNS`` and ``CLOSED`` are for ``apply_changes``.
     """
     changes = _stored(spark, path)
     return None if changes is None else changes.filter(F.col(BATCH_FOLDER) > after).drop(BATCH_FOLDER)

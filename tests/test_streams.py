@@ -1,0 +1,149 @@
+"""Streams with state per key against the batch operators, through restarts and out of order."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from dimlens.operators.merge import last_rows
+from dimlens.operators.versions import CLOSED, COLUMNS, apply_changes
+from dimlens.streaming.changes import current_rows, fold_changes, read_changes, store_changes
+from dimlens.streaming.keyed import keyed_state, latest_changes, silent_keys
+from tests.company import found
+
+SCHEMA = "k string, v string, at timestamp, seq long, gone boolean"
+
+
+def moment(seconds):
+    return F.timestamp_seconds(F.lit(seconds))
+
+
+def changes_of(spark, rows):
+    frame = spark.createDataFrame(rows, "k string, v string, at long, seq long, gone boolean")
+    return frame.withColumn("at", F.timestamp_seconds("at"))
+
+
+def feed(spark, source, rows):
+    changes_of(spark, rows).coalesce(1).write.mode("append").parquet(source)
+
+
+def stream_of(spark, source):
+    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+
+
+def test_shuffled_changes_equal_the_batch_through_a_restart(spark, tmp_path):
+    chance = random.Random(5)
+    rows = [(f"k{chance.randrange(12)}", None if chance.random() < 0.1 else f"v{i}", 1000 + 60 * i, i,
+             chance.random() < 0.2) for i in range(160)]
+    rows += rows[::17]  # delivered twice
+    arriving = sorted(rows, key=lambda r: r[2] + chance.randrange(1800))
+    base = spark.createDataFrame([("k1", "old"), ("other", "same")], "k string, v string")
+    source, path, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    key, order = ["k"], ["at", "seq"]
+    with keyed_state(spark):
+        for part in (arriving[:60], arriving[60:110], arriving[110:]):  # each run goes on where the last one ended
+            feed(spark, source, part[:25])
+            feed(spark, source, part[25:])
+            latest = latest_changes(stream_of(spark, source), key, order, "30 minutes", "gone")
+            store_changes(latest, key, order, path, state, removed="gone").awaitTermination()
+    expected = apply_changes(base, changes_of(spark, rows), key, order, "gone")
+    assert found(current_rows(base, path, key, order, "gone")) == found(expected)
+    stored = spark.read.parquet(path)
+    assert stored.groupBy("change_batch", "k").count().filter("count > 1").count() == 0
+
+
+def test_late_changes_and_known_ones_leave_nothing(spark, tmp_path):
+    source, path, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    batches = [[("a", "1", 1000, 1, False), ("b", "1", 1000, 2, False)],
+               [("a", "0", 900, 0, False), ("a", "1", 1000, 1, False)],  # late, and known
+               [("c", "1", 9000, 3, False)],  # the watermark passes a and b
+               [("a", "early", 500, 9, False), ("b", "2", 9100, 4, True)]]  # too late, and new
+    for batch in batches:
+        feed(spark, source, batch)
+    with keyed_state(spark):
+        latest = latest_changes(stream_of(spark, source), ["k"], ["at", "seq"], "10 minutes", "gone")
+        store_changes(latest, ["k"], ["at", "seq"], path, state, removed="gone").awaitTermination()
+    stored = spark.read.parquet(path).orderBy("change_batch", "k").select("k", "v", "gone").collect()
+    assert [tuple(r) for r in stored] == [
+        ("a", "1", False), ("b", "1", False), ("c", "1", False), ("b", "2", True)]
+
+
+def test_silent_keys_equal_the_batch_query(spark, tmp_path):
+    chance = random.Random(8)
+    span, delay = 3000, 1800
+    rows = [(f"k{chance.randrange(6)}", "v", 100 * chance.randrange(600), i, False) for i in range(90)]
+    rows += [("null", "v", None, 500, False)]
+    arriving = sorted(rows, key=lambda r: (r[2] or 0) + chance.randrange(delay))
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for upto in (45, len(arriving)):
+        feed(spark, source, arriving[upto - 45 if upto == 45 else 45:upto])
+        with keyed_state(spark):
+            silent = silent_keys(stream_of(spark, source), ["k"], ["at", "seq"], span, f"{delay} seconds")
+            silent.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(
+                availableNow=True).start().awaitTermination()
+        seen = [r for r in arriving[:upto] if r[2] is not None]
+        watermark = max(r[2] for r in seen) - delay
+        expected = []
+        for r in seen:
+            following = [o[2:4] for o in seen if o[0] == r[0] and o[2:4] > r[2:4]]
+            if r[2] + span <= watermark and (not following or min(following)[0] > r[2] + span):
+                expected.append((r[0], r[3]))
+        got = spark.read.schema(silent.schema).parquet(out).select("k", "seq")
+        assert sorted(map(tuple, got.collect())) == sorted(expected) and expected
+
+
+def test_batches_of_differing_columns(spark, tmp_path):
+    base = spark.createDataFrame([(1, "a0", "b0"), (2, "a0", "b0"), (3, "a0", "b0"), (4, "a0", "b0")],
+                                 "k int, a string, b string")
+    batches = [
+        ("k int, a string, seq int, gone boolean", [(1, "a1", 1, False), (2, "a1", 1, False), (3, None, 1, True)]),
+        ("k int, a string, b string, seq int, gone boolean", [(1, "a2", "b2", 2, False), (5, "a2", "b2", 2, False)]),
+        ("k int, b string, seq int, gone boolean", [(2, None, 3, False), (3, "b3", 3, False), (6, "b3", 3, False),
+                                                    (4, None, 3, True), (4, "b4", 4, False)]),
+    ]
+    path, key, order = str(tmp_path / "changes"), ["k"], ["seq"]
+    for number, (schema, rows) in enumerate(batches):
+        source = str(tmp_path / f"in{number}")
+        spark.createDataFrame(rows, schema).write.parquet(source)
+        # One stream whose source changes its columns: its batches go on counting.
+        stream = spark.readStream.schema(schema).parquet(source)
+        store_changes(stream, key, order, f"{path}-{number}", str(tmp_path / f"state{number}"),
+                      removed="gone").awaitTermination()
+        spark.read.parquet(f"{path}-{number}/change_batch=0").write.parquet(f"{path}/change_batch={number}")
+    stored = read_changes(spark, path)
+    assert {"a", "b", "seq", "gone", COLUMNS, CLOSED} <= set(stored.columns)
+    expected = [(1, "a2", "b2"), (2, "a1", None), (3, None, "b3"), (4, None, "b4"), (5, "a2", "b2"), (6, None, "b3")]
+    assert found(current_rows(base, path, key, order, "gone")) == expected
+    assert fold_changes(base, path, key, order, str(tmp_path / "folded"), "gone") == 2
+    assert found(spark.read.parquet(str(tmp_path / "folded"))) == expected
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mixed_changes_equal_a_replay(spark, seed):
+    chance = random.Random(seed)
+    base = {k: {"a": f"a{k}", "b": f"b{k}"} for k in range(5)}
+    state, rows = {k: dict(v) for k, v in base.items()}, []
+    for seq in range(60):
+        k = chance.randrange(8)
+        sets = chance.choice([["a"], ["b"], ["a", "b"]])
+        gone = chance.random() < 0.25
+        values = {c: chance.choice([None, f"{c}-{seq}"]) for c in sets}
+        rows.append((k, values.get("a"), values.get("b"), seq, gone, sets))
+        if gone:
+            state.pop(k, None)
+        else:
+            state.setdefault(k, {"a": None, "b": None}).update(values)
+    chance.shuffle(rows)
+    changes = spark.createDataFrame(rows, f"k int, a string, b string, seq int, gone boolean, {COLUMNS} array<string>")
+    start = spark.createDataFrame([(k, v["a"], v["b"]) for k, v in base.items()], "k int, a string, b string")
+    got = apply_changes(start, changes, ["k"], ["seq"], "gone")
+    assert {r.k: {"a": r.a, "b": r.b} for r in got.collect()} == state
+
+
+def test_last_rows_agree_with_stored_ones(spark, tmp_path):
+    rows = [(f"k{i % 4}", f"v{i}", 100 + i, i, False) for i in range(40)]
+    feed(spark, str(tmp_path / "in"), rows)
+    store_changes(stream_of(spark, str(tmp_path / "in")), ["k"], ["at", "seq"], str(tmp_path / "out"),
+                  str(tmp_path / "state")).awaitTermination()
+    stored = spark.read.parquet(str(tmp_path / "out")).select("k", "v")
+    assert found(stored) == found(last_rows(changes_of(spark, rows), ["k"], ["at", "seq"]).select("k", "v"))
