@@ -38,8 +38,8 @@ class Resource:
 
     ``columns`` names the value columns of a resource that should not be opened to find them.
     ``row_order`` orders the rows of one key value inside the resource, so that the last one
-    wins a merge. ``unique`` says that keys are complete and occur once, also in translations,
-    which makes merging cheaper. ``bounded`` opens the resource for keys
+    wins a merge. ``unique`` says that keys are complete and occur once, which
+    ``reports.repeated_keys`` checks. ``bounded`` opens the resource for keys
     inside the given bounds: it lets a resource derived from larger tables skip parts of them,
     and may return rows outside the bounds. With key parts in ``limited_by`` it takes, as a second
     argument, the ids that a query allows for these parts, each as a one-column DataFrame, and
@@ -106,10 +106,17 @@ class IndexEntry:
     resources: tuple[str, ...]
 
 
+def collect_index(availability: DataFrame) -> list[IndexEntry]:
+    """Availability rows as an index: one entry per key and value, metadata in size."""
+    rows = availability.orderBy("kind", "key", "value").collect()
+    return [IndexEntry(r.kind, tuple(r.key), r.value, tuple(r.resources)) for r in rows]
+
+
 class Dataset:
     """Resources in file order, with the index that says which of them answer a key and value.
 
-    ``index`` may be given (a manifest has one); otherwise it follows from the columns of the
+    ``index`` may be given (a manifest has one), as entries or as a table of ``(kind, key, value,
+    resources)``, which is read when a query needs more of it than its rows; otherwise it follows from the columns of the
     resources: a resource keyed by a domain answers for each of its sets, and one keyed by a set
     for its domain and, unless the sets are ``disjoint``, for the other sets of the domain.
     """
@@ -118,7 +125,7 @@ class Dataset:
         self,
         spark: SparkSession,
         resources: Sequence[Resource],
-        index: Iterable[IndexEntry] | None = None,
+        index: Iterable[IndexEntry] | DataFrame | None = None,
         name: str = "dataset",
         disjoint: bool = False,
         folder: str | None = None,
@@ -130,9 +137,10 @@ class Dataset:
         self.resources = {r.name: r for r in resources}
         if len(self.resources) != len(resources):
             raise DatasetError("resource names must be unique")
-        self._declared = None if index is None else list(index)
+        self.index_table = index if isinstance(index, DataFrame) else None
+        self._declared = None if index is None or self.index_table is not None else list(index)
 
-    def with_index(self, index: Iterable[IndexEntry]) -> Dataset:
+    def with_index(self, index: Iterable[IndexEntry] | DataFrame) -> Dataset:
         return Dataset(
             self.spark, list(self.resources.values()), index, self.name, self.disjoint, self.folder
         )
@@ -230,6 +238,8 @@ class Dataset:
     def index(self) -> list[IndexEntry]:
         if self._declared is not None:
             return self._declared
+        if self.index_table is not None:
+            return collect_index(self.index_table)
         entries: dict[tuple, IndexEntry] = {}
         for resource in self.resources.values():
             for key in self._keys_answered(resource):

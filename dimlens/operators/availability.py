@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from dimlens.functions.concepts import ENTITY_TYPES
 from dimlens.functions.keys import membership_column
-from dimlens.model import COLLECTIONS, CONCEPTS, Dataset, IndexEntry, Resource
+from dimlens.model import COLLECTIONS, CONCEPTS, Dataset, Resource
 from dimlens.operators.merge import ROW, filled, merge
 from dimlens.session import small_table
 
@@ -24,6 +24,8 @@ INDEX_SCHEMA = T.StructType([
 
 def index_rows(dataset: Dataset) -> DataFrame:
     """The index of a dataset as a table, the parts of each key sorted."""
+    if dataset.index_table is not None:
+        return dataset.index_table.select("kind", F.array_sort("key").alias("key"), "value", "resources")
     rows = [(e.kind, sorted(e.key), e.value, list(e.resources)) for e in dataset.index]
     return small_table(dataset.spark, INDEX_SCHEMA, rows)
 
@@ -58,12 +60,6 @@ def build_availability(dataset: Dataset) -> DataFrame:
     return grouped.select("kind", "key", "value", "resources")
 
 
-def collect_index(availability: DataFrame) -> list[IndexEntry]:
-    """Availability rows as an index: one entry per key and value, metadata in size."""
-    rows = availability.orderBy("kind", "key", "value").collect()
-    return [IndexEntry(r.kind, tuple(r.key), r.value, tuple(r.resources)) for r in rows]
-
-
 def _resource_pairs(dataset: Dataset, resource: Resource, members) -> DataFrame | None:
     rows = dataset.frame(resource)
     values = resource.values

@@ -20,7 +20,6 @@ def merge(
     key: Sequence[str],
     mode: str = OVERWRITE,
     row_orders: Sequence[Column | None] | None = None,
-    unique: bool = False,
     places: Sequence[Sequence[int]] | None = None,
 ) -> DataFrame:
     """Full outer merge of ``frames`` on ``key``; per column the last frame that has it wins.
@@ -30,10 +29,9 @@ def merge(
     returned untouched; two or more also collapse the rows of a key.
 
     The merge is a union and one aggregation: each frame shuffles once, combined before the
-    shuffle, however many frames there are, and a filter on the key reaches every scan. With
-    ``unique`` keys, complete and once per frame, there is nothing to combine, and two frames
-    are joined instead, which takes about half the time. A third frame would shuffle the result
-    of the first join again, so three or more are always aggregated.
+    shuffle, however many frames there are, and a filter on the key reaches every scan. A key gives
+    one row, also where a frame repeats it: without an order of rows, a column that one frame alone
+    has takes its largest cell, any other column one of the last frame's cells.
 
     A frame may hold several files, told apart by the places in its column ``RESOURCE``; ``places``
     then lists those of each frame, a later place winning.
@@ -41,8 +39,6 @@ def merge(
     places = places or [[place] for place in range(len(frames))]
     if len(frames) == 1 and len(places[0]) == 1:
         return frames[0].drop(ROW, RESOURCE)
-    if unique and len(frames) == 2 and mode != STRICT:
-        return _joined(*_align([f.drop(ROW) for f in frames]), key, mode)
     tagged, values, orders = _tag(frames, key, row_orders, places)
     cells = []
     for name, holders in values.items():
@@ -52,7 +48,8 @@ def merge(
         if mode == TRANSLATION:
             present = filled(cell, tagged.schema[name].dataType)
         rank = F.struct(RESOURCE, *orders) if orders else F.col(RESOURCE)
-        last = F.max_by(cell, F.when(present, rank))
+        alone = len(holders) == 1 and not orders and isinstance(tagged.schema[name].dataType, T.AtomicType)
+        last = F.max(F.when(present, cell)) if alone else F.max_by(cell, F.when(present, rank))
         if mode == STRICT:
             message = F.lit(f"resources disagree on {name}")
             differ = _disagree(cell, present, tagged.schema[name].dataType)
@@ -63,25 +60,6 @@ def merge(
     return tagged.groupBy(*key).agg(*cells)
 
 
-def _joined(older: DataFrame, newer: DataFrame, key: Sequence[str], mode: str) -> DataFrame:
-    """Full outer join of two frames with unique keys."""
-    shared = [c for c in newer.columns if c in older.columns and c not in key]
-    renamed = {c: f"__new_{c}" for c in shared}
-    joined = older.join(
-        newer.withColumnsRenamed(renamed).withColumn(RESOURCE, F.lit(1)), list(key), "full_outer"
-    )
-    cells = {}
-    for name in dict.fromkeys([c for c in older.columns + newer.columns if c not in key]):
-        cells[name] = F.col(f"`{name}`")
-        if name in shared:
-            cell = F.col(f"`{renamed[name]}`")
-            wins = F.col(RESOURCE).isNotNull()
-            if mode == TRANSLATION:
-                wins = filled(cell, newer.schema[name].dataType)
-            cells[name] = F.when(wins, cell).otherwise(cells[name])
-    return joined.select(*key, *[cell.alias(name) for name, cell in cells.items()])
-
-
 def conflicts(frames: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:
     """Keys on which frames disagree: the key and the names of the columns concerned."""
     tagged, values, _ = _tag(frames, key, None)

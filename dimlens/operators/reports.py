@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,6 +55,26 @@ def unknown_columns(dataset: Dataset) -> DataFrame:
     return dataset.spark.createDataFrame(pairs, "resource string, column string")
 
 
+def repeated_keys(dataset: Dataset) -> DataFrame:
+    """``(resource, key, rows)`` of the keys that a resource declared unique has more than once.
+
+    ``key`` holds the parts as text; a key with a missing part is reported too, with any number of
+    rows, as a unique key is complete. Rows are counted before the shuffle.
+    """
+    reports = []
+    for resource in dataset.resources.values():
+        if resource.unique:
+            parts = [F.col(f"`{k}`").cast("string").alias(k) for k in resource.key]
+            counted = resource.frame.groupBy(*[f"`{k}`" for k in resource.key]).agg(F.count("*").alias("__rows"))
+            missing = functools.reduce(Column.__or__, [F.col(f"`{k}`").isNull() for k in resource.key])
+            reports.append(counted.filter((F.col("__rows") > 1) | missing).select(
+                F.lit(resource.name).alias("resource"), F.array(*parts).alias("key"),
+                F.col("__rows").alias("rows")))
+    if not reports:
+        return dataset.spark.createDataFrame([], "resource string, key array<string>, rows bigint")
+    return functools.reduce(DataFrame.unionByName, reports)
+
+
 def merge_conflicts(dataset: Dataset, key: Sequence[str], values: Sequence[str]) -> DataFrame:
     """``(key…, columns)`` where two resources hold different values for a key."""
     frames = []

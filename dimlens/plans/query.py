@@ -130,23 +130,19 @@ def _merged(dataset, key, value, where, joins, language, ids) -> DataFrame:
     wanted, bounds = {*value, *hidden}, column_bounds(where, joins)
     part = plain_conjuncts(where, joins, key)["$and"]
     frames, places = [], []
-    for group, own in _scans(resources, language):
-        first = group[0]
-        rows = _prepared(dataset, first, key, wanted, language, bounds, ids, part,
-                         first.scan.open({r.path: p for r, p in zip(group, own, strict=True)})
-                         if len(own) > 1 else None)
+    for group, own in _scans(resources):
+        together = {r.path: p for r, p in zip(group, own, strict=True)} if len(own) > 1 else {}
+        rows = _prepared(dataset, group[0], key, wanted, language, bounds, ids, part, together)
         frames.append(rows)
         places.append(own)
-    unique = len(resources) == 2 and len(frames) == 2 and all(r.unique for r in resources)
-    return merge(frames, key, row_orders=[_order(rows) for rows in frames], unique=unique, places=places)
+    return merge(frames, key, row_orders=[_order(rows) for rows in frames], places=places)
 
 
-def _scans(resources: Sequence[Resource], language: str | None):
-    """Resources that one scan reads, with their places; translated ones are read one by one."""
+def _scans(resources: Sequence[Resource]):
+    """Resources that one scan reads, with their places."""
     groups: dict[Any, tuple[list[Resource], list[int]]] = {}
     for place, resource in enumerate(resources):
-        together = resource.scan is not None and not (language and language in resource.translations)
-        group, own = groups.setdefault(resource.scan if together else place, ([], []))
+        group, own = groups.setdefault(place if resource.scan is None else resource.scan, ([], []))
         group.append(resource)
         own.append(place)
     return groups.values()
@@ -157,27 +153,24 @@ def _order(rows: DataFrame) -> Column | None:
 
 
 def _prepared(
-    dataset, resource: Resource, key, wanted, language, bounds, ids, part, rows=None
+    dataset, resource: Resource, key, wanted, language, bounds, ids, part, together
 ) -> DataFrame:
-    """One resource: limited by its key, translated, pruned, keyed by the query's names."""
+    """One resource: limited by its key, translated, pruned, keyed by the query's names.
+
+    Or all resources of its scan whose places ``together`` gives by their paths.
+    """
     renames = key_renames(dataset, key, resource.key)
     names = {renames.get(name, name): name for name in resource.key}
     taken_over = {names[j.key]: j.ids for j in ids if names.get(j.key) in resource.limited_by}
-    if rows is None:
+    if together:
+        rows = resource.scan.open(together)
+    else:
         rows = resource.rows({names[k]: b for k, b in bounds.items() if k in names}, taken_over)
     # Before rows are numbered, which a filter does not pass, so that it reaches the scan.
     own = {"$and": [{names[k]: test} for p in part for k, test in p.items() if k in names]}
-    rows = compile_condition(own, rows, {}, resource.key).apply(rows)
-    rows = resource.ordered(rows)
-    translation = resource.translation(language) if language else None
-    if translation is not None:
-        rows = merge(
-            [rows, translation.select(*[c for c in translation.columns if c in rows.columns])],
-            resource.key,
-            TRANSLATION,
-            [_order(rows), None],
-            resource.unique,
-        )
+    rows = resource.ordered(compile_condition(own, rows, {}, resource.key).apply(rows))
+    if language:
+        rows = _translated(resource, rows, language, own, together)
     taken = set(renames.values()) - set(resource.key)
     kept = [c for c in rows.columns
             if c in (ROW, RESOURCE) or c in resource.key or c in wanted and c not in taken]
@@ -189,6 +182,28 @@ def _prepared(
     return rows
 
 
+def _translated(resource: Resource, rows: DataFrame, language: str, own, together) -> DataFrame:
+    """Rows with the filled cells of their translation, and with the rows that only that has.
+
+    ``own`` is the condition on the key, which limits the translation too.
+    """
+    if together:
+        found = resource.scan.translated(language, together)
+    else:
+        table = resource.translation(language)
+        found = [] if table is None else [table]
+    if not found:
+        return rows
+    found = [compile_condition(own, t, {}, resource.key).apply(t) for t in found]
+    marked = {RESOURCE: "__table"} if together else {}
+    frames = [rows, *[t.select(*[c for c in t.columns if c in rows.columns]) for t in found]]
+    merged = merge(
+        [f.withColumnsRenamed(marked) for f in frames], [*marked.values(), *resource.key], TRANSLATION,
+        [_order(rows), *[None] * len(found)],
+    )
+    return merged.withColumnsRenamed({v: k for k, v in marked.items()})
+
+
 def _column(dataset, rows, name) -> Column:
     if name in rows.columns:
         cell = F.col(f"`{name}`")

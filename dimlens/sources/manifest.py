@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import functools
 import json
 from collections.abc import Mapping, Sequence
@@ -17,7 +18,13 @@ from dimlens.model import COLLECTIONS, Dataset, IndexEntry, Resource
 from dimlens.operators.merge import RESOURCE
 from dimlens.session import small_table
 from dimlens.sources.catalog import Version, flatten_catalog, registry_from, resolve_version
-from dimlens.sources.tables import path_exists, read_table, row_number_in_file
+from dimlens.sources.tables import (
+    header_delimiter,
+    header_lines,
+    path_exists,
+    read_table,
+    row_number_in_file,
+)
 
 # Names in the file format.
 MANIFEST = "datapackage.json"
@@ -101,7 +108,7 @@ def open_folder(
         row.id
         for row in given.select(F.explode("translations").alias("t")).select("t.id").collect()
     ]
-    resources = []
+    resources, translations = [], Translations(spark, folder)
     for row in manifest_resources(given).orderBy("place").collect():
         if row.format not in (DELIMITED, PARQUET):
             raise DatasetError(f"resource {row.name} has the unknown format {row.format}")
@@ -123,16 +130,13 @@ def open_folder(
             key,
             source,
             {
-                language: functools.partial(
-                    _translation, spark, open_table,
-                    f"{folder}/{TRANSLATION_FOLDER}/{language}/{row.path}", key,
-                )
+                language: functools.partial(translations.table, language, row.path, *dialect)
                 for language in languages
             },
             columns and tuple(c for c in columns if c not in key),
             row_order=None if unique_keys or row.data is not None else row_number_in_file(),
             unique=unique_keys,
-            scan=TableScan(spark, folder, key, columns, *dialect) if alike else None,
+            scan=TableScan(spark, folder, key, columns, *dialect, translations) if alike else None,
             path=row.path,
         ))
     index = [
@@ -142,6 +146,72 @@ def open_folder(
     return Dataset(spark, resources, index, name or folder.rsplit("/", 1)[-1], folder=folder)
 
 
+class Translations:
+    """The translation files of a folder. A language's files are listed once, with their headers."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark = spark
+        self.folder = folder
+        self._headers: dict[str, dict[str, str]] = {}
+
+    def base(self, language: str) -> str:
+        return f"{self.folder}/{TRANSLATION_FOLDER}/{language}"
+
+    def headers(self, language: str) -> dict[str, str]:
+        """The first line of each file, by its path below the language's folder."""
+        if language not in self._headers:
+            self._headers[language] = header_lines(self.spark, self.base(language))
+        return self._headers[language]
+
+    def tables(
+        self, language: str, places: Mapping[str, int], delimiter: str | None, multiline: bool
+    ) -> list[DataFrame]:
+        """Translated cells of the tables at the given paths, each row marked with its table's place.
+
+        Files with the same header are one scan. A table is a file, or a folder of part files;
+        one without a translation has no rows.
+        """
+        groups: dict[tuple, dict[str, int]] = {}
+        for file, line in self.headers(language).items():
+            place = places.get(file, places.get(file.rpartition("/")[0]))
+            if place is not None:
+                used = delimiter or header_delimiter(line, file)
+                columns = tuple(next(csv.reader([line], delimiter=used)))
+                groups.setdefault((used, columns), {})[file] = place
+        return [
+            marked_tables(self.spark, self.base(language), files, used, multiline, columns)
+            for (used, columns), files in groups.items()
+        ]
+
+    def table(
+        self, language: str, path: str, delimiter: str | None, multiline: bool
+    ) -> DataFrame | None:
+        """Translated cells of one table, None without any."""
+        frames = [t.drop(RESOURCE) for t in self.tables(language, {path: 0}, delimiter, multiline)]
+        if not frames:
+            return None
+        return functools.reduce(
+            lambda a, b: a.unionByName(b, allowMissingColumns=True), frames
+        )
+
+
+def marked_tables(
+    spark: SparkSession,
+    base: str,
+    places: Mapping[str, int],
+    delimiter: str,
+    multiline: bool,
+    columns: Sequence[str],
+) -> DataFrame:
+    """Rows of the tables at the given paths below ``base``, each marked with its table's place."""
+    rows = read_table(spark, [f"{base}/{p}" for p in places], delimiter, multiline, columns)
+    file = F.substring_index(F.col("_metadata.file_path"), quote(urlparse(base).path) + "/", -1)
+    known = F.create_map(*[F.lit(x) for p, i in places.items() for x in (quote(p), i)])
+    # A table is a file, or a folder of part files.
+    place = F.coalesce(known[file], known[F.regexp_replace(file, "/[^/]*$", "")])
+    return rows.withColumn(RESOURCE, place)
+
+
 @dataclass(frozen=True)
 class TableScan:
     """What delimited files have in common that one scan can read."""
@@ -152,17 +222,17 @@ class TableScan:
     columns: tuple[str, ...]
     delimiter: str
     multiline: bool
+    translations: Translations
 
     def open(self, places: Mapping[str, int]) -> DataFrame:
         """Rows of the tables at the given paths, each marked with the place of its table."""
-        rows = read_table(self.spark, [f"{self.folder}/{p}" for p in places], self.delimiter,
-                          self.multiline, self.columns)
-        base = quote(urlparse(self.folder).path) + "/"
-        file = F.substring_index(F.col("_metadata.file_path"), base, -1)
-        known = F.create_map(*[F.lit(x) for p, i in places.items() for x in (quote(p), i)])
-        # A table is a file, or a folder of part files.
-        place = F.coalesce(known[file], known[F.regexp_replace(file, "/[^/]*$", "")])
-        return rows.withColumn(RESOURCE, place)
+        return marked_tables(
+            self.spark, self.folder, places, self.delimiter, self.multiline, self.columns
+        )
+
+    def translated(self, language: str, places: Mapping[str, int]) -> list[DataFrame]:
+        """Their translated cells, marked likewise."""
+        return self.translations.tables(language, places, self.delimiter, self.multiline)
 
 
 def open_version(
@@ -223,10 +293,3 @@ def _inline(spark: SparkSession, rows: Sequence[Mapping[str, str]]) -> DataFrame
 def _key_list(key):
     """Key parts of a manifest key: JSON text of a list, or one name."""
     return F.when(key.startswith("["), F.from_json(key, "array<string>")).otherwise(F.array(key))
-
-
-def _translation(spark, open_table, path, key):
-    """Translated cells of a resource; no file means no translated rows."""
-    if path_exists(spark, path):
-        return open_table(path)
-    return spark.createDataFrame([], ", ".join(f"`{part}` string" for part in key))

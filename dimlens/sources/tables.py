@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Sequence
+from urllib.parse import quote, unquote, urlparse
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,6 +59,22 @@ def header_line(spark: SparkSession, path: str) -> str:
     return lines[0].value.removeprefix("\ufeff")
 
 
+def header_lines(spark: SparkSession, folder: str) -> dict[str, str]:
+    """The first line of every file below a folder, by its path there; found by one job, none if there is no folder."""
+    try:
+        lines = spark.read.option("recursiveFileLookup", True).text(folder)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return {}
+        raise
+    base = quote(urlparse(folder).path) + "/"
+    first = lines.filter((F.col("value") != "") & (F.col("_metadata.file_block_start") == 0)).select(
+        F.substring_index(F.col("_metadata.file_path"), base, -1).alias("file"),
+        "value", F.monotonically_increasing_id().alias("row"),
+    ).groupBy("file").agg(F.min_by("value", "row").alias("line"))
+    return {unquote(r["file"]): r["line"].removeprefix("\ufeff") for r in first.collect()}
+
+
 def header_delimiter(line: str, path: str = "the table") -> str:
     """The delimiter that a header shows outside quotes; a comma if it has one column only."""
     outside = "".join(line.split('"')[::2])

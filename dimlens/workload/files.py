@@ -7,6 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from dimlens.functions.keys import canonical_key
+from dimlens.model import Dataset, Resource
 from dimlens.plans.query import query
 from dimlens.plans.reader import Reader
 from dimlens.session import shared_folder
@@ -15,7 +16,14 @@ from dimlens.sources.manifest import INDEX_MEMBER, manifest_index, open_folder,
 from dimlens.sources.sinks import csv_lines, json_lines, tabular, write_folder
 from dimlens.workload.datapoints import BOTH
 from dimlens.workload.registry import registered
-from dimlens.workload.trade import SQL, TRANSLATED, customer_orders, table, trade_dataset
+from dimlens.workload.trade import (
+    SQL,
+    TRANSLATED,
+    customer_orders,
+    orders_by_segment,
+    table,
+    trade_dataset,
+)
 
 
 def _folder(spark, sf_dir, *names):
@@ -50,6 +58,33 @@ def ent_folder_translated(spark, sf_dir):
                  where={"is--country": True}, language=TRANSLATED)
 
 
+@registered(SQL + """,
+leaders AS (
+  SELECT country, time, arg_max(segment, (order_count, order_cents, segment)) AS top_segment
+  FROM by_segment GROUP BY ALL)
+SELECT country, time, CASE WHEN time >= '1998' AND top_segment <> 'BUILDING'
+       THEN lower(top_segment) ELSE top_segment END AS top_segment,
+       CAST(shipped_qty AS DOUBLE) AS shipped_qty
+FROM leaders FULL JOIN shipments USING (country, time) WHERE time >= '1994'
+""")
+def dp_folder_translated(spark, sf_dir):
+    """Translated datapoints spread over files by country, one scan for all and one for their
+    translations."""
+    place = F.struct("order_count", "order_cents", "segment")
+    leading = orders_by_segment(spark, sf_dir, {}).groupBy("country", "time").agg(
+        F.max_by("segment", place).alias("top_segment"))
+    later = leading.filter("time >= '1998'").withColumn("top_segment", F.when(
+        F.col("top_segment") == "BUILDING", "").otherwise(F.lower("top_segment")))
+    shelf = F.crc32("country") % 4
+    source = trade_dataset(spark, sf_dir, "country_entities", "shipments_by_country")
+    shelves = [Resource(f"leading_{i}", ("country", "time"), leading.filter(shelf == i),
+                        {TRANSLATED: later.filter(shelf == i)}) for i in range(4)]
+    folder = shared_folder(spark, "folder")
+    write_folder(Dataset(spark, [*source.resources.values(), *shelves], disjoint=True), folder, languages=[TRANSLATED])
+    return query(open_folder(spark, folder), "datapoints", ["country", "time"], ["top_segment", "shipped_qty"],
+                 where={"time": {"$gte": "1994"}}, language=TRANSLATED)
+
+
 def _tables_manifest() -> str:
     """A manifest whose resources are the given tables."""
     def concepts(kind, *names):
@@ -95,14 +130,14 @@ def reader_entities(spark, sf_dir):
 
 @registered("""
 SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem
-WHERE l_orderkey < 5000 AND l_returnflag = 'R'
+WHERE l_quantity > 30 AND l_returnflag = 'R'
 """)
 def reader_datapoints(spark, sf_dir):
     reader = Reader(spark, sf_dir, manifest=_tables_manifest(), unique_keys=True)
     return reader.read({
         "from": "datapoints",
         "select": {"key": ["l_orderkey", "l_linenumber"], "value": ["l_quantity"]},
-        "where": {"l_orderkey": {"$lt": 5000}, "l_returnflag": "R"},
+        "where": {"l_quantity": {"$gt": 30}, "l_returnflag": "R"},
     })
 
 

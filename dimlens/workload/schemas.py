@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dimlens.functions.keys import canonical_key, set_name
-from dimlens.operators.availability import build_availability, collect_index
+from dimlens.model import Dataset, Resource
+from dimlens.operators.availability import build_availability
 from dimlens.operators.reports import dataset_sizes
 from dimlens.operators.reports import merge_conflicts as conflict_report
+from dimlens.operators.reports import repeated_keys
 from dimlens.plans.query import query
 from dimlens.workload.registry import registered
-from dimlens.workload.trade import SQL, TRANSLATED, trade_dataset
+from dimlens.workload.trade import CONCEPTS, SEGMENTS, SQL, TRANSLATED, table, trade_dataset
 
 # Pairs that exist in the data, with the resources that hold them.
 PAIRS = SQL + """,
@@ -81,7 +83,7 @@ def availability_build(spark, sf_dir):
 def schema_all(spark, sf_dir):
     """All schema views of a dataset whose index was found in the data."""
     dataset = trade_dataset(spark, sf_dir)
-    indexed = dataset.with_index(collect_index(build_availability(dataset)))
+    indexed = dataset.with_index(build_availability(dataset))
     rows = query(indexed, "*.schema", ["key", "value"], order_by=["value"])
     return rows.select(canonical_key(F.col("key")).alias("key"), "value")
 
@@ -93,7 +95,7 @@ SELECT DISTINCT key, value FROM pairs WHERE kind = 'datapoints'
 def schema_by_key_parts(spark, sf_dir):
     """Array operators on the key of the schema view."""
     dataset = trade_dataset(spark, sf_dir)
-    indexed = dataset.with_index(collect_index(build_availability(dataset)))
+    indexed = dataset.with_index(build_availability(dataset))
     rows = query(
         indexed, "datapoints.schema", ["key", "value"],
         where={"$or": [
@@ -135,8 +137,9 @@ def merge_conflicts(spark, sf_dir):
     return conflict_report(dataset, ["country", "time"], ["order_count", "shipped_qty"])
 
 
-@registered(SQL + """
-SELECT 'trade' AS dataset, (SELECT count(DISTINCT c_mktsegment) FROM customer) + 15 AS concepts,
+@registered(SQL + f"""
+SELECT 'trade' AS dataset,
+  (SELECT count(DISTINCT c_mktsegment) FROM customer) + {len(CONCEPTS) - len(SEGMENTS)} AS concepts,
   (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) + (SELECT count(*) FROM customer)
     AS entities,
   (SELECT count(*) FROM by_country) + (SELECT count(*) FROM shipments)
@@ -159,3 +162,21 @@ def members_per_set(spark, sf_dir):
     return counts.unpivot([], flags, "flag", "members").select(
         set_name(F.col("flag")).alias("set_name"), "members"
     )
+
+
+@registered("""
+SELECT 'customers' AS resource, CAST(c_custkey AS VARCHAR) AS key, count(*) AS rows FROM customer
+GROUP BY c_custkey HAVING count(*) > 1
+UNION ALL SELECT 'buyers', concat_ws(',', o_custkey, o_orderpriority), count(*) FROM orders
+GROUP BY o_custkey, o_orderpriority HAVING count(*) > 1
+UNION ALL SELECT 'sources', concat_ws(',', l_orderkey, l_suppkey), count(*) FROM lineitem
+GROUP BY l_orderkey, l_suppkey HAVING count(*) > 1
+""")
+def repeated_unique_keys(spark, sf_dir):
+    """Keys that resources declared unique repeat: none of customers, some of the others."""
+    dataset = Dataset(spark, [
+        Resource(name, key, table(spark, sf_dir, source), unique=True)
+        for name, key, source in (("customers", ("c_custkey",), "customer"),
+                                  ("buyers", ("o_custkey", "o_orderpriority"), "orders"),
+                                  ("sources", ("l_orderkey", "l_suppkey"), "lineitem"))])
+    return repeated_keys(dataset).withColumn("key", F.array_join("key", ","))

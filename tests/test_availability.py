@@ -1,6 +1,7 @@
 from dimlens.functions.keys import key_text
 from dimlens.model import Dataset, Resource
-from dimlens.operators.availability import build_availability, collect_index
+from dimlens.model import collect_index
+from dimlens.operators.availability import build_availability
 from dimlens.operators.reports import (
     dataset_sizes,
     merge_conflicts,

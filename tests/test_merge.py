@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from dimlens import Dataset, Resource, query
-from dimlens.operators.merge import OVERWRITE, STRICT, TRANSLATION, conflicts, last_rows, merge
+from dimlens.operators.merge import STRICT, TRANSLATION, conflicts, last_rows, merge
+from dimlens.operators.reports import repeated_keys
 from tests.company import explained, found
 
 
@@ -102,10 +103,31 @@ def test_equals_chained_full_joins(spark, seed):
     wanted = ["k", "j", *sorted({c for held in layouts for c in held})]
     merged = merge(frames, ["k", "j"])
     assert found(merged.select(*wanted)) == found(expected.select(*wanted))
-    for mode in (OVERWRITE, TRANSLATION):
-        for pair in (frames[:2], frames[1:]):
-            joined = merge(pair, ["k", "j"], mode, unique=True)
-            assert found(joined) == found(merge(pair, ["k", "j"], mode).select(*joined.columns))
+
+
+def test_repeated_keys_give_one_row_whatever_the_number_of_frames(spark):
+    a = frame(spark, "k string, v int", ("x", 1), ("x", 2), ("y", 5))
+    b = frame(spark, "k string, w int, n string", ("x", 3, "p"), ("x", 4, "q"))
+    c = frame(spark, "k string, u int", ("x", 7), ("z", 8))
+    assert found(merge([a, b], ["k"])) == [("x", 2, 4, "q"), ("y", 5, None, None)]
+    assert found(merge([a, b, c], ["k"])) == [
+        ("x", 2, 4, "q", 7), ("y", 5, None, None, None), ("z", None, None, None, 8)]
+    concepts = frame(spark, "concept string, concept_type string", ("k", "entity_domain"), ("v", "measure"),
+                     ("w", "measure"), ("u", "measure"), ("n", "string"))
+    dataset = Dataset(spark, [Resource("concepts", ("concept",), concepts),
+                              *[Resource(n, ("k",), f, unique=True) for n, f in (("a", a), ("b", b), ("c", c))]])
+    assert found(query(dataset, "entities", ["k"], ["v", "w"])) == [("x", 2, 4), ("y", 5, None)]
+    assert found(query(dataset, "entities", ["k"], ["v", "w", "u"])) == [
+        ("x", 2, 4, 7), ("y", 5, None, None), ("z", None, None, 8)]
+    assert sorted(map(tuple, repeated_keys(dataset).collect())) == [("a", ["x"], 2), ("b", ["x"], 2)]
+
+
+def test_repeated_keys_report_missing_parts_and_undeclared_resources(spark):
+    rows = frame(spark, "k string, j int, v int", ("x", 1, 1), ("x", None, 2), ("y", 1, 3), ("y", 1, 4))
+    resources = [Resource("a", ("k", "j"), rows, unique=True), Resource("b", ("k", "j"), rows)]
+    assert sorted(map(tuple, repeated_keys(Dataset(spark, resources)).collect()), key=str) == [
+        ("a", ["x", None], 1), ("a", ["y", "1"], 2)]
+    assert repeated_keys(Dataset(spark, resources[1:])).collect() == []
 
 
 def test_one_shuffle_and_hash_aggregation(spark, tmp_path):
@@ -118,7 +140,7 @@ def test_one_shuffle_and_hash_aggregation(spark, tmp_path):
     assert plan.count("EqualTo(id,5)") == 3
 
 
-def test_unique_keys_are_joined_below_key_filters(spark, tmp_path):
+def test_key_filters_reach_every_resource(spark, tmp_path):
     schema = "place string, anno string, {} double"
     for name in ("v", "w"):
         rows = [(f"p{i}", f"20{i:02}", float(i)) for i in range(20)]
@@ -136,7 +158,7 @@ def test_unique_keys_are_joined_below_key_filters(spark, tmp_path):
     assert [r[0] for r in found(rows)] == ["p10", "p11", "p13", "p14"]
     plan = explained(rows)
     assert plan.count("GreaterThanOrEqual(anno,2010)") == 2
-    assert "Aggregate" not in plan
+    assert "SortAggregate" not in plan
 
 
 def test_row_order_keeps_its_type_and_need_not_be_selected(spark):
