@@ -475,7 +475,7 @@ def _sql_literal(value: str | int | float) -> str | None:
         # A dollar sign could start a variable, which Spark replaces in SQL texts.
         return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("$", "\\u0024") + "'"
     if isinstance(value, int):
-        return str(value) if abs(value) < 2**63 else None
+        return str(value) if abs(value) < 2**63 else f"{value}BD" if abs(value) < 10**38 else None
     return f"{value!r}D" if math.isfinite(value) else None
 
 
