@@ -1,7 +1,9 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,8 +48,8 @@ def test_usable_takes_the_usual_length_and_the_first_vector(spark):
 
 @pytest.mark.parametrize(("n", "dims"), [(300, 10), (24, 3)])
 def test_top_k_equals_brute_force(spark, monkeypatch, n, dims):
-    monkeypatch.setattr(topk, "BLOCK", (7, 50))
-    monkeypatch.setattr(topk, "CHUNK", 4)
+    monkeypatch.setattr(topk, "QUERIES", 7)
+    monkeypatch.setattr(topk, "GROUPS", 3)
     found = items(n, dims, n)
     vectors = topk.integer_vectors(frame(spark, found))
     known = {i: [math.floor(64 * x) for x in as_floats(v)] for i, v in taking_part(found, dims, True).items()}
@@ -59,6 +61,54 @@ def test_top_k_equals_brute_force(spark, monkeypatch, n, dims):
     assert {tuple(r) for r in topk.top_k(vectors, vectors.where("vec_id % 20 = 0")).collect()} == expected
 
 
+def batch(ids, vectors, cutoff=None):
+    return pa.RecordBatch.from_pydict({
+        "vec_id": pa.array(ids, pa.int64()), "vector": pa.array([list(map(float, v)) for v in vectors]),
+        "cutoff": pa.array([cutoff] * len(ids), pa.int64())})
+
+
+@pytest.mark.parametrize("cutoff", [None, 40])
+def test_every_pair_is_scored_at_most_once(monkeypatch, cutoff):
+    monkeypatch.setattr(topk, "CHUNK", (5, 13))
+    scored = Counter()
+
+    def counted(queries, candidates, given=topk._partial):
+        scored.update((tuple(q), tuple(c)) for q in queries for c in candidates)
+        return given(queries, candidates)
+
+    monkeypatch.setattr(topk, "_partial", counted)
+    r = np.random.default_rng(4)
+    vectors = np.unique(r.integers(-9, 10, (150, 6)) * r.integers(1, 30, (150, 1)), axis=0)
+    ids = np.arange(len(vectors))
+    order = np.argsort(-np.linalg.norm(vectors, axis=1))
+    best = topk._Best(4)
+    best.add(batch(ids[:9], vectors[:9], cutoff))
+    best.add(batch(ids[9:20], vectors[9:20], cutoff))
+    for part in np.array_split(order, 6):
+        best.score(batch(ids[part], vectors[part]))
+    found = {}
+    for q, i, s in zip(*(c.to_pylist() for c in best.result().columns), strict=True):
+        found.setdefault(q, []).append((-s, i))
+    for q in range(20):
+        scores = sorted((-int(vectors[q] @ vectors[i]), int(i)) for i in ids if i != q)
+        assert sorted(found.get(q, [])) == [x for x in scores[:4] if cutoff is None or -x[0] >= cutoff]
+    assert set(scored.values()) == {1} and len(scored) <= 20 * len(vectors)
+    # Short vectors that cannot reach the cutoffs are passed over.
+    assert len(scored) < 20 * len(vectors) * 0.95
+
+
+def test_what_groups_send_grows_with_the_queries(spark):
+    sent = {}
+    for n in (400, 1600):
+        vectors = topk.integer_vectors(frame(spark, [(i, v.tolist()) for i, v in enumerate(
+            np.random.default_rng(1).standard_normal((n, 4)))]))
+        queries = vectors.where("vec_id < 40")
+        dealt = vectors.withColumn("group", F.lit(1))
+        asked = queries.withColumn("groups", F.array(F.lit(1))).withColumn("cutoff", F.lit(None).cast("long"))
+        sent[n] = topk._searched(asked, dealt, 5, 1).count()
+    assert sent == {400: 200, 1600: 200}
+
+
 def test_top_k_of_large_numbers(spark):
     vectors = spark.createDataFrame([(i, [float(2**30 + i), float(2**29 - i)]) for i in range(40)],
                                     "vec_id long, vector array<double>")
