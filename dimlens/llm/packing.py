@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 from array import array
 from bisect import bisect_left, insort
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import cached_property, lru_cache
 from typing import NamedTuple
 
@@ -16,10 +17,11 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from dimlens.llm.bpe import COMMON_LETTERS, RARE, byte_letters
-from dimlens.llm.storage import in_slices, stored, texts
+from dimlens.llm.storage import stored, texts
 
 #: Fixed value: how byte-level BPE splits text into words.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -33,6 +35,8 @@ PILED_SPACE = re.compile(r"[ \n]{3}|[ \n]{2}\Z")
 PAIRS = ("  ", "\n\n", " \n", "\n ")
 #: The id at the end of every document.
 END = bytes(4)
+#: Texts whose pieces a worker hands on together.
+SENT = 512
 
 
 class ByteCodec:
@@ -80,25 +84,30 @@ def token_pieces(documents: DataFrame, path: str, capacity: int = 2048) -> DataF
     cut into pieces of that many; only its first piece may be shorter. A null or empty text is the
     end id alone. One set of pieces per row of documents. The file must be on every executor.
     """
-    @F.arrow_udf("array<binary>")
-    def cut(column: pa.Array) -> pa.Array:
-        encode, size = codec(path).encode, 4 * capacity
+    rows = texts(documents)
+    schema = T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL(
+        "piece int, start long, length long, ids binary")])
 
-        def pieces(text: str) -> list[bytes]:
-            ids = encode(text) + END
-            first = len(ids) % size or size
-            return [ids[:first], *(ids[i:i + size] for i in range(first, len(ids), size))]
-
-        return in_slices(column, lambda batch: [pieces(t) for t in batch], pa.list_(pa.binary()))
-
-    cuts = texts(documents).select("doc_id", cut("text").alias("pieces"))
-    each = cuts.select("doc_id", (F.octet_length(F.col("pieces")[0]) / 4).cast("long").alias("first"),
-                       F.posexplode("pieces").alias("piece", "ids"))
-    return each.select(
-        "doc_id", "piece",
-        F.when(F.col("piece") == 0, F.lit(0).cast("long")).otherwise(
-            F.col("first") + (F.col("piece") - 1).cast("long") * capacity).alias("start"),
-        (F.octet_length("ids") / 4).cast("long").alias("length"), "ids")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, size = codec(path).encode, 4 * capacity
+        for batch in batches:
+            for at in range(0, len(batch), SENT):  # few texts' ids are held at a time
+                part = batch.slice(at, SENT)
+                owner, piece, start, ids = [], [], [], []
+                for row, text in enumerate(part["text"]):
+                    whole = encode(text.as_py()) + END
+                    cuts = [0, *range(len(whole) % size or size, len(whole), size), len(whole)]
+                    owner += [row] * (len(cuts) - 1)
+                    piece += range(len(cuts) - 1)
+                    start += [c // 4 for c in cuts[:-1]]
+                    ids += [whole[a:b] for a, b in itertools.pairwise(cuts)]
+                yield pa.RecordBatch.from_arrays(
+                    [part["doc_id"].take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()),
+                     pa.array(start, pa.int64()), pa.array([len(i) // 4 for i in ids], pa.int64()),
+                     pa.array(ids, pa.binary())], names=schema.names)
+                pa.default_memory_pool().release_unused()
+
+    return rows.mapInArrow(cut, schema)
 
 
 class Filled(NamedTuple):
