@@ -106,10 +106,10 @@ def by_key_names(
     meets rows that are combined already. A key may come more than once: the caller aggregates.
     """
     dataset = members.dataset
-    open_parts = [part for part in key if _sets(dataset, part)]
+    opened = open_parts(dataset, key)
     no_names = F.array().cast(_NAMES)
-    rows = _combine(rows, open_parts, combine)
-    for place, part in enumerate(open_parts):
+    rows = _combine(rows, opened, combine)
+    for place, part in enumerate(opened):
         sets = members.of(dataset.domain_of(part))
         names = F.array(*map(F.lit, _names_without_members(dataset, part)))
         left, right = F.col(f"`{part}`"), F.col("__id")
@@ -119,10 +119,10 @@ def by_key_names(
             *[F.col(f"`{c}`") for c in rows.columns if c != part],
             F.explode(F.array_union(names, F.coalesce("__sets", no_names))).alias(part),
         )
-        if place < len(open_parts) - 1:
-            rows = _combine(rows, open_parts, combine)
+        if place < len(opened) - 1:
+            rows = _combine(rows, opened, combine)
     for part in key:
-        if part not in open_parts:
+        if part not in opened:
             names = [F.lit(name) for name in _names_without_members(dataset, part)]
             rows = rows.withColumn(part, F.explode(F.array(*names)) if names[1:] else names[0])
     named = F.array_sort(F.array(*[F.col(f"`{p}`") for p in key]))
@@ -162,6 +162,11 @@ def _combine(rows: DataFrame, parts: Sequence[str], combine: Mapping[str, object
     return rows.groupBy(*parts).agg(*aggregates)
 
 
+def open_parts(dataset: Dataset, key: Sequence[str]) -> list[str]:
+    """Key parts whose ids belong to sets."""
+    return [part for part in key if _sets(dataset, part)]
+
+
 def _sets(dataset: Dataset, part: str) -> list[str]:
     if dataset.type_of(part) not in ENTITY_TYPES:
         return []

@@ -7,12 +7,23 @@ from pyspark.sql import functions as F
 from dimlens.functions.keys import canonical_key, set_name
 from dimlens.model import Dataset, Resource
 from dimlens.operators.availability import build_availability
+from dimlens.operators.maintenance import FactState, of_ids
 from dimlens.operators.reports import dataset_sizes
 from dimlens.operators.reports import merge_conflicts as conflict_report
 from dimlens.operators.reports import repeated_keys
 from dimlens.plans.query import query
 from dimlens.workload.registry import registered
-from dimlens.workload.trade import CONCEPTS, SEGMENTS, SQL, TRANSLATED, table, trade_dataset
+from dimlens.workload.trade import (
+    CONCEPTS,
+    SEGMENTS,
+    SQL,
+    TRANSLATED,
+    cents,
+    concept_rows,
+    table,
+    trade_dataset,
+    year,
+)
 
 # Pairs that exist in the data, with the resources that hold them.
 PAIRS = SQL + """,
@@ -180,3 +191,58 @@ def repeated_unique_keys(spark, sf_dir):
                                   ("buyers", ("o_custkey", "o_orderpriority"), "orders"),
                                   ("sources", ("l_orderkey", "l_suppkey"), "lineitem"))])
     return repeated_keys(dataset).withColumn("key", F.array_join("key", ","))
+
+
+CHANGED_ORDERS = SQL + """,
+facts AS (
+  SELECT o_custkey AS customer, c_mktsegment AS segment, CAST(round(o_totalprice * 100) AS BIGINT)
+           + CASE WHEN o_orderpriority = '1-URGENT' THEN 100000 ELSE 0 END AS cents,
+         CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END AS note
+  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P'),
+keyed AS (
+  SELECT unnest(['customer,time', lower(segment) || ',time']) AS key, cents, note FROM facts)
+"""
+
+
+def _changed_state(spark, sf_dir) -> FactState:
+    """Orders after two batches: late ones came and pending ones went, then urgent ones were repriced."""
+    given = table(spark, sf_dir, "orders")
+    late = F.crc32(F.col("o_orderkey").cast("string")) % 4 == 0
+    pending, urgent = F.col("o_orderstatus") == "P", F.col("o_orderpriority") == "1-URGENT"
+
+    def facts(rows, more=0):
+        note = F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority"))
+        price = cents("o_totalprice") + F.when(urgent, more).otherwise(0)
+        return rows.select(F.col("o_custkey").alias("customer"), year("o_orderdate"), price.alias("cents"), note.alias("note"))
+
+    described = Resource("sold", ("customer", "time"), facts(given), columns=("cents", "note"))
+    source = trade_dataset(spark, sf_dir, "customer_entities")
+    concepts = concept_rows(spark, [*CONCEPTS, ("cents", "measure", None), ("note", "string", None)])
+    dataset = Dataset(spark, [Resource("concepts", ("concept",), concepts), source.resources["customer_entities"],
+                              described], disjoint=True)
+    state = FactState.build(dataset, described, facts(given.filter(~late)))
+    kept = given.filter(~pending)
+    state = state.change(facts(given.filter(late & ~pending)), facts(given.filter(~late & pending)),
+                         of_ids(facts(kept), state.parts))
+    return state.change(facts(kept.filter(urgent), 100000), facts(kept.filter(urgent)),
+                        of_ids(facts(kept, 100000), state.parts))
+
+
+@registered(CHANGED_ORDERS + """
+SELECT key, 'cents' AS value, CAST(min(cents) AS DOUBLE) AS low, CAST(max(cents) AS DOUBLE) AS high,
+       round(avg(cents), 4) AS mean FROM keyed GROUP BY key
+""")
+def statistics_after_changes(spark, sf_dir):
+    """Statistics kept up to date; only customers that lost an extreme look at their orders again."""
+    rows = _changed_state(spark, sf_dir).statistics()
+    return rows.select(canonical_key(F.col("key")).alias("key"), "value", "low", "high", F.round("mean", 4).alias("mean"))
+
+
+@registered(CHANGED_ORDERS + """
+SELECT DISTINCT 'datapoints' AS kind, key, 'cents' AS value, 'sold' AS resources FROM keyed
+UNION SELECT 'datapoints', key, 'note', 'sold' FROM keyed WHERE note IS NOT NULL
+""")
+def availability_after_changes(spark, sf_dir):
+    rows = _changed_state(spark, sf_dir).availability()
+    return rows.select("kind", canonical_key(F.col("key")).alias("key"), "value",
+                       F.array_join("resources", ",").alias("resources"))

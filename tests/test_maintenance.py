@@ -1,0 +1,118 @@
+"""Availability and statistics after batches of changes against a rebuild."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from dimlens import Dataset, Resource
+from dimlens.operators.availability import build_availability
+from dimlens.operators.maintenance import FactState, of_ids
+from dimlens.plans.statistics import value_statistics
+from tests.company import explained
+
+FACTS = "place string, anno string, v double, w string, n bigint"
+CONCEPTS = [("place", "entity_domain", None), ("city", "entity_set", "place"), ("town", "entity_set", "place"),
+            ("anno", "time", None), ("v", "measure", None), ("n", "measure", None), ("w", "string", None)]
+
+
+def dataset(spark, facts, members=None):
+    members = members or [(f"p{i}", i % 2 == 0, i % 3 == 0) for i in range(8)]
+    concepts = spark.createDataFrame(CONCEPTS, "concept string, concept_type string, domain string")
+    entities = spark.createDataFrame(members, "place string, `is--city` boolean, `is--town` boolean")
+    return Dataset(spark, [Resource("concepts", ("concept",), concepts), Resource("places", ("place",), entities),
+                           Resource("facts", ("place", "anno"), facts)], disjoint=True)
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(list(rows), FACTS)
+
+
+def fact(chance, i):
+    place = None if chance.random() < 0.05 else f"p{chance.randrange(10)}"
+    return (place, f"20{i:02}", chance.choice([None, float(chance.randrange(20))]),
+            chance.choice([None, "", "text"]), chance.choice([None, chance.randrange(5)]))
+
+
+def pairs(rows):
+    return {(tuple(r.key), r.value) for r in rows.collect() if r.kind == "datapoints"}
+
+
+def numbers(rows):
+    return {(tuple(sorted(r.key)), r.value): (r[2], r[3], round(r[4], 6)) for r in rows.collect()}
+
+
+def check(spark, state, rows):
+    rebuilt = dataset(spark, frame(spark, rows))
+    assert pairs(state.availability()) == pairs(build_availability(rebuilt))
+    expected = value_statistics(rebuilt, "datapoints", ["min(value)", "max(value)", "avg(value)"])
+    assert numbers(state.statistics()) == numbers(expected)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_batches_equal_a_rebuild(spark, tmp_path, seed):
+    chance = random.Random(seed)
+    rows = [fact(chance, i) for i in range(60)]
+    given = dataset(spark, frame(spark, rows))
+    state = FactState.build(given, given.resources["facts"], frame(spark, rows), str(tmp_path / "state"))
+    check(spark, state, rows)
+    for batch in range(4):
+        # The last batch leaves hardly anything, so that values and combinations go.
+        gone = chance.sample(rows, 12 if batch < 3 else len(rows) - 4)
+        added = [fact(chance, 60 + batch * 9 + i) for i in range(9)]
+        added += [(*r[:2], (r[2] or 0.0) + 1, *r[3:]) for r in gone[:4]]
+        rows = [r for r in rows if r not in gone] + added
+        state = state.change(frame(spark, added), frame(spark, gone), of_ids(frame(spark, rows), state.parts))
+        check(spark, state, rows)
+    assert state.number == 4
+
+
+def test_facts_are_asked_only_for_lost_extremes(spark, tmp_path):
+    rows = [("p0", "2000", 1.0, "a", None), ("p0", "2001", 5.0, "a", None), ("p1", "2000", 3.0, None, None),
+            ("p0", "2002", 2.0, "a", None)]
+    path = str(tmp_path / "facts")
+    frame(spark, rows).write.parquet(path)
+    facts = spark.read.parquet(path)
+    given = dataset(spark, facts)
+    state = FactState.build(given, given.resources["facts"], facts, str(tmp_path / "state"))
+    asked = []
+
+    def ask(ids):
+        asked.append(sorted(r.place for r in ids.collect()))
+        return of_ids(facts.filter("v > 1 AND v < 5"), state.parts)(ids)
+
+    # Neither a middle cell that goes nor an extreme that is reached again asks for facts.
+    one = state.change(frame(spark, [("p1", "2005", 3.0, None, None)]), frame(spark, [rows[3], rows[2]]), ask)
+    assert asked == [] and one.lost == 0
+    assert path not in explained(one.named(), "extended")
+    two = one.change(frame(spark, [rows[3]]), frame(spark, [rows[0], rows[1]]), ask)
+    assert asked == [["p0"]] and two.lost == 1
+    assert {r.place: (r.low0, r.high0) for r in two.rows.collect()} == {"p0": (2.0, 2.0), "p1": (3.0, 3.0)}
+    # States of earlier batches stay.
+    assert {r.place: r.high0 for r in state.rows.collect()} == {"p0": 5.0, "p1": 3.0}
+
+
+def test_members_of_now_count(spark, tmp_path):
+    facts = frame(spark, [("p1", "2000", 1.0, None, None), ("p2", "2000", 7.0, None, None)])
+    before, after = dataset(spark, facts, [("p1", True, False)]), dataset(spark, facts, [("p1", False, True), ("p2", True, False)])
+    state = FactState.build(before, before.resources["facts"], facts, str(tmp_path / "state"))
+    joined = FactState(after, after.resources["facts"], state.folder, state.number)
+
+    def highest(of):
+        return {k[0][1]: v[1] for k, v in numbers(of.statistics()).items()}
+
+    assert highest(state) == {"place": 7.0, "city": 1.0}
+    assert highest(joined) == {"place": 7.0, "city": 7.0, "town": 1.0}
+
+
+def test_keys_without_sets_are_one_combination(spark, tmp_path):
+    concepts = spark.createDataFrame([("place", "entity_domain"), ("anno", "time"), ("v", "measure")],
+                                     "concept string, concept_type string")
+    facts = spark.createDataFrame([("a", "2000", 1.0), ("b", "2000", 2.0)], "place string, anno string, v double")
+    given = Dataset(spark, [Resource("concepts", ("concept",), concepts), Resource("facts", ("place", "anno"), facts)])
+    state = FactState.build(given, given.resources["facts"], facts, str(tmp_path / "state"))
+    left = facts.filter("v = 1")
+    state = state.change(facts.limit(0), facts.filter("v = 2"), of_ids(left, state.parts))
+    assert [tuple(r) for r in state.statistics().collect()] == [(["anno", "place"], "v", 1.0, 1.0, 1.0)]
+    state = state.change(facts.limit(0), left, of_ids(facts.limit(0), state.parts))
+    assert state.availability().collect() == [] and state.rows.filter(F.col("n0") > 0).count() == 0
