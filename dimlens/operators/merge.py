@@ -94,7 +94,7 @@ def _tag(frames, key, row_orders, places=None):
         frame if order is None else frame.withColumn(name, order)
         for frame, order, name in zip(frames, row_orders, orders, strict=True)
     ]
-    frames = _align([frame.drop(ROW) for frame in frames])
+    frames = aligned([frame.drop(ROW) for frame in frames])
     values: dict[str, list[int]] = {}
     for own, frame in zip(places, frames, strict=True):
         for name in frame.columns:
@@ -108,7 +108,7 @@ def _tag(frames, key, row_orders, places=None):
     return tagged, values, [name for name in orders if name]
 
 
-def _align(frames: Sequence[DataFrame]) -> list[DataFrame]:
+def aligned(frames: Sequence[DataFrame]) -> list[DataFrame]:
     """Cast columns whose types differ: numbers widen by themselves, the rest becomes text."""
     types: dict[str, set[T.DataType]] = {}
     for frame in frames:

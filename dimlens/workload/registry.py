@@ -26,5 +26,5 @@ def registered(sql: str | None = None):
 
 
 def load() -> None:
-    for module in ("datapoints", "entities", "schemas", "catalogs", "tables", "files", "streams"):
+    for module in ("datapoints", "entities", "schemas", "catalogs", "tables", "files", "streams", "versions"):
         importlib.import_module(f"dimlens.workload.{module}")
