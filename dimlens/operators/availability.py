@@ -71,6 +71,8 @@ def _resource_pairs(dataset: Dataset, resource: Resource, members) -> DataFrame
     if resource.kind == CONCEPTS:
         keyed = rows.agg(*[F.bool_or(c).alias(n) for n, c in held.items()])
         keyed = keyed.withColumn("key", F.array(F.lit("concept")))
+    elif len(open_parts(dataset, resource.key)) == 1:
+        return _pairs_by_bits(members, rows.withColumns(held), resource, values)
     else:
         combine = {n: F.bool_or for n in held}
         keyed = by_key_names(members, rows.withColumns(held), resource.key, combine)
@@ -82,6 +84,52 @@ def _resource_pairs(dataset: Dataset, resource: Resource, members) -> DataFrame
     )
 
 
+def _pairs_by_bits(members: Memberships, rows: DataFrame, resource: Resource, values) -> DataFrame:
+    """``(kind, key, value)`` pairs where one key part has sets: an id is one row, a set one bit.
+
+    Ids are combined first, then joined with one row of bits each, and the bits of all ids that
+    hold a value are united by an aggregation; names come back at the end, once.
+    """
+    dataset = members.dataset
+    (part,) = open_parts(dataset, resource.key)
+    domain = dataset.domain_of(part)
+    names, ids = members.bits(domain)
+    held = [f"__v{i}" for i in range(len(values))]
+    rows = _combine(rows, [f"`{part}`"], {h: F.bool_or for h in held})
+    left, right = F.col(f"`{part}`"), F.col("__id")
+    if rows.schema[part].dataType != ids.schema["__id"].dataType:
+        left, right = left.cast("string"), right.cast("string")
+    words = [c for c in ids.columns if c != "__id"]
+    united = rows.join(ids, left == right, "left").agg(
+        *[F.bool_or(h).alias(h) for h in held],
+        *[F.bit_or(F.when(F.col(h), F.col(w))).alias(f"{h}{w}") for h in held for w in words])
+    others = [F.array(*map(F.lit, _names_without_members(dataset, p))) for p in resource.key if p != part]
+    own = _names_without_members(dataset, part)
+    entries = []
+    for h, value in zip(held, values, strict=True):
+        found = F.array_compact(F.array(*[
+            F.when(F.coalesce(F.getbit(F.col(f"{h}{words[i // BITS]}"), F.lit(i % BITS)) == 1, F.lit(False)), F.lit(name))
+            for i, name in enumerate(names)]))
+        known = F.array_union(F.array(*map(F.lit, own)), found)
+        entries.append(F.when(F.col(h), F.struct(F.lit(value).alias("value"), known.alias("names"))))
+    rows = united.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select(
+        "e.value", F.transform(F.col("e.names"), lambda n: F.array(n)).alias("keys"))
+    for other in others:
+        rows = rows.select("value", F.flatten(F.transform(other, _added_to(F.col("keys")))).alias("keys"))
+    keyed = rows.select("value", F.explode("keys").alias("key"))
+    return keyed.filter(F.size(F.array_distinct("key")) == len(resource.key)).select(
+        F.lit(resource.kind).alias("kind"), F.array_sort("key").alias("key"), "value")
+
+
+def _added_to(keys: Column):
+    """A name added to each of the keys."""
+    return lambda name: F.transform(keys, lambda key: F.array_append(key, name))
+
+
+#: Sets in one word of bits.
+BITS = 64
+
+
 class Memberships:
     """Set memberships of a dataset's domains, each built once."""
 
@@ -94,6 +142,21 @@ class Memberships:
             self._built[domain] = membership(self.dataset, domain).toDF("__id", "__sets")
         return self._built[domain]
 
+    def bits(self, domain: str) -> tuple[list[str], DataFrame]:
+        """The sets of a domain, and one row per entity with a bit for each set it belongs to."""
+        names, entities = _sets(self.dataset, domain), _flagged(self.dataset, domain)
+        if entities is None:
+            return [], self.of(domain).select("__id")
+        known = set(entities.columns)
+        names = [n for n in names if membership_column(n) in known]
+        words = []
+        for start in range(0, len(names), BITS):
+            bits = [F.shiftleft(F.col(f"`{membership_column(n)}`").cast("bigint"), i)
+                    for i, n in enumerate(names[start:start + BITS])]
+            bits = [F.coalesce(bit, F.lit(0).cast("bigint")) for bit in bits]
+            words.append(functools.reduce(Column.bitwiseOR, bits).alias(f"__bits{start // BITS}"))
+        return names, entities.select(F.col(f"`{domain}`").alias("__id"), *words)
+
 
 def by_key_names(
     members: Memberships, rows: DataFrame, key: Sequence[str], combine: Mapping[str, object]
@@ -133,8 +196,21 @@ def by_key_names(
 
 def membership(dataset: Dataset, domain: str) -> DataFrame:
     """``(id, sets)`` of a domain: the sets each entity belongs to, all entity files merged."""
-    sets = _sets(dataset, domain)
-    flags = {membership_column(s): s for s in sets}
+    entities = _flagged(dataset, domain)
+    if entities is None:
+        schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("sets", _NAMES)])
+        return small_table(dataset.spark, schema, [])
+    found = F.array_compact(F.array(*[
+        F.when(F.col(f"`{membership_column(name)}`"), F.lit(name))
+        for name in _sets(dataset, domain)
+        if membership_column(name) in entities.columns
+    ]))
+    return entities.select(F.col(f"`{domain}`").alias("id"), found.alias("sets"))
+
+
+def _flagged(dataset: Dataset, domain: str) -> DataFrame | None:
+    """The domain's entities with their membership columns, None if no resource has one."""
+    flags = {membership_column(s) for s in _sets(dataset, domain)}
     frames, orders = [], []
     for resource in dataset.resources.values():
         if len(resource.key) == 1 and dataset.domain_of(resource.key[0]) == domain:
@@ -145,16 +221,7 @@ def membership(dataset: Dataset, domain: str) -> DataFrame:
                 rows = rows.select(resource.key[0], *[F.col(f"`{c}`") for c in held])
                 frames.append(dataset.frame(resource, rows).withColumnRenamed(resource.key[0], domain))
                 orders.append(F.col(ROW) if resource.row_order is not None else None)
-    if not frames:
-        schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("sets", _NAMES)])
-        return small_table(dataset.spark, schema, [])
-    entities = merge(frames, [domain], row_orders=orders)
-    found = F.array_compact(F.array(*[
-        F.when(F.col(f"`{flag}`"), F.lit(name))
-        for flag, name in flags.items()
-        if flag in entities.columns
-    ]))
-    return entities.select(F.col(f"`{domain}`").alias("id"), found.alias("sets"))
+    return merge(frames, [domain], row_orders=orders) if frames else None
 
 
 def _combine(rows: DataFrame, parts: Sequence[str], combine: Mapping[str, object]) -> DataFrame:

@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import functions as F
 
 from dimlens.model import Dataset, Resource
-from dimlens.operators.order import guard_rows
+from dimlens.operators.order import guard_rows, page_rows
 from dimlens.plans.query import query, read
 from dimlens.workload.registry import registered
 from dimlens.workload.trade import (
@@ -291,6 +291,27 @@ def dp_sorted_top(spark, sf_dir):
     return guard_rows(rows, 40)
 
 
+PAGED_BY = [{"o_totalprice": -1}, "o_orderpriority"]
+
+
+@registered("""
+SELECT *, CAST((row_number() OVER (
+  ORDER BY o_totalprice DESC NULLS LAST, o_orderpriority NULLS FIRST, o_orderkey) - 1) // 300 AS INT) AS page
+FROM (SELECT CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice END AS o_totalprice, o_orderpriority, o_orderkey FROM orders)
+QUALIFY page < 3
+""")
+def dp_pages(spark, sf_dir):
+    """Three pages of orders by price, each found from the last row of the one before."""
+    price = F.when(F.col("o_orderkey") % 3 > 0, F.col("o_totalprice")).alias("o_totalprice")
+    rows = table(spark, sf_dir, "orders").select(price, "o_orderpriority", "o_orderkey")
+    pages, after = [], None
+    for number in range(3):
+        page = page_rows(rows, PAGED_BY, 300, ["o_orderkey"], after).collect()
+        pages += [(*row, number) for row in page]
+        after = page[-1].asDict() if page else None
+    return spark.createDataFrame(pages, rows.schema.add("page", "int"))
+
+
 @registered("""
 WITH cells AS (
   SELECT user_id AS customer, strftime(ts, '%Y-%m-%d') AS time, event_type, value, ts, event_id
