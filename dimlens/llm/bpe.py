@@ -25,6 +25,8 @@ from dimlens.llm.storage import texts
 #: tell words that came up before.
 REMEMBERED = 600_000
 SEEN = 1 << 23
+#: Checked pairs remembered by one Python worker; their memory starts anew as well.
+PAIRS = 2_000_000
 #: Stand for the end of a word: no byte of a text in UTF-8, and no letter that stands for a byte.
 END = b"\xff"
 STOP = "\x01"
@@ -142,6 +144,8 @@ class WordCodec:
         """
         codes = (first.astype(np.int64) << 32) | (second.astype(np.int64) + 1)
         distinct, where = np.unique(codes, return_inverse=True)
+        if len(self.pairs) > PAIRS:
+            self.pairs, self.stays = self.pairs[-1:], self.stays[-1:]
         at = np.searchsorted(self.pairs, distinct)
         fresh = distinct[self.pairs[np.minimum(at, len(self.pairs) - 1)] != distinct]
         if len(fresh):

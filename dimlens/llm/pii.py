@@ -133,7 +133,11 @@ def _as_spans(base: DataFrame) -> DataFrame:
 
 
 def term_spans(documents: DataFrame, terms: DataFrame, base: DataFrame) -> DataFrame:
-    """(doc_id, content, kind, start, end, action, capital): a document's terms outside base spans."""
+    """(doc_id, content, kind, start, end, action, capital): a document's terms outside base spans.
+
+    Terms are found whatever their case; where letters fold together that lower case keeps apart, such
+    as a long s, the action is that of the term they match.
+    """
     own = stored(terms.groupBy(*DOCUMENT).agg(
         F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("actions")), "own")
     documents = with_content(documents)
@@ -142,7 +146,8 @@ def term_spans(documents: DataFrame, terms: DataFrame, base: DataFrame) -> DataF
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.map_keys("actions"), "|"), F.lit(r")(?!\p{L})"))
     found = texts.select(*DOCUMENT, "actions", gaps_and_matches("text", pattern).alias("m"))
     each = F.expr("""filter(transform(m.found, (v, i) -> struct(i as n, char_length(m.gaps[i]) as gap,
-        v as value, actions[lower(v)] as action)), x -> x.value <> '')""")
+        v as value, coalesce(actions[lower(v)], array_max(transform(filter(map_entries(actions), e ->
+        rlike(v, concat('(?iu)^(?:', e.key, ')$'))), e -> e.value))) as action)), x -> x.value <> '')""")
     rows = found.select(*DOCUMENT, F.explode(each).alias("m")).select(*DOCUMENT, "m.*")
     capital = F.rlike("value", F.lit(r"^\p{Lu}"))
     places = placed(rows, [*DOCUMENT]).select(*DOCUMENT, F.lit(TERM).alias("kind"), "start", "end", "action",

@@ -54,6 +54,16 @@ def test_memory_starts_anew(library, monkeypatch):
     assert ids(own.encode_batch(texts)) == [c.ids for c in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_memory_of_pairs_starts_anew(library, monkeypatch):
+    monkeypatch.setattr(bpe, "PAIRS", 30)
+    monkeypatch.setattr(bpe, "BATCH_CHARS", 200)
+    own = bpe.WordCodec(PATH)
+    for part in range(6):
+        texts = [" ".join(f"word{part}{i}x{j} zqj{i * j}" for j in range(9)) for i in range(12)]
+        assert ids(own.encode_batch(texts)) == [c.ids for c in library.encode_batch(texts, add_special_tokens=False)]
+    assert len(own.pairs) < 30 + 400 and own.pairs[-1] == np.iinfo(np.int64).max
+
+
 def test_frame(hard_documents, hard_items, library):
     found = {(r.doc_id, tuple(r.ids), r.decoded) for r in bpe.round_trip(hard_documents, PATH).collect()}
     coded = [(i, library.encode(t or "", add_special_tokens=False).ids) for i, t in hard_items]

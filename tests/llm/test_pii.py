@@ -5,6 +5,8 @@ from collections import Counter
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from dimlens.llm import pii
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -117,6 +119,18 @@ def test_sanitised_texts(spark):
     assert sorted(r.text for r in pii.sanitise(two).collect()) == ["[email]", "[email] é [phone] x", "none"]
 
 
+def test_letters_that_fold_together_find_the_action(spark):
+    frame = spark.createDataFrame([(1, "the mass Maſſ MASS Kelvin \u212aelvin so")], "doc_id long, text string")
+    content = frame.select(F.xxhash64("text")).first()[0]
+    terms = spark.createDataFrame([(1, content, "mass", pii.REMOVED), (1, content, "kelvin", pii.GENERALISED)],
+                                  "doc_id long, content long, term string, action int")
+    base_spans = pii.base_spans(frame)
+    text = frame.first().text
+    found = {(text[r.start:r.end], r.action) for r in pii.term_spans(frame, terms, base_spans).collect()}
+    assert found == {("mass", pii.REMOVED), ("Maſſ", pii.REMOVED), ("MASS", pii.REMOVED),
+                     ("Kelvin", pii.GENERALISED), ("\u212aelvin", pii.GENERALISED)}
+
+
 def test_empty(spark, no_documents, hard_documents):
     assert pii.find(no_documents).collect() == []
     assert pii.sanitise(no_documents).collect() == []

@@ -128,3 +128,40 @@ def test_hard_documents(hard_documents, no_documents):
     assert secrets.redacted(hard_documents, found).count() == hard_documents.count()
     assert secrets.scan(no_documents).collect() == []
     assert secrets.redacted(no_documents, secrets.scan(no_documents)).collect() == []
+
+
+def reviewed(seed):
+    """Documents with one finding each that no rule of ``plain_findings`` decides, and whether it is a secret."""
+    r = random.Random(seed)
+    words = ["".join(r.choices("abcdefghijklmnop", k=r.randint(4, 9))) for _ in range(60)]
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    items, secret = [], {}
+    for i in range(400):
+        before, after = " ".join(r.choices(words, k=6)), " ".join(r.choices(words, k=6))
+        if i % 2:
+            value = "".join(r.choices(letters, k=r.randint(28, 40)))
+            middle = r.choice(["bearer {} sent", "the token is {}", "paste {} into the box"]).format(value)
+        else:
+            value = "".join(r.choices("0123456789abcdef", k=r.choice([32, 40])))
+            middle = r.choice(["see {} there", "the token is {}", "object {} was stored"]).format(value)
+        text = f"{before} {middle} {after}"
+        items.append((i, text))
+        secret[i] = text.index(value), i % 2
+    return items, secret
+
+
+def test_precision_and_recall_on_findings_not_learned_from(spark):
+    """Trained on the review of one half, measured on the other, which no rule labels."""
+    items, secret = reviewed(11)
+    frame = spark.createDataFrame(items, "doc_id long, text string")
+    measured = secrets.with_features(frame, secrets.candidates(frame))
+    plain = {r.doc_id for r in secrets.plain_findings(measured).collect()}
+    labels = spark.createDataFrame([(i, at, y) for i, (at, y) in secret.items() if i % 4 < 2],
+                                   "doc_id long, start long, label int")
+    found = {(r.doc_id, r.start): r.is_secret for r in secrets.scan(frame, labels).collect()}
+    tested = {i: v for i, v in secret.items() if i % 4 >= 2 and i not in plain}
+    assert len(tested) > 80 and {y for _, y in tested.values()} == {0, 1}
+    said = {i: found[i, at] for i, (at, _) in tested.items()}
+    hits = sum(said[i] and y for i, (_, y) in tested.items())
+    assert hits >= 0.95 * sum(y for _, y in tested.values())
+    assert hits >= 0.95 * sum(said.values())
