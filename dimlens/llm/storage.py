@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local_folders: dict[str, str] = {}
+#: Where the frames that ``stored`` gave lie, as long as they are in use.
+_stored_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,7 +37,18 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}/{name}"
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    found = spark.read.schema(frame.schema).parquet(path)
+    _stored_paths[found] = path
+    return found
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete stored frames that nothing will read again; what was written from them stays."""
+    for frame in frames:
+        if path := _stored_paths.pop(frame, None):
+            spark = frame.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def texts(documents: DataFrame, key: str = "doc_id") -> DataFrame:

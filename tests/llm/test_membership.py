@@ -1,8 +1,10 @@
+import os
+
 from pyspark.sql import functions as F
 
 from dimlens.llm import membership
 from dimlens.llm.membership import separated
-from dimlens.llm.storage import stored
+from dimlens.llm.storage import discard, stored
 
 
 def hashed(prefix):
@@ -47,3 +49,11 @@ def test_texts_do_not_move(spark):
     for rows in separated(frame(spark, range(50)), hashed, known):
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" in plan and plan.count("Exchange hashpartitioning") == plan.count("Exchange hashpartitioning(place")
+
+
+def test_discarded_tables_are_gone_and_others_stay(spark):
+    one, two = stored(spark.range(5), "one"), stored(spark.range(7), "two")
+    path = one.inputFiles()[0].removeprefix("file:")
+    assert os.path.exists(path)
+    discard(one, spark.range(3), one)
+    assert not os.path.exists(path) and two.count() == 7
