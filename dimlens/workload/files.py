@@ -13,14 +13,17 @@ from dimlens.plans.reader import Reader
 from dimlens.session import shared_folder
 from dimlens.sources.assets import ASSET_FOLDER, get_asset
 from dimlens.sources.manifest import INDEX_MEMBER, manifest_index, open_folder, parse_manifests
-from dimlens.sources.sinks import csv_lines, json_lines, tabular, write_folder
+from dimlens.sources.sinks import csv_lines, json_lines, tabular, write_clustered, write_folder
 from dimlens.workload.datapoints import BOTH
 from dimlens.workload.registry import registered
 from dimlens.workload.trade import (
+    CONCEPTS,
     SQL,
     TRANSLATED,
+    concept_rows,
     customer_orders,
     orders_by_segment,
+    spending,
     table,
     trade_dataset,
 )
@@ -205,3 +208,20 @@ def asset_rows(spark, sf_dir):
     )
     documents.write.partitionBy("region").text(f"{folder}/{ASSET_FOLDER}/regions.json")
     return get_asset(spark, folder, f"{ASSET_FOLDER}/regions.json").select("country", "region")
+
+
+@registered(SQL + """
+SELECT country, segment, priority, time, CAST(spent_cents AS DOUBLE) AS spent_cents FROM spending
+WHERE segment = 'BUILDING' AND time >= '1996'
+""")
+def dp_clustered_files(spark, sf_dir):
+    """Four dimensions laid out along a curve; a condition on two of them skips most files."""
+    folder, key = shared_folder(spark, "clustered"), ("country", "segment", "priority", "time")
+    write_clustered(spending(spark, sf_dir, {}), folder, key, rows_per_file=500)
+    concepts = concept_rows(spark, [*CONCEPTS, ("priority", "entity_domain", None), ("spent_cents", "measure", None)])
+    countries = trade_dataset(spark, sf_dir, "country_entities").resources["country_entities"]
+    dataset = Dataset(spark, [Resource("concepts", ("concept",), concepts), countries,
+                              Resource("spending", key, spark.read.parquet(folder), unique=True)])
+    rows = query(dataset, "datapoints", list(key), ["spent_cents"],
+                 where={"segment": "BUILDING", "time": {"$gte": "1996"}})
+    return rows.withColumn("spent_cents", F.col("spent_cents").cast("double"))

@@ -8,10 +8,12 @@ from dimlens.functions.keys import canonical_key, set_name
 from dimlens.model import Dataset, Resource
 from dimlens.operators.availability import build_availability
 from dimlens.operators.maintenance import FactState, of_ids
+from dimlens.operators.quantiles import quantiles, value_sketches
 from dimlens.operators.reports import dataset_sizes
 from dimlens.operators.reports import merge_conflicts as conflict_report
 from dimlens.operators.reports import repeated_keys
 from dimlens.plans.query import query
+from dimlens.session import shared_folder
 from dimlens.workload.registry import registered
 from dimlens.workload.trade import (
     CONCEPTS,
@@ -246,3 +248,32 @@ def availability_after_changes(spark, sf_dir):
     rows = _changed_state(spark, sf_dir).availability()
     return rows.select("kind", canonical_key(F.col("key")).alias("key"), "value",
                        F.array_join("resources", ",").alias("resources"))
+
+
+@registered(SQL + """,
+cells AS (
+  SELECT unnest(['customer,time', lower(segment) || ',time']) AS key, c.order_cents AS cell
+  FROM by_customer c JOIN (SELECT c_custkey AS customer, c_mktsegment AS segment FROM customer) USING (customer))
+SELECT key, 'order_cents' AS value, count(*) AS n, CAST(min(cell) AS DOUBLE) AS low, CAST(max(cell) AS DOUBLE) AS high,
+       true AS median_is_near
+FROM cells GROUP BY key
+""")
+def sketched_quantiles(spark, sf_dir):
+    """Medians from the stored sketches of two files, near the exact ones of the facts."""
+    source = trade_dataset(spark, sf_dir, "customer_entities", "customer_orders")
+    described = source.resources["customer_orders"]
+    sold = Resource("sold", described.key, described.frame.select("customer", "time", "order_cents"), unique=True)
+    dataset = Dataset(spark, [source.resources["concepts"], source.resources["customer_entities"], sold], disjoint=True)
+    folder, even = shared_folder(spark, "sketches"), F.crc32(F.col("customer").cast("string")) % 2 == 0
+    for name, part in (("first", sold.frame.filter(even)), ("second", sold.frame.filter(~even))):
+        value_sketches(dataset, sold, part).write.parquet(f"{folder}/{name}")
+    stored = [spark.read.parquet(f"{folder}/{name}") for name in ("first", "second")]
+    rows = quantiles(dataset, sold, stored, [0, 0.5, 1]).select(
+        canonical_key(F.col("key")).alias("key"), "value", "n", F.col("quantiles")[0].alias("low"),
+        F.col("quantiles")[1].alias("median"), F.col("quantiles")[2].alias("high"))
+    entities = source.resources["customer_entities"].frame
+    names = F.array(F.lit("customer,time"), *[F.when(F.col(f"`is--{s.lower()}`"), F.lit(f"{s.lower()},time")) for s in SEGMENTS])
+    near = sold.frame.join(entities, "customer").select(F.explode(F.array_compact(names)).alias("key"), "order_cents")
+    near = near.groupBy("key").agg(F.percentile("order_cents", 0.47).alias("below"), F.percentile("order_cents", 0.53).alias("above"))
+    return rows.join(near, "key").select(
+        "key", "value", "n", "low", "high", F.col("median").between(F.col("below"), F.col("above")).alias("median_is_near"))
