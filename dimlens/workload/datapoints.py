@@ -309,7 +309,7 @@ def dp_pages(spark, sf_dir):
         page = page_rows(rows, PAGED_BY, 300, ["o_orderkey"], after).collect()
         pages += [(*row, number) for row in page]
         after = page[-1].asDict() if page else None
-    return spark.createDataFrame(pages, rows.schema.add("page", "int"))
+    return spark.createDataFrame(pages, rows.schema.add("page", "integer"))
 
 
 @registered("""
