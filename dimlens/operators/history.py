@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dimlens.operators.merge import aligned
@@ -26,20 +26,18 @@ def version_history(versions: Sequence[DataFrame], key: Sequence[str]) -> DataFr
         rows = rows.withColumn("__version", F.lit(number))
         tagged = rows if tagged is None else tagged.unionByName(rows, allowMissingColumns=True)
     cells = [c for c in tagged.columns if c not in key and c != "__version"]
-    along = Window.partitionBy(*[f"`{k}`" for k in key]).orderBy("__version")
-    content = F.struct(F.lit(0).alias("__same"), *[F.col(f"`{c}`") for c in cells])
-
-    def joins(shift: int) -> Column:
-        beside = F.lag("__version", shift) if shift > 0 else F.lead("__version", -shift)
-        other = F.lag(content, shift) if shift > 0 else F.lead(content, -shift)
-        return F.coalesce(beside.over(along) == F.col("__version") - shift, F.lit(False)) & other.over(along).eqNullSafe(content)
-
-    marked = tagged.withColumns({"__begins": ~joins(1), "__ends": ~joins(-1)})
-    ending = F.min(F.when(F.col("__ends"), F.col("__version") + 1)).over(
-        along.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    rows = marked.withColumn(UNTIL, ending).filter("__begins").withColumnRenamed("__version", SINCE)
-    until = F.when(F.col(UNTIL) < len(versions), F.col(UNTIL))
-    return rows.select(*[F.col(f"`{c}`") for c in (*key, *cells)], SINCE, until.alias(UNTIL))
+    content = F.struct(F.lit(0).alias("same"), *[F.col(f"`{c}`") for c in cells])
+    held = tagged.groupBy(*[f"`{k}`" for k in key]).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("__version").alias("version"), content.alias("row")))).alias("__held"))
+    # A row begins where the version before lacks the key or holds another row.
+    begins = held.withColumn("__begins", F.expr("""filter(sequence(0, size(__held) - 1), i -> i = 0
+        OR get(__held, i - 1).version <> get(__held, i).version - 1 OR NOT get(__held, i - 1).row <=> get(__held, i).row)"""))
+    spans = begins.select(*key, F.explode(F.expr("""transform(__begins, (b, j) -> struct(get(__held, b) AS begin,
+        get(__held, coalesce(get(__begins, j + 1), size(__held)) - 1).version + 1 AS until))""")).alias("__span"))
+    until = F.col("__span.until")
+    return spans.select(
+        *[F.col(f"`{k}`") for k in key], *[F.col(f"__span.begin.row.`{c}`") for c in cells],
+        F.col("__span.begin.version").alias(SINCE), F.when(until < len(versions), until).alias(UNTIL))
 
 
 def with_version(history: DataFrame, rows: DataFrame, number: int, key: Sequence[str]) -> DataFrame:

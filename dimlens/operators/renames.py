@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -62,11 +62,13 @@ def key_renames(
 def mutual_best(pairs: DataFrame, left: str, right: str, score: str) -> DataFrame:
     """``(left, right, score)`` of the pairs that are best for both, ties to the smaller name."""
     # Sums of floats differ in their last digits from order to order.
-    rounded = F.round(score, 9)
-    ours = Window.partitionBy(left).orderBy(rounded.desc(), right)
-    theirs = Window.partitionBy(right).orderBy(rounded.desc(), left)
-    ranked = pairs.withColumns({"__ours": F.row_number().over(ours), "__theirs": F.row_number().over(theirs)})
-    return ranked.filter("__ours = 1 AND __theirs = 1").select(left, right, rounded.alias(score))
+    rows = pairs.select(left, right, F.round(score, 9).alias(score))
+
+    def best(own: str, other: str) -> DataFrame:
+        first = F.min(F.struct((-F.col(score)).alias("__least"), F.col(other).alias(other)))
+        return rows.groupBy(own).agg(first.alias("__best")).select(own, F.col(f"__best.{other}").alias(other))
+
+    return rows.join(best(left, right), [left, right]).join(best(right, left), [left, right])
 
 
 def column_renames(old: DataFrame, new: DataFrame, key: Sequence[str], least: float = 0.5) -> DataFrame:
