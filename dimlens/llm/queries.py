@@ -219,6 +219,78 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(conversations.turns_text(F.col("turns")), 256).alias("repaired_sha256"))
 
 
+OP13_SQL = r"""
+WITH RECURSIVE named AS (
+    SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name
+    FROM conversations),
+crcs AS (
+    SELECT name, xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT),
+        [CAST(ord(x) AS UBIGINT) FOR x IN string_split(name, '')]), lambda acc, b: list_reduce(
+            list_prepend(xor(acc, b), [CAST(i AS UBIGINT) FOR i IN range(8)]),
+            lambda a, i: xor(a >> 1, CAST(3988292384 AS UBIGINT) * (a & 1)))), 4294967295) % 20 AS kind
+    FROM (SELECT DISTINCT name FROM named)),
+damaged AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text,
+        unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+    FROM named JOIN crcs USING (name)),
+placed AS (
+    SELECT *, left(role, 1) AS initial, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS content,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM damaged),
+marked AS (
+    SELECT *, CASE WHEN content = '' THEN 'blank'
+        WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate'
+        WHEN right(content, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+        lag(initial) OVER (PARTITION BY conv_id ORDER BY n) || initial AS pair FROM placed),
+inserted(state, after, more) AS (VALUES ('n', 'n', ''), ('n', 'u', 'I'), ('n', 'a', 'II'), ('s', 's', ''), ('s', 'u', 'I'),
+    ('s', 'a', 'II'), ('u', 'u', ''), ('u', 'a', 'I'), ('a', 'a', ''), ('a', 'u', 'I')),
+ways AS (
+    SELECT conv_id, CAST(0 AS BIGINT) AS n, after AS state, {'cost': 2 * length(more), 'audit': more} AS way
+    FROM (SELECT DISTINCT conv_id FROM marked) JOIN inserted ON state = 'n'
+    UNION ALL
+    SELECT conv_id, n, after, min({'cost': cost + 2 * length(more), 'audit': audit || more}) AS way
+    FROM (
+        SELECT w.conv_id, m.n, e.edit, w.way.audit || e.edit AS audit,
+            w.way.cost + CASE e.edit WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END
+                + CASE WHEN e.edit <> 'D' AND m.fault = 'truncated' THEN 1 ELSE 0 END AS cost,
+            CASE e.edit WHEN 'D' THEN w.state WHEN 'K' THEN m.initial ELSE CASE w.state WHEN 'u' THEN 'a' ELSE 'u' END END AS state
+        FROM ways w JOIN marked m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.n = w.n + 1
+        JOIN (VALUES ('D'), ('K'), ('R')) e(edit) ON e.edit = 'D' OR (m.fault NOT IN ('blank', 'duplicate')
+            AND (e.edit = 'R' OR w.state || m.initial IN ('ns', 'nu', 'su', 'ua', 'au')))) c
+    JOIN inserted i ON i.state = c.state
+    GROUP BY conv_id, n, after),
+best AS (
+    SELECT w.conv_id, min(w.way) AS way FROM ways w
+    JOIN (SELECT conv_id, max(n) AS n FROM marked GROUP BY conv_id) l
+        ON l.conv_id IS NOT DISTINCT FROM w.conv_id AND l.n = w.n
+    WHERE state IN ('n', 'a') GROUP BY w.conv_id),
+edits AS (
+    SELECT conv_id, unnest(string_split(way.audit, '')) AS edit, unnest(range(length(way.audit))) AS place FROM best
+    WHERE way.audit <> ''),
+counted AS (
+    SELECT *, count(*) FILTER (WHERE edit <> 'I') OVER w AS n, count(*) FILTER (WHERE edit <> 'D') OVER w AS given
+    FROM edits WINDOW w AS (PARTITION BY conv_id ORDER BY place)),
+turns AS (
+    SELECT c.conv_id, c.place, c.edit, c.given, m.role, m.initial, CASE WHEN c.edit = 'I' THEN '' ELSE m.text END AS text,
+        max(CASE WHEN c.given = 1 AND c.edit = 'K' AND m.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY c.conv_id) AS led
+    FROM counted c LEFT JOIN marked m ON m.conv_id IS NOT DISTINCT FROM c.conv_id AND m.n = c.n WHERE c.edit <> 'D'),
+repaired AS (
+    SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (given - led) % 2 = 1 THEN 'user' ELSE 'assistant' END
+        || ':' || text, chr(10) ORDER BY place) AS body FROM turns GROUP BY conv_id),
+totals AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+        count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+        count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM marked GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+    coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(way.cost, 0) AS BIGINT) AS cost,
+    coalesce(way.audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN totals t ON t.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pii, op2_best_fit_packing, op3_secrets, op4_bpe_round_trip,
                              op5_learned_partitions, op6_line_dedup,
@@ -226,4 +298,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
                              op11_substring_dedup, op12_merkle_manifest,
                              op13_conversation_repair)}
 ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op10_exact_top_k": OP10_SQL,
-                              "op11_substring_dedup": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
+                              "op11_substring_dedup": OP11_SQL, "op12_merkle_manifest": OP12_SQL,
+                              "op13_conversation_repair": OP13_SQL}

@@ -5,6 +5,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
+import pyarrow as pa
 import pytest
 
 from dimlens.llm import conversations, queries
@@ -192,3 +194,13 @@ def test_long_run_is_planned_by_powers():
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], ROWS).write.parquet(f"{tmp_path}/conversations.parquet")
     assert not found(spark, tmp_path)
+
+
+def test_sql_equals_brute_force(hard, tmp_path):
+    short = [r for r in hard if r[0] is None or r[0] not in (1000, 2000, 2001)]
+    columns = {n: [r[i] for r in short] for i, n in enumerate(("conv_id", "turn", "role", "text"))}
+    types = (pa.int64(), pa.int64(), pa.string(), pa.string())
+    conversations = pa.table({n: pa.array(v, t) for (n, v), t in zip(columns.items(), types, strict=True)})
+    with duckdb.connect() as base:
+        base.register("conversations", conversations)
+        assert Counter(map(tuple, base.execute(queries.OP13_SQL).fetchall())) == brute_force(short)
